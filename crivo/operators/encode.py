@@ -223,20 +223,29 @@ def merged_bounds(bounds: DataFrame) -> DataFrame:
     return bounds.groupBy("feature").agg(F.min("min").alias("min"), F.max("max").alias("max"))
 
 
-def scale_min_max(df: DataFrame, columns: Sequence[str], epsilon: float = EPSILON) -> DataFrame:
-    """Scale columns to ``(x - min) / (max - min + epsilon)`` by their global bounds.
+def scale_by(df: DataFrame, bounds: DataFrame, columns: Sequence[str], epsilon: float = EPSILON) -> DataFrame:
+    """Scale columns to ``(x - min) / (max - min + epsilon)`` by a table of bounds.
 
-    The bounds are a scalar subquery, computed once for all columns; a constant column
-    becomes 0 and absent columns are skipped.
+    The bounds enter as a scalar subquery, evaluated once for all columns. A constant
+    column becomes 0 and absent columns are skipped.
     """
     names = present(df, columns)
     if not names:
         return df
-    bounds = df.agg(
-        *[f(quoted(c).cast("double")).alias(f"{k}{i}") for i, c in enumerate(names) for k, f in (("lo", F.min), ("hi", F.max))]
-    ).select(F.struct("*").alias("bounds")).scalar()
-    scaled = {
-        c: (quoted(c).cast("double") - bounds[f"lo{i}"]) / (bounds[f"hi{i}"] - bounds[f"lo{i}"] + F.lit(epsilon))
+    picked = bounds.agg(*[
+        f(F.when(F.col("feature") == c, F.col(k))).alias(f"{k}{i}")
+        for i, c in enumerate(names) for k, f in (("min", F.min), ("max", F.max))
+    ]).select(F.struct("*").alias("bounds")).scalar()
+    return replaced(df, {
+        c: (quoted(c).cast("double") - picked[f"min{i}"]) / (picked[f"max{i}"] - picked[f"min{i}"] + F.lit(epsilon))
         for i, c in enumerate(names)
-    }
-    return replaced(df, scaled)
+    })
+
+
+def scale_min_max(df: DataFrame, columns: Sequence[str], epsilon: float = EPSILON) -> DataFrame:
+    """Scale columns by their own global bounds, found in the same query.
+
+    For repeated use (training) write `min_max` down once and use `scale_by`.
+    """
+    names = present(df, columns)
+    return scale_by(df, min_max(df, names), names, epsilon) if names else df
