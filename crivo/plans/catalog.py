@@ -1,6 +1,13 @@
 """All registered queries; importing this module fills the registry."""
 
-from crivo.plans import score_queries  # noqa: F401
+from crivo.plans import (  # noqa: F401
+    clean_queries,
+    compare_queries,
+    encode_queries,
+    model_queries,
+    score_queries,
+    union_queries,
+)
 from crivo.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
