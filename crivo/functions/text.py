@@ -52,19 +52,28 @@ def _accent_tables() -> tuple[str, str, list[tuple[str, str]]]:
     return source, target, expanded
 
 
-@lru_cache(maxsize=1)
-def _expanding_class() -> str:
-    """A regex class of the characters that become more than one character."""
-    points = sorted(ord(ch) for ch, _ in _accent_tables()[2]) + [_HANGUL_FIRST, _HANGUL_LAST]
-    points = sorted(set(points) | set(range(_HANGUL_FIRST, _HANGUL_LAST + 1)))
+def _ranges(points: list[int]) -> str:
+    """A regex class of code points, in as few ranges as possible."""
     ranges, start = [], points[0]
-    for here, following in zip(points, points[1:] + [None]):
+    for here, following in zip(points, [*points[1:], None]):
         if following != here + 1:
             ranges.append(f"\\x{{{start:X}}}-\\x{{{here:X}}}")
             start = following
     return "[" + "".join(ranges) + "]"
 
 
+@lru_cache(maxsize=1)
+def _expanding_classes() -> tuple[str, str]:
+    """Regex classes of the characters that become more than one: a quick superset, and exact.
+
+    The superset has few ranges: the Latin-1 ones, and everything from the first one after.
+    """
+    points = {ord(ch) for ch, _ in _accent_tables()[2]} | set(range(_HANGUL_FIRST, _HANGUL_LAST + 1))
+    exact = sorted(points)
+    quick = [p for p in exact if p < 0x100] + list(range(min(p for p in exact if p >= 0x100), 0x110000))
+    return _ranges(quick), _ranges(exact)
+
+
 def _expand_hangul(c: Column) -> Column:
     def letters(first: int, count: int) -> Column:
         return F.split(F.lit("".join(chr(first + i) for i in range(count))), "")
@@ -90,6 +99,12 @@ def _expand(c: Column) -> Column:
     return _expand_hangul(spelled)
 
 
+def needs_expanding(c: Column) -> Column:
+    """Does the text hold a character that becomes more than one? Cheap tests go first."""
+    quick, exact = _expanding_classes()
+    return F.coalesce((F.octet_length(c) != F.char_length(c)) & c.rlike(quick) & c.rlike(exact), F.lit(False))
+
+
 def strip_accents(c: Column, expand: bool = True) -> Column:
     """Strip accents (compatibility decomposition without combining marks), JVM-side.
 
@@ -102,7 +117,7 @@ def strip_accents(c: Column, expand: bool = True) -> Column:
     source, target, _ = _accent_tables()
     plain = F.translate(c, source, target)
     if expand:
-        plain = F.when(c.rlike(_expanding_class()), F.translate(_expand(c), source, target)).otherwise(plain)
+        plain = F.when(needs_expanding(c), F.translate(_expand(c), source, target)).otherwise(plain)
     return F.when(F.octet_length(c) == F.char_length(c), c).otherwise(plain)
 
 

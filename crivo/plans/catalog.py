@@ -6,6 +6,7 @@ from crivo.plans import (  # noqa: F401
     encode_queries,
     model_queries,
     score_queries,
+    screening_queries,
     union_queries,
 )
 from crivo.plans.registry import ORACLES, QUERIES

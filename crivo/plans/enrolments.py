@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 
 from crivo.operators import clean, contingency, encode, logit, rank, scores
 from crivo.operators.align import numbers_aligned
-from crivo.shared import materialize
+from crivo.shared import materialize, work_path
 from crivo.sources.files import SOURCE
+from crivo.sources.sinks import write_partitions
 
 # Names in the enrolment files.
 SITUATION = "Categoria da Situacao"
@@ -75,9 +76,11 @@ class Prepared:
 
 def cleaned(raw: DataFrame, preset: Preset) -> DataFrame:
     """Names and text cleaned, target derived, unused columns gone; categories still text."""
-    df = clean.clean_text(clean.normalize_names(raw))
+    df = clean.normalize_names(raw)
     if not preset.keep_incomplete:
+        # Cleaning never makes a text missing, so incomplete rows can go before it.
         df = clean.drop_incomplete(df)
+    df = clean.clean_text(df)
     df = clean.binary_target(df, SITUATION, DROPPED_OUT, TARGET)
     df = clean.exclude_values(df, SITUATION, preset.exclude_situations)
     unused = [*UNUSED, *preset.also_dropped]
@@ -107,6 +110,22 @@ def prepare(raw: DataFrame, preset: Preset = LABELS, wide: bool = False) -> Prep
     return Prepared(coded, labels, tuple(one_hot_columns))
 
 
+def store(prepared: Prepared, path: str | None = None) -> Prepared:
+    """Write the analysis table, one folder per source file, and go on from there.
+
+    Rankings and training read the table several times; the written one is compact,
+    pruned by column and by file, and free of the work of cleaning.
+    """
+    df = prepared.table
+    spark = df.sparkSession
+    folder = path or work_path(spark, "prepared")
+    if SOURCE in df.columns:
+        write_partitions(df, folder)
+    else:
+        df.write.mode("overwrite").parquet(folder)
+    return replace(prepared, table=spark.read.schema(df.schema).parquet(folder).select(*[contingency.quoted(c) for c in df.columns]))
+
+
 def feature_columns(df: DataFrame, target: str = TARGET) -> list[str]:
     """All columns but the target and the file name."""
     return contingency.features_of(df, target, exclude=[SOURCE])

@@ -80,46 +80,55 @@ def incremental_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found, "importance", digits=8)
 
 
-HOT_VALUES = "select distinct 'o_orderpriority' as c, o_orderpriority as v from orders union all select distinct 'o_orderstatus', o_orderstatus from orders"
-
-
-def hot_step_sql(name: str, before: str, rows: str, by_group: bool) -> list[str]:
-    """One gradient step over one-hot features with one numeric feature, as CTEs."""
-    on = " and {0}.g = b.g" if by_group else ""
-    def look(alias: str, c: str, v: str) -> str:
-        return f"left join {before} {alias} on {alias}.c = '{c}' and {alias}.v = {v}{on.format(alias)}"
-    score = "coalesce(w1.w, 0) + coalesce(w2.w, 0) + w3.w * b.l_discount + w4.w"
-    joined = " ".join([look("w1", HOT[0], f"b.{HOT[0]}"), look("w2", HOT[1], f"b.{HOT[1]}"), look("w3", "l_discount", "''"), look("w4", "1", "''")])
-    errors = f"{name}e as (select b.*, 1 / (1 + exp(-({score}))) - y as e from {rows} b {joined})"
-    g, by = ("g, ", " group by all") if by_group else ("", " group by all")
-    grads = (
-        f"{name}g as (select {g}'{HOT[0]}' as c, {HOT[0]} as v, sum(e) as s from {name}e{by}"
-        f" union all select {g}'{HOT[1]}', {HOT[1]}, sum(e) from {name}e{by}"
-        f" union all select {g}'l_discount', '', sum(e * l_discount) from {name}e{by}"
-        f" union all select {g}'1', '', sum(e) from {name}e{by})"
+def mixed_steps_sql(
+    base: str, columns: list[str], numbers: list[str], steps: list[str | None], by_group: bool, rate: float, penalty: float
+) -> str:
+    """CTEs up to ``last``: gradient steps over one-hot features (first category dropped) and numbers.
+
+    ``base`` has ``g``, ``y`` and the features. A step names the group it visits, or None for all.
+    """
+    g, names = ("g, " if by_group else ""), [*columns, *numbers, "1"]
+    value = {c: f'b."{c}"' if c in columns else "''" for c in names}
+    amount = {c: f' * b."{c}"' if c in numbers else "" for c in names}
+    values = " union all ".join(f"select distinct '{c}' as c, cast(\"{c}\" as varchar) as v from base" for c in columns)
+    others = " ".join(f"union all select '{c}', ''" for c in [*numbers, "1"])
+    ctes = [
+        f"base as ({base})",
+        f"vals as ({values})",
+        f"keys as (select c, v from vals where (c, v) not in (select (c, min(v)) from vals group by c) {others})",
+        "s0 as (select distinct g, c, v, 0.0::double as w from base, keys)" if by_group else "s0 as (select c, v, 0.0::double as w from keys)",
+    ]
+    for i, group in enumerate(steps):
+        rows = "base" if group is None else f"(select * from base where g = '{group}')"
+        same_group = " and w{0}.g = b.g" if by_group else ""
+        joins = " ".join(
+            f"left join s{i} w{j} on w{j}.c = '{c}' and w{j}.v = {value[c]}{same_group.format(j)}" for j, c in enumerate(names)
+        )
+        score = " + ".join(f"coalesce(w{j}.w, 0){amount[c]}" for j, c in enumerate(names))
+        grads = " union all ".join(
+            f"select {g}'{c}' as c, {value[c]} as v, sum(e{amount[c]}) as s from e{i} b group by all" for c in names
+        )
+        ctes += [
+            f"e{i} as (select b.*, 1 / (1 + exp(-({score}))) - y as e from {rows} b {joins})",
+            f"d{i} as ({grads})",
+            f"t{i} as (select {g}count(*) as n from e{i} group by all)",
+            f"s{i + 1} as (select {'w.g, ' if by_group else ''}w.c, w.v, w.w - {rate} * (coalesce(d.s, 0) / t.n"
+            f" + case when w.c = '1' then 0 else {penalty} * w.w end) as w"
+            f" from s{i} w left join d{i} d on w.c = d.c and w.v = d.v{' and w.g = d.g' if by_group else ''}"
+            f" {f'join t{i} t on t.g = w.g' if by_group else f'cross join t{i} t'})",
+        ]
+    listed = ", ".join(f"'{c}'" for c in numbers)
+    ctes.append(
+        f"last as (select case when c in ({listed}) then c else c || '_' || v end as feature, w from s{len(steps)} where c <> '1')"
     )
-    same = "w.c = d.c and w.v = d.v" + (" and w.g = d.g" if by_group else "")
-    counts = f"(select {g}count(*) as n from {name}e{by}) t"
-    moved = (
-        f"{name} as (select {'w.g, ' if by_group else ''}w.c, w.v, w.w - {RATE} * (coalesce(d.s, 0) / t.n + "
-        f"case when w.c = '1' then 0 else {PENALTY} * w.w end) as w from {before} w left join {name}g d on {same}"
-        + (f" join {counts} on t.g = w.g)" if by_group else f" cross join {counts})")
-    )
-    return [errors, grads, moved]
+    return ", ".join(ctes)
 
 
-HOT_BASE = f"base as (select l_linestatus as g, {', '.join(HOT)}, l_discount, y from ({sql.RETURNED}))"
-HOT_NAME = "case when c = 'l_discount' then c else c || '_' || v end"
-HOT_KEYS = (
-    f"vals as ({HOT_VALUES}), keys as (select c, v from vals where (c, v) not in (select (c, min(v)) from vals group by c)"
-    " union all select 'l_discount', '' union all select '1', '')"
-)
+HOT_BASE = f"select l_linestatus as g, {', '.join(HOT)}, l_discount, y from ({sql.RETURNED})"
 
 
-@query("with " + ", ".join(
-    [HOT_BASE, HOT_KEYS, "s0 as (select distinct g, c, v, 0.0::double as w from base, keys)"]
-    + [t for i in range(3) for t in hot_step_sql(f"s{i + 1}", f"s{i}", "base", True)]
-) + f" select {HOT_NAME} as feature, round(abs(sum(w) / (select count(distinct g) from base)), 8) as importance from s3 where c <> '1' group by all")
+@query(f"""with {mixed_steps_sql(HOT_BASE, HOT, ['l_discount'], [None] * 3, True, RATE, PENALTY)}
+select feature, round(abs(sum(w) / (select count(distinct g) from base)), 8) as importance from last group by feature""")
 def one_hot_fedavg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Models by group over one-hot columns that are never built, with one number."""
     items = returned_items(spark, sf_dir)
@@ -127,11 +136,8 @@ def one_hot_fedavg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(logit.importance(found), "importance", digits=8)
 
 
-@query("with " + ", ".join(
-    [HOT_BASE, HOT_KEYS, "s0 as (select c, v, 0.0::double as w from keys)",
-     *hot_step_sql("s1", "s0", "(select * from base where g = 'F')", False),
-     *hot_step_sql("s2", "s1", "(select * from base where g = 'O')", False)]
-) + f" select {HOT_NAME} as feature, round(abs(w), 8) as importance from s2 where c <> '1'")
+@query(f"""with {mixed_steps_sql(HOT_BASE, HOT, ['l_discount'], ['F', 'O'], False, RATE, PENALTY)}
+select feature, round(abs(w), 8) as importance from last""")
 def one_hot_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A carried model over one-hot columns that are never built, with one number."""
     items = returned_items(spark, sf_dir)

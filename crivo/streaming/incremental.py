@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from crivo.operators.contingency import quoted, with_totals
 from crivo.operators.logit import _design, _zeros, updated_weights
-from crivo.shared import work_path
+from crivo.shared import materialize, work_path
 
 
 def file_stream(spark: SparkSession, folder: str, schema: T.StructType, files_per_step: int = 1, pattern: str | None = None) -> DataFrame:
@@ -55,7 +55,9 @@ def run_to_table(running: DataFrame, name: str) -> DataFrame:
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return spark.table(name)
+    final = materialize(spark.table(name), "stream")
+    spark.catalog.dropTempView(name)
+    return final
 
 
 def long_class_sums(wide: DataFrame, features: Sequence[str]) -> DataFrame:
