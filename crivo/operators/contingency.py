@@ -170,8 +170,9 @@ def one_hot_sums(table: DataFrame, drop_first: bool = True) -> DataFrame:
     """
     present = table.where(F.col("value").isNotNull())
     if drop_first:
+        # One line per encoded column.
         firsts = table.groupBy("feature").agg(F.min("value").alias("_first"))
-        present = present.join(firsts, "feature").where(F.col("value") != F.col("_first"))
+        present = present.join(F.broadcast(firsts), "feature").where(F.col("value") != F.col("_first"))
     return present.select(
         F.concat_ws("_", "feature", "value").alias("feature"), "class",
         F.col("o").cast("double").alias("o"), F.col("col_total").alias("n_class"),

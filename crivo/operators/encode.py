@@ -182,6 +182,8 @@ def one_hot_wide(df: DataFrame, values: dict[str, list[str]], drop_first: bool =
 
 def one_hot_long(df: DataFrame, ids: Sequence[str], labels: Labels, columns: Sequence[str], drop_first: bool = True) -> DataFrame:
     """The ones of a one-hot table, one per line: ``*ids, feature, value`` with value 1."""
+    if labels.by:
+        raise ValueError("one-hot columns need one dictionary for all groups")
     texts = [category_text(quoted(c), labels.missing_as).alias(c) for c in columns]
     long = df.select(*[quoted(c) for c in ids], *texts).unpivot(
         [quoted(c) for c in ids], [quoted(c) for c in columns], "column", "text"

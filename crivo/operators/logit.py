@@ -74,12 +74,19 @@ def federated_weights(
     """A model per group, all trained in the same passes: ``g, w`` (intercept last).
 
     Groups without rows have no model. ``n_groups``, when known, bounds the weight table
-    so that it can be broadcast.
+    so that it can be broadcast. At least one epoch is needed.
     """
+    if epochs < 1:
+        raise ValueError("epochs must be at least 1")
     design = _design(df, features, target, group)
-    weights = design.select("g").distinct().withColumn("w", _zeros(len(features)))
+    weights = None
     for _ in range(epochs):
-        rows = design.join(broadcast_if_bounded(weights, n_groups), "g")
+        # Every model starts at zero, so the first pass needs no join; later ones join a
+        # written table, whose size the optimizer knows.
+        rows = (
+            design.withColumn("w", _zeros(len(features))) if weights is None
+            else design.join(broadcast_if_bounded(weights, n_groups), "g")
+        )
         weights = materialize(_stepped(rows, len(features), ["g"], lr, l2), "weights")
     return weights
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from crivo.operators.align import row_audit
 from crivo.operators.encode import Labels
+from crivo.shared import materialize
 from crivo.sources.files import SOURCE
 
 # Results up to this many rows may go through one task into one file.
@@ -41,8 +42,9 @@ def write_result(df: DataFrame, path: str, order: Sequence = (), rows: int = SIN
     Larger results are written whole as a range-sorted folder of files. Returns whether
     one file was written.
     """
-    small = df.limit(rows + 1).count() <= rows
-    ordered = df.orderBy(*order) if order else df
+    result = materialize(df, "result")
+    small = result.count() <= rows
+    ordered = result.orderBy(*order) if order else result
     (ordered.coalesce(1) if small else ordered).write.mode("overwrite").csv(path, header=True, encoding="UTF-8")
     return small
 
