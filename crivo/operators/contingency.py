@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from crivo.shared import broadcast_if_bounded
+from crivo.shared import broadcast_if_bounded, materialize
 
 # Sums per aggregation; wider inputs are summed in column groups, each a pruned scan.
 SUM_WIDTH = 200
@@ -94,21 +94,19 @@ def cell_counts(
 ) -> DataFrame:
     """Rows per feature, value and class: ``feature, value, class, o``.
 
-    One scan for all features; combined map-side before the only shuffle. Missing
-    values are left out as in a cross-tabulation, unless ``keep_missing``.
+    One scan for all features; combined map-side before the only shuffle, under a
+    feature number instead of its name. Missing values are left out as in a
+    cross-tabulation, unless ``keep_missing``.
     """
-    texts = [quoted(c).cast("string").alias(c) for c in features]
-    long = (
-        df.where(quoted(target).isNotNull())
-        .select(quoted(target).alias("_class"), *texts)
-        .unpivot("_class", [quoted(c) for c in features], "feature", "value")
-    )
+    entries = [
+        F.struct(F.lit(i).alias("_feature"), quoted(c).cast("string").alias("value")) for i, c in enumerate(features)
+    ]
+    long = df.where(quoted(target).isNotNull()).select(quoted(target).alias("class"), F.inline(F.array(*entries)))
     if not keep_missing:
         long = long.where(F.col("value").isNotNull())
-    return (
-        long.groupBy("feature", "value", F.col("_class").alias("class"))
-        .agg(F.count(F.lit(1)).alias("o"))
-    )
+    counts = long.groupBy("_feature", "value", "class").agg(F.count(F.lit(1)).alias("o"))
+    names = F.array(*[F.lit(c) for c in features])
+    return counts.select(F.get(names, F.col("_feature")).alias("feature"), "value", "class", "o")
 
 
 def column_margins(cells: DataFrame) -> DataFrame:
@@ -142,16 +140,20 @@ def contingency_table(
 ) -> DataFrame:
     """The full table, empty cells included, with margins and expected counts.
 
-    The margins by class are joined to the categories by feature; both sides reuse the
-    one shuffle of the cell counts. With ``n_classes`` known the margins have at most
-    ``features x n_classes`` rows and are broadcast; otherwise adaptive execution picks
-    the join from their measured size.
+    The cell counts are written down first: margins and later filters read them several
+    times, and none of that may reach the data again.
     """
-    return table_of(cell_counts(df, features, target, keep_missing), len(features), n_classes)
+    cells = materialize(cell_counts(df, features, target, keep_missing), "cells")
+    return table_of(cells, len(features), n_classes)
 
 
 def table_of(cells: DataFrame, n_features: int, n_classes: int | None = None) -> DataFrame:
-    """`contingency_table` from counts at hand."""
+    """`contingency_table` from counts at hand, best written ones.
+
+    The margins by class are joined to the categories by feature. With ``n_classes``
+    known they have at most ``features x n_classes`` rows and are broadcast; otherwise
+    adaptive execution picks the join from their measured size.
+    """
     bound = None if n_classes is None else n_features * n_classes
     joined = row_margins(cells).join(broadcast_if_bounded(column_margins(cells), bound), "feature")
     observed = F.coalesce(F.try_element_at("by_class", F.col("class")), F.lit(0).cast("long"))

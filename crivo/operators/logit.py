@@ -214,11 +214,13 @@ def _mixed_step(
     shares = scored.select(*by, error.alias("_e"), *[quoted(c) for c in names], *amounts.values()).select(
         *by, *[F.struct(quoted(c).alias("value"), (F.col("_e") * amounts.get(c, F.lit(1.0))).alias("s")).alias(c) for c in names]
     )
-    grads = (
+    # Written down, because it is read twice and the data should not be.
+    grads = materialize(
         shares.unpivot(list(by), [quoted(c) for c in names], "column", "share")
         .where(F.col("share.value").isNotNull())
         .groupBy(*by, "column", F.col("share.value").alias("value"))
-        .agg(F.sum("share.s").alias("s"), F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("share.s").alias("s"), F.count(F.lit(1)).alias("n")),
+        "gradients",
     )
     # The intercept is present in every row, so its count is the number of rows.
     totals = grads.where(F.col("column") == INTERCEPT).select(*by, "n")

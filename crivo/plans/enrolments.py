@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
@@ -139,16 +138,10 @@ def rank_by_class_sums(df: DataFrame, target: str = TARGET, k: int = rank.TOP_K)
     return scores.select_k_best(found, k, len(features))
 
 
-def associations(df: DataFrame, features: Sequence[str], target: str = TARGET, n_classes: int | None = 2) -> DataFrame:
-    """Contingency table of features against the target, written down for several readings."""
-    cells = materialize(contingency.cell_counts(df, features, target), "cells")
-    return contingency.table_of(cells, len(features), n_classes)
-
-
 def rank_by_association(df: DataFrame, target: str = TARGET, k: int = rank.TOP_K) -> DataFrame:
     """Bias-corrected V of the best features by class sums: ``feature, cramers_v``."""
     chosen = [c for c in rank.top_names(rank_by_class_sums(df, target, k), "chi2_score", k) if c not in NOT_TESTED]
-    tests = scores.contingency_tests(associations(df, chosen, target))
+    tests = scores.contingency_tests(contingency.contingency_table(df, chosen, target, n_classes=2))
     return rank.ranked(scores.cramers_v(tests), "cramers_v")
 
 

@@ -9,7 +9,6 @@ from crivo.functions import stats
 from crivo.operators import contingency as con
 from crivo.operators import rank, scores
 from crivo.plans import sql
-from crivo.plans.enrolments import associations
 from crivo.plans.registry import query, rounded
 from crivo.plans.tables import items_of_parts, numeric_items, returned_items, table
 
@@ -179,7 +178,7 @@ select feature, value, class, round(z, 6) as z, place,
 case when z > 0 then 'attraction' else 'repulsion' end as direction from placed where place <= 5""")
 def top_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five strongest cells of the five features with the highest V."""
-    cross = associations(items_of_parts(spark, sf_dir), RESIDUAL_FEATURES, "y")
+    cross = con.contingency_table(items_of_parts(spark, sf_dir), RESIDUAL_FEATURES, "y", n_classes=2)
     found = scores.strongest_residuals(cross)
     return rounded(found.select("feature", "value", "class", "z", F.col("rank").cast("long").alias("place"), "direction"), "z")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crivo.operators import contingency as con
 from crivo.operators import scores
 from crivo.plans import enrolments as en
 from crivo.plans import sql
@@ -133,7 +134,7 @@ def screen_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strongest categories of the strongest features, straight from the cleaned texts."""
     preset = en.Preset((), also_dropped=("Matricula Atendida",))
     table_ = en.prepare(raw_enrolments(spark, sf_dir), preset).table.drop("source_file")
-    cross = en.associations(table_, en.feature_columns(table_))
+    cross = con.contingency_table(table_, en.feature_columns(table_), en.TARGET, n_classes=2)
     found = scores.strongest_residuals(cross).select("feature", "value", "class", "z", "direction")
     return rounded(found, "z")
 

@@ -123,7 +123,7 @@ def test_uncorrected_test_equals_the_model_library(spark, small_dir):
 ROWS = st.lists(st.tuples(st.sampled_from(["a", "b", "c", None, "Z"]), st.integers(0, 2)), min_size=2, max_size=40)
 
 
-@settings(max_examples=12, deadline=None)
+@settings(max_examples=6, deadline=None)
 @given(ROWS)
 def test_fused_one_hot_scores_equal_scores_of_real_columns(spark, rows):
     df = spark.createDataFrame(rows, "c string, y int")
@@ -140,7 +140,7 @@ def test_fused_one_hot_scores_equal_scores_of_real_columns(spark, rows):
         assert a[name][0] == pytest.approx(b[name][0], abs=1e-9)
 
 
-@settings(max_examples=12, deadline=None)
+@settings(max_examples=6, deadline=None)
 @given(ROWS, st.integers(1, 5))
 def test_v_lies_in_unit_interval_whatever_the_partitioning(spark, rows, parts):
     df = spark.createDataFrame(rows, "c string, y int")
