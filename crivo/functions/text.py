@@ -63,15 +63,27 @@ def _ranges(points: list[int]) -> str:
 
 
 @lru_cache(maxsize=1)
-def _expanding_classes() -> tuple[str, str]:
-    """Regex classes of the characters that become more than one: a quick superset, and exact.
+def _expanding_class() -> str:
+    """A regex class of exactly the characters that become more than one."""
+    points = {ord(ch) for ch, _ in _accent_tables()[2]} | set(range(_HANGUL_FIRST, _HANGUL_LAST + 1))
+    return _ranges(sorted(points))
+
 
-    The superset has few ranges: the Latin-1 ones, and everything from the first one after.
+@lru_cache(maxsize=1)
+def _latin_tables() -> tuple[str, str, str]:
+    """A short translation for Latin letters, and a regex class of all it does not cover.
+
+    It covers everything below the first expanding character past Latin-1, so that the
+    common case needs a few hundred characters of plan text instead of thousands.
     """
-    points = {ord(ch) for ch, _ in _accent_tables()[2]} | set(range(_HANGUL_FIRST, _HANGUL_LAST + 1))
-    exact = sorted(points)
-    quick = [p for p in exact if p < 0x100] + list(range(min(p for p in exact if p >= 0x100), 0x110000))
-    return _ranges(quick), _ranges(exact)
+    expanded = [ord(ch) for ch, _ in _accent_tables()[2]]
+    limit = min(p for p in expanded if p >= 0x100)
+    pairs = [(chr(p), strip_accents_text(chr(p))) for p in range(0x80, limit) if p not in expanded]
+    changed = [(ch, plain) for ch, plain in pairs if plain != ch]
+    # translate() deletes a character that has no counterpart, so those go last.
+    changed.sort(key=lambda pair: not pair[1])
+    beyond = [p for p in expanded if p < limit] + list(range(limit, 0x110000))
+    return "".join(ch for ch, _ in changed), "".join(plain for _, plain in changed), _ranges(beyond)
 
 
 def _expand_hangul(c: Column) -> Column:
@@ -99,26 +111,32 @@ def _expand(c: Column) -> Column:
     return _expand_hangul(spelled)
 
 
-def needs_expanding(c: Column) -> Column:
-    """Does the text hold a character that becomes more than one? Cheap tests go first."""
-    quick, exact = _expanding_classes()
-    return F.coalesce((F.octet_length(c) != F.char_length(c)) & c.rlike(quick) & c.rlike(exact), F.lit(False))
+def is_ascii(c: Column) -> Column:
+    """Told by the byte length alone."""
+    return F.octet_length(c) == F.char_length(c)
+
+
+def beyond_latin(c: Column) -> Column:
+    """Does the text hold a character that `strip_latin_accents` does not cover?"""
+    return F.coalesce(~is_ascii(c) & c.rlike(_latin_tables()[2]), F.lit(False))
+
+
+def strip_latin_accents(c: Column) -> Column:
+    """Strip accents from Latin letters; exact for texts that are not `beyond_latin`."""
+    source, target, _ = _latin_tables()
+    return F.when(is_ascii(c), c).otherwise(F.translate(c, source, target))
 
 
-def strip_accents(c: Column, expand: bool = True) -> Column:
+def strip_accents(c: Column) -> Column:
     """Strip accents (compatibility decomposition without combining marks), JVM-side.
 
-    Plain ASCII is recognised by its byte length and passes untouched; other text goes
-    through one `translate`. Characters that become several (ligatures, fractions,
-    Hangul) take the slower branch, which only texts holding one of them enter.
-    ``expand=False`` leaves those characters as they are and keeps the projection
-    inside generated code.
+    Exact for all of Unicode. Plain ASCII passes untouched, and other text goes through
+    one `translate`. Characters that become several (ligatures, fractions, Hangul) take
+    a slower branch, which only texts holding one of them enter.
     """
     source, target, _ = _accent_tables()
-    plain = F.translate(c, source, target)
-    if expand:
-        plain = F.when(needs_expanding(c), F.translate(_expand(c), source, target)).otherwise(plain)
-    return F.when(F.octet_length(c) == F.char_length(c), c).otherwise(plain)
+    expanded = F.when(c.rlike(_expanding_class()), F.translate(_expand(c), source, target))
+    return F.when(is_ascii(c), c).otherwise(F.coalesce(expanded, F.translate(c, source, target)))
 
 
 def trim_all(c: Column) -> Column:

@@ -52,20 +52,22 @@ def normalize_names(df: DataFrame) -> DataFrame:
     return df.toDF(*names)
 
 
-def clean_text(df: DataFrame, columns: Sequence[str] | None = None, expand: bool = True) -> DataFrame:
+def clean_text(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Strip accents from the content of text columns (all of them by default).
 
-    The expression for characters that become several is large, so it stands in the plan
-    once for all columns, and only rows that hold such a character evaluate it.
+    Latin text, the common case, stays in generated code. The exact expression for all
+    of Unicode is large, so it stands in the plan once for all columns, and only rows
+    that reach beyond Latin letters evaluate it.
     """
     names = text_columns(df) if columns is None else list(columns)
-    plain = {c: text.strip_accents(quoted(c), expand=False) for c in names}
-    if not names or not expand:
-        return replaced(df, plain)
-    wanted = reduce(lambda a, b: a | b, [text.needs_expanding(quoted(c)) for c in names])
-    spelled = F.transform(F.array(*[quoted(c) for c in names]), lambda t: text.strip_accents(t))
+    if not names:
+        return df
+    wanted = reduce(lambda a, b: a | b, [text.beyond_latin(quoted(c)) for c in names])
+    spelled = F.transform(F.array(*[quoted(c) for c in names]), text.strip_accents)
     marked = df.select("*", F.when(wanted, spelled).alias("_spelled"))
-    either = {c: F.coalesce(F.get("_spelled", F.lit(i)), plain[c]) for i, c in enumerate(names)}
+    either = {
+        c: F.coalesce(F.get("_spelled", F.lit(i)), text.strip_latin_accents(quoted(c))) for i, c in enumerate(names)
+    }
     return replaced(marked, either).drop("_spelled")
 
 

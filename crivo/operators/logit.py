@@ -211,15 +211,18 @@ def _mixed_step(
         [F.coalesce(F.col(f"_w{i}"), F.lit(0.0)) * amounts.get(c, F.lit(1.0)) for i, c in enumerate(names)],
     )
     error = sigmoid(score) - F.col("y")
-    shares = scored.select(*by, error.alias("_e"), *[quoted(c) for c in names], *amounts.values()).select(
-        *by, *[F.struct(quoted(c).alias("value"), (F.col("_e") * amounts.get(c, F.lit(1.0))).alias("s")).alias(c) for c in names]
-    )
+    failed = scored.select(*by, error.alias("_e"), *[quoted(c) for c in names], *amounts.values())
+    shares = F.array(*[
+        F.struct(F.lit(i).alias("_i"), quoted(c).alias("value"), (F.col("_e") * amounts.get(c, F.lit(1.0))).alias("s"))
+        for i, c in enumerate(names)
+    ])
     # Written down, because it is read twice and the data should not be.
     grads = materialize(
-        shares.unpivot(list(by), [quoted(c) for c in names], "column", "share")
-        .where(F.col("share.value").isNotNull())
-        .groupBy(*by, "column", F.col("share.value").alias("value"))
-        .agg(F.sum("share.s").alias("s"), F.count(F.lit(1)).alias("n")),
+        failed.select(*by, F.inline(shares))
+        .where(F.col("value").isNotNull())
+        .groupBy(*by, "_i", "value")
+        .agg(F.sum("s").alias("s"), F.count(F.lit(1)).alias("n"))
+        .select(*by, F.get(F.array(*[F.lit(c) for c in names]), F.col("_i")).alias("column"), "value", "s", "n"),
         "gradients",
     )
     # The intercept is present in every row, so its count is the number of rows.

@@ -124,6 +124,12 @@ def mixed_steps_sql(
     return ", ".join(ctes)
 
 
+def training_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The joined rows, written down once since every epoch reads them."""
+    columns = ["l_linestatus", "l_discount", *HOT, "y"]
+    return materialize(returned_items(spark, sf_dir).select(*columns), "training")
+
+
 HOT_BASE = f"select l_linestatus as g, {', '.join(HOT)}, l_discount, y from ({sql.RETURNED})"
 
 
@@ -131,7 +137,7 @@ HOT_BASE = f"select l_linestatus as g, {', '.join(HOT)}, l_discount, y from ({sq
 select feature, round(abs(sum(w) / (select count(distinct g) from base)), 8) as importance from last group by feature""")
 def one_hot_fedavg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Models by group over one-hot columns that are never built, with one number."""
-    items = returned_items(spark, sf_dir)
+    items = training_items(spark, sf_dir)
     found = logit.mixed_federated_coefficients(items, HOT, ["l_discount"], "y", "l_linestatus", lr=RATE, l2=PENALTY, epochs=3)
     return rounded(logit.importance(found), "importance", digits=8)
 
@@ -140,7 +146,7 @@ def one_hot_fedavg(spark: SparkSession, sf_dir: str) -> DataFrame:
 select feature, round(abs(w), 8) as importance from last""")
 def one_hot_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A carried model over one-hot columns that are never built, with one number."""
-    items = returned_items(spark, sf_dir)
+    items = training_items(spark, sf_dir)
     found = logit.mixed_incremental_coefficients(items, HOT, ["l_discount"], "y", "l_linestatus", lr=RATE, l2=PENALTY)
     return rounded(logit.importance(found), "importance", digits=8)
 

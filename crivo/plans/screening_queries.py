@@ -12,6 +12,7 @@ from crivo.plans import sql
 from crivo.plans.model_queries import mixed_steps_sql
 from crivo.plans.registry import query, rounded
 from crivo.plans.tables import table
+from crivo.shared import spread
 
 # Raw texts carry accents and outer space, and some incomes are missing.
 RAW = {
@@ -33,7 +34,7 @@ RAW = {
 
 
 def raw_enrolments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "lineitem")
+    items = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag", "l_linestatus"))
     orders = table(spark, sf_dir, "orders")
     parts = table(spark, sf_dir, "part")
     joined = items.join(orders, items.l_orderkey == orders.o_orderkey).join(parts, items.l_partkey == parts.p_partkey)

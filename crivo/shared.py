@@ -46,6 +46,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal the rows of a plain scan to all cores when it has fewer splits than cores.
+
+    Files of one row group cannot be split, which leaves cores idle on small inputs; a
+    large input has splits enough and passes unchanged.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def broadcast_if_bounded(df: DataFrame, rows: int | None) -> DataFrame:
     """Hint a broadcast when ``rows``, a proven upper bound, is small.
 

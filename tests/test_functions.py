@@ -29,9 +29,12 @@ def test_strip_accents_on_every_character(spark):
     assert [g[0] for g in got] == [text.strip_accents_text(c) for c in chunks]
 
 
-def test_strip_accents_without_expanding_leaves_ligatures(spark):
-    got = values(spark, [("ação ﬁ",)], "t string", text.strip_accents(F.col("t"), expand=False))
-    assert got == [("acao ﬁ",)]
+def test_latin_accents_are_exact_unless_beyond_latin(spark):
+    chars = [chr(i) for i in range(0x20, 0x600)]
+    got = values(spark, [(c,) for c in chars], "t string", text.strip_latin_accents(F.col("t")), text.beyond_latin(F.col("t")))
+    for c, (plain, beyond) in zip(chars, got):
+        assert beyond or plain == text.strip_accents_text(c)
+    assert not any(beyond for c, (_, beyond) in zip(chars, got) if c in "ãáàâçéêíóôõúüªº")
 
 
 def test_trim_all(spark):
