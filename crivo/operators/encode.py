@@ -111,7 +111,7 @@ def fit_labels(
     require_columns(df, columns)
     values = materialize(categories(df, columns, by, missing_as), "labels")
     sizes = {row[0]: row[1] for row in values.groupBy("column").count().collect()}
-    codes = numbered(values, [*by, "column"], max(sizes.values(), default=0), window_values)
+    codes = materialize(numbered(values, [*by, "column"], max(sizes.values(), default=0), window_values), "codes")
     return Labels(codes, sizes, tuple(by), missing_as)
 
 

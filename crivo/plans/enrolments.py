@@ -79,7 +79,7 @@ def cleaned(raw: DataFrame, preset: Preset) -> DataFrame:
     if not preset.keep_incomplete:
         # Cleaning never makes a text missing, so incomplete rows can go before it.
         df = clean.drop_incomplete(df)
-    df = clean.clean_text(df)
+    df = clean.clean_text(df, [c for c in clean.text_columns(df) if c != SOURCE])
     df = clean.binary_target(df, SITUATION, DROPPED_OUT, TARGET)
     df = clean.exclude_values(df, SITUATION, preset.exclude_situations)
     unused = [*UNUSED, *preset.also_dropped]
