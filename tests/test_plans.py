@@ -107,7 +107,7 @@ def test_scaling_finds_all_bounds_in_one_subquery(spark, small_dir):
     items = numeric_items(spark, small_dir)
     scaled = encode.scale_min_max(items, ["l_quantity", "l_tax", "l_discount"])
     plan = executed_plan(scaled.select("l_quantity", "l_tax", "l_discount"))
-    final = plan.rsplit("== Initial Plan ==", 1)[0].split("== Final Plan ==", 1)[1]
+    final = plan.split("\n+- == Initial Plan ==")[0]
     lines = [line.strip(" :+-") for line in final.splitlines()]
     assert sum(line.startswith("Subquery") for line in lines) == 1
     assert any(line.startswith("ReusedSubquery") for line in lines)
