@@ -35,7 +35,7 @@ INTERCEPT = "(intercept)"
 
 def _design(df: DataFrame, features: Sequence[str], target: str, group: str) -> DataFrame:
     """Columns ``g, y, x0, x1, ...``; a missing feature value counts as 0."""
-    return df.where(quoted(target).isNotNull()).select(
+    return df.where(quoted(target).isNotNull() & quoted(group).isNotNull()).select(
         quoted(group).cast("string").alias("g"),
         quoted(target).cast("double").alias("y"),
         *[F.coalesce(quoted(c).cast("double"), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(features)],
@@ -109,7 +109,7 @@ def incremental_weights(
     names = [row[0] for row in design.select("g").distinct().orderBy("g").collect()]
     weights = df.sparkSession.range(1).select(_zeros(len(features)).alias("w"))
     for name in names:
-        part = _design(df.where(quoted(group) == F.lit(name)), features, target, group)
+        part = _design(df.where(quoted(group).cast("string") == name), features, target, group)
         for _ in range(epochs):
             weights = materialize(updated_weights(part, weights, len(features), lr, l2), "weights")
     return weights
@@ -174,7 +174,7 @@ def _mixed_design(
     A category contributes with amount 1 under its own value; a number contributes with
     its value under the empty key, and so does the intercept with 1.
     """
-    return df.where(quoted(target).isNotNull()).select(
+    return df.where(quoted(target).isNotNull() & quoted(group).isNotNull()).select(
         quoted(group).cast("string").alias("g"),
         quoted(target).cast("double").alias("y"),
         *[category_text(quoted(c)).alias(c) for c in columns],
@@ -292,7 +292,7 @@ def mixed_incremental_coefficients(
     names = [row[0] for row in design.select("g").distinct().orderBy("g").collect()]
     weights, sizes = _first_weights(design, columns, numbers, [])
     for name in names:
-        part = _mixed_design(df.where(quoted(group) == F.lit(name)), columns, numbers, target, group)
+        part = _mixed_design(df.where(quoted(group).cast("string") == name), columns, numbers, target, group)
         for _ in range(epochs):
             weights = materialize(_mixed_step(part, weights, columns, numbers, [], sizes, lr, l2), "weights")
     kept = weights.where(F.col("column") != INTERCEPT)

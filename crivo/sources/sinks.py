@@ -54,6 +54,9 @@ def label_mapping(labels: Labels, columns: Sequence[str]) -> DataFrame:
 
     Only for dictionaries that fit one row; see `write_labels` for larger ones.
     """
+    entries = sum(labels.sizes.get(c, 0) for c in columns)
+    if entries > SINGLE_FILE_ROWS:
+        raise ValueError(f"{entries} label entries do not fit one row per column; use write_labels")
     chosen = labels.frame.where(F.col("column").isin(*columns))
     pairs = F.sort_array(F.collect_list(F.struct("code", "value")))
     entries = F.transform(pairs, lambda p: F.struct(p["value"], p["code"]))

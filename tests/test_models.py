@@ -145,3 +145,13 @@ def test_training_on_scaled_numbers_reads_bounds_once(spark, df):
     scaled = encode.scale_by(df, bounds, ["x"])
     lo, hi = scaled.agg(F.min("x"), F.max("x")).first()
     assert lo == 0.0 and hi == pytest.approx(1.0)
+
+
+def test_rows_without_group_take_no_part_and_numbers_may_name_groups(spark):
+    data = [(1, 0.5, 1), (1, 0.1, 0), (2, 0.9, 1), (None, 0.3, 1)]
+    df = spark.createDataFrame(data, "g int, x double, y int")
+    assert sorted(r["g"] for r in logit.federated_weights(df, ["x"], "y", "g", epochs=2).collect()) == ["1", "2"]
+    w = [0.0, 0.0]
+    for g in (1, 2):
+        w = step([((r[1],), r[2]) for r in data if r[0] == g], w)
+    assert logit.incremental_weights(df, ["x"], "y", "g", lr=LR, l2=L2).first()["w"] == pytest.approx(w, rel=1e-9)
