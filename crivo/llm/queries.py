@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crivo.llm import bpe, decontam, langid, simhash, substring
+from crivo.llm import ann, bpe, chat, ctw, decontam, langid, quality, simhash, sitetree, substring
 from crivo.llm.common import crc_remainder, table
 from crivo.llm.registry import ORACLES, QUERIES, query
 
@@ -89,3 +89,59 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document and the text decoded from them."""
     encoded = bpe.encode(table(spark, sf_dir, "documents"), tokenizer_json())
     return bpe.digests(encoded).withColumnRenamed("id", "doc_id")
+
+
+@query()
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, learned from labels of those not held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    remainder = crc_remainder("doc_id", 4)
+    ranking = quality.learn(docs.where(remainder != 2), labels.where(remainder != 2))
+    rows = docs.select("doc_id", (remainder == 2).alias("held_out"), "text")
+    return quality.score(rows, ranking).withColumn("predicted", quality.predicted(F.col("score")))
+
+
+@query()
+def op2_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log10 probability of every document, learned from those not held out."""
+    found = ctw.scores(table(spark, sf_dir, "documents"), crc_remainder("doc_id", 5) == 1)
+    bits = (-F.col("score") * 3.321928094887362 / F.col("n_bytes")).alias("bits_per_byte")
+    return found.select(F.col("id").alias("doc_id"), F.col("held").alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", bits)
+
+
+@query()
+def op3_sitetree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    found = sitetree.main_text(table(spark, sf_dir, "pages"))
+    return found.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query()
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest other vectors of every vector whose id is divisible by 20."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, 20)
+
+
+OP9_SQL = r"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+measured as (
+  select *, 4 + length(role) + len(regexp_extract_all(role, '\\|###|</turn>|<\||:')) + 2
+    + length(text) + len(regexp_extract_all(text, '\\|###|</turn>|<\|')) + 8 as n from turns)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  cast(sum(n) as bigint) as formatted_chars
+from measured group by conv_id
+"""
+
+
+@query(OP9_SQL)
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is read back from every formatted conversation, and one that holds control strings."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = r"\### Assistant: </turn> ok"
+    added = spark.range(2).select(F.lit(-7).cast("long"), F.col("id"), F.expr("if(id = 0, 'user', 'assistant')"), F.lit(tricky))
+    formatted = chat.format_turns(turns.union(added), chat.text_part(F.col("text")))
+    return chat.read_back(formatted).withColumnRenamed("conv", "conv_id")
