@@ -12,6 +12,9 @@ from pyspark.sql import types as T
 from crivo.functions import text
 from crivo.operators.contingency import quoted
 
+# Lists the columns that the file of a row does not have.
+ABSENT = "_absent_columns"
+
 
 def is_text(df: DataFrame, name: str) -> bool:
     return isinstance(df.schema[name].dataType, (T.StringType, T.VarcharType, T.CharType))
@@ -97,13 +100,17 @@ def drop_present(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def drop_incomplete(df: DataFrame) -> DataFrame:
-    """Keep rows without any missing value (null or not-a-number) in any column."""
-    conditions = [quoted(c).isNotNull() for c in df.columns]
-    conditions += [
-        ~F.isnan(quoted(c)) for c in df.columns
-        if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType))
-    ]
-    return df.where(reduce(lambda a, b: a & b, conditions))
+    """Keep rows without any missing value (null or not-a-number) in any column.
+
+    A column that the row's file does not have, by ``ABSENT``, is not missing in it.
+    """
+    def filled(c: str) -> Column:
+        whole = quoted(c).isNotNull()
+        if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)):
+            whole = whole & ~F.isnan(quoted(c))
+        return whole | F.array_contains(ABSENT, c) if ABSENT in df.columns else whole
+    names = [c for c in df.columns if c != ABSENT]
+    return df.where(reduce(lambda a, b: a & b, map(filled, names))) if names else df
 
 
 def to_numbers(df: DataFrame, target: str | None = None) -> DataFrame:
@@ -170,11 +177,11 @@ def for_chi_square(df: DataFrame, target: str) -> DataFrame:
 
 
 def assemble(df: DataFrame, features: Sequence[str], target: str, group: str | None = None) -> DataFrame:
-    """Feature vector ``x`` and label ``y`` for the model library."""
+    """Feature vector ``x`` and label ``y`` for the model library; a missing value counts as 0."""
     from pyspark.ml.feature import VectorAssembler
 
-    numbers = df.select(
-        *[quoted(c).cast("double").alias(f"f{i}") for i, c in enumerate(features)],
+    numbers = df.where(quoted(target).isNotNull()).select(
+        *[F.coalesce(F.nanvl(quoted(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(f"f{i}") for i, c in enumerate(features)],
         quoted(target).cast("double").alias("y"),
         *([quoted(group).alias(group)] if group else []),
     )

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crivo.functions.stats import is_close
+from crivo.operators.contingency import quoted
 from crivo.operators.rank import TOP_K, head_ranks
 
 # The result columns the reference compares.
@@ -49,11 +50,11 @@ def feature_differences(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def matched(a: DataFrame, b: DataFrame, metrics: Sequence[str] = METRICS) -> DataFrame:
     """Both tables side by side by feature, with ``only_in`` set where one lacks it."""
-    left = a.select("feature", *[F.col(m).alias(f"{m}_a") for m in metrics], F.lit(True).alias("_in_a"))
-    right = b.select("feature", *[F.col(m).alias(f"{m}_b") for m in metrics], F.lit(True).alias("_in_b"))
+    left = a.select("feature", *[quoted(m).alias(f"{m}_a") for m in metrics], F.lit(True).alias("_in_a"))
+    right = b.select("feature", *[quoted(m).alias(f"{m}_b") for m in metrics], F.lit(True).alias("_in_b"))
     only = F.when(F.col("_in_b").isNull(), F.lit("a")).when(F.col("_in_a").isNull(), F.lit("b"))
     return left.join(right, "feature", "full_outer").select(
-        "feature", *[f"{m}_{side}" for m in metrics for side in "ab"], only.alias("only_in")
+        "feature", *[quoted(f"{m}_{side}") for m in metrics for side in "ab"], only.alias("only_in")
     )
 
 
@@ -90,17 +91,23 @@ def rank_differences(a: DataFrame, b: DataFrame, score_a: str, score_b: str, k:
 def verdict(a: DataFrame, b: DataFrame, metrics: Sequence[str] = METRICS) -> DataFrame:
     """One line: ``verdict`` is ``identical``, ``equal within tolerance`` or ``different``.
 
-    A missing metric column or an unmatched feature makes the tables different. A value
+    Tables are identical if all columns are the same in the same order and all values are
+    equal; all other shared columns must be equal too where the metrics are only close. A
+    missing metric column or an unmatched feature makes the tables different. A value
     missing on both sides is identical, but not close to anything.
     """
     if any(m not in df.columns for df in (a, b) for m in metrics):
         return a.sparkSession.range(1).select(F.lit("different").alias("verdict"))
-    both = matched(a, b, metrics)
+    others = [c for c in a.columns if c in b.columns and c not in metrics and c != "feature"]
+    both = matched(a, b, [*metrics, *others])
     unmatched = F.col("only_in").isNotNull()
     exact, close = ~unmatched, ~unmatched
     for m in metrics:
         exact = exact & F.col(f"{m}_a").eqNullSafe(F.col(f"{m}_b"))
         close = close & is_close(F.col(f"{m}_a"), F.col(f"{m}_b"))
+    for c in others:
+        same = quoted(f"{c}_a").eqNullSafe(quoted(f"{c}_b"))
+        exact, close = exact & same, close & same
     judged = both.agg(
         F.coalesce(F.bool_and(exact), F.lit(True)).alias("exact"),
         F.coalesce(F.bool_and(close), F.lit(True)).alias("close"),

@@ -14,16 +14,15 @@ number of categories.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from crivo.shared import broadcast_if_bounded, materialize
+from crivo.shared import BroadcastBudget, materialize, measured
 
-# Sums per aggregation; wider inputs are summed in column groups, each a pruned scan.
+# Sums per wide aggregation; beyond it the columns of a row become lines inside the task.
 SUM_WIDTH = 200
 
 
@@ -57,21 +56,25 @@ def class_counts(df: DataFrame, target: str) -> DataFrame:
 
 
 def class_sums(df: DataFrame, features: Sequence[str], target: str, width: int = SUM_WIDTH) -> DataFrame:
-    """Sum of every numeric feature per class, with class and grand totals.
+    """Sum of every numeric feature per class, with class and grand totals, from one scan.
 
-    Each row of ``df`` updates one hash entry per column group, so nothing is widened
-    or multiplied before the shuffle; the result has ``features x classes`` rows.
+    Up to ``width`` features each row updates one hash entry with all sums. Wider tables
+    turn a row into numbered lines that are summed inside the task before the shuffle.
+    Either way the result has ``features x classes`` rows.
     """
     kept = df.where(quoted(target).isNotNull())
-
-    def sums(group: Sequence[str]) -> DataFrame:
-        totals = [F.coalesce(F.sum(_number(df, c)), F.lit(0.0)).alias(c) for c in group]
+    if len(features) <= width:
+        totals = [F.coalesce(F.sum(_number(df, c)), F.lit(0.0)).alias(c) for c in features]
         wide = kept.groupBy(quoted(target).alias("_class")).agg(F.count(F.lit(1)).alias("_n"), *totals)
-        long = wide.unpivot(["_class", "_n"], [quoted(c) for c in group], "feature", "o")
-        return long.select("feature", F.col("_class").alias("class"), "o", F.col("_n").alias("n_class"))
-
-    groups = [features[i:i + width] for i in range(0, len(features), width)]
-    return with_totals(reduce(DataFrame.unionByName, [sums(g) for g in groups]), ["feature"])
+        long = wide.unpivot(["_class", "_n"], [quoted(c) for c in features], "feature", "o")
+        sums = long.select("feature", F.col("_class").alias("class"), "o", F.col("_n").alias("n_class"))
+    else:
+        values = F.array(*[_number(df, c) for c in features])
+        lines = kept.select(quoted(target).alias("class"), F.posexplode(values).alias("_i", "_x"))
+        summed = lines.groupBy("class", "_i").agg(F.coalesce(F.sum("_x"), F.lit(0.0)).alias("o"), F.count(F.lit(1)).alias("n_class"))
+        names = F.array(*[F.lit(c) for c in features])
+        sums = summed.select(F.get(names, F.col("_i")).alias("feature"), "class", "o", "n_class")
+    return with_totals(sums, ["feature"])
 
 
 def with_totals(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -150,12 +153,27 @@ def contingency_table(
 def table_of(cells: DataFrame, n_features: int, n_classes: int | None = None) -> DataFrame:
     """`contingency_table` from counts at hand, best written ones.
 
-    The margins by class are joined to the categories by feature. With ``n_classes``
-    known they have at most ``features x n_classes`` rows and are broadcast; otherwise
-    adaptive execution picks the join from their measured size.
+    The margins by class are joined to the categories by feature. They have at most
+    ``features x n_classes`` rows; with ``n_classes`` unknown they are written and measured.
+    Margins too large to be broadcast are joined by feature and salt, so that a feature with
+    many categories is spread over tasks.
     """
-    bound = None if n_classes is None else n_features * n_classes
-    joined = row_margins(cells).join(broadcast_if_bounded(column_margins(cells), bound), "feature")
+    margins = column_margins(cells)
+    if n_classes is None:
+        margins = materialize(margins, "margins")
+        size = measured(margins)
+    else:
+        # A name, a class and three numbers a row, with room for long names.
+        size = n_features * n_classes * 256
+    values = row_margins(cells)
+    if BroadcastBudget().take(size):
+        joined = values.join(F.broadcast(margins), "feature")
+    else:
+        # Every value goes to one salt, whatever task reads it.
+        salts = 16
+        salted = values.withColumn("_salt", F.pmod(F.xxhash64("value"), F.lit(salts)).cast("int"))
+        copies = margins.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        joined = salted.join(copies, ["feature", "_salt"]).drop("_salt")
     observed = F.coalesce(F.try_element_at("by_class", F.col("class")), F.lit(0).cast("long"))
     return joined.select(
         "feature", "value", "class", observed.alias("o"), "row_total", "col_total", "n", "n_classes",
@@ -168,7 +186,8 @@ def one_hot_sums(table: DataFrame, drop_first: bool = True) -> DataFrame:
 
     ``table`` must keep missing values: a row without the value still counts for its
     class. The sum of an indicator over a class is the cell count itself. The first
-    category in code-point order is dropped.
+    category in code-point order is dropped. A feature is a column and its ``value``: two
+    of them may have one name, ``a_b`` and ``c`` like ``a`` and ``b_c``.
     """
     present = table.where(F.col("value").isNotNull())
     if drop_first:
@@ -176,12 +195,17 @@ def one_hot_sums(table: DataFrame, drop_first: bool = True) -> DataFrame:
         firsts = table.groupBy("feature").agg(F.min("value").alias("_first"))
         present = present.join(F.broadcast(firsts), "feature").where(F.col("value") != F.col("_first"))
     return present.select(
-        F.concat_ws("_", "feature", "value").alias("feature"), "class",
+        "feature", "value", "class",
         F.col("o").cast("double").alias("o"), F.col("col_total").alias("n_class"),
         F.col("row_total").cast("double").alias("total"), "n",
     )
 
 
+def feature_name(name: Column, value: Column) -> Column:
+    """``<name>_<value>``, or the name alone where there is no value."""
+    return F.when(value.isNull(), name).otherwise(F.concat_ws("_", name, value))
+
+
 def cross_tab(df: DataFrame, feature: str, target: str, classes: Sequence) -> DataFrame:
     """One feature against the given classes, one column per class, for display."""
     counts = [

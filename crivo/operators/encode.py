@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from crivo.functions.stats import EPSILON
 from crivo.operators.clean import is_text, present, replaced, require_columns
 from crivo.operators.contingency import quoted
-from crivo.shared import lookup, materialize
+from crivo.shared import BroadcastBudget, lookup, materialize
 
 # The reference's income bands and codes.
 INCOME_CODES = {
@@ -89,12 +89,13 @@ def numbered(values: DataFrame, group: Sequence[str], biggest: int, window_value
 
 @dataclass(frozen=True)
 class Labels:
-    """A fitted label dictionary: ``*by, column, value, code`` and its rows per column."""
+    """A fitted label dictionary: ``*by, column, value, code``, its rows and bytes per column."""
 
     frame: DataFrame
     sizes: dict[str, int]
     by: tuple[str, ...] = ()
     missing_as: str | None = None
+    bytes: dict[str, int] = field(default_factory=dict)
 
 
 def fit_labels(
@@ -110,20 +111,22 @@ def fit_labels(
     """
     require_columns(df, columns)
     values = materialize(categories(df, columns, by, missing_as), "labels")
-    sizes = {row[0]: row[1] for row in values.groupBy("column").count().collect()}
+    length = F.lit(48) + sum((F.coalesce(F.octet_length(quoted(c).cast("string")), F.lit(0)) for c in ["value", *by]), F.lit(0))
+    counted = values.groupBy("column").agg(F.count(F.lit(1)), F.sum(length.cast("long"))).collect()
+    sizes = {row[0]: row[1] for row in counted}
     codes = materialize(numbered(values, [*by, "column"], max(sizes.values(), default=0), window_values), "codes")
-    return Labels(codes, sizes, tuple(by), missing_as)
+    return Labels(codes, sizes, tuple(by), missing_as, {row[0]: row[2] for row in counted})
 
 
 def encode_labels(df: DataFrame, labels: Labels, columns: Sequence[str], unseen: int = UNKNOWN) -> DataFrame:
     """Replace columns by their codes; a value the fit did not see gives ``unseen``."""
-    joined = df
+    joined, budget = df, BroadcastBudget()
     for i, c in enumerate(columns):
         part = labels.frame.where(F.col("column") == c).select(
             *[quoted(b) for b in labels.by], F.col("value").alias(f"_key{i}"), F.col("code").alias(f"_code{i}")
         )
         keyed = joined.withColumn(f"_key{i}", category_text(quoted(c), labels.missing_as))
-        joined = lookup(keyed, part, [f"_key{i}", *labels.by], labels.sizes.get(c, 0))
+        joined = lookup(keyed, part, [f"_key{i}", *labels.by], labels.bytes.get(c, 0), budget=budget)
     codes = {c: F.coalesce(F.col(f"_code{i}"), F.lit(unseen)) for i, c in enumerate(columns)}
     return joined.select(*[codes[c].alias(c) if c in codes else quoted(c) for c in df.columns])
 
@@ -150,14 +153,11 @@ def label_report(labels: Labels, columns: Sequence[str], first: int = 15) -> Dat
     )
 
 
-def category_lists(labels: Labels, columns: Sequence[str], limit: int = 10_000) -> dict[str, list[str]]:
-    """Values per column in code order, on the driver, for building columns from them.
+def category_lists(labels: Labels, columns: Sequence[str]) -> dict[str, list[str]]:
+    """Values per column in code order, on the driver, for building a column from each.
 
-    More values than a table should have columns is an error; use the long form there.
+    A wide table has as many columns; `one_hot_long` and the scores by counts do without.
     """
-    total = sum(labels.sizes.get(c, 0) for c in columns)
-    if total > limit:
-        raise ValueError(f"{total} one-hot columns asked for (limit {limit}); use one_hot_long or one_hot_sums")
     rows = labels.frame.where(F.col("column").isin(*columns)).collect()
     return {
         c: [r["value"] for r in sorted((r for r in rows if r["column"] == c), key=lambda r: r["code"])]

@@ -15,6 +15,7 @@ The ``mixed_*`` forms train on one-hot and numeric features without building the
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -22,15 +23,16 @@ from pyspark.sql import functions as F
 
 from crivo.functions.stats import sigmoid
 from crivo.operators.clean import assemble
-from crivo.operators.contingency import quoted
-from crivo.operators.encode import categories, category_text
-from crivo.shared import broadcast_if_bounded, lookup, materialize
+from crivo.operators.contingency import feature_name, quoted
+from crivo.operators.encode import Labels, encode_labels, fit_labels
+from crivo.shared import BroadcastBudget, lookup, materialize, measured, work_path
 
 # Passes per file in the averaged and in the incremental model.
 FEDERATED_EPOCHS = 5
 INCREMENTAL_EPOCHS = 1
 
-INTERCEPT = "(intercept)"
+# The partition folder of a written group.
+FOLDER = "_group"
 
 
 def _design(df: DataFrame, features: Sequence[str], target: str, group: str) -> DataFrame:
@@ -46,19 +48,25 @@ def _zeros(n_features: int) -> Column:
     return F.array_repeat(F.lit(0.0), n_features + 1)
 
 
-def _stepped(rows: DataFrame, n_features: int, by: Sequence[str], lr: float, l2: float) -> DataFrame:
-    """One gradient step for rows that carry their weights ``w`` (intercept last)."""
+def _sums(rows: DataFrame, n_features: int, by: Sequence[str]) -> DataFrame:
+    """Rows that carry their weights ``w`` (intercept last) to sums: ``*by, n, s0, s1, ...``.
+
+    Sums alone, so that rows are added up in a hash table where they are read, unsorted.
+    """
     score = " + ".join([f"w[{n_features}]", *[f"w[{i}] * x{i}" for i in range(n_features)]])
     failed = rows.withColumn("e", sigmoid(F.expr(score)) - F.col("y"))
-    sums = failed.groupBy(*by).agg(
-        F.first("w").alias("w"),
+    return failed.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("e").alias(f"s{n_features}"),
         *[F.expr(f"sum(e * x{i})").alias(f"s{i}") for i in range(n_features)],
     )
+
+
+def _moved(n_features: int, lr: float, l2: float) -> Column:
+    """The weights ``w`` after a step along the sums."""
     moved = [f"w[{i}] - {lr!r}D * (s{i} / n + {l2!r}D * w[{i}])" for i in range(n_features)]
     moved.append(f"w[{n_features}] - {lr!r}D * s{n_features} / n")
-    return sums.select(*by, F.expr(f"array({', '.join(moved)})").alias("w"))
+    return F.expr(f"array({', '.join(moved)})")
 
 
 def federated_weights(
@@ -69,28 +77,45 @@ def federated_weights(
     lr: float = 0.1,
     l2: float = 1e-4,
     epochs: int = FEDERATED_EPOCHS,
-    n_groups: int | None = None,
 ) -> DataFrame:
     """A model per group, all trained in the same passes: ``g, w`` (intercept last).
 
-    Groups without rows have no model. ``n_groups``, when known, bounds the weight table
-    so that it can be broadcast. At least one epoch is needed.
+    Groups without rows have no model. The weights are written and measured; beyond the
+    broadcast bound rows look them up by group and salt. At least one epoch is needed.
     """
     if epochs < 1:
         raise ValueError("epochs must be at least 1")
     design = _design(df, features, target, group)
-    weights = None
+    k, weights, size = len(features), None, None
     for _ in range(epochs):
-        # Every model starts at zero, so the first pass needs no join; later ones join a
-        # written table, whose size the optimizer knows.
-        rows = (
-            design.withColumn("w", _zeros(len(features))) if weights is None
-            else design.join(broadcast_if_bounded(weights, n_groups), "g")
-        )
-        weights = materialize(_stepped(rows, len(features), ["g"], lr, l2), "weights")
+        # Every model starts at zero, so the first pass needs no lookup.
+        rows = design.withColumn("w", _zeros(k)) if weights is None else lookup(design, weights, ["g"], size)
+        sums = _sums(rows, k, ["g"])
+        before = sums.withColumn("w", _zeros(k)) if weights is None else sums.join(weights, "g")
+        weights = materialize(before.select("g", _moved(k, lr, l2).alias("w")), "weights")
+        if size is None:
+            size = weights.count() * (64 + 8 * (k + 1)) + measured(weights.select("g"))
     return weights
 
 
+def stored_by_group(df: DataFrame, group: str) -> tuple[DataFrame, list[str]]:
+    """The rows written with a folder per group, and the group names in order.
+
+    Every step of a carried model then reads the folder of its group alone. The names are
+    listed on the driver, one text per file, as their order is part of the result.
+    """
+    spark, path = df.sparkSession, work_path(df.sparkSession, "groups")
+    named = df.where(quoted(group).isNotNull()).withColumn(FOLDER, quoted(group).cast("string"))
+    write_by(named, path, FOLDER)
+    stored = spark.read.schema(named.schema).parquet(path)
+    return stored, [row[0] for row in stored.select(FOLDER).distinct().orderBy(FOLDER).collect()]
+
+
+def write_by(df: DataFrame, path: str, column: str) -> None:
+    """A folder per value; adaptive execution splits a large value over several files."""
+    df.hint("rebalance", column).write.partitionBy(column).parquet(path)
+
+
 def incremental_weights(
     df: DataFrame,
     features: Sequence[str],
@@ -100,16 +125,12 @@ def incremental_weights(
     l2: float = 1e-4,
     epochs: int = INCREMENTAL_EPOCHS,
 ) -> DataFrame:
-    """One model that visits the groups in name order: one row ``w`` (intercept last).
-
-    Stored by group, every step reads its own folder only. Group names are listed on the
-    driver, as the order of the files is part of the result.
-    """
-    design = _design(df, features, target, group)
-    names = [row[0] for row in design.select("g").distinct().orderBy("g").collect()]
+    """One model that visits the groups in name order: one row ``w`` (intercept last)."""
+    needed = df.where(quoted(target).isNotNull()).select(*[quoted(c) for c in dict.fromkeys([*features, target, group])])
+    stored, names = stored_by_group(needed, group)
     weights = df.sparkSession.range(1).select(_zeros(len(features)).alias("w"))
     for name in names:
-        part = _design(df.where(quoted(group).cast("string") == name), features, target, group)
+        part = _design(stored.where(F.col(FOLDER) == name), features, target, group)
         for _ in range(epochs):
             weights = materialize(updated_weights(part, weights, len(features), lr, l2), "weights")
     return weights
@@ -117,8 +138,9 @@ def incremental_weights(
 
 def updated_weights(part: DataFrame, weights: DataFrame, n_features: int, lr: float, l2: float) -> DataFrame:
     """One step of a single model over ``part``, with the old weights as a scalar subquery."""
-    rows = part.withColumn("w", weights.select("w").scalar())
-    return _stepped(rows, n_features, [], lr, l2)
+    before = weights.select("w").scalar()
+    sums = _sums(part.withColumn("w", before), n_features, [])
+    return sums.withColumn("w", before).select(_moved(n_features, lr, l2).alias("w"))
 
 
 def coefficients(weights: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -166,91 +188,123 @@ def global_coefficients(
     return df.sparkSession.createDataFrame(rows, "feature string, coef double")
 
 
-def _mixed_design(
+def _coded(
     df: DataFrame, columns: Sequence[str], numbers: Sequence[str], target: str, group: str
-) -> DataFrame:
-    """Columns ``g, y``, a text key per feature and an amount ``_a<i>`` per number.
+) -> tuple[DataFrame, Labels]:
+    """Rows with codes for categories and plain numbers, written once, and the codes' dictionary.
 
-    A category contributes with amount 1 under its own value; a number contributes with
-    its value under the empty key, and so does the intercept with 1.
+    Columns ``g, y, c0, c1, ..., x0, x1, ...``; a missing category has no code. The rows lie
+    in a folder per group, so a carried model reads them group by group.
     """
-    return df.where(quoted(target).isNotNull() & quoted(group).isNotNull()).select(
-        quoted(group).cast("string").alias("g"),
+    known = df.where(quoted(target).isNotNull() & quoted(group).isNotNull())
+    labels = fit_labels(known, columns) if columns else Labels(df.sparkSession.createDataFrame([], "column string, value string, code int"), {})
+    coded = encode_labels(known, labels, columns) if columns else known
+    rows = coded.select(
+        quoted(group).cast("string").alias(FOLDER),
         quoted(target).cast("double").alias("y"),
-        *[category_text(quoted(c)).alias(c) for c in columns],
-        *[F.lit("").alias(c) for c in [*numbers, INTERCEPT]],
-        *[F.coalesce(quoted(c).cast("double"), F.lit(0.0)).alias(f"_a{i}") for i, c in enumerate(numbers)],
+        *[F.when(quoted(c) >= 0, quoted(c)).alias(f"c{i}") for i, c in enumerate(columns)],
+        *[F.coalesce(quoted(c).cast("double"), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(numbers)],
     )
+    path = work_path(df.sparkSession, "coded")
+    write_by(rows, path, FOLDER)
+    read = df.sparkSession.read.schema(rows.schema).parquet(path)
+    return read.withColumn("g", F.col(FOLDER)), labels
 
 
-def _mixed_step(
-    design: DataFrame,
-    weights: DataFrame,
-    columns: Sequence[str],
-    numbers: Sequence[str],
-    by: Sequence[str],
-    sizes: dict[str, int],
-    lr: float,
-    l2: float,
-) -> DataFrame:
-    """One gradient step: ``*by, column, value, w`` to the same.
+@dataclass(frozen=True)
+class MixedWeights:
+    """Weights of categories ``*by, i, code, w`` and of numbers ``*by, v`` (intercept last), written down.
 
-    A row looks up one weight per feature; its error times the amount then counts for
-    exactly those keys, so gradients are plain grouped sums.
+    ``sizes`` has the bytes of the categories by column, and of the numbers at -1.
     """
-    names = [*columns, *numbers, INTERCEPT]
-    amounts = {c: F.col(f"_a{i}") for i, c in enumerate(numbers)}
-    scored = design
-    for i, c in enumerate(names):
-        part = weights.where(F.col("column") == c).select(
-            *by, F.col("value").alias(f"_key{i}"), F.col("w").alias(f"_w{i}")
-        )
-        scored = lookup(scored.withColumn(f"_key{i}", quoted(c)), part, [f"_key{i}", *by], sizes.get(c, 1))
-    score = reduce(
-        lambda a, b: a + b,
-        [F.coalesce(F.col(f"_w{i}"), F.lit(0.0)) * amounts.get(c, F.lit(1.0)) for i, c in enumerate(names)],
-    )
-    error = sigmoid(score) - F.col("y")
-    failed = scored.select(*by, error.alias("_e"), *[quoted(c) for c in names], *amounts.values())
-    shares = F.array(*[
-        F.struct(F.lit(i).alias("_i"), quoted(c).alias("value"), (F.col("_e") * amounts.get(c, F.lit(1.0))).alias("s"))
-        for i, c in enumerate(names)
-    ])
-    # Written down, because it is read twice and the data should not be.
-    grads = materialize(
-        failed.select(*by, F.inline(shares))
-        .where(F.col("value").isNotNull())
-        .groupBy(*by, "_i", "value")
-        .agg(F.sum("s").alias("s"), F.count(F.lit(1)).alias("n"))
-        .select(*by, F.get(F.array(*[F.lit(c) for c in names]), F.col("_i")).alias("column"), "value", "s", "n"),
-        "gradients",
-    )
-    # The intercept is present in every row, so its count is the number of rows.
-    totals = grads.where(F.col("column") == INTERCEPT).select(*by, "n")
-    keyed = weights.join(grads.drop("n"), [*by, "column", "value"], "left")
-    if by:
-        keyed = keyed.join(totals, list(by))
-    else:
-        keyed = keyed.withColumn("n", totals.select("n").scalar())
-    pull = F.when(F.col("column") == INTERCEPT, F.lit(0.0)).otherwise(F.lit(l2) * F.col("w"))
-    moved = F.col("w") - F.lit(lr) * (F.coalesce(F.col("s"), F.lit(0.0)) / F.col("n") + pull)
-    return keyed.select(*by, "column", "value", moved.alias("w"))
 
+    categories: DataFrame
+    numbers: DataFrame
+    sizes: dict[int, int]
+
+
+def _mixed_start(
+    rows: DataFrame, labels: Labels, columns: Sequence[str], numbers: Sequence[str], by: Sequence[str]
+) -> MixedWeights:
+    """Zero weights: the first category of a column, code 0, has none at all.
+
+    With models by group, a group has weights for the categories it shows.
+    """
+    models = rows.select(*by).distinct() if by else rows.sparkSession.range(1).select()
+    dense = materialize(models.select(*by, _zeros(len(numbers)).alias("v")), "weights")
+    sizes = {-1: measured(dense) + dense.count() * 8 * (len(numbers) + 1)} if by else {}
+    lines = [F.struct(F.lit(i).alias("i"), F.col(f"c{i}").alias("code")) for i in range(len(columns))]
+    if not columns:
+        empty = rows.limit(0).select(*by, F.lit(0).alias("i"), F.lit(0).alias("code"), F.lit(0.0).alias("w"))
+        return MixedWeights(empty, dense, sizes)
+    shown = rows.select(*by, F.inline(F.array(*lines))).where("code > 0").distinct()
+    first = materialize(shown.withColumn("w", F.lit(0.0)), "weights")
+    sizes |= {r[0]: r[1] * 96 for r in first.groupBy("i").count().collect()}
+    return MixedWeights(first, dense, sizes)
 
-def _first_weights(
-    design: DataFrame, columns: Sequence[str], numbers: Sequence[str], by: Sequence[str]
-) -> tuple[DataFrame, dict[str, int]]:
-    """Zero weights for every feature but the first category of each column, and rows per column."""
-    values = materialize(categories(design, [*columns, *numbers, INTERCEPT], by), "categories")
-    # One line per column.
-    firsts = values.where(F.col("column").isin(*columns)).groupBy("column").agg(F.min("value").alias("value"))
-    kept = values.join(F.broadcast(firsts), ["column", "value"], "left_anti")
-    sizes = {row[0]: row[1] for row in values.groupBy("column").count().collect()}
-    return kept.select(*by, "column", "value", F.lit(0.0).alias("w")), sizes
 
+def _mixed_step(
+    rows: DataFrame, before: MixedWeights, columns: Sequence[str], numbers: Sequence[str], by: Sequence[str], lr: float, l2: float
+) -> MixedWeights:
+    """One gradient step.
 
-def _feature_name(numbers: Sequence[str]) -> Column:
-    return F.when(F.col("column").isin(*numbers), F.col("column")).otherwise(F.concat_ws("_", "column", "value"))
+    A row looks up one weight per category column by its code; numbers and the intercept
+    take the group's array. One grouped sum over the rows has a line per category of the row
+    and one for all its numbers.
+    """
+    k, budget, scored = len(numbers), BroadcastBudget(), rows
+    for i in range(len(columns)):
+        part = before.categories.where(F.col("i") == i).select(*by, F.col("code").alias(f"c{i}"), F.col("w").alias(f"_w{i}"))
+        scored = lookup(scored, part, [f"c{i}", *by], before.sizes.get(i, 0), budget=budget)
+    if by:
+        scored = lookup(scored, before.numbers, list(by), before.sizes[-1], budget=budget)
+    else:
+        scored = scored.withColumn("v", before.numbers.select("v").scalar())
+    terms = [f"v[{k}]", *[f"v[{i}] * x{i}" for i in range(k)], *[f"coalesce(_w{i}, 0D)" for i in range(len(columns))]]
+    error = sigmoid(F.expr(" + ".join(terms))) - F.col("y")
+    failed = scored.select(*by, error.alias("e"), *[f"c{i}" for i in range(len(columns))], *[f"x{i}" for i in range(k)])
+    nothing = F.lit(None).cast("double")
+    lines = [F.struct(F.lit(i).alias("i"), F.col(f"c{i}").alias("code"), F.col("e").alias("s"), *[nothing.alias(f"s{j}") for j in range(k)])
+             for i in range(len(columns))]
+    lines.append(F.struct(F.lit(-1).alias("i"), F.lit(0).alias("code"), F.col("e").alias("s"), *[(F.col("e") * F.col(f"x{j}")).alias(f"s{j}") for j in range(k)]))
+    grads = materialize(
+        failed.select(*by, F.inline(F.array(*lines))).where("code IS NOT NULL AND (i < 0 OR code > 0)").groupBy(*by, "i", "code").agg(
+            F.count(F.lit(1)).alias("n"), F.sum("s").alias("s"), *[F.sum(f"s{j}").alias(f"s{j}") for j in range(k)]),
+        "gradients",
+    )
+    # Read twice below, so it is written; the line of the numbers has the number of rows.
+    totals = grads.where("i = -1").select(*by, "n", "s", *[f"s{j}" for j in range(k)])
+    moved = [f"v[{j}] - {lr!r}D * (s{j} / n + {l2!r}D * v[{j}])" for j in range(k)] + [f"v[{k}] - {lr!r}D * s / n"]
+    dense = before.numbers.join(totals, list(by)) if by else before.numbers.crossJoin(totals)
+    numbers_after = materialize(dense.select(*by, F.expr(f"array({', '.join(moved)})").alias("v")), "weights")
+    if not columns:
+        return MixedWeights(before.categories, numbers_after, before.sizes)
+    keyed = before.categories.join(grads.select(*by, "i", "code", "s"), [*by, "i", "code"], "left")
+    rows_of = totals.select(*by, F.col("n"))
+    keyed = lookup(keyed, rows_of, list(by), before.sizes[-1]) if by else keyed.withColumn("n", rows_of.select("n").scalar())
+    w = F.col("w") - F.lit(lr) * (F.coalesce(F.col("s"), F.lit(0.0)) / F.col("n") + F.lit(l2) * F.col("w"))
+    after = materialize(keyed.select(*by, "i", "code", w.alias("w")), "weights")
+    return MixedWeights(after, numbers_after, before.sizes)
+
+
+def _mixed_lines(weights: MixedWeights, labels: Labels, columns: Sequence[str], numbers: Sequence[str]) -> DataFrame:
+    """``feature, value, w`` of all models, without the intercepts; numbers have no value."""
+    names = F.array(*[F.lit(c) for c in columns]) if columns else None
+    dense = [F.struct(F.lit(c).alias("feature"), F.lit(None).cast("string").alias("value"), F.get("v", F.lit(i)).alias("w")) for i, c in enumerate(numbers)]
+    parts = [weights.numbers.select(F.inline(F.array(*dense)))] if dense else []
+    if columns:
+        coded = weights.categories.select(F.get(names, F.col("i")).alias("feature"), "code", "w")
+        # Weights of one category by group are added before the names are joined.
+        summed = coded.groupBy("feature", "code").agg(F.sum("w").alias("w"))
+        texts = labels.frame.withColumnRenamed("column", "feature")
+        parts.append(summed.join(texts, ["feature", "code"]).select("feature", "value", "w"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _named(lines: DataFrame, models: Column) -> DataFrame:
+    """Mean over models: ``feature, coef``; a feature is a column and value, and named last."""
+    summed = lines.groupBy("feature", "value").agg(F.sum("w").alias("w"))
+    return summed.select(feature_name(F.col("feature"), F.col("value")).alias("feature"), (F.col("w") / models).alias("coef"))
 
 
 def mixed_federated_coefficients(
@@ -267,14 +321,12 @@ def mixed_federated_coefficients(
 
     A category that a group never shows has weight 0 in the model of that group.
     """
-    design = _mixed_design(df, columns, numbers, target, group)
-    weights, sizes = _first_weights(design, columns, numbers, ["g"])
+    rows, labels = _coded(df, columns, numbers, target, group)
+    weights = _mixed_start(rows, labels, columns, numbers, ["g"])
     for _ in range(epochs):
-        weights = materialize(_mixed_step(design, weights, columns, numbers, ["g"], sizes, lr, l2), "weights")
-    models = weights.where(F.col("column") == INTERCEPT).agg(F.count(F.lit(1)).alias("n")).scalar()
-    kept = weights.where(F.col("column") != INTERCEPT)
-    summed = kept.groupBy(_feature_name(numbers).alias("feature")).agg(F.sum("w").alias("w"))
-    return summed.select("feature", (F.col("w") / models).alias("coef"))
+        weights = _mixed_step(rows, weights, columns, numbers, ["g"], lr, l2)
+    models = weights.numbers.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return _named(_mixed_lines(weights, labels, columns, numbers), models)
 
 
 def mixed_incremental_coefficients(
@@ -288,12 +340,11 @@ def mixed_incremental_coefficients(
     epochs: int = INCREMENTAL_EPOCHS,
 ) -> DataFrame:
     """Coefficients of one model that visits the groups in name order: ``feature, coef``."""
-    design = _mixed_design(df, columns, numbers, target, group)
-    names = [row[0] for row in design.select("g").distinct().orderBy("g").collect()]
-    weights, sizes = _first_weights(design, columns, numbers, [])
+    rows, labels = _coded(df, columns, numbers, target, group)
+    names = [row[0] for row in rows.select("g").distinct().orderBy("g").collect()]
+    weights = _mixed_start(rows, labels, columns, numbers, [])
     for name in names:
-        part = _mixed_design(df.where(quoted(group).cast("string") == name), columns, numbers, target, group)
+        part = rows.where(F.col(FOLDER) == name)
         for _ in range(epochs):
-            weights = materialize(_mixed_step(part, weights, columns, numbers, [], sizes, lr, l2), "weights")
-    kept = weights.where(F.col("column") != INTERCEPT)
-    return kept.select(_feature_name(numbers).alias("feature"), F.col("w").alias("coef"))
+            weights = _mixed_step(part, weights, columns, numbers, [], lr, l2)
+    return _named(_mixed_lines(weights, labels, columns, numbers), F.lit(1))

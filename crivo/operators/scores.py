@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crivo.functions import stats
-from crivo.operators.contingency import with_expected
+from crivo.operators.contingency import feature_name, with_expected
 from crivo.operators.rank import top_k, top_per_group
 
 
@@ -29,11 +29,14 @@ def class_sum_scores(sums: DataFrame) -> DataFrame:
     ).select("feature", "chi2_score", stats.chi2_sf("chi2_score", "_dof").alias("p_value"))
 
 
-def full_scores(sums: DataFrame) -> DataFrame:
+def full_scores(sums: DataFrame, keep_value: bool = False) -> DataFrame:
     """Chi-square over presence and absence of a feature in [0, 1], simple V and p-value.
 
-    ``feature, chi2_score, cramers_v, p_value``.
+    ``feature, chi2_score, cramers_v, p_value``. Sums of one-hot features are kept apart by
+    column and ``value`` and named last, so features of one name are scored each;
+    ``keep_value`` gives ``feature`` and ``value`` as they are.
     """
+    keys = ["feature", *(["value"] if "value" in sums.columns else [])]
     guard = F.lit(stats.EPSILON)
     present = F.col("o") - F.col("expected")
     absent = (F.col("n_class") - F.col("o")) - (F.col("n_class") - F.col("expected"))
@@ -41,13 +44,14 @@ def full_scores(sums: DataFrame) -> DataFrame:
         present * present / (F.col("expected") + guard)
         + F.try_divide(absent * absent, F.col("n_class") - F.col("expected") + guard)
     )
-    scored = with_expected(sums).groupBy("feature").agg(
+    scored = with_expected(sums).groupBy(*keys).agg(
         F.sum(term).alias("chi2_score"),
         F.first("n").alias("_n"),
         (F.count(F.lit(1)) - 1).alias("_dof"),
     )
+    named = keys if keep_value or len(keys) == 1 else [feature_name(F.col("feature"), F.col("value")).alias("feature")]
     return scored.select(
-        "feature", "chi2_score",
+        *named, "chi2_score",
         stats.simple_v(F.col("chi2_score"), F.col("_n")).alias("cramers_v"),
         stats.chi2_sf("chi2_score", "_dof").alias("p_value"),
     )

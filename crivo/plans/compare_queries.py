@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crivo.functions.stats import ABS_TOLERANCE, REL_TOLERANCE
 from crivo.operators import compare
 from crivo.operators import contingency as con
 from crivo.operators import scores
 from crivo.plans import sql
 from crivo.plans.registry import query, rounded
-from crivo.plans.tables import numeric_items
+from crivo.plans.tables import numeric_items, table
 from crivo.shared import materialize
 
 A_FEATURES = ["l_discount", "l_tax", "l_quantity"]
@@ -50,13 +53,16 @@ def compare_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.shapes(full(spark, sf_dir, A_FEATURES), by_class_sums(spark, sf_dir, B_FEATURES[:2]))
 
 
-@query(f"""with {two_tables(A_FEATURES, A_FEATURES)}
-select 'cramers_v' as "column", 'a' as only_in, (select count(*) from b) as rows_b union all select 'v', 'b', (select count(*) from b)""")
+def only_sql(a: str, b: str, side: str) -> str:
+    return (f"""select column_name as "column", '{side}' as only_in from (describe select * from {a})
+    where column_name not in (select column_name from (describe select * from {b}))""")
+
+
+@query(f"{only_sql('documents', 'labels', 'a')} union all {only_sql('labels', 'documents', 'b')}")
 def compare_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = full(spark, sf_dir, A_FEATURES)
-    b = by_class_sums(spark, sf_dir, A_FEATURES).withColumnRenamed("cramers_v", "v")
-    found = spark.createDataFrame(compare.column_differences(a, b), "column string, only_in string")
-    return found.withColumn("rows_b", b.agg(F.count(F.lit(1)).alias("n")).select("n").scalar())
+    """Columns that only one of two tables has."""
+    a, b = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return spark.createDataFrame(compare.column_differences(a, b), "column string, only_in string")
 
 
 @query(f"""with {two_tables(A_FEATURES, B_FEATURES)}
@@ -97,18 +103,40 @@ def compare_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.rank_differences(a, b, "chi2_score", "chi2_score")
 
 
-@query("""select 'same' as pair, 'identical' as verdict, n from (select count(*) as n from lineitem)
-union all select 'noise', 'equal within tolerance', count(*) from lineitem
-union all select 'formula', 'different', count(*) from lineitem union all select 'features', 'different', count(*) from lineitem""")
+METRICS = ("chi2_score", "cramers_v", "p_value")
+
+
+def verdict_sql(pair: str, other: str) -> str:
+    """The verdict on table ``a`` with a note per feature, and another."""
+    exact = " and ".join(f"a.{m} is not distinct from o.{m}" for m in (*METRICS, "note"))
+    close = " and ".join(f"coalesce(abs(a.{m} - o.{m}) <= {ABS_TOLERANCE} + {REL_TOLERANCE} * abs(o.{m}), false)" for m in METRICS)
+    both = "a.feature is not null and o.feature is not null"
+    return f"""select '{pair}' as pair, case when bool_and({both} and {exact}) then 'identical'
+    when bool_and({both} and {close} and a.note is not distinct from o.note) then 'equal within tolerance' else 'different' end as verdict
+    from noted a full join ({other}) o on a.feature = o.feature"""
+
+
+@query(f"""with {two_tables(A_FEATURES[:2], A_FEATURES[:2])},
+noted as (select *, 'n' || round(chi2_score) as note from a),
+b_noted as (select *, 'n' || round(chi2_score) as note from b)
+{verdict_sql('same', 'select * from noted')} union all
+{verdict_sql('noise', 'select * replace (chi2_score + 1e-7 as chi2_score) from noted')} union all
+{verdict_sql('formula', 'select * from b_noted')} union all
+{verdict_sql('features', "select * from noted where feature <> 'l_tax'")} union all
+{verdict_sql('note', "select * replace (note || '!' as note) from noted")}""")
 def compare_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdicts on the same table, a table with noise below the tolerance, and two that differ."""
-    a = full(spark, sf_dir, A_FEATURES[:2])
-    noisy = a.withColumn("chi2_score", F.col("chi2_score") + 1e-7)
+    """Verdicts on the same table, on noise below the tolerance, and on tables that differ.
+
+    The last differs in a column that is no metric.
+    """
+    def noted(df: DataFrame) -> DataFrame:
+        return df.withColumn("note", F.concat(F.lit("n"), F.format_string("%.1f", F.round("chi2_score"))))
+
+    a = materialize(noted(full(spark, sf_dir, A_FEATURES[:2])), "scores")
     others = {
-        "same": a, "noise": noisy,
-        "formula": by_class_sums(spark, sf_dir, A_FEATURES[:2]), "features": a.where(F.col("feature") != "l_tax"),
+        "same": a, "noise": a.withColumn("chi2_score", F.col("chi2_score") + 1e-7),
+        "formula": noted(by_class_sums(spark, sf_dir, A_FEATURES[:2])), "features": a.where(F.col("feature") != "l_tax"),
+        "note": a.withColumn("note", F.concat("note", F.lit("!"))),
     }
     lines = [compare.verdict(a, b).select(F.lit(name).alias("pair"), "verdict") for name, b in others.items()]
-    united = lines[0].unionByName(lines[1]).unionByName(lines[2]).unionByName(lines[3])
-    rows = numeric_items(spark, sf_dir).agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
-    return united.withColumn("n", rows)
+    return reduce(DataFrame.unionByName, lines)

@@ -56,11 +56,10 @@ def label_fit_large(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""select l_linestatus, 'o_orderpriority' as "column", value,
 (row_number() over (partition by l_linestatus order by value) - 1)::integer as code
-from (select distinct l_linestatus, o_orderpriority as value from lineitem join orders on l_orderkey = o_orderkey
-where not (l_linestatus = 'F' and o_orderpriority = '2-HIGH'))""")
+from (select distinct l_linestatus, o_orderpriority as value from lineitem join orders on l_orderkey = o_orderkey)""")
 def label_fit_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every group has codes of its own."""
-    items = returned_items(spark, sf_dir).where("not (l_linestatus = 'F' and o_orderpriority = '2-HIGH')")
+    items = returned_items(spark, sf_dir)
     return encode.fit_labels(items, ["o_orderpriority"], by=["l_linestatus"]).frame
 
 
@@ -159,6 +158,22 @@ def one_hot_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rounded(rank.ranked(found, "chi2_score"), "chi2_score"), "cramers_v", "p_value", digits=8)
 
 
+@query(f"""with {sql.table("select y, 'c_' || (l_linenumber % 2) as a_b, 'b_c_' || (l_linenumber % 3) as a from (" + sql.ITEMS + ")", ['a', 'a_b'], keep_missing=True)},
+firsts as (select feature, min(value) as first from tab group by feature),
+sums as (select t.feature, value, o::double as o, col_total as n_class, n, expected
+from tab t join firsts f on t.feature = f.feature where value <> first),
+scored as (select feature, value, sum({sql.FULL_TERM}) as chi2_score from sums group by feature, value)
+select feature as "column", value, feature || '_' || value as feature, round(chi2_score, 6) as chi2_score from scored""")
+def one_hot_same_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Column ``a`` with value ``b_c_1`` and column ``a_b`` with ``c_1`` have one name and two scores."""
+    items = numeric_items(spark, sf_dir).select(
+        "y", F.concat(F.lit("c_"), F.col("l_linenumber") % 2).alias("a_b"), F.concat(F.lit("b_c_"), F.col("l_linenumber") % 3).alias("a"))
+    cross = con.contingency_table(items, ["a", "a_b"], "y", keep_missing=True)
+    found = scores.full_scores(con.one_hot_sums(cross), keep_value=True)
+    named = found.select(F.col("feature").alias("column"), "value", con.feature_name(F.col("feature"), F.col("value")).alias("feature"), "chi2_score")
+    return rounded(named, "chi2_score")
+
+
 @query("""with b as (select min(c_acctbal) as lo, max(c_acctbal) as hi, min(c_nationkey) as lo2, max(c_nationkey) as hi2 from customer)
 select c_custkey, round((c_acctbal - lo) / (hi - lo + 1e-12), 8) as c_acctbal,
 round((c_nationkey - lo2) / (hi2 - lo2 + 1e-12), 8) as c_nationkey from customer, b""")

@@ -5,11 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from crivo.operators import clean, contingency, encode, logit, rank, scores
 from crivo.operators.align import numbers_aligned
 from crivo.shared import materialize, work_path
-from crivo.sources.files import SOURCE
+from crivo.sources.files import CORRUPT, SOURCE
 from crivo.sources.sinks import write_partitions
 
 # Names in the enrolment files.
@@ -77,8 +78,10 @@ def cleaned(raw: DataFrame, preset: Preset) -> DataFrame:
     """Names and text cleaned, target derived, unused columns gone; categories still text."""
     df = clean.normalize_names(raw)
     if not preset.keep_incomplete:
-        # Cleaning never makes a text missing, so incomplete rows can go before it.
+        # Cleaning never makes a text missing, so incomplete rows can go before it. A column
+        # that a file does not have is not missing in its rows.
         df = clean.drop_incomplete(df)
+    df = clean.drop_present(df, [clean.ABSENT, CORRUPT])
     df = clean.clean_text(df, [c for c in clean.text_columns(df) if c != SOURCE])
     df = clean.binary_target(df, SITUATION, DROPPED_OUT, TARGET)
     df = clean.exclude_values(df, SITUATION, preset.exclude_situations)
@@ -131,8 +134,12 @@ def feature_columns(df: DataFrame, target: str = TARGET) -> list[str]:
 
 
 def rank_by_class_sums(df: DataFrame, target: str = TARGET, k: int = rank.TOP_K) -> DataFrame:
-    """Best features by the class-sum score of label codes: ``feature, chi2_score, p_value``."""
-    numbers = clean.for_chi_square(df, target)
+    """Best features by the class-sum score of label codes: ``feature, chi2_score, p_value``.
+
+    Columns that are still text are label-encoded first, a missing value as a category.
+    """
+    df = clean.drop_present(df, [SOURCE])
+    numbers = clean.for_chi_square(encode.encode_remaining_text(clean.for_chi_square(df, target), target), target)
     features = feature_columns(numbers, target)
     found = scores.class_sum_scores(contingency.class_sums(numbers, features, target))
     return scores.select_k_best(found, k, len(features))
@@ -141,7 +148,7 @@ def rank_by_class_sums(df: DataFrame, target: str = TARGET, k: int = rank.TOP_K)
 def rank_by_association(df: DataFrame, target: str = TARGET, k: int = rank.TOP_K) -> DataFrame:
     """Bias-corrected V of the best features by class sums: ``feature, cramers_v``."""
     chosen = [c for c in rank.top_names(rank_by_class_sums(df, target, k), "chi2_score", k) if c not in NOT_TESTED]
-    tests = scores.contingency_tests(contingency.contingency_table(df, chosen, target, n_classes=2))
+    tests = scores.contingency_tests(contingency.contingency_table(df, chosen, target))
     return rank.ranked(scores.cramers_v(tests), "cramers_v")
 
 
@@ -157,7 +164,7 @@ def rank_full(prepared: Prepared, target: str = TARGET) -> DataFrame:
     numbers = [c for c in feature_columns(df, target) if c not in texts]
     if numbers:
         scaled = encode.scale_min_max(clean.to_numbers(df.select(*[contingency.quoted(c) for c in [*numbers, target]]), target), SCALED)
-        parts.append(contingency.class_sums(scaled, numbers, target))
+        parts.append(contingency.class_sums(scaled, numbers, target).withColumn("value", F.lit(None).cast("string")))
     if texts and texts[0] in df.columns:
         table = contingency.contingency_table(df, texts, target, keep_missing=True, n_classes=2)
         parts.append(contingency.one_hot_sums(table))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from crivo.operators import contingency as con
 from crivo.operators import encode, logit, scores
@@ -60,7 +61,7 @@ INCREMENTAL = ", ".join(
 def fedavg_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Absolute mean coefficient of one model per group."""
     found = logit.federated_importance(
-        scaled_items(spark, sf_dir), NUMBERS, "y", "l_linestatus", lr=RATE, l2=PENALTY, n_groups=2
+        scaled_items(spark, sf_dir), NUMBERS, "y", "l_linestatus", lr=RATE, l2=PENALTY
     )
     return rounded(found, "importance", digits=8)
 
@@ -151,54 +152,89 @@ def one_hot_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(logit.importance(found), "importance", digits=8)
 
 
-STATUSES = ["O", "P"]
-
-
-@query(f"""with c as (select o_orderstatus as v, sum(y) as a, count(*) - sum(y) as b from ({sql.RETURNED}) group by o_orderstatus)
-select 'o_orderstatus_' || v as feature, round(ln(a / b) - (select ln(a / b) from c where v = 'F'), 5) as coef from c where v <> 'F'""")
+@query(f"""with c as (select o_orderstatus as v, sum(y) as a, count(*) - sum(y) as b from ({sql.RETURNED}) group by o_orderstatus),
+f as (select min(v) as v from c)
+select 'o_orderstatus_' || c.v as feature, round(ln(c.a / c.b) - (select ln(a / b) from c where v = (select v from f)), 5) as coef
+from c, f where c.v <> f.v""")
 def global_logit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One model over all rows; on the indicators of one column its coefficients are log odds ratios."""
-    items = encode.one_hot_wide(returned_items(spark, sf_dir).select("o_orderstatus", "y"), {"o_orderstatus": ["F", *STATUSES]})
-    features = [f"o_orderstatus_{s}" for s in STATUSES]
-    return rounded(logit.global_coefficients(items, features, "y"), "coef", digits=5)
+    items = returned_items(spark, sf_dir).select("o_orderstatus", "y")
+    values = encode.category_lists(encode.fit_labels(items, ["o_orderstatus"]), ["o_orderstatus"])
+    wide = encode.one_hot_wide(items, values)
+    features = [c for c in wide.columns if c != "y"]
+    return rounded(logit.global_coefficients(wide, features, "y"), "coef", digits=5)
+
+
+@query(f"""with r as (select y, coalesce(case when o_orderkey % 7 = 0 then null else (o_orderpriority < '3')::integer end, 0) as x from ({sql.RETURNED})),
+c as (select x, sum(y) as a, count(*) - sum(y) as b from r group by x)
+select 'urgent' as feature, round(ln((select a / b from c where x = 1)) - ln((select a / b from c where x = 0)), 5) as coef""")
+def global_logit_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A missing feature value counts as 0, as in the models by group."""
+    flag = F.expr("case when o_orderkey % 7 = 0 then null else cast(o_orderpriority < '3' as double) end").alias("urgent")
+    return rounded(logit.global_coefficients(returned_items(spark, sf_dir).select(flag, "y"), ["urgent"], "y"), "coef", digits=5)
 
 
 STREAMED = ["l_quantity", "l_discount", "l_tax"]
+DAYS = 3
+
+
+def days(spark: SparkSession, sf_dir: str, folder: str) -> Iterator[DataFrame]:
+    """Line items that arrive in a folder on three days: each time the rows of one more day are there.
+
+    A quantity that is not a number stands for a broken reading.
+    """
+    items = table(spark, sf_dir, "lineitem").withColumns({
+        "y": returned(), "l_quantity": F.when(F.col("l_orderkey") % 11 == 0, F.lit(float("nan"))).otherwise(F.col("l_quantity"))})
+    for day in range(DAYS):
+        items.where(F.col("l_linenumber") % DAYS == day).write.mode("append").parquet(folder)
+        yield items
+
+
+def watched(spark: SparkSession, folder: str, like: DataFrame) -> DataFrame:
+    """The folder as a stream; whatever is new makes one step."""
+    return incremental.file_stream(spark, folder, like.schema, files_per_step=None)
+
 
+BROKEN = f"select * replace (case when l_orderkey % 11 = 0 then null else l_quantity end as l_quantity) from ({sql.ITEMS})"
 
-@query(f"""with {sql.sums(sql.ITEMS, STREAMED)},
+
+@query(f"""with {sql.sums(BROKEN, STREAMED)},
 s as (select feature, sum(power(o - expected, 2) / expected) as chi2_score from sums group by feature)
 select feature, round(chi2_score, 6) as chi2_score from s""")
 def stream_class_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The class-sum score from sums that a stream of files kept up to date."""
-    schema = table(spark, sf_dir, "lineitem").schema
-    items = incremental.file_stream(spark, sf_dir, schema, pattern="lineitem.parquet").withColumn("y", returned())
-    running = incremental.running_class_sums(items, STREAMED, "y")
-    final = incremental.run_to_table(running, f"class_sums_{uuid.uuid4().hex}")
+    """The class-sum score from sums carried over three days of files."""
+    folder, state = work_path(spark, "days"), work_path(spark, "state")
+    for items in days(spark, sf_dir, folder):
+        final = incremental.run_to_table(incremental.running_class_sums(watched(spark, folder, items), STREAMED, "y"), state)
     return rounded(scores.class_sum_scores(incremental.long_class_sums(final, STREAMED)).drop("p_value"), "chi2_score")
 
 
 @query(f"""with {sql.table(sql.ITEMS, ['l_linenumber', 'l_linestatus'])} {sql.TESTS}
 select feature, round({sql.corrected_v('chi2')}, 8) as cramers_v, round(chi2, 6) as chi2 from tests""")
 def stream_contingency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Independence tests from counts that a stream of files kept up to date."""
-    schema = table(spark, sf_dir, "lineitem").schema
-    items = incremental.file_stream(spark, sf_dir, schema, pattern="lineitem.parquet").withColumn("y", returned())
-    running = incremental.running_cells(items, ["l_linenumber", "l_linestatus"], "y")
-    cells = incremental.run_to_table(running, f"cells_{uuid.uuid4().hex}")
+    """Independence tests from counts carried over three days of files."""
+    folder, state = work_path(spark, "days"), work_path(spark, "state")
+    for items in days(spark, sf_dir, folder):
+        cells = incremental.run_to_table(incremental.running_cells(watched(spark, folder, items), ["l_linenumber", "l_linestatus"], "y"), state)
     tests = scores.contingency_tests(con.table_of(cells, 2, 2))
     found = tests.join(scores.cramers_v(tests), "feature").select("feature", "cramers_v", "chi2")
     return rounded(rounded(found, "cramers_v", digits=8), "chi2")
 
 
-@query(f"""with {SCALED}, s0 as (select {ZEROS}), {step_sql('s1', 's0', 'base', False)} """ + " union all ".join(
-    f"select '{c}' as feature, round(abs(w{i}), 8) as importance from s1" for i, c in enumerate(NUMBERS)))
+BY_DAY = SCALED.replace("select l_linestatus as g", f"select l_linenumber % {DAYS} as g")
+
+
+@query(f"""with {BY_DAY}, s0 as (select {ZEROS}), """ + ", ".join(
+    step_sql(f"s{d + 1}", f"s{d}", f"(select * from base where g = {d})", False) for d in range(DAYS)) + " " + " union all ".join(
+    f"select '{c}' as feature, round(abs(w{i}), 8) as importance from s{DAYS}" for i, c in enumerate(NUMBERS)))
 def stream_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The carried model, fed by a stream of files."""
-    schema = table(spark, sf_dir, "lineitem").schema
-    bounds = materialize(encode.min_max(table(spark, sf_dir, "lineitem"), NUMBERS), "bounds")
-    stream = incremental.file_stream(spark, sf_dir, schema, pattern="lineitem.parquet").withColumn("y", returned())
-    path = work_path(spark, "model")
-    incremental.train_on_stream(encode.scale_by(stream, bounds, NUMBERS), NUMBERS, "y", path, lr=RATE, l2=PENALTY).awaitTermination()
+    """The model carried over three days of files, a step for each."""
+    items = table(spark, sf_dir, "lineitem")
+    bounds = materialize(encode.min_max(items, NUMBERS), "bounds")
+    folder, path = work_path(spark, "days"), work_path(spark, "model")
+    for day in range(DAYS):
+        items.withColumn("y", returned()).where(F.col("l_linenumber") % DAYS == day).write.mode("append").parquet(folder)
+        stream = incremental.file_stream(spark, folder, items.withColumn("y", returned()).schema, files_per_step=None)
+        incremental.train_on_stream(encode.scale_by(stream, bounds, NUMBERS), NUMBERS, "y", path, lr=RATE, l2=PENALTY).awaitTermination()
     found = logit.importance(logit.coefficients(incremental.latest_weights(spark, path), NUMBERS))
     return rounded(found, "importance", digits=8)

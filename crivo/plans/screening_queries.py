@@ -12,7 +12,8 @@ from crivo.plans import sql
 from crivo.plans.model_queries import mixed_steps_sql
 from crivo.plans.registry import query, rounded
 from crivo.plans.tables import table
-from crivo.shared import spread
+from crivo.shared import work_path
+from crivo.sources import files
 
 # Raw texts carry accents and outer space, and some incomes are missing.
 RAW = {
@@ -34,7 +35,7 @@ RAW = {
 
 
 def raw_enrolments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag", "l_linestatus"))
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag", "l_linestatus")
     orders = table(spark, sf_dir, "orders")
     parts = table(spark, sf_dir, "part")
     joined = items.join(orders, items.l_orderkey == orders.o_orderkey).join(parts, items.l_partkey == parts.p_partkey)
@@ -74,12 +75,6 @@ def prepare_codes_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 HOT = ["Turno", "Sexo", "Faixa Etaria", "Matricula Atendida"]
-WIDE = {
-    "Turno": ["Integral Impar", "LARGE", "MEDIUM", "Manha", "PROMO", "SMALL"],
-    "Sexo": ["F", "O", "P"],
-}
-
-
 def sums_sql(numbers: list[str]) -> str:
     """Class sums over the coded table, with missing and negative numbers as 0."""
     base = f'select *, "Alvo_Evadido" as y from ({CODED_TABLE})'
@@ -106,6 +101,63 @@ def screen_by_class_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rounded(found, "chi2_score"), "p_value", digits=8)
 
 
+TEXT_FEATURES = ["Renda Familiar", *CODED]
+TEXT_CODES = ", ".join(
+    f'(dense_rank() over (order by coalesce("{c}", \'nan\')) - 1)::integer as "{c}"' for c in CODED)
+
+
+@query(f"""with {sums_sql(TEXT_FEATURES).replace(CODED_TABLE, f'select "Renda Familiar", {TEXT_CODES}, y as "Alvo_Evadido" from ({CLEAN})')}, {SCORED}
+select feature, round(chi2_score, 6) as chi2_score, round({sql.chi2_tail('chi2_score', 'dof')}, 8) as p_value
+from sc order by chi2_score desc, feature limit 30""")
+def screen_late_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranking of a table whose categories are still text: they are encoded on the way."""
+    preset = en.Preset((), also_dropped=("Matricula Atendida",))
+    found = en.rank_by_class_sums(en.prepare(raw_enrolments(spark, sf_dir), preset).table)
+    return rounded(rounded(found, "chi2_score"), "p_value", digits=8)
+
+
+def raw_folder(spark: SparkSession, sf_dir: str) -> str:
+    """The raw enrolments as delimited files: one header per year, and the first year lacks a column.
+
+    Every fiftieth order has no income, and every seventh row of the other years no vacancy.
+    """
+    raw = raw_enrolments(spark, sf_dir).withColumn("Vagas Regulares l14", F.expr("if(`Código da Matrícula` % 7 = 0, null, 'v')"))
+    folder = work_path(spark, "raw-years")
+    for year in range(2019, 2023):
+        own = raw.where(F.col("source_file") == f"microdados_{year}").drop("source_file")
+        own = own.drop("Vagas Regulares l14") if year == 2019 else own.select(*sorted(own.columns, reverse=year % 2 == 0))
+        # Parts of one year lie in its folder, as a sink by source would leave them.
+        own.write.csv(f"{folder}/source_file=microdados_{year}", sep=";", header=True)
+    return f"{folder}/*/*.csv"
+
+
+FROM_FILES = CLEAN.replace("where o_orderkey % 50 <> 0", "where o_orderkey % 50 <> 0 and (l_linenumber % 4 = 0 or l_orderkey % 7 <> 0)")
+
+
+@query(f"""with base as ({FROM_FILES}) select 'labels' as preset, source_file, count(*) as n_rows, sum(y)::bigint as dropped_out, sum("Renda Familiar")::bigint as income
+from base group by source_file union all
+select 'one-hot', source_file, count(*), sum(y)::bigint, sum("Renda Familiar")::bigint from base group by source_file""")
+def prepare_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose headers differ to analysis tables: a column that one file lacks costs none of its rows."""
+    folder = raw_folder(spark, sf_dir)
+    counts = []
+    for name, preset in (("labels", en.LABELS), ("one-hot", en.ONE_HOT)):
+        found = en.store(en.prepare(files.read_files(spark, folder), preset)).table
+        counts.append(found.groupBy("source_file").agg(
+            F.count(F.lit(1)).alias("n_rows"), F.sum(en.TARGET).alias("dropped_out"), F.sum(con.quoted(en.INCOME)).alias("income"),
+        ).select(F.lit(name).alias("preset"), "*"))
+    return counts[0].unionByName(counts[1])
+
+
+@query(f"""with {sums_sql(TEXT_FEATURES).replace(CLEAN, FROM_FILES)}, {SCORED}
+select feature, round(chi2_score, 6) as chi2_score, round({sql.chi2_tail('chi2_score', 'dof')}, 8) as p_value
+from sc order by chi2_score desc, feature limit 30""")
+def screen_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From raw files to ranked features."""
+    found = en.rank_by_class_sums(en.prepare(files.read_files(spark, raw_folder(spark, sf_dir)), en.LABELS).table)
+    return rounded(rounded(found, "chi2_score"), "p_value", digits=8)
+
+
 def quoted_cells(columns: list[str], base: str, keep_missing: bool = False) -> str:
     """The contingency table CTEs for columns whose names hold blanks."""
     renamed = f"select y, {', '.join(f'\"{c}\" as c{i}' for i, c in enumerate(columns))} from ({base})"
@@ -167,32 +219,30 @@ def screen_one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rounded(found, "chi2_score"), "cramers_v", "p_value", digits=7)
 
 
-@query(f"""with {FULL_NUMBERS.replace(CLEAN, f'select * from ({CLEAN})')},
-hot as ({' union all '.join(f"select '{c}_{v}' as feature, y as class, sum(({chr(34)}{c}{chr(34)} = '{v}')::integer)::double as o, count(*) as n_class from base2 group by y" for c, vs in WIDE.items() for v in vs[1:])}),
-tot as (select *, sum(o) over (partition by feature) as total, sum(n_class) over (partition by feature) as n from hot),
-htot as (select * from tot union all select * from ntot),
-sums as (select feature, o, n_class, n, total, n_class::double / n * total as expected from htot),
-scored as (select feature, sum({sql.FULL_TERM}) as chi2_score, any_value(n) as n, count(*) - 1 as dof from sums where total > 0 group by feature)
+@query(f"""with {quoted_cells(ALL_HOT, CLEAN, keep_missing=True)}, {FULL_NUMBERS},
+firsts as (select feature, min(value) as first from tab group by feature),
+sums as (select t.feature || '_' || value as feature, o::double as o, col_total as n_class, n, expected
+from tab t join firsts f on t.feature = f.feature where value <> first
+union all select feature, o, n_class, n, n_class::double / n * total from ntot),
+scored as (select feature, sum({sql.FULL_TERM}) as chi2_score, any_value(n) as n, count(*) - 1 as dof from sums group by feature)
 select feature, round(chi2_score, 6) as chi2_score, round(sqrt(chi2_score / n), 7) as cramers_v,
 round({sql.chi2_tail('chi2_score', 'dof')}, 7) as p_value from scored""")
 def screen_wide_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same scores over a wide table, one 0/1 column per category."""
-    raw = raw_enrolments(spark, sf_dir).drop("Nome de Curso", "Instituição", "Faixa Etária", "Matrícula Atendida")
-    prepared = en.store(en.prepare(raw, en.ONE_HOT, wide=True))
+    """The same scores over a wide table of all six columns, one 0/1 column per category."""
+    prepared = en.store(en.prepare(raw_enrolments(spark, sf_dir), en.ONE_HOT, wide=True))
     found = en.rank_wide(prepared.table)
     return rounded(rounded(found, "chi2_score"), "cramers_v", "p_value", digits=7)
 
 
-MODEL_BASE = f"""select source_file as g, y, "Turno", "Sexo", "Faixa Etaria", "Matricula Atendida",
+MODEL_BASE = f"""select source_file as g, y, {', '.join(f'"{c}"' for c in ALL_HOT)},
 ("Renda Familiar" - min("Renda Familiar") over ()) / (max("Renda Familiar") over () - min("Renda Familiar") over () + 1e-12) as "Renda Familiar",
 f / (max(f) over () + 1e-12) as "Fonte de Financiamento"
 from (select *, (dense_rank() over (order by "Fonte de Financiamento") - 1) as f from ({CLEAN}))"""
 
 
-@query(f"""with {mixed_steps_sql(MODEL_BASE.replace('select source_file', 'select source_file', 1).replace('(select *, (dense', '(select * exclude ("Fonte de Financiamento"), (dense', 1), HOT, ['Renda Familiar', 'Fonte de Financiamento'], [None] * 5, True, 0.5, 0.001)}
+@query(f"""with {mixed_steps_sql(MODEL_BASE.replace('select source_file', 'select source_file', 1).replace('(select *, (dense', '(select * exclude ("Fonte de Financiamento"), (dense', 1), ALL_HOT, ['Renda Familiar', 'Fonte de Financiamento'], [None] * 5, True, 0.5, 0.001)}
 select feature, round(abs(sum(w) / (select count(distinct g) from base)), 8) as importance from last group by feature""")
 def screen_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Importance by averaged logistic models, one per file."""
-    raw = raw_enrolments(spark, sf_dir).drop("Nome de Curso", "Instituição")
-    prepared = en.store(en.prepare(raw, en.ONE_HOT))
+    prepared = en.store(en.prepare(raw_enrolments(spark, sf_dir), en.ONE_HOT))
     return rounded(en.rank_by_model(prepared, lr=0.5, l2=0.001), "importance", digits=8)

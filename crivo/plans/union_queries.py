@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crivo.operators import align
+from crivo.operators.clean import ABSENT
 from crivo.plans.registry import query
 from crivo.plans.tables import table
 from crivo.shared import work_path
@@ -62,14 +63,16 @@ def row_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.row_audit(table(spark, sf_dir, "lineitem"), "l_linestatus")
 
 
-@query("""select * from (values ('o_custkey', 'odd'), ('o_orderkey', 'even,odd,none'), ('o_orderpriority', 'even,none'),
-('o_orderstatus', 'odd'), ('o_totalprice', 'even,odd,none')) t("column", sources), (select count(*) as n_orders from orders)""")
+HEADERS = ("documents", "labels", "benchmark", "pages")
+COLUMNS_OF = " union all ".join(
+    f"select column_name as c, {i} as place, '{t}' as name from (describe select * from {t})" for i, t in enumerate(HEADERS))
+
+
+@query(f"""select c as "column", string_agg(name, ',' order by place) as sources from ({COLUMNS_OF}) group by c""")
 def column_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The union of all headers with the tables that have each column, and the rows behind it."""
-    frames = halves(spark, sf_dir)
-    presence = [(c, ",".join(names)) for c, names in align.column_presence(frames).items()]
-    counted = table(spark, sf_dir, "orders").agg(F.count(F.lit(1)).alias("n_orders")).select("n_orders").scalar()
-    return spark.createDataFrame(presence, "column string, sources string").withColumn("n_orders", counted)
+    """The union of all headers with the tables that have each column."""
+    presence = align.column_presence({t: table(spark, sf_dir, t) for t in HEADERS})
+    return spark.createDataFrame([(c, ",".join(names)) for c, names in presence.items()], "column string, sources string")
 
 
 @query("select 'none' as source_file union all select n_name from nation where n_nationkey not in (select c_nationkey from customer where c_nationkey % 4 > 0)")
@@ -77,7 +80,8 @@ def empty_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listed sources without any row."""
     nations = table(spark, sf_dir, "nation").select(F.col("n_name").alias("source_file"), "n_nationkey")
     customers = table(spark, sf_dir, "customer").where("c_nationkey % 4 > 0")
-    rows = customers.join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey"))
+    # AQE decides: a few nations here, whatever a caller has elsewhere.
+    rows = customers.join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
     listed = nations.select("source_file").unionByName(spark.createDataFrame([("none",)], "source_file string"))
     return align.empty_sources(rows, listed)
 
@@ -97,16 +101,31 @@ def raw_files(spark: SparkSession, sf_dir: str) -> list[str]:
 @query("""select o_orderkey as "Codigo", case when o_custkey % 5 > 0 then o_totalprice end as "Preco", o_orderstatus as "Situacao", null::varchar as "Prioridade" from orders where o_orderkey % 2 = 0
 union all select o_orderkey, null, o_orderstatus, o_orderpriority from orders where o_orderkey % 2 = 1""")
 def read_differing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files with other headers, read by name, typed from a sample, missing tokens as null."""
-    texts = files.read_files(spark, raw_files(spark, sf_dir))
-    return files.apply_types(texts, {**files.infer_types(texts), "Preco": "double"}).drop(files.SOURCE)
+    """Files with other headers, read by name, typed by all their values, missing tokens as null."""
+    texts = files.read_files(spark, raw_files(spark, sf_dir)).drop(ABSENT)
+    return files.apply_types(texts, files.infer_types(texts)).drop(files.SOURCE)
+
+
+@query("""select o_orderkey as "Codigo", case when o_orderkey > (select max(o_orderkey) - 5 from orders) then o_orderkey + 0.5 else o_orderkey end::double as "Valor",
+case when o_orderkey = (select max(o_orderkey) from orders) then 'x' else cast(o_orderkey as varchar) end as "Texto" from orders""")
+def types_of_late_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole numbers with a few fractions, or one text, far down: no value is lost."""
+    orders = table(spark, sf_dir, "orders")
+    last = orders.agg(F.max("o_orderkey").alias("m")).scalar()
+    whole = F.col("o_orderkey").cast("string")
+    value = F.when(F.col("o_orderkey") > last - 5, (F.col("o_orderkey") + 0.5).cast("string")).otherwise(whole).alias("Valor")
+    text = F.when(F.col("o_orderkey") == last, F.lit("x")).otherwise(whole).alias("Texto")
+    folder = work_path(spark, "late")
+    orders.select(F.col("o_orderkey").alias("Codigo"), value, text).write.csv(folder, sep=";", header=True)
+    texts = files.read_files(spark, f"{folder}/*.csv")
+    return files.apply_types(texts, files.infer_types(texts)).drop(files.SOURCE)
 
 
 @query("""select 'Codigo' as "column", 'bigint' as type, 0::bigint as lost union all
 select 'Preco', 'bigint', count(*) from orders where o_orderkey % 2 = 0 and o_custkey % 5 > 0 and o_totalprice <> trunc(o_totalprice)""")
 def type_misfits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values that a declared type would lose."""
-    texts = files.read_files(spark, raw_files(spark, sf_dir))
+    texts = files.read_files(spark, raw_files(spark, sf_dir)).drop(ABSENT)
     whole = texts.withColumn("Preco", F.expr("if(`Preco` like '%.0', substring_index(`Preco`, '.', 1), `Preco`)"))
     return files.misfits(whole, {"Codigo": "bigint", "Preco": "bigint", "Situacao": "string"})
 
@@ -118,4 +137,19 @@ def consolidate_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem").select("l_quantity", "l_tax", "l_returnflag", F.col("l_linestatus").alias("source_file"))
     parts, whole = work_path(spark, "parts"), work_path(spark, "whole")
     sinks.write_partitions(items, parts)
-    return sinks.write_consolidated(spark.read.parquet(parts), whole)
+    return sinks.write_consolidated(spark.read.schema(items.schema).parquet(parts), whole)
+
+
+@query("""select '0' || (l_linenumber % 4) || '/a b+c' as source_file, count(*) as n_rows, sum(l_quantity)::double as quantity
+from lineitem group by all""")
+def parts_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delimited parts keep their source through two rewrites, whatever signs its name holds."""
+    source = F.concat(F.lit("0"), F.col("l_linenumber") % 4, F.lit("/a b+c")).alias(files.SOURCE)
+    items = table(spark, sf_dir, "lineitem").select("l_quantity", "l_linenumber", source)
+    first, second = work_path(spark, "parts"), work_path(spark, "parts")
+    sinks.write_delimited_partitions(items, first)
+    once = files.read_files(spark, f"{first}/*/*.csv", sep=",")
+    sinks.write_delimited_partitions(once, second)
+    again = files.read_files(spark, f"{second}/*/*.csv", sep=",")
+    typed = files.apply_types(again, files.infer_types(again))
+    return typed.groupBy(files.SOURCE).agg(F.count(F.lit(1)).alias("n_rows"), F.sum("l_quantity").alias("quantity"))

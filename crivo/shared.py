@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import lru_cache
@@ -9,25 +10,26 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A side is broadcast only when its row count is known to be at most this.
-BROADCAST_ROWS = 1_000_000
+# All broadcasts of one plan together take at most so many bytes, by measure or proof.
+BROADCAST_BYTES = 64 << 20
 
 
 @lru_cache(maxsize=1)
-def _local_dir() -> str:
+def _test_dir() -> str:
     return "file://" + tempfile.mkdtemp(prefix="crivo-")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    A machine-local folder is used only for a ``local`` master.
+    Where it is unset, as in tests, a session of one process takes a temporary folder; on a
+    cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        return _local_dir()
+    if re.match(r"local($|\[)", spark.sparkContext.master):
+        return _test_dir()
     raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
 
 
@@ -46,41 +48,57 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Deal the rows of a plain scan to all cores when it has fewer splits than cores.
-
-    Files of one row group cannot be split, which leaves cores idle on small inputs; a
-    large input has splits enough and passes unchanged.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+class BroadcastBudget:
+    """Bytes that the broadcasts of one plan may take together."""
 
+    def __init__(self, most: int | None = None) -> None:
+        self.left = BROADCAST_BYTES if most is None else most
 
-def broadcast_if_bounded(df: DataFrame, rows: int | None) -> DataFrame:
-    """Hint a broadcast when ``rows``, a proven upper bound, is small.
-
-    With no known bound the join is left to adaptive execution, which decides on
-    the measured size.
-    """
-    return F.broadcast(df) if rows is not None and rows <= BROADCAST_ROWS else df
+    def take(self, size: int | None) -> bool:
+        """May a table of at most ``size`` bytes be broadcast? If so, it counts."""
+        fits = size is not None and size <= self.left
+        self.left -= size if fits else 0
+        return fits
 
 
 def lookup(
     df: DataFrame,
     table: DataFrame,
     keys: list[str],
-    rows: int | None,
+    size: int | None,
     salts: int = 16,
+    budget: BroadcastBudget | None = None,
 ) -> DataFrame:
-    """Left join ``df`` to ``table`` (unique on ``keys``) without letting a hot key pile up.
+    """Left join ``df`` to ``table`` without letting a hot key pile up.
 
-    A table of known small size is broadcast. Otherwise both sides are shuffled on the
-    keys and a salt: each input partition of ``df`` sends a key to one salt, and the
-    table is repeated once per salt, so a key holding a third of all rows is spread
-    over ``salts`` tasks.
+    A table known to take at most ``size`` bytes is broadcast if the budget allows it.
+    Otherwise both sides are shuffled on the keys and a salt: each input partition of
+    ``df`` sends a key to one salt, and the table is repeated once per salt, so a key
+    holding a third of all rows is spread over ``salts`` tasks.
     """
-    if rows is not None and rows <= BROADCAST_ROWS:
+    if (budget or BroadcastBudget()).take(size):
         return df.join(F.broadcast(table), keys, "left")
     salted = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
     copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [*keys, "_salt"], "left").drop("_salt")
+
+
+def measured(df: DataFrame) -> int:
+    """Rows of a small written table in bytes: eight per value and row, and the length of its texts."""
+    texts = [f.name for f in df.schema.fields if f.dataType.typeName() in ("string", "varchar", "char", "binary")]
+    length = sum((F.coalesce(F.octet_length(F.col("`" + c.replace("`", "``") + "`")), F.lit(0)) for c in texts), F.lit(16 + 8 * len(df.columns)))
+    return df.agg(F.coalesce(F.sum(length.cast("long")), F.lit(0))).first()[0]
+
+
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete written intermediates that nobody reads any more.
+
+    Only folders under the shared folder go, and only files that ``tables`` read alone.
+    """
+    root = f"{shared_dir(spark)}/crivo/"
+    for table in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            home = spark._jvm.org.apache.hadoop.fs.Path(root)
+            if path.toUri().getPath().startswith(home.toUri().getPath()):
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import csv
+import re
+import warnings
 from collections import defaultdict
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crivo.functions.text import NA_VALUES, na_to_null, normalize_name
+from crivo.functions.text import NA_VALUES, base_name, na_to_null, normalize_name
 from crivo.operators.align import aligned_union, consolidated
+from crivo.operators.clean import ABSENT
 from crivo.operators.contingency import quoted
 
 SOURCE = "source_file"
+# Holds the text of a record that does not fit its header.
+CORRUPT = "_corrupt_record"
 # Columns whose type the reference declares.
 DECLARED_TYPES = {
     "Carga Horaria": "double",
@@ -34,28 +39,70 @@ def input_files(spark: SparkSession, paths: str | Sequence[str]) -> list[str]:
     return files
 
 
-def header(spark: SparkSession, path: str, sep: str = ";") -> tuple[str, ...]:
-    """Column names of one file; reads its first line only."""
-    return tuple(spark.read.csv(path, sep=sep, header=True, encoding="UTF-8").columns)
+def plain_path(path: str) -> str:
+    """A path spelled alike however many slashes Spark puts after its scheme."""
+    return re.sub(r"^([a-zA-Z][a-zA-Z0-9+.-]*):/+", r"\1:/", path) if path.startswith("file:") else path
 
 
-def headers(spark: SparkSession, files: Sequence[str], sep: str = ";", threads: int = 16) -> dict[str, tuple[str, ...]]:
-    """Column names of many files, read concurrently."""
-    with ThreadPoolExecutor(threads) as pool:
-        return dict(zip(files, pool.map(lambda f: header(spark, f, sep), files)))
+def headers(spark: SparkSession, files: Sequence[str], sep: str = ";") -> dict[str, tuple[str, ...]]:
+    """Column names by file from one job, which reads the first block of each file.
+
+    A file without any line has none.
+    """
+    return {path: names for path, (names, _) in _first_lines(spark, files, sep).items()}
+
+
+def _first_lines(spark: SparkSession, files: Sequence[str], sep: str) -> dict[str, tuple[tuple[str, ...], bool]]:
+    """Column names by file, and whether any line follows them."""
+    lines = spark.read.text(list(files)).select(
+        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+    # The first block of a file is read by one task, in order.
+    found = lines.where("start = 0").groupBy("path").agg(
+        F.first("value").alias("line"), F.count_if(F.length(F.trim("value")) > 0).alias("n")).collect()
+    known = {plain_path(unquote(r["path"])): (tuple(next(csv.reader([r["line"].lstrip("\ufeff")], delimiter=sep), [])), r["n"] > 1) for r in found}
+    return {f: known.get(plain_path(f), ((), False)) for f in files}
+
+
+def source_names(files: Sequence[str]) -> Column:
+    """The source of a row: the partition folder's value, or else the name of its file.
+
+    Parts written by source are in folders ``source_file=...``, which keep the source through
+    any number of rewrites. Other files are named without folder and extension, or, if two
+    would get the same name, with their folders.
+    """
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    folder = F.regexp_extract(path, f"/{SOURCE}=([^/]*)/", 1)
+    others = [unquote(f) for f in files if f"/{SOURCE}=" not in f]
+    short = [re.sub(r"(?<=.)\.[^.]*$", "", f.rsplit("/", 1)[-1]) for f in others]
+    named = base_name(path) if len(set(short)) == len(short) else F.regexp_replace(path, r"(?<=[^/])\.[^./]*$", "")
+    # Spark escapes signs in folder names once more.
+    return F.when(path.contains(f"/{SOURCE}="), F.try_url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))).otherwise(named)
 
 
 def read_group(
-    spark: SparkSession, files: Sequence[str], names: Sequence[str], sep: str, na_values: Sequence[str]
+    spark: SparkSession, files: Sequence[str], names: Sequence[str], sep: str, na_values: Sequence[str],
+    source: Column, malformed: str = "fail", multi_line: bool = False,
 ) -> DataFrame:
-    """Files of one header as text columns with clean names, plus the file name."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
-    raw = spark.read.csv(
+    """Files of one header as text columns with clean names, plus the source."""
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, CORRUPT]])
+    # Records are split whole whatever is selected later, or a wrong number of fields would pass.
+    raw = spark.read.option("columnPruning", "false").csv(
         list(files), schema=schema, sep=sep, header=True, encoding="UTF-8", enforceSchema=True,
-        escape='"', multiLine=False,
+        escape='"', multiLine=multi_line, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT,
     )
+    bad = quoted(CORRUPT).isNotNull()
+    # A condition on the corrupt text must name another column too.
+    first = F.coalesce(F.octet_length(quoted(names[0])), F.lit(0))
+    if malformed == "fail":
+        told = F.concat(F.lit("malformed record in "), F.col("_metadata.file_path"), F.lit(": "), F.substring(quoted(CORRUPT), 1, 200), F.substring(F.lit(""), 1, first))
+        raw = raw.where(F.when(bad, F.raise_error(told).cast("boolean")).otherwise(F.lit(True)))
+    elif malformed == "drop":
+        raw = raw.where(F.when(bad, first < 0).otherwise(F.lit(True)))
+    elif malformed != "keep":
+        raise ValueError(f"malformed must be fail, drop or keep: {malformed}")
     values = [na_to_null(quoted(c), tuple(na_values)).alias(normalize_name(c)) for c in names]
-    return raw.select(*values, F.col("_metadata.file_name").alias(SOURCE))
+    extra = [quoted(CORRUPT)] if malformed == "keep" else []
+    return raw.select(*values, source.alias(SOURCE), *extra)
 
 
 def read_files(
@@ -64,47 +111,81 @@ def read_files(
     sep: str = ";",
     fill: object | None = None,
     na_values: Sequence[str] = NA_VALUES,
+    malformed: str = "fail",
+    multi_line: bool = False,
 ) -> DataFrame:
     """All files as one table of text columns with normalised names and a ``source_file``.
 
     Files are grouped by header and every group is one scan, because a single scan over
     differing headers would match columns by position. Groups are united by name; a
-    column a group lacks is missing, or holds ``fill``.
+    column a group lacks is missing, or holds ``fill``. Where it is missing, ``ABSENT`` lists
+    the columns the row's file does not have, so that dropping incomplete rows can tell
+    a missing value from a missing column.
+
+    A record with too many or too few fields fails the query; ``malformed`` may also
+    ``drop`` such records, or ``keep`` them with their text in ``CORRUPT`` (see
+    `malformed_records`). ``multi_line`` reads quoted line breaks, at the price of one task
+    per file. Files without rows are named in a warning; if no file has any, that is an error.
     """
+    files = input_files(spark, paths)
+    first = _first_lines(spark, files, sep)
+    empty = [f for f, (_, more) in first.items() if not more]
+    if len(empty) == len(files):
+        raise ValueError(f"none of the inputs holds data: {paths}")
+    if empty:
+        warnings.warn(f"input files without rows: {empty}", stacklevel=2)
     groups = defaultdict(list)
-    for path, names in headers(spark, input_files(spark, paths), sep).items():
-        groups[names].append(path)
-    frames = [read_group(spark, files, names, sep, na_values) for names, files in groups.items()]
+    for path, (names, _) in first.items():
+        if names:
+            groups[names].append(path)
+    source = source_names(files)
+    frames = [read_group(spark, group, names, sep, na_values, source, malformed, multi_line) for names, group in groups.items()]
     for frame in frames:
         folded = [c.lower() for c in frame.columns]
         if len(set(folded)) < len(folded):
             raise ValueError(f"column names collide after normalisation: {sorted(frame.columns)}")
     if fill is None:
+        every = {c for frame in frames for c in frame.columns}
+        absent = [sorted(every - set(frame.columns)) for frame in frames]
+        if any(absent):
+            frames = [f.withColumn(ABSENT, F.array(*map(F.lit, a)).cast("array<string>")) for f, a in zip(frames, absent)]
         return consolidated(frames)
     names = sorted({c for f in frames for c in f.columns} - {SOURCE})
     return aligned_union(frames, str(fill), [*names, SOURCE])
 
 
+def malformed_records(spark: SparkSession, paths: str | Sequence[str], sep: str = ";", multi_line: bool = False) -> DataFrame:
+    """Records per source that do not fit their header: ``source_file, malformed``."""
+    kept = read_files(spark, paths, sep, malformed="keep", multi_line=multi_line)
+    texts = [c for c in kept.columns if c not in (SOURCE, CORRUPT, ABSENT)]
+    bad = quoted(CORRUPT).isNotNull() & (F.coalesce(*[F.octet_length(quoted(c)) for c in texts], F.lit(0)) >= 0)
+    return kept.groupBy(SOURCE).agg(F.count_if(bad).alias("malformed"))
+
+
 def infer_types(
-    df: DataFrame, sample_rows: int = 1000, declared: dict[str, str] = DECLARED_TYPES
+    df: DataFrame, declared: dict[str, str] = DECLARED_TYPES, allow_loss: bool = False
 ) -> dict[str, str]:
-    """A type per text column: declared, or the narrowest number that fits a first sample.
+    """A type per text column: declared, or the narrowest of bigint, double and string that fits all values.
 
-    Only ``sample_rows`` rows are looked at. The sample decides types, never values.
+    One aggregate over all rows. A declared type that would lose a value is an error unless
+    ``allow_loss``; `misfits` counts such values.
     """
-    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name != SOURCE]
-    sample = df.limit(sample_rows)
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name not in (SOURCE, CORRUPT)]
     tests = []
     for i, c in enumerate(texts):
         filled = quoted(c).isNotNull()
-        tests.append(F.coalesce(F.bool_and(F.when(filled, quoted(c).try_cast("bigint").isNotNull())), F.lit(False)).alias(f"i{i}"))
-        tests.append(F.coalesce(F.bool_and(F.when(filled, quoted(c).try_cast("double").isNotNull())), F.lit(False)).alias(f"d{i}"))
-    found = sample.agg(*tests).first() if tests else None
-    types = {}
-    for i, c in enumerate(texts):
-        guessed = "bigint" if found[f"i{i}"] else "double" if found[f"d{i}"] else "string"
-        types[c] = declared.get(c, guessed)
-    return types
+        kinds = {"declared": declared[c]} if c in declared else {"bigint": "bigint", "double": "double"}
+        for name, kind in kinds.items():
+            fits = F.bool_and(F.when(filled, quoted(c).try_cast(kind).isNotNull()))
+            tests.append(F.coalesce(fits, F.lit(c in declared)).alias(f"{name}{i}"))
+    found = df.agg(*tests).first() if tests else None
+    lossy = [c for i, c in enumerate(texts) if c in declared and not found[f"declared{i}"]]
+    if lossy and not allow_loss:
+        raise ValueError(f"values that do not fit the declared type in: {lossy}")
+    return {
+        c: declared[c] if c in declared else "bigint" if found[f"bigint{i}"] else "double" if found[f"double{i}"] else "string"
+        for i, c in enumerate(texts)
+    }
 
 
 def apply_types(df: DataFrame, types: dict[str, str]) -> DataFrame:
@@ -136,5 +217,3 @@ def read_encoded(spark: SparkSession, paths: str | Sequence[str], target: str, s
         quoted(c) if c == SOURCE else quoted(c).try_cast("int" if c == target else "double").alias(c)
         for c in texts.columns
     ])
-
-

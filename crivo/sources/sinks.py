@@ -12,22 +12,19 @@ from crivo.operators.encode import Labels
 from crivo.shared import materialize
 from crivo.sources.files import SOURCE
 
-# Results up to this many rows may go through one task into one file.
-SINGLE_FILE_ROWS = 1_000_000
-
-
 def write_partitions(df: DataFrame, path: str, source: str = SOURCE, rows_per_file: int = 5_000_000) -> None:
-    """Parquet parts in one folder per source file; nothing is shuffled.
+    """Parquet parts in one folder per source file.
 
-    Every task writes its own rows, split by size, so one large source is spread over
-    many files. An earlier output is replaced.
+    Rows are brought together by source; adaptive execution splits a large source over
+    several tasks and files. An earlier output is replaced.
     """
-    df.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy(source).parquet(path)
+    spread = df.hint("rebalance", source)
+    spread.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy(source).parquet(path)
 
 
 def write_delimited_partitions(df: DataFrame, path: str, source: str = SOURCE, sep: str = ",") -> None:
     """Delimited parts in one folder per source file, each with a header."""
-    df.write.mode("overwrite").partitionBy(source).csv(path, sep=sep, header=True, encoding="UTF-8")
+    df.hint("rebalance", source).write.mode("overwrite").partitionBy(source).csv(path, sep=sep, header=True, encoding="UTF-8")
 
 
 def write_consolidated(df: DataFrame, path: str, source: str = SOURCE) -> DataFrame:
@@ -36,54 +33,48 @@ def write_consolidated(df: DataFrame, path: str, source: str = SOURCE) -> DataFr
     return row_audit(df.sparkSession.read.schema(df.schema).parquet(path), source)
 
 
-def write_result(df: DataFrame, path: str, order: Sequence = (), rows: int = SINGLE_FILE_ROWS) -> bool:
-    """A result table as CSV with a header, in one file when it is small.
+def write_result(df: DataFrame, path: str, order: Sequence = (), single_file: bool = True) -> None:
+    """A result table as CSV with a header.
 
-    Larger results are written whole as a range-sorted folder of files. Returns whether
-    one file was written.
+    A score table has a row per feature and goes into one file, through one task, whatever
+    its size; without ``single_file`` it is a folder of range-sorted files.
     """
-    result = materialize(df, "result")
-    small = result.count() <= rows
-    ordered = result.orderBy(*order) if order else result
-    (ordered.coalesce(1) if small else ordered).write.mode("overwrite").csv(path, header=True, encoding="UTF-8")
-    return small
+    ordered = df.orderBy(*order) if order else df
+    if single_file:
+        # Only the writing goes through one task; the sort before it does not.
+        ordered = materialize(df, "result").coalesce(1)
+        ordered = ordered.sortWithinPartitions(*order) if order else ordered
+    ordered.write.mode("overwrite").csv(path, header=True, encoding="UTF-8")
 
 
 def label_mapping(labels: Labels, columns: Sequence[str]) -> DataFrame:
     """One JSON object per column, ``{value: code}`` in code order: ``column, mapping``.
 
-    Only for dictionaries that fit one row; see `write_labels` for larger ones.
+    A column's dictionary is one row; `write_labels` can also write an entry per line.
     """
-    entries = sum(labels.sizes.get(c, 0) for c in columns)
-    if entries > SINGLE_FILE_ROWS:
-        raise ValueError(f"{entries} label entries do not fit one row per column; use write_labels")
     chosen = labels.frame.where(F.col("column").isin(*columns))
     pairs = F.sort_array(F.collect_list(F.struct("code", "value")))
     entries = F.transform(pairs, lambda p: F.struct(p["value"], p["code"]))
     return chosen.groupBy("column").agg(F.to_json(F.map_from_entries(entries)).alias("mapping"))
 
 
-def write_labels(labels: Labels, columns: Sequence[str], path: str, rows: int = SINGLE_FILE_ROWS) -> bool:
-    """Export the dictionary as JSON.
+def write_labels(labels: Labels, columns: Sequence[str], path: str, one_object: bool = True) -> None:
+    """Export the dictionary as JSON: one object ``{column: {value: code}}``.
 
-    Small ones become one object ``{column: {value: code}}``; a dictionary with more
-    entries is written whole as JSON lines, one entry each, in a folder per column.
-    Returns whether one object was written.
+    Without ``one_object`` it is JSON lines, one entry each, in a folder per column, for
+    dictionaries that no single row should hold. The caller chooses; size does not.
     """
     present = [c for c in columns if c in labels.sizes]
-    if sum(labels.sizes[c] for c in present) <= rows:
-        mapping = label_mapping(labels, present).agg(
-            F.sort_array(F.collect_list(F.struct("column", "mapping"))).alias("all")
-        )
-        text = F.concat(
-            F.lit("{"),
-            F.array_join(F.transform("all", lambda m: F.concat(_json_text(m["column"]), F.lit(":"), m["mapping"])), ","),
-            F.lit("}"),
-        )
-        mapping.select(text.alias("value")).coalesce(1).write.mode("overwrite").text(path)
-        return True
-    labels.frame.where(F.col("column").isin(*present)).write.mode("overwrite").partitionBy("column").json(path)
-    return False
+    if not one_object:
+        labels.frame.where(F.col("column").isin(*present)).write.mode("overwrite").partitionBy("column").json(path)
+        return
+    mapping = label_mapping(labels, present).agg(F.sort_array(F.collect_list(F.struct("column", "mapping"))).alias("all"))
+    text = F.concat(
+        F.lit("{"),
+        F.array_join(F.transform("all", lambda m: F.concat(_json_text(m["column"]), F.lit(":"), m["mapping"])), ","),
+        F.lit("}"),
+    )
+    mapping.select(text.alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
 def _json_text(c):

@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from crivo.operators.contingency import quoted, with_totals
+from crivo.operators.contingency import _number, quoted, with_totals
 from crivo.operators.logit import _design, _zeros, updated_weights
-from crivo.shared import materialize, work_path
 
 
-def file_stream(spark: SparkSession, folder: str, schema: T.StructType, files_per_step: int = 1, pattern: str | None = None) -> DataFrame:
-    """Parquet files of a folder as a stream, a few files per step."""
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_step)
+def file_stream(spark: SparkSession, folder: str, schema: T.StructType, files_per_step: int | None = 1, pattern: str | None = None) -> DataFrame:
+    """Parquet files of a folder as a stream, a few files per step, or all new ones."""
+    reader = spark.readStream.schema(schema)
+    if files_per_step:
+        reader = reader.option("maxFilesPerTrigger", files_per_step)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     return reader.parquet(folder)
@@ -29,7 +30,7 @@ def running_class_sums(stream: DataFrame, features: Sequence[str], target: str)
         .groupBy(quoted(target).alias("class"))
         .agg(
             F.count(F.lit(1)).alias("n_class"),
-            *[F.coalesce(F.sum(quoted(c).cast("double")), F.lit(0.0)).alias(c) for c in features],
+            *[F.coalesce(F.sum(_number(stream, c)), F.lit(0.0)).alias(c) for c in features],
         )
     )
 
@@ -46,18 +47,26 @@ def running_cells(stream: DataFrame, features: Sequence[str], target: str) -> Da
     return long.groupBy("feature", "value", F.col("_class").alias("class")).agg(F.count(F.lit(1)).alias("o"))
 
 
-def run_to_table(running: DataFrame, name: str) -> DataFrame:
-    """Process everything available and give the final state of a small running aggregate."""
+def run_to_table(running: DataFrame, path: str) -> DataFrame:
+    """Process everything new and give the running aggregate as it then is.
+
+    Every step writes the whole state as Parquet to ``path/step=i``. A later call with the
+    same ``path`` goes on from the state before it, with the files that came since.
+    """
     spark = running.sparkSession
+
+    def step(state: DataFrame, number: int) -> None:
+        state.write.mode("overwrite").parquet(f"{path}/step={number}")
+
     query = (
-        running.writeStream.outputMode("complete").format("memory").queryName(name)
-        .option("checkpointLocation", work_path(spark, "stream"))
+        running.writeStream.outputMode("complete").foreachBatch(step)
+        .option("checkpointLocation", f"{path}/_checkpoint")
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    final = materialize(spark.table(name), "stream")
-    spark.catalog.dropTempView(name)
-    return final
+    schema = T.StructType([*running.schema.fields, T.StructField("step", T.IntegerType())])
+    steps = spark.read.schema(schema).parquet(path)
+    return steps.where(F.col("step") == steps.agg(F.max("step").alias("step")).scalar()).drop("step")
 
 
 def long_class_sums(wide: DataFrame, features: Sequence[str]) -> DataFrame:

@@ -4,7 +4,8 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from crivo.operators import align, compare
+from crivo.operators import align, clean, compare
+from crivo.operators.clean import ABSENT
 from crivo.sources import files, sinks
 
 
@@ -23,8 +24,8 @@ def folder(tmp_path):
 def test_files_match_by_name_not_by_position(spark, folder):
     df = files.read_files(spark, f"{folder}/*.csv").select("Codigo", "Situacao", "Idade", "Preco", "source_file")
     assert rows(df.na.fill("-")) == [
-        ("1", "a", "20", "-", "m_2021.csv"), ("2", "-", "x", "-", "m_2021.csv"),
-        ("3", "-", "30", "1;5", "m_2022.csv"), ("4", "-", "-", 'q"x', "m_2022.csv"),
+        ("1", "a", "20", "-", "m_2021"), ("2", "-", "x", "-", "m_2021"),
+        ("3", "-", "30", "1;5", "m_2022"), ("4", "-", "-", 'q"x', "m_2022"),
     ]
 
 
@@ -34,15 +35,66 @@ def test_fill_does_not_touch_real_missing_values(spark, folder):
     assert got == {"1": ("a", "0"), "2": (None, "0"), "3": ("0", "1;5"), "4": ("0", 'q"x')}
 
 
-def test_types_from_a_sample(spark, folder):
-    df = files.read_files(spark, f"{folder}/*.csv")
-    types = files.infer_types(df)
+def test_types_fit_every_value(spark, folder):
+    df = files.read_files(spark, f"{folder}/*.csv").drop(ABSENT)
+    with pytest.raises(ValueError, match="Idade"):
+        files.infer_types(df)
+    types = files.infer_types(df, allow_loss=True)
     assert types == {"Codigo": "bigint", "Situacao": "string", "Idade": "double", "Preco": "string"}
     assert rows(files.misfits(df, types)) == [("Codigo", "bigint", 0), ("Idade", "double", 1)]
     typed = files.apply_types(df, types)
     assert sorted((r["Codigo"], r["Idade"]) for r in typed.collect())[:2] == [(1, 20.0), (2, None)]
 
 
+def test_types_of_values_far_down_and_of_later_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x;y\n" + "1;1\n" * 1500 + "2.5;z\n" * 500)
+    (tmp_path / "b.csv").write_text("x;only_z\n7;9\n")
+    df = files.read_files(spark, f"{tmp_path}/*.csv")
+    types = files.infer_types(df)
+    assert types == {"x": "double", "y": "string", "only_z": "bigint"}
+    assert files.apply_types(df, types).where("x is null").count() == 0
+
+
+def test_a_column_that_a_file_lacks_costs_no_rows(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x;y\n" + "1;2\n" * 5)
+    (tmp_path / "b.csv").write_text("x;y;z\n" + "1;2;3\n" * 4 + "1;2;\n")
+    kept = clean.drop_incomplete(files.read_files(spark, f"{tmp_path}/*.csv"))
+    assert rows(kept.groupBy("source_file").count()) == [("a", 5), ("b", 4)]
+
+
+@pytest.mark.parametrize("line", ["1;2;3;4", "5;6", '7;"a\nb";9'])
+def test_malformed_records_fail(spark, tmp_path, line):
+    (tmp_path / "a.csv").write_text(f"x;y;z\n1;2;3\n{line}\n")
+    df = files.read_files(spark, f"{tmp_path}/*.csv")
+    for chosen in (df, df.select("x"), df.groupBy("y").count()):
+        with pytest.raises(Exception, match="malformed record"):
+            chosen.collect()
+    dropped = files.read_files(spark, f"{tmp_path}/*.csv", malformed="drop")
+    assert dropped.select("x").collect()[0]["x"] == "1"
+    assert files.malformed_records(spark, f"{tmp_path}/*.csv").first()["malformed"] >= 1
+
+
+def test_quoted_line_breaks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('x;y\n1;"a\nb"\n2;c\n')
+    df = files.read_files(spark, f"{tmp_path}/*.csv", multi_line=True)
+    assert rows(df.select("x", "y")) == [("1", "a\nb"), ("2", "c")]
+
+
+def test_files_of_one_name_in_two_folders_are_two_sources(spark, tmp_path):
+    for folder in ("one", "two"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "part.csv").write_text("x\n1\n")
+    found = [r[0] for r in files.read_files(spark, f"{tmp_path}/*/*.csv").select("source_file").distinct().collect()]
+    assert sorted(f.rsplit("/", 2)[-2:] for f in found) == [["one", "part"], ["two", "part"]]
+
+
+def test_no_rows_at_all_fail(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x;y\n")
+    (tmp_path / "b.csv").write_text("")
+    with pytest.raises(ValueError, match="holds data"):
+        files.read_files(spark, f"{tmp_path}/*.csv")
+
+
 def test_missing_input_fails(spark, folder):
     with pytest.raises((AnalysisException, FileNotFoundError)):
         files.read_files(spark, f"{folder}/none_*.csv")
@@ -55,9 +107,10 @@ def test_headers_only(spark, folder):
 
 
 def test_empty_files_are_named(spark, folder):
-    df = files.read_files(spark, f"{folder}/*.csv")
-    listed = spark.createDataFrame([(f"m_{y}.csv",) for y in (2021, 2022, 2023)], "source_file string")
-    assert rows(align.empty_sources(df, listed)) == [("m_2023.csv",)]
+    with pytest.warns(UserWarning, match="m_2023"):
+        df = files.read_files(spark, f"{folder}/*.csv")
+    listed = spark.createDataFrame([(f"m_{y}",) for y in (2021, 2022, 2023)], "source_file string")
+    assert rows(align.empty_sources(df, listed)) == [("m_2023",)]
     with pytest.raises(ValueError, match="holds data"):
         align.require_rows(df.where("Codigo = 'none'"))
 
@@ -68,11 +121,11 @@ def test_parts_round_trip(spark, folder, tmp_path):
     back = spark.read.parquet(str(tmp_path / "parts"))
     assert rows(back.na.fill("-")) == rows(df.na.fill("-"))
     audit = sinks.write_consolidated(back, str(tmp_path / "whole"))
-    assert rows(audit) == [("(total)", 4, 2), ("m_2021.csv", 2, 2), ("m_2022.csv", 2, 2)]
+    assert rows(audit) == [("(total)", 4, 2), ("m_2021", 2, 2), ("m_2022", 2, 2)]
     sinks.write_delimited_partitions(df, str(tmp_path / "csv"))
     again = files.read_encoded(spark, f"{tmp_path}/csv/*/*.csv", "Codigo")
     assert again.schema["Codigo"].dataType.simpleString() == "int"
-    assert again.count() == 4
+    assert rows(again.groupBy("source_file").count()) == [("m_2021", 2), ("m_2022", 2)]
 
 
 def test_encoded_parts_with_other_columns(spark, tmp_path):
@@ -84,13 +137,13 @@ def test_encoded_parts_with_other_columns(spark, tmp_path):
 
 def test_results_in_one_file_or_several(spark, tmp_path):
     df = spark.range(10).select(F.concat(F.lit("f"), "id").alias("feature"), F.rand(1).alias("s"))
-    assert sinks.write_result(df, str(tmp_path / "small"), [F.col("s").desc()])
-    written = list((tmp_path / "small").glob("*.csv"))
+    sinks.write_result(df, str(tmp_path / "one"), [F.col("s").desc()])
+    written = list((tmp_path / "one").glob("*.csv"))
     assert len(written) == 1
     values = [float(line.split(",")[1]) for line in written[0].read_text().splitlines()[1:]]
-    assert values == sorted(values, reverse=True)
-    assert not sinks.write_result(df, str(tmp_path / "large"), rows=3)
-    assert spark.read.csv(str(tmp_path / "large"), header=True).count() == 10
+    assert len(values) == 10 and values == sorted(values, reverse=True)
+    sinks.write_result(df, str(tmp_path / "many"), single_file=False)
+    assert spark.read.csv(str(tmp_path / "many"), header=True).count() == 10
 
 
 def test_aligned_union_keeps_rows(spark):
@@ -124,6 +177,12 @@ def test_verdicts(spark):
     assert verdict(spark, far, base=filled) == "different"
     assert verdict(spark, BASE[:2]) == "different"
     assert verdict(spark, [r[:3] for r in BASE], "feature string, chi2_score double, cramers_v double") == "different"
+    # A column that is no metric counts too.
+    extra = SCHEMA + ", note string"
+    noted = [(*r, "n") for r in filled]
+    a = spark.createDataFrame(noted, extra)
+    assert compare.verdict(a, a).first()[0] == "identical"
+    assert compare.verdict(a, a.withColumn("note", F.lit("m"))).first()[0] == "different"
     # Missing on both sides is identical, but not close once anything else differs.
     assert verdict(spark, [("a", 9.0 + 1e-7, 0.9, 0.01), *BASE[1:]]) == "different"
 

@@ -115,13 +115,13 @@ def file_folder(spark, df, tmp_path_factory):
     return str(folder)
 
 
-def test_streamed_sums_equal_batch(spark, df, file_folder):
+def test_streamed_sums_equal_batch(spark, df, file_folder, tmp_path):
     stream = incremental.file_stream(spark, f"{file_folder}/*", df.schema)
-    wide = incremental.run_to_table(incremental.running_class_sums(stream, ["x", "z"], "y"), "sums_test")
+    wide = incremental.run_to_table(incremental.running_class_sums(stream, ["x", "z"], "y"), str(tmp_path / "sums"))
     ours = {r["feature"]: r["chi2_score"] for r in scores.class_sum_scores(incremental.long_class_sums(wide, ["x", "z"])).collect()}
     batch = {r["feature"]: r["chi2_score"] for r in scores.class_sum_scores(con.class_sums(df, ["x", "z"], "y")).collect()}
     assert ours == pytest.approx(batch)
-    cells = incremental.run_to_table(incremental.running_cells(stream, ["c"], "y"), "cells_test")
+    cells = incremental.run_to_table(incremental.running_cells(stream, ["c"], "y"), str(tmp_path / "cells"))
     assert sorted(map(tuple, cells.collect())) == sorted(map(tuple, con.cell_counts(df, ["c"], "y").collect()))
 
 
@@ -155,3 +155,30 @@ def test_rows_without_group_take_no_part_and_numbers_may_name_groups(spark):
     for g in (1, 2):
         w = step([((r[1],), r[2]) for r in data if r[0] == g], w)
     assert logit.incremental_weights(df, ["x"], "y", "g", lr=LR, l2=L2).first()["w"] == pytest.approx(w, rel=1e-9)
+
+
+def test_streamed_sums_go_on_from_the_state_and_skip_what_is_no_number(spark, tmp_path):
+    schema, folder, state = "x double, y int", str(tmp_path / "in"), str(tmp_path / "state")
+    days = [[(1.0, 1), (float("nan"), 0)], [(2.0, 0), (None, 1)], [(5.0, 1)]]
+    for day in days:
+        spark.createDataFrame(day, schema).write.mode("append").parquet(folder)
+        stream = incremental.file_stream(spark, folder, spark.createDataFrame([], schema).schema, files_per_step=None)
+        wide = incremental.run_to_table(incremental.running_class_sums(stream, ["x"], "y"), state)
+    got = {r["class"]: (r["n_class"], r["x"]) for r in wide.collect()}
+    batch = spark.createDataFrame([r for day in days for r in day], schema)
+    want = {r["class"]: (r["n_class"], r["o"]) for r in con.class_sums(batch, ["x"], "y").collect()}
+    assert got == want == {0: (2, 2.0), 1: (3, 6.0)}
+
+
+def test_global_model_reads_a_missing_value_as_zero(spark):
+    data = [(1.0, 1), (1.0, 1), (1.0, 0), (None, 0), (0.0, 0), (None, 1), (float("nan"), 0)]
+    df = spark.createDataFrame(data, "x double, y int")
+    filled = spark.createDataFrame([(x if x == 1.0 else 0.0, y) for x, y in data], "x double, y int")
+    assert logit.global_coefficients(df, ["x"], "y").first()["coef"] == pytest.approx(logit.global_coefficients(filled, ["x"], "y").first()["coef"])
+
+
+def test_features_of_one_name_stay_apart_in_training(spark):
+    data = [("f", a, b, y) for a, b, y in [("b_c", "c", 1), ("b_c", "d", 1), ("a", "c", 0), ("a", "a", 0), ("a", "c", 1)]]
+    df = spark.createDataFrame(data, "g string, a string, a_b string, y int")
+    found = logit.mixed_federated_coefficients(df, ["a", "a_b"], [], "y", "g", lr=1.0, l2=0.0, epochs=1).collect()
+    assert sorted(r["feature"] for r in found) == ["a_b_c", "a_b_c", "a_b_d"]

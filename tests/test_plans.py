@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from crivo import shared
 from crivo.operators import contingency as con
-from crivo.operators import encode, scores
+from crivo.operators import encode, logit, scores
 from crivo.plans import enrolments as en
 from crivo.plans.tables import numeric_items, returned_items
 from crivo.sources import files
@@ -68,7 +69,7 @@ def test_rankings_run_from_the_written_table(spark, raw, tmp_path):
     assert en.rank_by_class_sums(prepared.table).count() == 14
     assert en.rank_by_association(prepared.table).columns == ["feature", "cramers_v"]
     assert {p.name for p in (tmp_path / "prepared").glob("source_file=*")} == {
-        "source_file=microdados_matriculas_2021.csv", "source_file=microdados_matriculas_2022.csv"}
+        "source_file=microdados_matriculas_2021", "source_file=microdados_matriculas_2022"}
     assert en.rank_by_model(prepared, epochs=1).count() == 14
     assert en.rank_by_model(prepared, incremental=True).count() == 14
 
@@ -89,6 +90,36 @@ def test_counting_reads_the_data_once_and_tests_never(spark, small_dir):
         assert unwanted not in counting + plan
 
 
+def test_unknown_classes_join_by_feature_and_salt(spark, small_dir, monkeypatch):
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", 0)
+    cells = con.cell_counts(returned_items(spark, small_dir), ["l_linestatus", "o_orderpriority"], "y")
+    plan = con.table_of(cells, 2)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and "feature#" in line]
+    assert joins and all("_salt" in line for line in joins)
+
+
+def test_wide_class_sums_read_the_data_once(spark, small_dir):
+    items = numeric_items(spark, small_dir)
+    wide = con.class_sums(items, ["l_quantity", "l_tax", "l_discount"], "y", width=2)
+    assert executed_plan(wide).split("== Initial Plan ==")[0].count("lineitem.parquet") == 1
+    want = con.class_sums(items, ["l_quantity", "l_tax", "l_discount"], "y")
+    key = lambda r: (r["feature"], r["class"])
+    for a, b in zip(sorted(wide.collect(), key=key), sorted(want.collect(), key=key)):
+        assert a["o"] == pytest.approx(b["o"]) and a["n_class"] == b["n_class"] and a["n"] == b["n"]
+
+
+def test_training_sorts_nothing_below_the_sums(spark, small_dir):
+    design = logit._design(returned_items(spark, small_dir), ["l_quantity", "l_tax"], "y", "l_linestatus")
+    rows = design.withColumn("w", logit._zeros(2))
+    plan = logit._sums(rows, 2, ["g"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "Sort [" not in plan.split("Exchange hashpartitioning(g")[0]
+
+
+def test_text_features_are_encoded_before_ranking(spark):
+    df = spark.createDataFrame([("a", 1.0, 1), ("b", None, 0), (None, 2.0, 1)], f"c string, x double, {en.TARGET} int")
+    assert en.rank_by_class_sums(df).count() == 2
+
+
 def test_class_sums_widen_nothing_before_the_shuffle(spark, small_dir):
     plan = con.class_sums(numeric_items(spark, small_dir), ["l_quantity", "l_tax"], "y")._jdf.queryExecution().executedPlan().toString()
     scan = plan[plan.rindex("HashAggregate"):]
