@@ -36,7 +36,9 @@ def two_columns(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all rows and the rows' offsets in them; null rows are empty."""
-    texts = texts.cast(pa.large_string()).fill_null("")
+    if pa.types.is_string(texts.type):
+        texts = texts.cast(pa.large_string())
+    texts = texts.fill_null(b"" if pa.types.is_large_binary(texts.type) else "")
     n = len(texts)
     if n == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
@@ -71,6 +73,58 @@ def utf8_pieces(texts: pa.Array, most_bytes: int = 1 << 20) -> Iterator[tuple[np
         first = end
 
 
+# A word's hash is the sum of a random number per byte times a power per place, modulo 2^64.
+_BASE = 0x9E3779B97F4A7C15
+_OF_BYTE = np.random.default_rng(20_001).integers(1, 1 << 64, 256, dtype=np.uint64)
+_BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the base and of its inverse."""
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        steps = np.full(n, base, np.uint64)
+        steps[:1] = 1
+        out.append(np.cumprod(steps, dtype=np.uint64))
+    return out[0], out[1]
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, powers: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words (what ASCII white space parts) of consecutive texts, and words per text."""
+    inside = ~_BLANK[data]
+    breaks = offsets[1:-1]
+    before = np.concatenate([[False], inside[:-1]])[:len(inside)]
+    before[breaks[breaks < len(inside)]] = False
+    after = np.concatenate([inside[1:], [False]])[:len(inside)]
+    after[breaks[breaks > 0] - 1] = False
+    starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_OF_BYTE[data] * powers[0][:len(data)], out=sums[1:])
+    hashes = (sums[ends] - sums[starts]) * powers[1][starts]
+    hashes = (hashes ^ hashes >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return hashes ^ hashes >> np.uint64(32), np.diff(np.searchsorted(starts, offsets))
+
+
+def hashed_rows(texts: pa.Array, most_bytes: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """First row, word hashes and bounds of the rows in them, for runs of whole rows."""
+    powers = _powers(most_bytes)
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def flush() -> tuple[int, np.ndarray, np.ndarray]:
+        rows = np.concatenate([h[0] for h in held])
+        counts = np.bincount(rows - rows[0], np.concatenate([h[2] for h in held]), rows[-1] - rows[0] + 1).astype(np.int64)
+        return int(rows[0]), np.concatenate([h[1] for h in held]), np.concatenate([[0], np.cumsum(counts)])
+
+    for rows, data, offsets in utf8_pieces(texts, most_bytes):
+        # A long row comes in several pieces.
+        if held and held[-1][0][-1] != rows[0]:
+            yield flush()
+            held = []
+        held.append((rows, *word_hashes(data, offsets, powers)))
+    if held:
+        yield flush()
+
+
 def row_bytes(texts: pa.Array) -> Iterator[bytes]:
     """The UTF-8 bytes of each row; null is empty."""
     data, offsets = utf8(texts)
@@ -97,3 +151,21 @@ def sum_by_row(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     total = np.zeros(len(values) + 1, dtype=np.int64 if values.dtype.kind in "iub" else np.float64)
     np.cumsum(values, out=total[1:])
     return total[bounds[1:]] - total[bounds[:-1]]
+
+
+def packed(table: pa.Table) -> bytes:
+    """A table as compressed bytes."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all()
+
+
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """A bucket for each unsigned key, spread whatever the keys look like."""
+    mixed = (keys ^ keys >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
+    return ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)

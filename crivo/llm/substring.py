@@ -6,48 +6,43 @@ equal windows hold equal anchors at equal places. So every occurrence of an anch
 the windows that chose it, a stretch of a few words more than a window, and windows that are
 equal meet where stretches of one anchor meet.
 
-Stretches whose anchor occurs at least twice are dealt to shards by their anchor. Each shard
-builds a suffix automaton over its distinct stretches, in order of their first occurrence, and
-streams them through it: the matching statistics give, for every window, the place where the
-same words occur first. Anchors that occur very often, as in a line that many documents share,
-are dealt window by window instead, so that no shard grows with them.
+Texts are packed into blocks of bounded size. A block asks which of its distinct anchors occur
+elsewhere, and sends each distinct stretch of those to the shard of its anchor. A shard builds
+suffix automata over its stretches, in order of their first occurrence, and streams them
+through: the matching statistics give, for every window, the place where the same words
+occur first. Every block that has a stretch gets the verdict on it. Anchors that occur very
+often, as in a line that many documents share, have stretches without number that hardly
+ever agree; their windows are sent one by one, as hashes of 128 bits that need no automaton,
+so that no shard grows with such a line.
 """
 
 from __future__ import annotations
 
+import os
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from crivo.llm.common import row_bytes, stored
-from crivo.shared import lookup
+from crivo.llm.common import bucket_of, hashed_rows, packed, row_bytes, stored, unpacked
 
 GRAM = 6
 # Occurrences from which an anchor's stretches are dealt window by window.
 OFTEN = 256
 # Words of reference text in one automaton, about.
 SHARD_WORDS = 40_000
+BLOCK_BYTES = 12 << 20
+# Bytes of text for each bucket of anchors and each shard of stretches.
+BUCKET_BYTES = 8 << 20
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9)
 
 
-class _WordHashes(dict):
-    """XXH64 of words, remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def anchors(hashes: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
     """Row, first window, number of windows and hash of every anchor of rows of word hashes."""
     n = len(hashes) - width + 1
@@ -70,98 +65,6 @@ def anchors(hashes: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndar
     return rows, whole[new] - bounds[rows], np.diff(np.append(new, len(chosen))), grams[chosen[new]]
 
 
-def _anchor_rows(width: int):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _WordHashes()
-        for batch in batches:
-            ids = batch.column("id").to_numpy()
-            prints = batch.column("h").to_numpy()
-            held: list[np.ndarray] = []
-            first = 0
-
-            def flush(first: int, end: int) -> pa.RecordBatch:
-                bounds = np.concatenate([[0], np.cumsum([len(x) for x in held], dtype=np.int64)])
-                rows, starts, count, found = anchors(np.concatenate(held) if held else np.zeros(0, np.uint64), bounds, width)
-                columns = [found.view(np.int64), ids[first:end][rows], prints[first:end][rows], starts.astype(np.int32), count.astype(np.int8)]
-                return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "id", "h", "at", "n"])
-
-            size = 0
-            for end, text in enumerate(row_bytes(batch.column("text")), 1):
-                words = text.split()
-                held.append(memo.of(words))
-                size += len(words)
-                if size > 300_000:
-                    yield flush(first, end)
-                    held, first, size = [], end, 0
-            yield flush(first, len(ids))
-
-    return run
-
-
-def _stretch_rows(width: int):
-    """Occurrences of stretches, and the content of those that the task sees for the first time."""
-    schema = pa.schema([
-        ("s1", pa.int64()), ("s2", pa.int64()), ("id", pa.int64()), ("h", pa.int32()), ("at", pa.int32()), ("n", pa.int8()),
-        ("key", pa.int64()), ("words", pa.binary()), ("times", pa.int64()),
-    ])
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _WordHashes()
-        contents: dict[bytes, list] = {}
-
-        def drained() -> pa.RecordBatch:
-            marks = np.frombuffer(b"".join(xxhash.xxh3_128_digest(c) for c in contents), np.int64).reshape(-1, 2)
-            place = [c[0] for c in contents.values()]
-            columns = [
-                marks[:, 0], marks[:, 1], [p[0] for p in place], [p[1] for p in place], [p[2] for p in place],
-                [(len(c) // 8) - width + 1 for c in contents], [c[1] for c in contents.values()], list(contents), [c[2] for c in contents.values()],
-            ]
-            out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
-            contents.clear()
-            return out
-
-        for batch in batches:
-            ids, prints = batch.column("id").to_pylist(), batch.column("h").to_pylist()
-            places = batch.column("places")
-            seen: list[tuple] = []
-            marks: list[bytes] = []
-
-            def occurrences() -> pa.RecordBatch:
-                pair = np.frombuffer(b"".join(marks), np.int64).reshape(-1, 2)
-                columns = [pair[:, 0], pair[:, 1], *([x[i] for x in seen] for i in range(4)), *([None] * len(seen) for _ in range(3))]
-                out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
-                seen.clear()
-                marks.clear()
-                return out
-
-            for row, text in enumerate(row_bytes(batch.column("text"))):
-                raw = memo.of(text.split()).tobytes()
-                for place in places[row].as_py():
-                    at, n, anchor = place["at"], place["n"], place["anchor"]
-                    step = 1 if place["often"] else n
-                    for start in range(at, at + n, step):
-                        content = raw[8 * start:8 * (start + step + width - 1)]
-                        where = (ids[row], prints[row], start)
-                        seen.append((*where, step))
-                        marks.append(xxhash.xxh3_128_digest(content))
-                        known = contents.get(content)
-                        if known is None:
-                            key = xxhash.xxh64_intdigest(content) - (1 << 63) if place["often"] else anchor
-                            contents[content] = [where, key, 1]
-                        else:
-                            known[0] = min(known[0], where)
-                            known[2] += 1
-                if len(seen) > 50_000:
-                    yield occurrences()
-                if len(contents) > 50_000:
-                    yield drained()
-            yield occurrences()
-        yield drained()
-
-    spark_schema = "s1 long, s2 long, id long, h int, at int, n tinyint, key long, words binary, times long"
-    return run, spark_schema
-
-
 class SuffixAutomaton:
     """The suffix automaton of several texts, with the place where each state's words end first."""
 
@@ -224,93 +127,245 @@ class SuffixAutomaton:
         return found
 
 
-def _judge(stretches: dict[bytes, list], width: int) -> Iterator[tuple[bytes, tuple, int]]:
-    """Content, first place and the windows of that first place that occur earlier, as bits."""
-    order = sorted(stretches.items(), key=lambda item: item[1][0])
+def _judge(stretches: dict[bytes, tuple], width: int) -> Iterator[tuple[bytes, int]]:
+    """Content, and the windows at its first place that occur earlier, as bits."""
+    order = sorted(stretches.items(), key=lambda item: item[1])
     automaton = SuffixAutomaton()
     texts = [np.frombuffer(content, np.int64).tolist() for content, _ in order]
     for number, words in enumerate(texts):
         automaton.add(number, words)
-    for number, (content, (place, _)) in enumerate(order):
+    for number, (content, place) in enumerate(order):
         bits = 0
         for end, first in enumerate(automaton.first_ends(texts[number], width)):
             if first is not None:
-                where = order[first[0]][1][0]
+                where = order[first[0]][1]
                 if (*where[:2], where[2] + first[1]) < (*place[:2], place[2] + end):
                     bits |= 1 << (end - width + 1)
-        yield content, place, bits
+        yield content, bits
+
+
+# ---- blocks ----------------------------------------------------------------------------
+
+class _Block:
+    """Rows of a block: their words' hashes and anchors, piece by piece."""
+
+    def __init__(self, table: pa.Table, text: int, width: int) -> None:
+        self.ids = table.column(0).to_pylist()
+        self.column = table.column(text).combine_chunks()
+        self.texts = list(row_bytes(self.column))
+        self.prints = [xxhash.xxh64_intdigest(t) >> 1 for t in self.texts]
+        self.width = width
+
+    def pieces(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """First row, word hashes and bounds of runs of rows."""
+        return hashed_rows(self.column)
+
+    def stretches(self, first: int, hashes: np.ndarray, bounds: np.ndarray, repeated: np.ndarray, often: np.ndarray):
+        """Row, place, number of windows, anchor, often and content of stretches of repeated anchors."""
+        rows, at, count, found = anchors(hashes, bounds, self.width)
+        if not len(found) or not len(repeated):
+            return
+        where = np.minimum(np.searchsorted(repeated, found), len(repeated) - 1)
+        chosen = np.flatnonzero(repeated[where] == found)
+        raw = hashes.tobytes()
+        numbers = zip(rows[chosen].tolist(), at[chosen].tolist(), count[chosen].tolist(), found[chosen].tolist(), often[where[chosen]].tolist())
+        bounds = bounds.tolist()
+        for row, start, n, anchor, many in numbers:
+            step = 1 if many else n
+            prefix = 8 * bounds[row]
+            for place in range(start, start + n, step):
+                yield first + row, place, step, anchor, many, raw[prefix + 8 * place:prefix + 8 * (place + step + self.width - 1)]
 
+    def place(self, row: int, at: int) -> tuple[int, int, int]:
+        return self.ids[row], self.prints[row], at
+
+
+ROWS = "kind int, block long, bucket int, keys binary, counts binary, data binary"
+
+
+def _blocks(text: int, width: int, buckets: int):
+    """Rows of blocks (kind 0), and of their distinct anchors by bucket (kind 1)."""
+    schema = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("data", pa.binary())])
 
-def _verdict_rows(width: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, held, out = None, {}, []
-
-        def judged() -> Iterator[pa.RecordBatch]:
-            """A key that occurs once has nothing before it."""
-            often: dict[int, int] = {}
-            for _, times, key in held.values():
-                often[key] = often.get(key, 0) + times
-            chosen = {content: [x[0], x[1]] for content, x in held.items() if often[x[2]] > 1}
-            rows = list(_judge(chosen, width))
-            if rows:
-                marks = np.frombuffer(b"".join(xxhash.xxh3_128_digest(c) for c, _, _ in rows), np.int64).reshape(-1, 2)
-                columns = [marks[:, 0], marks[:, 1], *([r[1][i] for r in rows] for i in range(3)), [r[2] for r in rows]]
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["s1", "s2", "id1", "h1", "at1", "bits"])
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def block() -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held)
+            number = int.from_bytes(os.urandom(8), "little", signed=True)
+            found = [anchors(hashes, bounds, width)[3] for _, hashes, bounds in hashed_rows(table.column(text).combine_chunks())]
+            keys, counts = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, int))
+            bucket = bucket_of(keys, buckets)
+            order = np.argsort(bucket, kind="stable")
+            ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            out = [{"kind": 0, "block": number, "bucket": 0, "data": packed(table)}]
+            for b in np.flatnonzero(np.diff(ends)):
+                chosen = order[ends[b]:ends[b + 1]]
+                out.append({"kind": 1, "block": number, "bucket": int(b), "keys": keys[chosen].tobytes(),
+                            "counts": np.minimum(counts[chosen], OFTEN + 1).astype(np.int32).tobytes()})
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("shard", "words", "id", "h", "at", "times", "key")]
-            for number, words, i, h, at, times, key in zip(*columns):
-                if number != shard:
-                    yield from judged()
-                    shard, held = number, {}
-                known = held.get(words)
+            first, weight = 0, 0
+            for end, length in enumerate(pc.binary_length(batch.column(text)).fill_null(0).to_pylist(), 1):
+                weight += length
+                if size + weight >= BLOCK_BYTES:
+                    held.append(batch.slice(first, end - first))
+                    yield from block()
+                    held, size, weight, first = [], 0, 0, end
+            if first < batch.num_rows:
+                held.append(batch.slice(first))
+                size += weight
+        if held:
+            yield from block()
+
+    return run
+
+
+def _repeated(asked: pa.Table) -> pa.Table:
+    """For every block the anchors of a bucket that occur twice or more, and which occur often."""
+    every = [np.frombuffer(k, np.uint64) for k in asked.column("keys").to_pylist()]
+    counts = [np.frombuffer(c, np.int32) for c in asked.column("counts").to_pylist()]
+    keys, where = np.unique(np.concatenate(every), return_inverse=True)
+    total = np.bincount(where, np.concatenate(counts), len(keys))
+    out, at = [], 0
+    for block, own in zip(asked.column("block").to_pylist(), every):
+        times = total[where[at:at + len(own)]]
+        at += len(own)
+        out.append({"block": block, "keys": own[times > 1].tobytes(), "often": (times[times > 1] > OFTEN).tobytes()})
+    return pa.Table.from_pylist(out, schema=pa.schema([("block", pa.int64()), ("keys", pa.binary()), ("often", pa.binary())]))
+
+
+def _known(answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """All repeated anchors of a block in order, and which occur often."""
+    keys = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(k, np.uint64) for k in answers.column("keys").to_pylist())])
+    often = np.concatenate([np.zeros(0, bool), *(np.frombuffer(o, bool) for o in answers.column("often").to_pylist())])
+    order = np.argsort(keys)
+    return keys[order], often[order]
+
+
+REQUEST = pa.schema([("mark", pa.binary(16)), ("key", pa.uint64()), ("words", pa.binary()), ("id", pa.int64()), ("h", pa.int64()), ("at", pa.int64()), ("times", pa.int64())])
+REQUESTS = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("data", pa.binary())])
+
+
+def _requests(text: int, width: int, shards: int):
+    """A block's distinct stretches and often windows, with their first place in it, by shard."""
+    def run(block: pa.Table, answers: pa.Table) -> pa.Table:
+        repeated, often = _known(answers)
+        rows = _Block(unpacked(block.column("data").to_pylist()[0]), text, width)
+        asked: dict[bytes, list] = {}
+        for first, hashes, bounds in rows.pieces():
+            for row, at, _, anchor, many, content in rows.stretches(first, hashes, bounds, repeated, often):
+                mark = xxhash.xxh3_128_digest(content)
+                known = asked.get(mark)
+                place = rows.place(row, at)
+                if known is None:
+                    key = int.from_bytes(mark[:8], "little") if many else anchor
+                    asked[mark] = [key, None if many else content, place, 1]
+                else:
+                    known[3] += 1
+                    if place < known[2]:
+                        known[2] = place
+        number = block.column("block").to_pylist()[0]
+        values = list(asked.values())
+        whole = pa.table([
+            list(asked), pa.array([v[0] for v in values], pa.uint64()), pa.array([v[1] for v in values], pa.binary()),
+            *(pa.array([v[2][i] for v in values], pa.int64()) for i in range(3)), pa.array([v[3] for v in values], pa.int64()),
+        ], schema=REQUEST)
+        shard = bucket_of(whole.column("key").to_numpy(), shards)
+        out = []
+        for s in np.unique(shard):
+            out.append({"shard": int(s), "block": number, "data": packed(whole.filter(pa.array(shard == s)))})
+        return pa.Table.from_pylist(out, schema=REQUESTS)
+
+    return run
+
+
+VERDICT = pa.schema([("mark", pa.binary(16)), ("id", pa.int64()), ("h", pa.int64()), ("at", pa.int64()), ("bits", pa.int64())])
+
+
+def _verdicts(width: int):
+    """For every block the first places of its marks, and the windows there that occur earlier still."""
+    def run(asked: pa.Table) -> pa.Table:
+        # By mark: key, words, first place, times.
+        marks: dict[bytes, list] = {}
+        by_block: dict[int, list[bytes]] = {}
+        for block, data in zip(asked.column("block").to_pylist(), asked.column("data").to_pylist()):
+            request = unpacked(data)
+            columns = [request.column(c).to_pylist() for c in ("mark", "key", "words", "id", "h", "at", "times")]
+            by_block.setdefault(block, []).extend(columns[0])
+            for mark, key, words, *place, times in zip(*columns):
+                known = marks.get(mark)
                 if known is None:
-                    held[words] = [(i, h, at), times, key]
+                    marks[mark] = [key, words, tuple(place), times]
                 else:
-                    known[0] = min(known[0], (i, h, at))
-                    known[1] += times
-        yield from judged()
+                    known[2] = min(known[2], tuple(place))
+                    known[3] += times
+        bits: dict[bytes, int] = {}
+        # Stretches of one anchor go into one automaton, those of several anchors together. An
+        # anchor with one distinct stretch has nothing else to compare it with: two windows
+        # that chose one place cannot be equal.
+        kinds = Counter(v[0] for v in marks.values() if v[1] is not None)
+        stretches = sorted((v[0], mark) for mark, v in marks.items() if v[1] is not None and kinds[v[0]] > 1)
+        group: dict[bytes, tuple] = {}
+        of_content: dict[bytes, bytes] = {}
+        words = 0
+        for i, (key, mark) in enumerate(stretches):
+            _, content, place, _ = marks[mark]
+            group[content], of_content[content] = place, mark
+            words += len(content) // 8
+            if i + 1 == len(stretches) or words >= SHARD_WORDS and stretches[i + 1][0] != key:
+                bits |= {of_content[c]: b for c, b in _judge(group, width)}
+                group, of_content, words = {}, {}, 0
+        out = []
+        for block, own in by_block.items():
+            told = [m for m in own if marks[m][3] > 1 or bits.get(m)]
+            if told:
+                answer = pa.table([told, *(pa.array([marks[m][2][i] for m in told], pa.int64()) for i in range(3)),
+                                   pa.array([bits.get(m, 0) for m in told], pa.int64())], schema=VERDICT)
+                out.append({"block": block, "data": packed(answer)})
+        return pa.Table.from_pylist(out, schema=pa.schema([("block", pa.int64()), ("data", pa.binary())]))
 
     return run
 
 
-def repeated_windows(docs: DataFrame, width: int) -> DataFrame:
-    """``id``, ``h``, and ``marks``: stretches of a text and which of their windows occur earlier."""
-    # Parquet packs the anchors of a document well, and the two readings below need no second look at the texts.
-    every = stored(docs.mapInArrow(_anchor_rows(width), "anchor long, id long, h int, at int, n tinyint"), "anchors")
-    counted = every.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1")
-    twice = counted.select("anchor", (F.col("times") > OFTEN).alias("often"))
-    places = every.join(twice, "anchor").groupBy("id", "h").agg(F.collect_list(F.struct("at", "n", "anchor", "often")).alias("places"))
-    run, schema = _stretch_rows(width)
-    stretches = stored(docs.join(places, ["id", "h"]).mapInArrow(run, schema), "stretches")
-
-    contents = stretches.where("words IS NOT NULL")
-    words = contents.agg(F.sum(F.length("words") / 8)).first()[0] or 0
-    shards = int(words / SHARD_WORDS) + 1
-    dealt = contents.select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "key", "words", "id", "h", "at", "times")
-    together = dealt.repartition("shard").sortWithinPartitions("shard")
-    verdicts = together.mapInArrow(_verdict_rows(width), "s1 long, s2 long, id1 long, h1 int, at1 int, bits int")
-
-    occurrences = stretches.where("words IS NULL").select("s1", "s2", "id", "h", "at", "n")
-    joined = lookup(occurrences, verdicts, ["s1", "s2"], None).where("bits IS NOT NULL")
-    itself = (F.col("id") == F.col("id1")) & (F.col("h") == F.col("h1")) & (F.col("at") == F.col("at1"))
-    bits = F.when(itself, F.col("bits")).otherwise(F.expr("shiftleft(1, n) - 1"))
-    marked = joined.select("id", "h", "at", bits.alias("bits")).where("bits <> 0")
-    return marked.groupBy("id", "h").agg(F.collect_list(F.struct("at", "bits")).alias("marks"))
-
-
-def _kept(text: bytes, marks: list | None, width: int) -> tuple[int, int, list[bytes]]:
-    """Number of words, number removed, and the words kept."""
-    words = text.split()
-    if not marks:
-        return len(words), 0, words
-    starts = np.array([m["at"] + b for m in marks for b in range(m["bits"].bit_length()) if m["bits"] >> b & 1])
+def _kept(words: list[bytes], starts: list[int], width: int) -> tuple[int, int, bytes]:
+    """Number of words, number removed, and the words kept in one text."""
+    if not starts:
+        return len(words), 0, b" ".join(words)
     edges = np.zeros(len(words) + 1, np.int64)
     np.add.at(edges, starts, 1)
-    np.add.at(edges, starts + width, -1)
+    np.add.at(edges, np.array(starts) + width, -1)
     covered = np.cumsum(edges[:-1]) > 0
-    return len(words), int(covered.sum()), [w for w, gone in zip(words, covered.tolist()) if not gone]
+    return len(words), int(covered.sum()), b" ".join(w for w, gone in zip(words, covered.tolist()) if not gone)
+
+
+def _cleaned(text: int, width: int):
+    """The rows of a block with what is left of their texts."""
+    def run(block: pa.Table, answers: pa.Table) -> pa.Table:
+        told = {k: answers.filter(pc.equal(answers.column("kind"), k)) for k in (1, 2)}
+        repeated, often = _known(told[1])
+        verdicts: dict[bytes, tuple] = {}
+        for data in told[2].column("data").to_pylist():
+            columns = [c.to_pylist() for c in unpacked(data).columns]
+            verdicts |= {mark: (place, bits) for mark, *place, bits in zip(*columns)}
+        table = unpacked(block.column("data").to_pylist()[0])
+        rows = _Block(table, text, width)
+        found: list[tuple[int, int, bytes]] = []
+        for first, hashes, bounds in rows.pieces():
+            starts: list[list[int]] = [[] for _ in bounds[1:]]
+            for row, at, n, _, _, content in rows.stretches(first, hashes, bounds, repeated, often):
+                verdict = verdicts.get(xxhash.xxh3_128_digest(content))
+                if verdict is not None:
+                    bits = verdict[1] if verdict[0] == [*rows.place(row, at)] else (1 << n) - 1
+                    starts[row - first].extend(at + b for b in range(n) if bits >> b & 1)
+            found.extend(_kept(rows.texts[first + i].split(), s, width) for i, s in enumerate(starts))
+        added = [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()),
+                 pa.array([f[2] for f in found], pa.binary()).cast(pa.string())]
+        return pa.Table.from_arrays([*table.columns[1:], *added], names=[*table.column_names[1:], "n_words", "n_removed", "kept"])
+
+    return run
 
 
 def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 20) -> DataFrame:
@@ -321,31 +376,31 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     parts. Ids are integers; a null id is before all others. Rows of one id with different
     texts are different documents, in an order that their texts decide; repeated rows are one
     document and get equal results. Null texts have no words. Columns of the three names are
-    replaced.
+    replaced. ``width`` is at least ``GRAM`` and at most ``GRAM + 56``.
     """
-    least = -(1 << 63)
-    keyed = docs.select(
-        F.coalesce(F.col(f"`{id_column}`").cast("long"), F.lit(least)).alias("id"),
-        F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit("")).alias("text"),
-    ).select("id", F.hash("text").alias("h"), "text")
-    marks = repeated_windows(keyed, width)
+    if not GRAM <= width <= GRAM + 56:
+        raise ValueError(f"width must be from {GRAM} to {GRAM + 56}: {width}")
     rows = docs.drop("n_words", "n_removed", "kept")
-    whole = F.struct([F.col(f"`{c}`") for c in rows.columns]).alias("row")
-    full = rows.select(
-        F.coalesce(F.col(f"`{id_column}`").cast("long"), F.lit(least)).alias("id"),
-        F.hash(F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit(""))).alias("h"), whole,
-    )
-    joined = full.join(marks, ["id", "h"], "left").select("row", "marks")
+    text = rows.columns.index(text_column) + 1
+    ident = F.coalesce(F.col(f"`{id_column}`").cast("long"), F.lit(-(1 << 63))).alias("_id")
+    whole = rows.select(ident, *[F.col(f"`{c}`") for c in rows.columns])
+    size = rows.agg(F.sum(F.octet_length(F.col(f"`{text_column}`")))).first()[0] or 0
+    buckets = 4 + size // BUCKET_BYTES
+    every = stored(whole.mapInArrow(_blocks(text, width, buckets), ROWS), "blocks")
+
+    blocks = every.where("kind = 0").select("block", "data")
+    asked = every.where("kind = 1").select("block", "bucket", "keys", "counts")
+    known = stored(asked.groupBy("bucket").applyInArrow(_repeated, "block long, keys binary, often binary"), "anchors")
+    requests = blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(
+        _if_there(_requests(text, width, buckets), REQUESTS), "shard int, block long, data binary")
+    verdicts = requests.groupBy("shard").applyInArrow(_verdicts(width), "block long, data binary")
+    none = F.lit(None).cast("binary")
+    answers = known.select(F.lit(1).alias("kind"), "block", "keys", "often", none.alias("data")).union(
+        verdicts.select(F.lit(2).alias("kind"), "block", none.alias("keys"), none.alias("often"), "data"))
+    added = [StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())]
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_cleaned(text, width), StructType([*rows.schema.fields, *added]))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row = batch.column("row")
-            texts, marks = row.field(text_column), batch.column("marks")
-            found = [_kept(text, marks[i].as_py(), width) for i, text in enumerate(row_bytes(texts))]
-            added = [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()),
-                     pa.array([b" ".join(f[2]) for f in found], pa.binary()).cast(pa.string())]
-            yield pa.RecordBatch.from_arrays([row, *added], names=["row", "n_words", "n_removed", "kept"])
 
-    added = [StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())]
-    schema = StructType([joined.schema["row"], *added])
-    return joined.mapInArrow(run, schema).select("row.*", "n_words", "n_removed", "kept")
+def _if_there(run, schema: pa.Schema):
+    """A block without any answer asks for nothing."""
+    return lambda block, answers: run(block, answers) if answers.num_rows else schema.empty_table()
