@@ -25,7 +25,7 @@ from crivo.functions.stats import sigmoid
 from crivo.operators.clean import assemble
 from crivo.operators.contingency import feature_name, quoted
 from crivo.operators.encode import Labels, encode_labels, fit_labels
-from crivo.shared import BroadcastBudget, lookup, materialize, measured, work_path
+from crivo.shared import BroadcastBudget, discard, lookup, materialize, measured, work_path
 
 # Passes per file in the averaged and in the incremental model.
 FEDERATED_EPOCHS = 5
@@ -92,7 +92,9 @@ def federated_weights(
         rows = design.withColumn("w", _zeros(k)) if weights is None else lookup(design, weights, ["g"], size)
         sums = _sums(rows, k, ["g"])
         before = sums.withColumn("w", _zeros(k)) if weights is None else sums.join(weights, "g")
-        weights = materialize(before.select("g", _moved(k, lr, l2).alias("w")), "weights")
+        old, weights = weights, materialize(before.select("g", _moved(k, lr, l2).alias("w")), "weights")
+        if old is not None:
+            discard(df.sparkSession, old)
         if size is None:
             size = weights.count() * (64 + 8 * (k + 1)) + measured(weights.select("g"))
     return weights
@@ -126,13 +128,16 @@ def incremental_weights(
     epochs: int = INCREMENTAL_EPOCHS,
 ) -> DataFrame:
     """One model that visits the groups in name order: one row ``w`` (intercept last)."""
+    spark = df.sparkSession
     needed = df.where(quoted(target).isNotNull()).select(*[quoted(c) for c in dict.fromkeys([*features, target, group])])
     stored, names = stored_by_group(needed, group)
-    weights = df.sparkSession.range(1).select(_zeros(len(features)).alias("w"))
+    weights = spark.range(1).select(_zeros(len(features)).alias("w"))
     for name in names:
         part = _design(stored.where(F.col(FOLDER) == name), features, target, group)
         for _ in range(epochs):
-            weights = materialize(updated_weights(part, weights, len(features), lr, l2), "weights")
+            old, weights = weights, materialize(updated_weights(part, weights, len(features), lr, l2), "weights")
+            discard(spark, old)
+    discard(spark, stored)
     return weights
 
 
@@ -277,13 +282,16 @@ def _mixed_step(
     moved = [f"v[{j}] - {lr!r}D * (s{j} / n + {l2!r}D * v[{j}])" for j in range(k)] + [f"v[{k}] - {lr!r}D * s / n"]
     dense = before.numbers.join(totals, list(by)) if by else before.numbers.crossJoin(totals)
     numbers_after = materialize(dense.select(*by, F.expr(f"array({', '.join(moved)})").alias("v")), "weights")
+    spark = rows.sparkSession
     if not columns:
+        discard(spark, before.numbers, grads)
         return MixedWeights(before.categories, numbers_after, before.sizes)
     keyed = before.categories.join(grads.select(*by, "i", "code", "s"), [*by, "i", "code"], "left")
     rows_of = totals.select(*by, F.col("n"))
     keyed = lookup(keyed, rows_of, list(by), before.sizes[-1]) if by else keyed.withColumn("n", rows_of.select("n").scalar())
     w = F.col("w") - F.lit(lr) * (F.coalesce(F.col("s"), F.lit(0.0)) / F.col("n") + F.lit(l2) * F.col("w"))
     after = materialize(keyed.select(*by, "i", "code", w.alias("w")), "weights")
+    discard(spark, before.numbers, before.categories, grads)
     return MixedWeights(after, numbers_after, before.sizes)
 
 
@@ -325,6 +333,7 @@ def mixed_federated_coefficients(
     weights = _mixed_start(rows, labels, columns, numbers, ["g"])
     for _ in range(epochs):
         weights = _mixed_step(rows, weights, columns, numbers, ["g"], lr, l2)
+    discard(df.sparkSession, rows)
     models = weights.numbers.agg(F.count(F.lit(1)).alias("n")).scalar()
     return _named(_mixed_lines(weights, labels, columns, numbers), models)
 
@@ -347,4 +356,5 @@ def mixed_incremental_coefficients(
         part = rows.where(F.col(FOLDER) == name)
         for _ in range(epochs):
             weights = _mixed_step(part, weights, columns, numbers, [], lr, l2)
+    discard(df.sparkSession, rows)
     return _named(_mixed_lines(weights, labels, columns, numbers), F.lit(1))

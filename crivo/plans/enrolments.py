@@ -192,3 +192,16 @@ def rank_by_model(
     train = logit.mixed_incremental_coefficients if incremental else logit.mixed_federated_coefficients
     return logit.importance(train(scaled, texts, numbers, target, group, **options))
 
+
+
+def rank_by_global_model(prepared: Prepared, target: str = TARGET, **options) -> DataFrame:
+    """Absolute coefficient of one logistic model over all rows: ``feature, importance``.
+
+    Features are the numeric columns, scaled to [0, 1], and label codes of whatever is text.
+    """
+    df = clean.drop_present(prepared.table, [SOURCE])
+    coded = encode.encode_remaining_text(df, target)
+    features = feature_columns(coded, target)
+    bounds = materialize(encode.min_max(coded, features), "bounds")
+    scaled = encode.scale_by(coded, bounds, features)
+    return logit.importance(logit.global_coefficients(scaled, features, target, **options))

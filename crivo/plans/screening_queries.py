@@ -246,3 +246,10 @@ def screen_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Importance by averaged logistic models, one per file."""
     prepared = en.store(en.prepare(raw_enrolments(spark, sf_dir), en.ONE_HOT))
     return rounded(en.rank_by_model(prepared, lr=0.5, l2=0.001), "importance", digits=8)
+
+
+@query()
+def screen_by_global_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance by one logistic model over all rows and files; its solver has no SQL form."""
+    prepared = en.store(en.prepare(raw_enrolments(spark, sf_dir), en.LABELS))
+    return rounded(en.rank_by_global_model(prepared), "importance", digits=4)

@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from functools import lru_cache
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,12 +94,17 @@ def measured(df: DataFrame) -> int:
 def discard(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete written intermediates that nobody reads any more.
 
-    Only folders under the shared folder go, and only files that ``tables`` read alone.
+    Only folders that `work_path` named go: those right under ``crivo`` in the shared folder.
+    A table without such a folder is left alone.
     """
-    root = f"{shared_dir(spark)}/crivo/"
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    home = fs_path(f"{shared_dir(spark)}/crivo").toUri().getPath() + "/"
     for table in tables:
-        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            home = spark._jvm.org.apache.hadoop.fs.Path(root)
-            if path.toUri().getPath().startswith(home.toUri().getPath()):
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        folders = set()
+        for file in table.inputFiles():
+            path = unquote(fs_path(file).toUri().getPath())
+            if path.startswith(home):
+                folders.add(home + path.removeprefix(home).split("/", 1)[0])
+        for folder in folders:
+            path = fs_path(f"{shared_dir(spark)}/crivo/{folder.removeprefix(home)}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from crivo import shared
 from crivo.operators import contingency as con
 from crivo.operators import encode, logit, scores
 from crivo.streaming import incremental
@@ -182,3 +183,14 @@ def test_features_of_one_name_stay_apart_in_training(spark):
     df = spark.createDataFrame(data, "g string, a string, a_b string, y int")
     found = logit.mixed_federated_coefficients(df, ["a", "a_b"], [], "y", "g", lr=1.0, l2=0.0, epochs=1).collect()
     assert sorted(r["feature"] for r in found) == ["a_b_c", "a_b_c", "a_b_d"]
+
+
+def test_only_own_intermediates_are_deleted(spark, tmp_path):
+    ours = shared.materialize(spark.range(5), "own")
+    folder = ours.inputFiles()[0].rsplit("/", 1)[0]
+    other = str(tmp_path / "other")
+    spark.range(3).write.parquet(other)
+    shared.discard(spark, ours, spark.read.parquet(other), spark.range(2))
+    assert spark.read.parquet(other).count() == 3
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(folder)

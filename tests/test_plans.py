@@ -7,6 +7,7 @@ from crivo import shared
 from crivo.operators import contingency as con
 from crivo.operators import encode, logit, scores
 from crivo.plans import enrolments as en
+from crivo.plans import screening_queries
 from crivo.plans.tables import numeric_items, returned_items
 from crivo.sources import files
 
@@ -142,3 +143,22 @@ def test_scaling_finds_all_bounds_in_one_subquery(spark, small_dir):
     lines = [line.strip(" :+-") for line in final.splitlines()]
     assert sum(line.startswith("Subquery") for line in lines) == 1
     assert any(line.startswith("ReusedSubquery") for line in lines)
+
+
+def test_global_ranking_equals_newton_steps(spark, small_dir):
+    """One model over scaled label codes, against plain Newton steps in numpy."""
+    import numpy as np
+
+    prepared = en.prepare(screening_queries.raw_enrolments(spark, small_dir), en.LABELS)
+    got = {r["feature"]: r["importance"] for r in en.rank_by_global_model(prepared, max_iter=300).collect()}
+    table = prepared.table.drop("source_file").toPandas().astype(float)
+    y = table.pop(en.TARGET).to_numpy()
+    x = ((table - table.min()) / (table.max() - table.min() + 1e-12)).to_numpy()
+    x = np.column_stack([x, np.ones(len(x))])
+    w = np.zeros(x.shape[1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-x @ w))
+        w += np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]), x.T @ (y - p))
+    assert got.keys() == set(table.columns)
+    for name, want in zip(table.columns, np.abs(w)):
+        assert got[name] == pytest.approx(want, abs=1e-3)
