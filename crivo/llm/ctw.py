@@ -7,9 +7,10 @@ the product of those of the contexts one byte longer. The share of its own half
 against all longer ones, so a bit's probability mixes the estimates of all depths. A context
 that training has not seen has no estimate; the longest seen one takes its share.
 
-The tree has a row per context and node and is built level by level with grouped sums, then
-read from the root down with joins. Texts are packed into blocks of bounded size; a block asks
-for its distinct contexts and words only, and gets one answer for each.
+Contexts that end in the same few bytes are worked out together, those few bytes and shorter
+ones level by level with grouped sums, and read from the root down with joins. Texts are
+packed into blocks of bounded size; a block asks for its distinct contexts and words only, and
+gets one answer for each.
 """
 
 from __future__ import annotations
@@ -21,11 +22,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crivo.llm.common import row_bytes, stored, sum_by_row
+from crivo.llm.common import bucket_of, hashed_rows, packed, row_bytes, stored, sum_by_row, unpacked
 
 DEPTH = 5
 BLOCK_BYTES = 24 << 20
@@ -33,6 +33,9 @@ PIECE = 2 << 20
 # Bytes of text per bucket of keys.
 BUCKET_BYTES = 32 << 20
 BYTES, WORDS = 1, 2
+# Contexts of this length are never parted; longer ones go with their last bytes of that length.
+SPLIT_DEPTH = 3
+SPLIT = (1 << 8 * SPLIT_DEPTH) - 1
 # Depths whose contexts are few for any corpus: 256 of one byte.
 BOUNDED_DEPTH = 1
 
@@ -60,19 +63,17 @@ def codes_of(texts: list[bytes]) -> np.ndarray:
     return code[at]
 
 
-class _Words(dict):
-    """63-bit hashes of words, remembered."""
+# Stands for the end of a text among the hashes of words.
+TEXT_END = np.uint64(1)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word) >> 1
-        return value
 
-
-def words_of(text: bytes, memo: _Words) -> list[int]:
-    """Hashes of the words of a normal text and of its end."""
-    return [*map(memo.__getitem__, text.split()), memo[b"\n"]]
+def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """63-bit hashes of the words of normal texts, each text followed by its end, and their bounds."""
+    found, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for _, hashes, bounds in hashed_rows(pa.array(texts, pa.large_binary())):
+        found.append(np.insert(hashes >> np.uint64(1), bounds[1:], TEXT_END))
+        counts.append(np.diff(bounds) + 1)
+    return np.concatenate(found), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
 
 
 def pieces(texts: list[bytes]) -> Iterator[tuple[int, int]]:
@@ -112,19 +113,13 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[starts], np.add.reduceat(counts, starts) if len(starts) else counts
 
 
-def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """A bucket for each key, spread whatever the keys look like."""
-    mixed = (keys ^ keys >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
-    return ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-
-
-PACKED = "kind int, block long, bucket int, keys binary, counts binary"
+# Keys and counts, or keys and answers, are packed tables.
+PACKED = "kind int, block long, bucket int, keys binary"
 
 
 def _blocks(buckets: int, id_type: str):
     """Rows of blocks (kind 0) and of their keys, by kind and bucket."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _Words()
         ids: list = []
         held: list[bool] = []
         texts: list[bytes] = []
@@ -132,7 +127,7 @@ def _blocks(buckets: int, id_type: str):
         kinds: pa.DataType = pa.int64()
 
         def out(rows: list[dict]) -> pa.RecordBatch:
-            schema = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()),
+            schema = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("bucket", pa.int32()), ("keys", pa.binary()),
                                 ("ids", pa.list_(kinds)), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("text", pa.binary())])
             return pa.RecordBatch.from_pylist(rows, schema=schema)
 
@@ -143,9 +138,8 @@ def _blocks(buckets: int, id_type: str):
             for first, end in pieces(texts):
                 part = texts[first:end]
                 found[BYTES].add(codes_of(part), np.repeat(train[first:end], [len(t) for t in part]))
-                words = [words_of(t, memo) for t in part]
-                flat = np.array([w for ws in words for w in ws], np.uint64)
-                found[WORDS].add(flat, np.repeat(train[first:end], [len(w) for w in words]))
+                words, ends = words_of(part)
+                found[WORDS].add(words, np.repeat(train[first:end], np.diff(ends)))
             for kind, counted in found.items():
                 keys, counts = counted.total()
                 bucket = bucket_of(keys, buckets)
@@ -154,10 +148,10 @@ def _blocks(buckets: int, id_type: str):
                 rows = []
                 for b in np.flatnonzero(np.diff(bounds)):
                     chosen = order[bounds[b]:bounds[b + 1]]
-                    rows.append({"kind": kind, "block": number, "bucket": int(b), "keys": keys[chosen].tobytes(), "counts": counts[chosen].tobytes()})
+                    rows.append({"kind": kind, "block": number, "bucket": int(b), "keys": packed(pa.table({"key": keys[chosen], "n": counts[chosen]}))})
                 yield out(rows)
-            packed = pa.compress(b"".join(texts), codec="zstd", asbytes=True)
-            yield out([{"kind": 0, "block": number, "bucket": 0, "ids": ids, "held": held, "sizes": [len(t) for t in texts], "text": packed}])
+            text = pa.compress(b"".join(texts), codec="zstd", asbytes=True)
+            yield out([{"kind": 0, "block": number, "bucket": 0, "ids": ids, "held": held, "sizes": [len(t) for t in texts], "text": text}])
 
         for batch in batches:
             kinds = batch.schema.field("id").type
@@ -175,41 +169,40 @@ def _blocks(buckets: int, id_type: str):
     return run, f"{PACKED}, ids array<{id_type}>, held array<boolean>, sizes array<long>, text binary"
 
 
-def unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys and counts of the packed rows of a table, and the blocks with their numbers of keys."""
-    keys = [np.frombuffer(k, np.uint64) for k in table.column("keys").to_pylist()]
-    counts = [np.frombuffer(c, np.int64) for c in table.column("counts").to_pylist()]
-    none = np.zeros(0)
-    return (np.concatenate([none.astype(np.uint64), *keys]), np.concatenate([none.astype(np.int64), *counts]),
-            table.column("block").to_numpy(), np.array([len(k) for k in keys], np.int64))
+def asked_keys(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The keys that each row of a table asks for; all distinct keys and their total counts."""
+    every, counts = [], [np.zeros(0, np.int64)]
+    for data in table.column("keys").to_pylist():
+        own = unpacked(data)
+        every.append(own.column("key").to_numpy())
+        counts.append(own.column("n").to_numpy())
+    keys, total = summed(np.concatenate([np.zeros(0, np.uint64), *every]), np.concatenate(counts))
+    return every, keys, total
 
 
 def _code_counts(table: pa.Table) -> pa.Table:
-    keys, counts, _, _ = unpacked(table)
-    keys, counts = summed(keys, counts)
-    return pa.table({"code": keys.view(np.int64), "n": counts})
+    _, keys, counts = asked_keys(table)
+    return pa.table({"code": keys.view(np.int64), "n": counts, "part": bucket_of(keys >> np.uint64(8) & np.uint64(SPLIT), 1 << 20).astype(np.int32)})
 
 
-ANSWER = "block long, kind int, keys binary, answers binary, total long, known long"
+ANSWER = "block long, kind int, answers binary, total long, known long"
 
 
-def _answers(table: pa.Table, keys: np.ndarray, values: np.ndarray, kind: int, total: int, known: int) -> pa.Table:
-    """For each block's packed row its keys with their values."""
+def _answers(table: pa.Table, every: list[np.ndarray], keys: np.ndarray, values: np.ndarray, kind: int, total: int, known: int) -> pa.Table:
+    """For each block's row its keys with their values."""
     rows = []
-    for block, packed in zip(table.column("block").to_pylist(), table.column("keys").to_pylist()):
-        own = np.frombuffer(packed, np.uint64)
-        at = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
-        rows.append({"block": block, "kind": kind, "keys": packed, "answers": values[at].tobytes(), "total": total, "known": known})
+    for block, own in zip(table.column("block").to_pylist(), every):
+        answer = packed(pa.table({"key": own, "value": values[np.searchsorted(keys, own)]}))
+        rows.append({"block": block, "kind": kind, "answers": answer, "total": total, "known": known})
         total = known = 0
-    schema = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("keys", pa.binary()), ("answers", pa.binary()), ("total", pa.int64()), ("known", pa.int64())])
+    schema = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("answers", pa.binary()), ("total", pa.int64()), ("known", pa.int64())])
     return pa.Table.from_pylist(rows, schema=schema)
 
 
 def _word_answers(table: pa.Table) -> pa.Table:
     """Training counts of every block's words; the first row also has the bucket's totals."""
-    keys, counts, _, _ = unpacked(table)
-    keys, counts = summed(keys, counts)
-    return _answers(table, keys, counts, WORDS, int(counts.sum()), int((counts > 0).sum()))
+    every, keys, counts = asked_keys(table)
+    return _answers(table, every, keys, counts, WORDS, int(counts.sum()), int((counts > 0).sum()))
 
 
 def _byte_answers(asked: pa.Table, model: pa.Table) -> pa.Table:
@@ -217,101 +210,165 @@ def _byte_answers(asked: pa.Table, model: pa.Table) -> pa.Table:
     codes = model.column("code").to_numpy().view(np.uint64)
     order = np.argsort(codes)
     values = model.column("logp").to_numpy()[order].astype(np.float32)
-    return _answers(asked, codes[order], values, BYTES, 0, 0)
+    return _answers(asked, asked_keys(asked)[0], codes[order], values, BYTES, 0, 0)
 
 
 # ---- the tree --------------------------------------------------------------------------
 
-def log_gamma(x: Column) -> Column:
+class Level:
+    """Nodes of contexts of one length, from keys of context and node with counts."""
+
+    def __init__(self, keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray | None = None) -> None:
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[:len(keys)])
+        self.keys = keys[starts]
+        add = lambda x: np.add.reduceat(x[order], starts) if len(starts) else x
+        self.n0, self.n1 = add(zeros), add(ones)
+        self.below = None if below is None else add(below)
+        a, b = self.n0.astype(np.float64), self.n1.astype(np.float64)
+        own = np.where(a + b > 0, log_gamma(a + 0.5) + log_gamma(b + 0.5) - log_gamma(a + b + 1) - math.log(math.pi), 0.0)
+        self.kt = (b + 0.5) / (a + b + 1)
+        self.seen = a + b > 0
+        if self.below is None:
+            self.lw, self.w = own, np.ones(len(own))
+        else:
+            self.lw = np.logaddexp(own, self.below) - math.log(2)
+            self.w = 1 / (1 + np.exp(np.minimum(self.below - own, 700.0)))
+
+    def shorter(self, depth: int) -> Level:
+        """The level of contexts of ``depth`` bytes, one less than this."""
+        return Level(shortened(self.keys, depth), self.n0, self.n1, self.lw)
+
+
+def shortened(keys: np.ndarray, depth: int) -> np.ndarray:
+    """Keys of context and node with contexts of ``depth`` bytes."""
+    return keys & np.uint64((1 << 8 * (depth + 1)) - 1)
+
+
+def log_gamma(x: np.ndarray) -> np.ndarray:
     """ln of the gamma function for x > 0: Stirling's series eight places up, and down again."""
     z = x + 8
-    product = x
-    for i in range(1, 8):
-        product = product * (x + i)
-    series = 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z)
-    return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + series - F.log(product)
+    product = np.prod([x + i for i in range(8)], axis=0)
+    series = 1 / (12 * z) - 1 / (360 * z ** 3) + 1 / (1260 * z ** 5)
+    return (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + series - np.log(product)
 
 
-def _weighted(level: DataFrame, deepest: bool) -> DataFrame:
-    """``lw``, the log of a node's weighted probability, and ``w``, the share of its own estimate."""
-    n0, n1 = F.col("n0").cast("double"), F.col("n1").cast("double")
-    own = log_gamma(n0 + 0.5) + log_gamma(n1 + 0.5) - log_gamma(n0 + n1 + 1) - math.log(math.pi)
-    counted = level.withColumn("own", F.when(n0 + n1 > 0, own).otherwise(0.0))
-    if deepest:
-        return counted.select("ctx", "node", "n0", "n1", F.col("own").alias("lw"), F.lit(1.0).alias("w"))
-    high, low = F.greatest("own", "below"), F.least("own", "below")
-    lw = high + F.log1p(F.exp(low - high)) - math.log(2)
-    share = 1 / (1 + F.exp(F.least(F.col("below") - F.col("own"), F.lit(700.0))))
-    return counted.select("ctx", "node", "n0", "n1", lw.alias("lw"), share.alias("w"))
+def bit_nodes(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of context and node for each of the eight decisions of a code, and the bits: two (8, n) arrays."""
+    b = np.arange(8, dtype=np.uint64)[:, None]
+    byte = codes & np.uint64(255)
+    node = np.uint64(1) << b | byte >> (np.uint64(8) - b)
+    return (codes >> np.uint64(8)) << np.uint64(8) | node, (byte >> (np.uint64(7) - b) & np.uint64(1)).astype(bool)
 
 
-def levels(codes: DataFrame) -> list[DataFrame]:
-    """The nodes of contexts of 0 to ``DEPTH`` bytes from ``code`` and ``n``.
+def grown(codes: np.ndarray, counts: np.ndarray) -> list[Level]:
+    """Levels from ``DEPTH`` down to ``SPLIT_DEPTH`` of codes that hold their subtrees whole.
 
-    Codes that training lacks have n = 0; their nodes are there for the texts that ask for them.
+    Codes that training lacks have no count; their nodes are there for the texts that ask.
     """
-    split = codes.select(
-        F.shiftrightunsigned("code", 8).alias("ctx"), F.col("code").bitwiseAND(255).cast("int").alias("byte"), "n",
-        F.explode(F.sequence(F.lit(0), F.lit(7))).alias("b"))
-    node = F.expr("shiftleft(1, b) | shiftright(byte, 8 - b)").alias("node")
-    bit = F.expr("shiftright(byte, 7 - b) & 1")
-    counted = split.select("ctx", node, F.when(bit == 0, F.col("n")).otherwise(0).alias("n0"), F.when(bit == 1, F.col("n")).otherwise(0).alias("n1"))
-    sums = [F.sum("n0").alias("n0"), F.sum("n1").alias("n1")]
-    out = [stored(_weighted(counted.groupBy("ctx", "node").agg(*sums), True), f"level{DEPTH}")]
-    for depth in range(DEPTH - 1, -1, -1):
+    keys, bits = bit_nodes(codes)
+    n = np.broadcast_to(counts, keys.shape)
+    out = [Level(keys.ravel(), np.where(bits, 0, n).ravel(), np.where(bits, n, 0).ravel())]
+    for depth in range(DEPTH - 1, SPLIT_DEPTH - 1, -1):
+        out.append(out[-1].shorter(depth))
+    return out
+
+
+def _subtrees(table: pa.Table) -> pa.Table:
+    """The nodes at ``SPLIT_DEPTH`` above the codes of a part of the contexts."""
+    level = grown(table.column("code").to_numpy().view(np.uint64), table.column("n").to_numpy())[-1]
+    return pa.table({"ctx": (level.keys >> np.uint64(8)).astype(np.int64), "node": (level.keys & np.uint64(255)).astype(np.int32),
+                     "n0": level.n0, "n1": level.n1, "lw": level.lw, "w": level.w})
+
+
+def upper_levels(split: DataFrame) -> list[DataFrame]:
+    """The levels of contexts of 0 to ``SPLIT_DEPTH`` bytes, each from grouped sums of the one below."""
+    out = [split]
+    for depth in range(SPLIT_DEPTH - 1, -1, -1):
         shorter = out[-1].withColumn("ctx", F.col("ctx").bitwiseAND((1 << 8 * depth) - 1))
-        merged = shorter.groupBy("ctx", "node").agg(*sums, F.sum("lw").alias("below"))
-        out.append(stored(_weighted(merged, False), f"level{depth}"))
+        merged = shorter.groupBy("ctx", "node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("lw").alias("below"))
+        out.append(stored(_weighted(merged), f"level{depth}"))
     return out[::-1]
 
 
+def _weighted(level: DataFrame) -> DataFrame:
+    """``lw``, the log of a node's weighted probability, and ``w``, the share of its own estimate."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # Rows are distinct nodes; their places stand for them.
+            found = Level(np.arange(batch.num_rows, dtype=np.uint64), *(batch.column(c).to_numpy() for c in ("n0", "n1", "below")))
+            columns = [*(batch.column(c) for c in ("ctx", "node", "n0", "n1")), pa.array(found.lw), pa.array(found.w)]
+            yield pa.RecordBatch.from_arrays(columns, names=["ctx", "node", "n0", "n1", "lw", "w"])
+
+    return level.mapInArrow(run, NODES)
+
+
+NODES = "ctx long, node int, n0 long, n1 long, lw double, w double"
+
+
 def mixed(tree: list[DataFrame]) -> DataFrame:
-    """``ctx``, ``node``, ``p1``: the probability of a 1 at the deepest contexts, all depths mixed."""
+    """``ctx``, ``node`` at ``SPLIT_DEPTH`` with what all shorter contexts and this one give.
+
+    ``sum``: estimates with their shares; ``rest``: the share left for longer contexts;
+    ``stop``: the probability of a 1 if nothing longer is known.
+    """
     seen = F.col("n0") + F.col("n1") > 0
     kt = (F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1)
-    # sum: estimates of shorter contexts with their shares; rest: the share left; stop: the value if nothing longer is known.
     done = tree[0].select("ctx", "node", (F.col("w") * kt).alias("sum"), (1 - F.col("w")).alias("rest"), F.when(seen, kt).otherwise(0.5).alias("stop"))
-    for depth in range(1, DEPTH + 1):
+    for depth in range(1, SPLIT_DEPTH + 1):
         parent = done.withColumnRenamed("ctx", "short")
         if depth - 1 <= BOUNDED_DEPTH:
             # At most 256 contexts of 255 nodes.
             parent = F.broadcast(parent)
+        # A context has at most 256 longer ones, so no key is hot.
         level = tree[depth].withColumn("short", F.col("ctx").bitwiseAND((1 << 8 * (depth - 1)) - 1))
         joined = level.join(parent, ["short", "node"])
         stop = F.when(seen, F.col("sum") + F.col("rest") * kt).otherwise(F.col("stop"))
         done = joined.select("ctx", "node", (F.col("sum") + F.col("rest") * F.col("w") * kt).alias("sum"),
                              (F.col("rest") * (1 - F.col("w"))).alias("rest"), stop.alias("stop"))
-        if depth - 1 > BOUNDED_DEPTH:
-            done = stored(done, f"mixed{depth}")
-    return done.select("ctx", "node", F.col("stop").alias("p1"))
-
-
-def _byte_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``code`` and ``logp`` (base 10) of every byte whose last node is there."""
-    for batch in batches:
-        lists = batch.column("nodes")
-        row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-        nodes = lists.flatten()
-        node, p1 = nodes.field("node").to_numpy().astype(np.int64), nodes.field("p1").to_numpy()
-        key = row << 8 | node
-        order = np.argsort(key)
-        key, p1 = key[order], p1[order]
-        last = key[(key & 255) >= 128]
-        for bit in (0, 1):
-            total = np.zeros(len(last))
-            at_row, at_node, went = last >> 8, last & 255, np.full(len(last), bit)
-            for _ in range(8):
-                p = p1[np.searchsorted(key, at_row << 8 | at_node)]
-                total += np.log10(np.where(went == 1, p, 1 - p))
-                went, at_node = at_node & 1, at_node >> 1
-            ctx = batch.column("ctx").to_numpy()[last >> 8]
-            yield pa.RecordBatch.from_arrays([pa.array(ctx << 8 | ((last & 127) << 1 | bit)), pa.array(total)], names=["code", "logp"])
-
-
-def model(codes: DataFrame) -> DataFrame:
-    """``code`` and ``logp``: the log10 probability of a byte after its context."""
-    nodes = mixed(levels(codes)).groupBy("ctx").agg(F.collect_list(F.struct("node", "p1")).alias("nodes"))
-    return nodes.mapInArrow(_byte_rows, "code long, logp double")
+    return done
+
+
+def _code_scores(buckets: int):
+    """The log10 probabilities of the codes of a part of the contexts."""
+    def run(codes: pa.Table, above: pa.Table) -> pa.Table:
+        own = codes.column("code").to_numpy().view(np.uint64)
+        levels = grown(own, codes.column("n").to_numpy())
+        keys = above.column("ctx").to_numpy().view(np.uint64) << np.uint64(8) | above.column("node").to_numpy().astype(np.uint64)
+        order = np.argsort(keys)
+        keys, total, rest, stop = keys[order], *(above.column(c).to_numpy()[order] for c in ("sum", "rest", "stop"))
+        for level, depth in zip(levels[-2::-1], range(SPLIT_DEPTH + 1, DEPTH + 1)):
+            at = np.searchsorted(keys, shortened(level.keys, depth - 1))
+            total, rest, stop = total[at], rest[at], stop[at]
+            stop = np.where(level.seen, total + rest * level.kt, stop)
+            total, rest, keys = total + rest * level.w * level.kt, rest * (1 - level.w), level.keys
+        nodes, bits = bit_nodes(own)
+        p1 = stop[np.searchsorted(keys, nodes)]
+        logp = np.log10(np.where(bits, p1, 1 - p1)).sum(axis=0)
+        return pa.table({"code": own.view(np.int64), "logp": logp, "bucket": bucket_of(own, buckets).astype(np.int32)})
+
+    return run
+
+
+def model(codes: DataFrame, parts: int, buckets: int) -> DataFrame:
+    """``code``, ``logp`` and ``bucket``: the log10 probability of a byte after its context.
+
+    ``codes`` has ``code``, ``n`` and ``part``, a number that codes of one context of
+    ``SPLIT_DEPTH`` bytes share. Longer contexts are worked out part by part, shorter ones
+    level by level over all.
+    """
+    dealt = codes.withColumn("part", F.pmod("part", F.lit(parts)))
+    split = stored(dealt.groupBy("part").applyInArrow(_subtrees, NODES), f"level{SPLIT_DEPTH}")
+    done = mixed(upper_levels(split))
+
+    def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = bucket_of(batch.column("ctx").to_numpy().view(np.uint64), 1 << 20) % parts
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part.astype(np.int32))], names=[*batch.schema.names, "part"])
+
+    placed = done.mapInArrow(place, "ctx long, node int, sum double, rest double, stop double, part int")
+    return dealt.groupBy("part").cogroup(placed.groupBy("part")).applyInArrow(_code_scores(buckets), "code long, logp double, bucket int")
 
 
 # ---- scores ----------------------------------------------------------------------------
@@ -353,15 +410,12 @@ class Answers:
 
 def _scored(total: int, known: int):
     """Scores of the texts of a block from its answers."""
-    def table(answers: pa.Table, kind: int, dtype) -> Answers:
-        rows = answers.filter(pc.equal(answers.column("kind"), kind))
-        keys = [np.frombuffer(k, np.uint64) for k in rows.column("keys").to_pylist()]
-        values = [np.frombuffer(v, dtype) for v in rows.column("answers").to_pylist()]
-        return Answers(np.concatenate(keys), np.concatenate(values))
+    def table(answers: pa.Table, kind: int) -> Answers:
+        own = [unpacked(a) for a in answers.filter(pc.equal(answers.column("kind"), kind)).column("answers").to_pylist()]
+        return Answers(*(np.concatenate([t.column(c).to_numpy() for t in own]) for c in ("key", "value")))
 
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
-        of_bytes, of_words = table(answers, BYTES, np.float32), table(answers, WORDS, np.int64)
-        memo = _Words()
+        of_bytes, of_words = table(answers, BYTES), table(answers, WORDS)
         sizes = np.array(block.column("sizes").to_pylist()[0], np.int64)
         raw = pa.decompress(block.column("text").to_pylist()[0], int(sizes.sum()), codec="zstd", asbytes=True)
         bounds = np.concatenate([[0], np.cumsum(sizes)]).tolist()
@@ -371,9 +425,8 @@ def _scored(total: int, known: int):
             part = texts[first:end]
             ends = np.concatenate([[0], np.cumsum([len(t) for t in part])])
             score[first:end] = sum_by_row(of_bytes.of(codes_of(part)).astype(np.float64), ends)
-            words = [words_of(t, memo) for t in part]
-            ends = np.concatenate([[0], np.cumsum([len(w) for w in words])])
-            counts = of_words.of(np.array([w for ws in words for w in ws], np.uint64))
+            words, ends = words_of(part)
+            counts = of_words.of(words)
             logs = np.log10((counts + 0.5) / (total + 0.5 * (known + 1)))
             base[first:end], hits[first:end] = sum_by_row(logs, ends), sum_by_row(counts > 0, ends)
             tokens[first:end] = np.diff(ends)
@@ -402,19 +455,13 @@ def scores(docs: DataFrame, held: Column, id_column: str = "doc_id", text_column
     run, schema = _blocks(buckets, kind)
     every = stored(rows.mapInArrow(run, schema), "blocks")
 
-    asked = {k: every.where(F.col("kind") == k).select("block", "bucket", "keys", "counts") for k in (BYTES, WORDS)}
+    asked = {k: every.where(F.col("kind") == k).select("block", "bucket", "keys") for k in (BYTES, WORDS)}
     of_words = stored(asked[WORDS].groupBy("bucket").applyInArrow(_word_answers, ANSWER), "word-answers")
     total, known = of_words.agg(F.sum("total"), F.sum("known")).first()
-    codes = stored(asked[BYTES].groupBy("bucket").applyInArrow(_code_counts, "code long, n long"), "codes")
-
-    def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = bucket_of(batch.column("code").to_numpy().view(np.uint64), buckets)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.astype(np.int32))], names=["code", "logp", "bucket"])
-
-    placed = model(codes).mapInArrow(place, "code long, logp double, bucket int")
-    of_bytes = asked[BYTES].groupBy("bucket").cogroup(placed.groupBy("bucket")).applyInArrow(_byte_answers, ANSWER)
-    answers = of_words.union(of_bytes).select("block", "kind", "keys", "answers")
+    codes = stored(asked[BYTES].groupBy("bucket").applyInArrow(_code_counts, "code long, n long, part int"), "codes")
+    scored = model(codes, buckets, buckets)
+    of_bytes = asked[BYTES].groupBy("bucket").cogroup(scored.groupBy("bucket")).applyInArrow(_byte_answers, ANSWER)
+    answers = of_words.union(of_bytes).select("block", "kind", "answers")
     blocks = every.where("kind = 0").select("block", "ids", "held", "sizes", "text")
     columns = f"id {kind}, held boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored(total or 0, known or 0), columns)
