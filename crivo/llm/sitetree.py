@@ -193,7 +193,7 @@ def host_of(url: str | None) -> str:
     return found[1].lower() if found else ""
 
 
-BLOCK = "array<struct<text:string,branches:array<long>,feature:long,article:boolean>>"
+BLOCK = "array<struct<text:string,branches:array<long>>>"
 
 
 def _mark(text: str) -> int:
@@ -201,29 +201,32 @@ def _mark(text: str) -> int:
 
 
 def _parsed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    block = pa.list_(pa.struct([("text", pa.string()), ("branches", pa.list_(pa.int64())), ("feature", pa.int64()), ("article", pa.bool_())]))
+    """Text of pages with an article, blocks of the others, and what every page adds to its site's tree.
+
+    Only branches above a text that may go, one outside of an article and of named noise, are
+    asked about later, so the tree has those.
+    """
+    block = pa.list_(pa.struct([("text", pa.string()), ("branches", pa.list_(pa.int64()))]))
     pair = pa.list_(pa.struct([("branch", pa.int64()), ("feature", pa.int64()), ("presentation", pa.bool_())]))
     for batch in batches:
         for first in range(0, batch.num_rows, 500):
             part = batch.slice(first, 500)
-            blocks, features = [], []
+            texts, blocks, features = [], [], []
             for url, page in zip(part.column("url").to_pylist(), part.column("html").to_pylist()):
                 read = _Page(host_of(url))
                 read.read(page or "")
-                known: dict[str, int] = {}
-                mark = lambda b: known.get(b) or known.setdefault(b, _mark(b))
-                seen = {(mark(b), _mark(style), True) for b, style in read.styles}
-                mine = []
-                for text, branches, noise, article in read.texts:
-                    marks, feature = [mark(b) for b in branches], _mark(text)
-                    seen.update((b, feature, False) for b in marks)
-                    if not noise:
-                        mine.append({"text": text, "branches": marks, "feature": feature, "article": article})
-                blocks.append(mine)
+                shown = [(text, branches, article) for text, branches, noise, article in read.texts if not noise]
+                outside = [(text, [_mark(b) for b in branches]) for text, branches, article in shown if not article]
+                asked = {b for _, branches in outside for b in branches}
+                styles = {(_mark(b), _mark(style), True) for b, style in read.styles} if asked else set()
+                seen = {x for x in styles if x[0] in asked} | {(b, _mark(text), False) for text, branches in outside for b in branches}
+                article = [text for text, _, is_article in shown if is_article]
+                texts.append("\n".join(article) if article else None)
+                blocks.append(None if article else [{"text": t, "branches": b} for t, b in outside])
                 features.append([{"branch": b, "feature": f, "presentation": p} for b, f, p in seen])
             yield pa.RecordBatch.from_arrays(
-                [part.column("page"), part.column("id"), part.column("url"), pa.array(blocks, block), pa.array(features, pair)],
-                names=["page", "id", "url", "blocks", "features"],
+                [part.column("page"), part.column("id"), part.column("url"), pa.array(texts, pa.string()), pa.array(blocks, block), pa.array(features, pair)],
+                names=["page", "id", "url", "text", "blocks", "features"],
             )
 
 
@@ -264,15 +267,14 @@ def main_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "u
         F.col(f"`{url_column}`").cast("string").alias("url"), F.col(f"`{html_column}`").cast("string").alias("html"),
     )
     kind = rows.schema["id"].dataType.simpleString()
-    schema = f"page long, id {kind}, url string, blocks {BLOCK}, features array<struct<branch:long,feature:long,presentation:boolean>>"
+    schema = f"page long, id {kind}, url string, text string, blocks {BLOCK}, features array<struct<branch:long,feature:long,presentation:boolean>>"
     read = stored(rows.mapInArrow(_parsed, schema), "pages")
+    articles = read.where("text IS NOT NULL").select("id", "url", "text")
+    others = read.where("text IS NULL").select("page", "id", "url", "blocks")
     common = importance(read).where((F.col("m") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE)).select("branch")
-    # Only texts outside of an article can go, and only pages without an article still need theirs.
-    asked = read.where(~F.exists("blocks", lambda b: b["article"])).select("page", F.explode(
-        F.array_distinct(F.flatten(F.transform("blocks", lambda b: b["branches"])))).alias("branch"))
+    asked = others.select("page", F.explode(F.array_distinct(F.flatten(F.transform("blocks", lambda b: b["branches"])))).alias("branch"))
     low = asked.join(common, "branch", "left_semi").groupBy("page").agg(F.collect_list("branch").alias("low"))
-    found = read.select("page", "id", "url", "blocks").join(low, "page", "left")
-    articles = F.filter("blocks", lambda b: b["article"])
+    found = others.join(low, "page", "left")
     rest = F.filter("blocks", lambda b: ~F.arrays_overlap(b["branches"], F.col("low")))
-    kept = F.when(F.size(articles) > 0, articles).when(F.col("low").isNotNull() & (F.size(rest) > 0), rest).otherwise(F.col("blocks"))
-    return found.select("id", "url", F.array_join(F.transform(kept, lambda b: b["text"]), "\n").alias("text"))
+    kept = F.when(F.col("low").isNotNull() & (F.size(rest) > 0), rest).otherwise(F.col("blocks"))
+    return articles.union(found.select("id", "url", F.array_join(F.transform(kept, lambda b: b["text"]), "\n").alias("text")))
