@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from crivo.llm.common import bucket_of, hashed_rows, packed, row_bytes, stored, sum_by_row, unpacked
 
 DEPTH = 5
-BLOCK_BYTES = 24 << 20
-PIECE = 2 << 20
+BLOCK_BYTES = 16 << 20
+PIECE = 1 << 20
 # Bytes of text per bucket of keys.
 BUCKET_BYTES = 32 << 20
 BYTES, WORDS = 1, 2
