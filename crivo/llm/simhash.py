@@ -277,7 +277,7 @@ def _fixed(before: DataFrame, after: DataFrame) -> bool:
 
 
 def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5) -> DataFrame:
-    """``id``, ``h``, ``fp`` and ``component``: the smallest id reachable through near fingerprints.
+    """``id``, ``h``, ``fp``, ``root`` and ``component``: the smallest id reachable through near fingerprints.
 
     A row for every row of ``docs``. Equal fingerprints are one node, so copies cost nothing;
     null ids belong to a component but never name one.
@@ -287,21 +287,18 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     roots = components(links(nodes))
     rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    of_print = rooted.join(named, "root").select("fp", "component")
+    of_print = rooted.join(named, "root").select("fp", "root", "component")
     return lookup(prints, of_print, ["fp"], None)
 
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5) -> DataFrame:
-    """One row of ``docs`` from each component: that of the smallest id.
+    """One row of ``docs`` from each component: one of its smallest id.
 
-    Of rows of that id with different texts one stays, and one of repeated rows. A component
-    of null ids alone keeps one of its rows.
+    Of rows of that id with different texts one stays, and one of repeated rows.
     """
     found = classes(docs, id_column, text_column, width).where("id <=> component")
-    # Rows without any id share no component name, so their fingerprint's takes its place.
-    group = F.when(F.col("id").isNull(), F.col("fp"))
-    chosen = found.groupBy(F.col("id").alias("_id"), group.alias("_fp")).agg(F.min("h").alias("_h")).select("_id", "_h")
-    own = docs.withColumns({"_own_h": F.xxhash64(F.col(f"`{text_column}`").cast("string"))})
+    chosen = found.groupBy("root").agg(F.min("id").alias("_id"), F.min("h").alias("_h")).select("_id", "_h").distinct()
+    own = docs.withColumn("_own_h", F.xxhash64(F.col(f"`{text_column}`").cast("string")))
     same = F.col(f"`{id_column}`").eqNullSafe(F.col("_id")) & (F.col("_own_h") == F.col("_h"))
     kept = own.join(chosen, same).dropDuplicates(["_id", "_h"])
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
