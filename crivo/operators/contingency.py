@@ -206,8 +206,13 @@ def feature_name(name: Column, value: Column) -> Column:
     return F.when(value.isNull(), name).otherwise(F.concat_ws("_", name, value))
 
 
-def cross_tab(df: DataFrame, feature: str, target: str, classes: Sequence) -> DataFrame:
-    """One feature against the given classes, one column per class, for display."""
+def cross_tab(df: DataFrame, feature: str, target: str, classes: Sequence | None = None) -> DataFrame:
+    """One feature against the classes, one column per class, for display.
+
+    Without ``classes`` all classes of the target have a column, in order.
+    """
+    if classes is None:
+        classes = [r["class"] for r in class_counts(df, target).orderBy("class").collect()]
     counts = [
         F.count(F.when(quoted(target) == F.lit(c), F.lit(1))).alias(str(c)) for c in classes
     ]

@@ -38,13 +38,13 @@ def aligned_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""select l_orderkey::double as l_orderkey, l_quantity, 0.0::double as l_tax, (l_returnflag = 'R')::integer as y from lineitem where l_linestatus = 'F'
-union all select l_orderkey::double, 0.0::double, l_tax, (l_returnflag = 'R')::integer from lineitem where l_linestatus = 'O'""")
+union all select l_orderkey::double, 0.0::double, l_tax, (l_returnflag = 'R')::integer from lineitem where l_linestatus <> 'F'""")
 def aligned_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts with differing columns as one numeric table."""
     items = table(spark, sf_dir, "lineitem").withColumn("y", F.col("l_returnflag") == "R")
     frames = [
         items.where("l_linestatus = 'F'").select("l_orderkey", "l_quantity", "y"),
-        items.where("l_linestatus = 'O'").select("y", "l_tax", "l_orderkey"),
+        items.where("l_linestatus <> 'F'").select("y", "l_tax", "l_orderkey"),
     ]
     columns = align.all_columns(frames)
     return align.aligned_union([align.numbers_aligned(df, columns, "y") for df in frames])
