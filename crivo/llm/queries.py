@@ -30,7 +30,21 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), fingerprint, F.col("component").alias("component_id"))
 
 
-@query()
+OP10_SQL = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+win as (select doc_id, s, array_to_string(w[s : s + 19], ' ') as g
+  from (select doc_id, w, unnest(range(1, len(w) - 18)) as s from d where len(w) >= 20)),
+again as (select doc_id, s from (select doc_id, s, row_number() over (partition by g order by doc_id, s) as r from win) where r > 1),
+gone as (select distinct doc_id, p from (select doc_id, unnest(range(s, s + 20)) as p from again)),
+said as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from d),
+kept as (select said.doc_id, string_agg(word, ' ' order by said.p) as k, count(*) as n
+  from said left join gone on said.doc_id = gone.doc_id and said.p = gone.p where gone.p is null group by 1)
+select doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(k, '')) as kept_sha256
+from d left join kept using (doc_id)
+"""
+
+
+@query(OP10_SQL)
 def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of every document that no earlier passage of 20 words has."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
