@@ -48,20 +48,27 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def utf8_pieces(texts: pa.Array, most_bytes: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def utf8_pieces(
+    texts: pa.Array, most_bytes: int = 1 << 20, whole_words: bool = False,
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Pieces of about ``most_bytes``: the row each part belongs to, the bytes, the parts' offsets.
 
-    Rows stay whole unless they are longer than that; those are cut after white space, so
-    that no word is cut (a word longer than a piece is). Null rows are empty parts.
+    Rows stay whole unless they are longer than that; those are cut after white space or
+    control signs (a word longer than a piece is cut). With ``whole_words`` they are cut after
+    ASCII white space alone, and a piece grows until it comes to one. Null rows are empty parts.
     """
     data, offsets = utf8(texts)
     rows, starts = np.arange(len(offsets) - 1), offsets[:-1]
     for row in np.flatnonzero(np.diff(offsets) > most_bytes)[::-1]:
         cuts, at, end = [], int(offsets[row]), int(offsets[row + 1])
         while end - at > most_bytes:
-            blanks = np.flatnonzero(data[at:at + most_bytes] <= 32)
-            at += int(blanks[-1]) + 1 if len(blanks) else most_bytes
-            cuts.append(at)
+            if whole_words:
+                at = _after_word(data, at, end, most_bytes)
+            else:
+                blanks = np.flatnonzero(data[at:at + most_bytes] <= 32)
+                at += int(blanks[-1]) + 1 if len(blanks) else most_bytes
+            if at < end:
+                cuts.append(at)
         rows = np.insert(rows, row + 1, [row] * len(cuts))
         starts = np.insert(starts, row + 1, cuts)
     bounds = np.append(starts, offsets[-1])
@@ -79,6 +86,18 @@ _OF_BYTE = np.random.default_rng(20_001).integers(1, 1 << 64, 256, dtype=np.uint
 _BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
 
 
+def _after_word(data: np.ndarray, at: int, end: int, most_bytes: int) -> int:
+    """The place after the last white space within ``most_bytes``, else after the first one, else the end."""
+    blanks = np.flatnonzero(_BLANK[data[at:at + most_bytes]])
+    if len(blanks):
+        return at + int(blanks[-1]) + 1
+    for first in range(at + most_bytes, end, most_bytes):
+        blanks = np.flatnonzero(_BLANK[data[first:min(first + most_bytes, end)]])
+        if len(blanks):
+            return first + int(blanks[0]) + 1
+    return end
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n`` powers of the base and of its inverse."""
     out = []
@@ -98,9 +117,20 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, powers: tuple[np.ndarray,
     after = np.concatenate([inside[1:], [False]])[:len(inside)]
     after[breaks[breaks > 0] - 1] = False
     starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_OF_BYTE[data] * powers[0][:len(data)], out=sums[1:])
-    hashes = (sums[ends] - sums[starts]) * powers[1][starts]
+    # Longer data than there are powers, a long word, is summed step by step.
+    hashes, steps = np.zeros(len(starts), np.uint64), len(powers[0])
+    for first in range(0, len(data), steps):
+        part = data[first:first + steps]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_OF_BYTE[part] * powers[0][:len(part)], out=sums[1:])
+        here = slice(np.searchsorted(ends, first, side="right"), np.searchsorted(starts, first + len(part)))
+        since = starts[here] - first
+        sums = sums[np.minimum(ends[here] - first, len(part))] - sums[np.maximum(since, 0)]
+        # A word that began before goes on at the place it has in the word.
+        before = pow(_BASE, max(0, -int(since[0])), 1 << 64) if len(since) else 1
+        shift = powers[1][np.maximum(since, 0)]
+        shift[:1] *= np.uint64(before)
+        hashes[here] += sums * shift
     hashes = (hashes ^ hashes >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
     return hashes ^ hashes >> np.uint64(32), np.diff(np.searchsorted(starts, offsets))
 
@@ -115,7 +145,7 @@ def hashed_rows(texts: pa.Array, most_bytes: int = 1 << 20) -> Iterator[tuple[in
         counts = np.bincount(rows - rows[0], np.concatenate([h[2] for h in held]), rows[-1] - rows[0] + 1).astype(np.int64)
         return int(rows[0]), np.concatenate([h[1] for h in held]), np.concatenate([[0], np.cumsum(counts)])
 
-    for rows, data, offsets in utf8_pieces(texts, most_bytes):
+    for rows, data, offsets in utf8_pieces(texts, most_bytes, whole_words=True):
         # A long row comes in several pieces.
         if held and held[-1][0][-1] != rows[0]:
             yield flush()

@@ -73,6 +73,25 @@ def test_long_rows_count_like_short_ones():
     assert sorted(np.concatenate([p[0] for p in parts]).tolist()) == sorted(whole.tolist())
 
 
+def test_long_words_are_hashed_whole():
+    import pyarrow as pa
+
+    from crivo.llm.common import hashed_rows
+    rng = random.Random(9)
+    texts = ["", None, "a\x00b\x1fc " * 40, "é" * 130, " " * 200, "x" * 100 + " ", "\x01" * 64 + "y"]
+    texts += ["".join(rng.choice("ab\x00 \n") if rng.random() < 0.2 else rng.choice("abc") * rng.randint(1, 70) for _ in range(40)) for _ in range(30)]
+    want, got = {}, {}
+    for size, out in ((1 << 20, want), (64, got), (7, got)):
+        for first, hashes, bounds in hashed_rows(pa.array(texts), size):
+            for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
+                out[first + i] = hashes[a:b].tolist()
+        assert sorted(out) == list(range(len(texts)))
+        assert [len(out[i]) for i in out] == [len(brute.words(texts[i])) for i in out]
+        assert out == want
+    said = {w: h for i, t in enumerate(texts) for w, h in zip(brute.words(t), want[i])}
+    assert len(set(said.values())) == len(said)
+
+
 # ---- copies
 
 def test_golay_code_is_perfect():
@@ -158,6 +177,14 @@ def test_passages_equal_brute_force(spark, small_dir):
         assert found[i]["kept_sha256"] == hashlib.sha256(" ".join(kept).encode()).hexdigest()
 
 
+def test_passages_after_a_long_word(spark):
+    passage = " ".join(f"p{i}" for i in range(25))
+    data = [(1, passage), (2, "a" * (3 << 19) + " own words " + passage), (3, "b\x00" * (1 << 20) + " " + passage + " end")]
+    found = {r["doc_id"]: r for r in substring.without_repeats(spark.createDataFrame(data, DOCS), width=20).collect()}
+    for i, kept, n in brute.without_repeats(data, 20):
+        assert (found[i]["n_words"], found[i]["n_removed"], found[i]["kept"]) == (n, n - len(kept), " ".join(kept))
+
+
 @pytest.mark.parametrize("often", [2, 256])
 @pytest.mark.parametrize("block", [500, 1 << 20])
 def test_passages_of_small_alphabets(spark, monkeypatch, often, block):
