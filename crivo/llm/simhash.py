@@ -296,8 +296,12 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
     Of rows of that id with different texts one stays, and one of repeated rows.
     """
-    found = classes(docs, id_column, text_column, width).where("id <=> component")
-    chosen = found.groupBy("root").agg(F.min("id").alias("_id"), F.min("h").alias("_h")).select("_id", "_h").distinct()
+    return one_of_classes(docs, classes(docs, id_column, text_column, width), id_column, text_column)
+
+
+def one_of_classes(docs: DataFrame, found: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """The rows of ``docs`` that stand for their component in ``found``."""
+    chosen = found.where("id <=> component").groupBy("root").agg(F.min("id").alias("_id"), F.min("h").alias("_h")).select("_id", "_h").distinct()
     own = docs.withColumn("_own_h", F.xxhash64(F.col(f"`{text_column}`").cast("string")))
     same = F.col(f"`{id_column}`").eqNullSafe(F.col("_id")) & (F.col("_own_h") == F.col("_h"))
     kept = own.join(chosen, same).dropDuplicates(["_id", "_h"])

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from crivo.llm import bpe, decontam, langid, queries, simhash, substring
+from crivo.llm import bpe, decontam, langid, queries, similar, simhash, substring
 
 DOCS = "doc_id long, text string"
 
@@ -167,6 +167,56 @@ def test_one_document_of_each_group_stays(spark):
     assert simhash.one_of_each(docs.where("false")).count() == 0
 
 
+def least_similar(docs, width=5):
+    """doc id -> smallest id that a chain of pairs with a Jaccard similarity of 0.8 reaches, by all pairs."""
+    sets = {}
+    for i, text in docs:
+        w = brute.words((text or "").translate(brute.LOWER))
+        sets[i] = {tuple(w[s:s + width]) for s in range(max(1, len(w) - width + 1))}
+    least = {i: i for i in sets}
+    def root(i):
+        return i if least[i] == i else root(least[i])
+    ids = sorted(sets)
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            a, b = sets[i], sets[j]
+            if 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and 9 * len(a & b) >= 4 * (len(a) + len(b)):
+                x, y = sorted((root(i), root(j)))
+                least[y] = x
+    return {i: root(i) for i in ids}
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_stage_takes_one_of_similar_texts(spark, sf):
+    import corpus_pipeline
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    want = least_similar([tuple(r) for r in docs.select("doc_id", "text").collect()])
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
+
+
+@pytest.mark.parametrize("sample", [1, 20_000])
+def test_chains_and_common_lines_of_similar_texts(spark, monkeypatch, sample):
+    monkeypatch.setattr(similar, "SAMPLE", sample)
+    rng = random.Random(sample)
+    line = [f"line{i}" for i in range(12)]
+    data, at = [], [rng.choice("abcdefgh") * rng.randint(1, 5) for _ in range(60)]
+    for i in range(150):
+        if i % 50 == 0:
+            at = [f"w{rng.randint(0, 10**6)}" for _ in range(60)]
+        text = list(at)
+        for _ in range(rng.randint(0, 3)):
+            text[rng.randrange(len(text))] = f"e{rng.randint(0, 10**6)}"
+        if rng.random() < 0.2:
+            at = text
+        data.append((i, " ".join(text + line * (i % 2))))
+    data += [(i, " ".join([f"o{rng.randint(0, 10**6)}" for _ in range(rng.randint(0, 20))] + line)) for i in range(150, 220)]
+    data += [(300, "A b c"), (301, "a B  c"), (302, ""), (303, None), (304, " ")]
+    want = least_similar(data)
+    found = {r["id"]: r["component"] for r in similar.classes(spark.createDataFrame(data, DOCS).repartition(3)).collect()}
+    assert found == want and 20 < len(set(want.values())) < 200
+
+
 # ---- passages
 
 def test_passages_equal_brute_force(spark, small_dir):
