@@ -6,10 +6,10 @@ of them share has the entropy log k / log m: 0 for what stands on one page, 1 fo
 on all. The branch's content importance is 1 less the mean of these; its presentation
 importance is the entropy, to base m, of the sequences of children it has in the pages. Both
 together tell what a site repeats from what a page says, and branches of little importance are
-removed from each page. A single page has no other to compare, and menus and adverts may differ
-from page to page, so elements whose tag, role or class names them are worth nothing from the
-start. What stands in the page's article is never removed for being common: hosts may hold
-copies of one article.
+removed from each page, inside its article as well. A single page has no other to compare, and
+menus and adverts may differ from page to page, so elements whose tag or role names them are
+worth nothing from the start, as are those that a class names.
+Hosts may hold copies of one article, so an article is never left without its text.
 """
 
 from __future__ import annotations
@@ -29,6 +29,10 @@ from crivo.llm.common import stored
 CONTENT_WEIGHT = 0.9
 LEAST_IMPORTANCE = 0.3
 LEAST_PAGES = 3
+# Inside an article a branch without a name of noise goes only if so many pages tell of it.
+LEAST_ARTICLES = 6
+# A name of noise takes so much of a branch's importance inside an article.
+NAMED_WEIGHT = 0.5
 # Elements nested deeper count to the branch of their ancestor at this depth.
 DEPTH = 24
 
@@ -67,22 +71,23 @@ NOISE_WORDS = FRAME_WORDS | frozenset(
     "menubar submenu breadcrumb breadcrumbs comment comments commentlist discussion disqus respond reply replies share sharing social "
     "related recommended recommendations pagination pager outbrain taboola sidenav aside notification notifications".split()
 )
-SHOWN, NOISE, FRAME = 0, 2, 1
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+SHOWN, FRAME, NAMED, NOISE = 0, 1, 2, 3
 
 
 def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(raw)} if raw.strip(" /\n") else {}
 
 
-def _worth(tag: str, own: dict[str, str], in_article: bool) -> int:
-    """Is an element part of the page, of its frame, or never shown?"""
+def _worth(tag: str, own: dict[str, str], in_article: bool, is_article: bool) -> int:
+    """Is an element part of the page, of its frame, named as noise, or never shown?"""
     if tag in NOISE_TAGS or own.get("role", "").lower() in NOISE_ROLES:
         return NOISE
     if "hidden" in own or own.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", own.get("style", "")):
         return NOISE
     if tag == "header" and not in_article:
         return FRAME
-    if tag in ("html", "body", "main"):
+    if tag in ("html", "body") or tag == "main":
         return SHOWN
     words = {w.lower() for w in _TOKEN.findall(own.get("class", "") + " " + own.get("id", ""))}
     if in_article:
@@ -96,9 +101,10 @@ class _Page:
     """Reads one page: its texts with the elements around them, and its elements' children."""
 
     def __init__(self, host: str) -> None:
-        # Of an open element: tag, branch, worth, inside an article?, children so far.
-        self.open: list[tuple[str, str, int, bool, list[str]]] = [("", host, SHOWN, False, [])]
-        self.texts: list[tuple[str, list[str], bool, bool]] = []
+        # Of an open element: tag, branch, worth, depth of its article and of the first named element (0: none), children so far.
+        self.open: list[tuple[str, str, int, int, int, list[str]]] = [("", host, SHOWN, 0, 0, [])]
+        # Text, branches, never shown?, depth of its article and of the first named element, in a heading?
+        self.texts: list[tuple[str, list[str], bool, int, int, bool]] = []
         self.styles: list[tuple[str, str]] = []
         self.held: list[str] = []
 
@@ -107,11 +113,12 @@ class _Page:
             text = " ".join(html.unescape("".join(self.held)).split())
             self.held = []
             if text:
-                _, _, worth, article, _ = self.open[-1]
-                self.texts.append((text, [o[1] for o in self.open[1:DEPTH + 1]], worth != SHOWN, article))
+                _, _, worth, article, named, _ = self.open[-1]
+                heading = any(o[0] in HEADINGS for o in self.open)
+                self.texts.append((text, [o[1] for o in self.open[1:DEPTH + 1]], worth != SHOWN, article, named, heading))
 
     def _close(self) -> None:
-        tag, branch, _, _, children = self.open.pop()
+        tag, branch, _, _, _, children = self.open.pop()
         if len(self.open) <= DEPTH:
             self.styles.append((branch, " ".join(dict.fromkeys(children))))
 
@@ -135,19 +142,26 @@ class _Page:
             self._end_block()
         elif tag in ("br", "td", "th"):
             self.held.append(" ")
-        _, branch, worth, article, children = self.open[-1]
+        _, branch, worth, article, named, children = self.open[-1]
         own = _attributes(raw)
         name = tag + "".join("." + c for c in sorted(own.get("class", "").split()))
         children.append(name)
         if tag in VOID:
             return
-        mine = _worth(tag, own, article)
         is_article = tag in ("article", "main") or own.get("role", "").lower() in ("main", "article")
-        if is_article and worth == FRAME and mine != NOISE:
-            worth = SHOWN
-        worth = max(worth, mine if not (is_article and mine == FRAME) else SHOWN)
+        mine = _worth(tag, own, article > 0, is_article)
+        depth = min(len(self.open), DEPTH)
+        if is_article and mine == FRAME:
+            mine = SHOWN
+        if is_article and worth == FRAME and mine == SHOWN:
+            worth, named = SHOWN, 0
+        worth = max(worth, mine)
+        if not article and is_article and worth == SHOWN:
+            article = depth
+        if not named and mine in (FRAME, NAMED):
+            named = depth
         inner = f"{branch}>{name}" if len(self.open) <= DEPTH else branch
-        self.open.append((tag, inner, worth, article or (is_article and worth == SHOWN), []))
+        self.open.append((tag, inner, worth, article, named, []))
 
     def end(self, tag: str) -> None:
         if tag == "br":
@@ -193,7 +207,7 @@ def host_of(url: str | None) -> str:
     return found[1].lower() if found else ""
 
 
-BLOCK = "array<struct<text:string,branches:array<long>>>"
+BLOCK = "array<struct<text:string,branches:array<long>,article:int,named:int,heading:boolean>>"
 
 
 def _mark(text: str) -> int:
@@ -201,32 +215,27 @@ def _mark(text: str) -> int:
 
 
 def _parsed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Text of pages with an article, blocks of the others, and what every page adds to its site's tree.
-
-    Only branches above a text that may go, one outside of an article and of named noise, are
-    asked about later, so the tree has those.
-    """
-    block = pa.list_(pa.struct([("text", pa.string()), ("branches", pa.list_(pa.int64()))]))
-    pair = pa.list_(pa.struct([("branch", pa.int64()), ("feature", pa.int64()), ("presentation", pa.bool_())]))
+    """The shown blocks of every page, and the children of the branches above them."""
+    block = pa.list_(pa.struct([("text", pa.string()), ("branches", pa.list_(pa.int64())), ("article", pa.int32()), ("named", pa.int32()), ("heading", pa.bool_())]))
+    pair = pa.list_(pa.struct([("branch", pa.int64()), ("feature", pa.int64())]))
     for batch in batches:
         for first in range(0, batch.num_rows, 500):
             part = batch.slice(first, 500)
-            texts, blocks, features = [], [], []
+            blocks, styles = [], []
             for url, page in zip(part.column("url").to_pylist(), part.column("html").to_pylist()):
                 read = _Page(host_of(url))
                 read.read(page or "")
-                shown = [(text, branches, article) for text, branches, noise, article in read.texts if not noise]
-                outside = [(text, [_mark(b) for b in branches]) for text, branches, article in shown if not article]
-                asked = {b for _, branches in outside for b in branches}
-                styles = {(_mark(b), _mark(style), True) for b, style in read.styles} if asked else set()
-                seen = {x for x in styles if x[0] in asked} | {(b, _mark(text), False) for text, branches in outside for b in branches}
-                article = [text for text, _, is_article in shown if is_article]
-                texts.append("\n".join(article) if article else None)
-                blocks.append(None if article else [{"text": t, "branches": b} for t, b in outside])
-                features.append([{"branch": b, "feature": f, "presentation": p} for b, f, p in seen])
+                shown = [
+                    {"text": text, "branches": [_mark(b) for b in branches], "article": article, "named": named, "heading": heading}
+                    for text, branches, noise, article, named, heading in read.texts if not noise
+                ]
+                asked = {b for x in shown for b in x["branches"]}
+                blocks.append(shown)
+                found = dict.fromkeys((_mark(b), _mark(style)) for b, style in read.styles)
+                styles.append([{"branch": b, "feature": f} for b, f in found if b in asked])
             yield pa.RecordBatch.from_arrays(
-                [part.column("page"), part.column("id"), part.column("url"), pa.array(texts, pa.string()), pa.array(blocks, block), pa.array(features, pair)],
-                names=["page", "id", "url", "text", "blocks", "features"],
+                [part.column("page"), part.column("id"), part.column("url"), pa.array(blocks, block), pa.array(styles, pair)],
+                names=["page", "id", "url", "blocks", "styles"],
             )
 
 
@@ -236,9 +245,12 @@ def importance(pages: DataFrame) -> DataFrame:
     Pages and shared features are counted where they are read, so a host with a third of all
     pages sends one number per branch and feature from each task.
     """
-    every = pages.select(F.explode("features").alias("f")).select("f.*")
+    # A text counts once for each branch and page, by its hash.
+    said = F.expr("array_distinct(flatten(transform(blocks, b -> transform(b.branches, x -> struct(x AS branch, xxhash64(b.text) AS feature)))))")
+    texts = pages.select(F.explode(said).alias("f")).select("f.*", F.lit(False).alias("presentation"))
+    every = texts.union(pages.select(F.explode("styles").alias("f")).select("f.*", F.lit(True).alias("presentation")))
     shared = every.groupBy("branch", "presentation", "feature").agg(F.count("*").alias("k"))
-    having = pages.select(F.explode(F.array_distinct(F.transform("features", lambda f: f["branch"]))).alias("branch"))
+    having = pages.select(F.explode(F.array_distinct(F.flatten("blocks.branches"))).alias("branch"))
     pages_of = having.groupBy("branch").agg(F.count("*").alias("m"))
     content, presentation = ~F.col("presentation"), F.col("presentation")
     sums = shared.groupBy("branch").agg(
@@ -255,26 +267,41 @@ def importance(pages: DataFrame) -> DataFrame:
 
 
 def main_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
-    """``id``, ``url`` and ``text`` of every row: the blocks of its article, one to a line.
+    """``id``, ``url`` and ``text`` of every row: the blocks that say something, one to a line.
 
-    A page without an article (or ``main``) gives what is left of its body once menus, notices
-    and the like and unimportant branches are gone; if nothing would be left, unimportant
-    branches stay. Null and empty pages give an empty text, repeated rows stay, and rows
-    without a host in their URL form one site. Every page is read once.
+    Branches that the site repeats go. If a page has an article (or ``main``), only that counts. An article keeps its text if nothing but headings would
+    be left of it, and a page its blocks if nothing would be. Null and empty pages give an empty
+    text, repeated rows stay, and rows without a host in their URL form one site. Every page is
+    read once.
     """
     rows = pages.select(
         F.monotonically_increasing_id().alias("page"), F.col(f"`{id_column}`").alias("id"),
         F.col(f"`{url_column}`").cast("string").alias("url"), F.col(f"`{html_column}`").cast("string").alias("html"),
     )
     kind = rows.schema["id"].dataType.simpleString()
-    schema = f"page long, id {kind}, url string, text string, blocks {BLOCK}, features array<struct<branch:long,feature:long,presentation:boolean>>"
-    read = stored(rows.mapInArrow(_parsed, schema), "pages")
-    articles = read.where("text IS NOT NULL").select("id", "url", "text")
-    others = read.where("text IS NULL").select("page", "id", "url", "blocks")
-    common = importance(read).where((F.col("m") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE)).select("branch")
-    asked = others.select("page", F.explode(F.array_distinct(F.flatten(F.transform("blocks", lambda b: b["branches"])))).alias("branch"))
-    low = asked.join(common, "branch", "left_semi").groupBy("page").agg(F.collect_list("branch").alias("low"))
-    found = others.join(low, "page", "left")
-    rest = F.filter("blocks", lambda b: ~F.arrays_overlap(b["branches"], F.col("low")))
-    kept = F.when(F.col("low").isNotNull() & (F.size(rest) > 0), rest).otherwise(F.col("blocks"))
-    return articles.union(found.select("id", "url", F.array_join(F.transform(kept, lambda b: b["text"]), "\n").alias("text")))
+    read = stored(rows.mapInArrow(_parsed, f"page long, id {kind}, url string, blocks {BLOCK}, styles array<struct<branch:long,feature:long>>"), "pages")
+    doubtful = importance(read).where((F.col("m") >= LEAST_PAGES) & (F.col("importance") * NAMED_WEIGHT < LEAST_IMPORTANCE))
+    asked = read.select("page", F.explode(F.array_distinct(F.flatten("blocks.branches"))).alias("branch"))
+    is_low = F.col("importance") < LEAST_IMPORTANCE
+    low = asked.join(doubtful, "branch").groupBy("page").agg(
+        F.collect_list("branch").alias("doubtful"), F.collect_list(F.when(is_low, F.col("branch"))).alias("low"),
+        F.collect_list(F.when(is_low & (F.col("m") >= LEAST_ARTICLES), F.col("branch"))).alias("low_inside"),
+    )
+    found = read.drop("styles").join(low, "page", "left")
+    for name in ("doubtful", "low", "low_inside"):
+        found = found.withColumn(name, F.coalesce(name, F.array().cast("array<long>")))
+    # Inside an article its own branches count, and those of a named element in it with half their importance.
+    below = "arrays_overlap(slice(b.branches, greatest(b.{0}, 1), size(b.branches)), {1})"
+    inside = f"b.article > 0 AND NOT {below.format('article', 'low_inside')} AND NOT (b.named > 0 AND {below.format('named', 'doubtful')})"
+    outside = "(b.article = 0 AND b.named = 0 AND NOT arrays_overlap(b.branches, low))"
+    # What an article keeps: its important blocks, else (1) those without a name, else (2) all.
+    found = found.withColumn("spared", F.expr(
+        f"CASE WHEN exists(blocks, b -> NOT b.heading AND {inside}) THEN 0 WHEN exists(blocks, b -> b.article > 0 AND b.named = 0) THEN 1 ELSE 2 END"))
+    inside = f"(b.article > 0 AND (spared = 2 OR spared = 1 AND b.named = 0 OR {inside}))"
+    for name, kept in (("inside", inside), ("outside", outside)):
+        found = found.withColumn(name, F.expr(f"filter(blocks, b -> {kept})"))
+    text = F.expr(
+        "CASE WHEN size(inside) > 0 THEN inside "
+        f"WHEN size(outside) > 0 THEN filter(blocks, b -> {inside} OR {outside}) "
+        "WHEN exists(blocks, b -> b.named = 0) THEN filter(blocks, b -> b.named = 0) ELSE blocks END")
+    return found.select("id", "url", F.array_join(F.transform(text, lambda b: b["text"]), "\n").alias("text"))

@@ -175,6 +175,20 @@ def test_copies_of_one_article_stay(spark):
     assert {r["text"] for r in found.collect()} == {"The only text"} and found.count() == 40
 
 
+def text_of(spark, *pages):
+    data = [(i, "http://a.example/", page) for i, page in enumerate(pages)]
+    found = sitetree.main_text(spark.createDataFrame(data, "page_id long, url string, html string"))
+    return [r["text"] for r in sorted(found.collect(), key=lambda r: r["id"])]
+
+
+def test_what_a_site_repeats_goes_inside_articles(spark):
+    pages = [f"<article><h1>Title {i}</h1><p>Text {i} of its own</p><div class=box><p>Read our terms</p></div></article>" for i in range(8)]
+    assert text_of(spark, *pages) == [f"Title {i}\nText {i} of its own" for i in range(8)]
+    # Copies under titles of their own keep their text.
+    copies = [f"<article><h1>Title {i}</h1><p>The only text</p></article>" for i in range(8)]
+    assert text_of(spark, *copies) == [f"Title {i}\nThe only text" for i in range(8)]
+
+
 @pytest.mark.parametrize("html, want", [
     (None, ""), ("", ""), ("plain", "plain"), ("a < b & c", "a < b & c"), ("<p>a<p>b", "a\nb"), ("<div>a<div>b</div>c</div>", "a\nb\nc"),
     ("<p>x</span></div>y</p>z", "xy\nz"), ("<article><p><b>a<br><p>b</article><p>after", "a\nb"), ("<!-- no --><p>&#233;&eacute;&bogus;</p>", "éé&bogus;"),
