@@ -8,7 +8,8 @@ importance is the entropy, to base m, of the sequences of children it has in the
 together tell what a site repeats from what a page says, and branches of little importance are
 removed from each page, inside its article as well. A single page has no other to compare, and
 menus and adverts may differ from page to page, so elements whose tag or role names them are
-worth nothing from the start, as are those that a class names.
+worth nothing from the start. Names of classes are a hint: inside an article they halve a
+branch's importance, outside of it they rule a branch out while the page has anything else.
 Hosts may hold copies of one article, so an article is never left without its text.
 """
 
@@ -71,6 +72,8 @@ NOISE_WORDS = FRAME_WORDS | frozenset(
     "menubar submenu breadcrumb breadcrumbs comment comments commentlist discussion disqus respond reply replies share sharing social "
     "related recommended recommendations pagination pager outbrain taboola sidenav aside notification notifications".split()
 )
+# Classes with these words tell how a page is laid out, not what the element is.
+LAYOUT_WORDS = frozenset("with without has no layout".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SHOWN, FRAME, NAMED, NOISE = 0, 1, 2, 3
 
@@ -87,13 +90,15 @@ def _worth(tag: str, own: dict[str, str], in_article: bool, is_article: bool) ->
         return NOISE
     if tag == "header" and not in_article:
         return FRAME
-    if tag in ("html", "body") or tag == "main":
+    if tag in ("html", "body") or is_article:
         return SHOWN
-    words = {w.lower() for w in _TOKEN.findall(own.get("class", "") + " " + own.get("id", ""))}
+    names = own.get("class", "").split() + ([] if tag in HEADINGS else own.get("id", "").split())
+    found = [{w.lower() for w in _TOKEN.findall(name)} for name in names]
+    words = {w for own_words in found if not own_words & LAYOUT_WORDS for w in own_words}
     if in_article:
         words -= {"header"}
     if words & (NOISE_WORDS - FRAME_WORDS):
-        return NOISE
+        return NAMED
     return FRAME if words & FRAME_WORDS else SHOWN
 
 
@@ -115,7 +120,7 @@ class _Page:
             if text:
                 _, _, worth, article, named, _ = self.open[-1]
                 heading = any(o[0] in HEADINGS for o in self.open)
-                self.texts.append((text, [o[1] for o in self.open[1:DEPTH + 1]], worth != SHOWN, article, named, heading))
+                self.texts.append((text, [o[1] for o in self.open[1:DEPTH + 1]], worth == NOISE, article, named, heading))
 
     def _close(self) -> None:
         tag, branch, _, _, _, children = self.open.pop()
@@ -151,8 +156,6 @@ class _Page:
         is_article = tag in ("article", "main") or own.get("role", "").lower() in ("main", "article")
         mine = _worth(tag, own, article > 0, is_article)
         depth = min(len(self.open), DEPTH)
-        if is_article and mine == FRAME:
-            mine = SHOWN
         if is_article and worth == FRAME and mine == SHOWN:
             worth, named = SHOWN, 0
         worth = max(worth, mine)
@@ -269,7 +272,8 @@ def importance(pages: DataFrame) -> DataFrame:
 def main_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
     """``id``, ``url`` and ``text`` of every row: the blocks that say something, one to a line.
 
-    Branches that the site repeats go. If a page has an article (or ``main``), only that counts. An article keeps its text if nothing but headings would
+    Branches that the site repeats go. If the articles (or ``main``) hold at least half of what
+    is left of a page, only they count. An article keeps its text if nothing but headings would
     be left of it, and a page its blocks if nothing would be. Null and empty pages give an empty
     text, repeated rows stay, and rows without a host in their URL form one site. Every page is
     read once.
@@ -300,8 +304,9 @@ def main_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "u
     inside = f"(b.article > 0 AND (spared = 2 OR spared = 1 AND b.named = 0 OR {inside}))"
     for name, kept in (("inside", inside), ("outside", outside)):
         found = found.withColumn(name, F.expr(f"filter(blocks, b -> {kept})"))
+    length = "aggregate({0}, 0L, (n, b) -> n + length(b.text))"
     text = F.expr(
-        "CASE WHEN size(inside) > 0 THEN inside "
+        f"CASE WHEN size(inside) > 0 AND {length.format('inside')} >= {length.format('outside')} THEN inside "
         f"WHEN size(outside) > 0 THEN filter(blocks, b -> {inside} OR {outside}) "
         "WHEN exists(blocks, b -> b.named = 0) THEN filter(blocks, b -> b.named = 0) ELSE blocks END")
     return found.select("id", "url", F.array_join(F.transform(text, lambda b: b["text"]), "\n").alias("text"))

@@ -189,6 +189,17 @@ def test_what_a_site_repeats_goes_inside_articles(spark):
     assert text_of(spark, *copies) == [f"Title {i}\nThe only text" for i in range(8)]
 
 
+def test_names_alone_do_not_drop_an_article(spark):
+    inner = '<h2 id="privacy">Privacy {0}</h2><section id="related-work"><p>Work {0}</p></section><div class="discussion"><p>We discuss {0}</p></div>'
+    want = "Privacy {0}\nWork {0}\nWe discuss {0}"
+    for own in ("", 'class="post comments-open"', 'class="tag-login"'):
+        assert text_of(spark, *[f"<article {own}>{inner.format(i)}</article>" for i in range(8)]) == [want.format(i) for i in range(8)]
+    assert text_of(spark, '<body><div class="layout with-sidebar"><p>Body</p><div class="sidebar">Links</div></div>') == ["Body"]
+    assert text_of(spark, '<div class="comments"><p>All there is</p></div>') == ["All there is"]
+    page = '<div class="content"><p>A long text that is the body of this page</p></div><article class="card"><p>Teaser</p></article>'
+    assert text_of(spark, page) == ["A long text that is the body of this page\nTeaser"]
+
+
 @pytest.mark.parametrize("html, want", [
     (None, ""), ("", ""), ("plain", "plain"), ("a < b & c", "a < b & c"), ("<p>a<p>b", "a\nb"), ("<div>a<div>b</div>c</div>", "a\nb\nc"),
     ("<p>x</span></div>y</p>z", "xy\nz"), ("<article><p><b>a<br><p>b</article><p>after", "a\nb"), ("<!-- no --><p>&#233;&eacute;&bogus;</p>", "éé&bogus;"),
