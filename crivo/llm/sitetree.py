@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crivo.llm.common import stored
+from crivo.shared import BroadcastBudget, measured
 
 # Weight of content against presentation in a branch's importance.
 CONTENT_WEIGHT = 0.9
@@ -224,9 +225,11 @@ def _parsed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first in range(0, batch.num_rows, 500):
             part = batch.slice(first, 500)
-            blocks, styles = [], []
+            blocks, styles, sites = [], [], []
             for url, page in zip(part.column("url").to_pylist(), part.column("html").to_pylist()):
-                read = _Page(host_of(url))
+                host = host_of(url)
+                sites.append(_mark(host))
+                read = _Page(host)
                 read.read(page or "")
                 shown = [
                     {"text": text, "branches": [_mark(b) for b in branches], "article": article, "named": named, "heading": heading}
@@ -237,13 +240,13 @@ def _parsed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 found = dict.fromkeys((_mark(b), _mark(style)) for b, style in read.styles)
                 styles.append([{"branch": b, "feature": f} for b, f in found if b in asked])
             yield pa.RecordBatch.from_arrays(
-                [part.column("page"), part.column("id"), part.column("url"), pa.array(blocks, block), pa.array(styles, pair)],
-                names=["page", "id", "url", "blocks", "styles"],
+                [part.column("page"), part.column("id"), part.column("url"), pa.array(sites, pa.int64()), pa.array(blocks, block), pa.array(styles, pair)],
+                names=["page", "id", "url", "site", "blocks", "styles"],
             )
 
 
 def importance(pages: DataFrame) -> DataFrame:
-    """``branch``, ``m`` and ``importance`` of every branch of the sites' style trees.
+    """``site``, ``branch``, ``m`` and ``importance`` of every branch of the sites' style trees.
 
     Pages and shared features are counted where they are read, so a host with a third of all
     pages sends one number per branch and feature from each task.
@@ -253,8 +256,8 @@ def importance(pages: DataFrame) -> DataFrame:
     texts = pages.select(F.explode(said).alias("f")).select("f.*", F.lit(False).alias("presentation"))
     every = texts.union(pages.select(F.explode("styles").alias("f")).select("f.*", F.lit(True).alias("presentation")))
     shared = every.groupBy("branch", "presentation", "feature").agg(F.count("*").alias("k"))
-    having = pages.select(F.explode(F.array_distinct(F.flatten("blocks.branches"))).alias("branch"))
-    pages_of = having.groupBy("branch").agg(F.count("*").alias("m"))
+    having = pages.select("site", F.explode(F.array_distinct(F.flatten("blocks.branches"))).alias("branch"))
+    pages_of = having.groupBy("branch").agg(F.count("*").alias("m"), F.first("site").alias("site"))
     content, presentation = ~F.col("presentation"), F.col("presentation")
     sums = shared.groupBy("branch").agg(
         F.sum(F.when(content, F.log("k"))).alias("content"), F.count(F.when(content, 1)).alias("texts"),
@@ -266,7 +269,7 @@ def importance(pages: DataFrame) -> DataFrame:
     # A page can have several styles of one branch, so shares are of all styles seen.
     of_style = F.when(F.col("styled") > 0, (F.log("styled") - F.col("style_logs") / F.col("styled")) / m).otherwise(0.0)
     both = CONTENT_WEIGHT * of_content + (1 - CONTENT_WEIGHT) * F.least(of_style, F.lit(1.0))
-    return sums.join(pages_of, "branch").select("branch", "m", F.when(F.col("m") > 1, both).otherwise(1.0).alias("importance"))
+    return sums.join(pages_of, "branch").select("site", "branch", "m", F.when(F.col("m") > 1, both).otherwise(1.0).alias("importance"))
 
 
 def main_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
@@ -283,15 +286,23 @@ def main_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "u
         F.col(f"`{url_column}`").cast("string").alias("url"), F.col(f"`{html_column}`").cast("string").alias("html"),
     )
     kind = rows.schema["id"].dataType.simpleString()
-    read = stored(rows.mapInArrow(_parsed, f"page long, id {kind}, url string, blocks {BLOCK}, styles array<struct<branch:long,feature:long>>"), "pages")
+    read = stored(rows.mapInArrow(_parsed, f"page long, id {kind}, url string, site long, blocks {BLOCK}, styles array<struct<branch:long,feature:long>>"), "pages")
     doubtful = importance(read).where((F.col("m") >= LEAST_PAGES) & (F.col("importance") * NAMED_WEIGHT < LEAST_IMPORTANCE))
-    asked = read.select("page", F.explode(F.array_distinct(F.flatten("blocks.branches"))).alias("branch"))
+    doubtful = stored(doubtful, "doubtful")
+    pages_read = read.drop("styles").withColumn("own", F.array_distinct(F.flatten("blocks.branches")))
     is_low = F.col("importance") < LEAST_IMPORTANCE
-    low = asked.join(doubtful, "branch").groupBy("page").agg(
+    lists = [
         F.collect_list("branch").alias("doubtful"), F.collect_list(F.when(is_low, F.col("branch"))).alias("low"),
         F.collect_list(F.when(is_low & (F.col("m") >= LEAST_ARTICLES), F.col("branch"))).alias("low_inside"),
-    )
-    found = read.drop("styles").join(low, "page", "left")
+    ]
+    if BroadcastBudget().take(measured(doubtful)):
+        # The sites' lists go to the pages, which stay where they are; a page takes its own branches of them.
+        found = pages_read.join(F.broadcast(doubtful.groupBy("site").agg(*lists)), "site", "left")
+        for name in ("doubtful", "low", "low_inside"):
+            found = found.withColumn(name, F.array_intersect("own", name))
+    else:
+        asked = pages_read.select("page", F.explode("own").alias("branch"))
+        found = pages_read.join(asked.join(doubtful.drop("site"), "branch").groupBy("page").agg(*lists), "page", "left")
     for name in ("doubtful", "low", "low_inside"):
         found = found.withColumn(name, F.coalesce(name, F.array().cast("array<long>")))
     # Inside an article its own branches count, and those of a named element in it with half their importance.

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from crivo import shared
 from crivo.llm import ann, chat, ctw, quality, queries, sitetree
 
 DOCS = "doc_id long, text string"
@@ -181,7 +182,9 @@ def text_of(spark, *pages):
     return [r["text"] for r in sorted(found.collect(), key=lambda r: r["id"])]
 
 
-def test_what_a_site_repeats_goes_inside_articles(spark):
+@pytest.mark.parametrize("most", [0, 64 << 20])
+def test_what_a_site_repeats_goes_inside_articles(spark, monkeypatch, most):
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", most)
     pages = [f"<article><h1>Title {i}</h1><p>Text {i} of its own</p><div class=box><p>Read our terms</p></div></article>" for i in range(8)]
     assert text_of(spark, *pages) == [f"Title {i}\nText {i} of its own" for i in range(8)]
     # Copies under titles of their own keep their text.
