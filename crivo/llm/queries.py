@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crivo.llm import ann, bpe, chat, ctw, decontam, langid, quality, simhash, sitetree, substring
+from crivo.llm import ann, audit, bpe, chat, ctw, decontam, langid, ngram_join, quality, repair, simhash, sitetree, substring
 from crivo.llm.common import crc_remainder, table
 from crivo.llm.registry import ORACLES, QUERIES, query
 
@@ -159,3 +159,53 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     added = spark.range(2).select(F.lit(-7).cast("long"), F.col("id"), F.expr("if(id = 0, 'user', 'assistant')"), F.lit(tricky))
     formatted = chat.format_turns(turns.union(added), chat.text_part(F.col("text")))
     return chat.read_back(formatted).withColumnRenamed("conv", "conv_id")
+
+
+OP11_SQL = r"""
+with d as (
+  select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w
+  from documents),
+failed as (
+  select doc_id, part, (len(w) < 200)::int + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::int
+    + 4 * (100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t))::int + 8 * regexp_matches(t, '[#$%&*|]')::int
+    + 16 * coalesce(doc_id > min(doc_id) over (partition by t), false)::int as mask from d),
+said as (select doc_id, coalesce(bool_or(quality = 1), false) as good, coalesce(bool_or(toxic = 1), false) as toxic from labels group by 1),
+counted as (
+  select part, mask, coalesce(good, false) as good, coalesce(toxic, false) as toxic, count(*) as n
+  from failed left join said using (doc_id) group by all),
+letter as (select unnest(range(5)) as i),
+orders as (
+  select [a.i, b.i, c.i, d.i, e.i] as o from letter a join letter b on b.i != a.i join letter c on c.i not in (a.i, b.i)
+  join letter d on d.i not in (a.i, b.i, c.i) join letter e on e.i not in (a.i, b.i, c.i, d.i)),
+steps as (
+  select list_aggregate(list_transform(o, lambda i: chr((65 + i)::int)), 'string_agg', '') as filter_order, step::int as step,
+    (1 << o[step])::int as own, coalesce(list_sum(list_transform(o[1 : step - 1], lambda i: 1 << i)), 0)::int as before
+  from (select o, unnest(range(1, 6)) as step from orders)),
+both_ as (select *, mask & own != 0 as fails, mask & before != 0 as earlier from counted, steps)
+select part, filter_order, step, cast(sum(if(not fails and not earlier, n, 0)) as bigint) as kept,
+  cast(sum(if(fails and not earlier, n, 0)) as bigint) as removed, cast(sum(if(fails and earlier, n, 0)) as bigint) as redundant,
+  cast(sum(if(mask = own, n, 0)) as bigint) as unique_fails, cast(sum(if(fails and not earlier and good, n, 0)) as bigint) as good_lost,
+  cast(sum(if(fails and not earlier and toxic, n, 0)) as bigint) as toxic_lost,
+  cast(sum(if(fails, n * 120 // bit_count(mask), 0)) as bigint) as shapley
+from both_ group by all
+"""
+
+
+@query(OP11_SQL)
+def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in every order, by language."""
+    found = audit.masks(table(spark, sf_dir, "documents"))
+    return audit.interactions(audit.labelled(found, table(spark, sf_dir, "labels")))
+
+
+@query()
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation, and the cheapest repair."""
+    return repair.repaired(repair.damage(table(spark, sf_dir, "conversations"))).withColumnRenamed("conv", "conv_id")
+
+
+@query()
+def op13_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shingles of every document and the smallest document it is linked to by similar ones."""
+    found = ngram_join.classes(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
