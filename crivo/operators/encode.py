@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from crivo.functions.stats import EPSILON
 from crivo.operators.clean import is_text, present, replaced, require_columns
 from crivo.operators.contingency import quoted
-from crivo.shared import BroadcastBudget, lookup, materialize
+from crivo.shared import BroadcastBudget, hot_keys, lookup, materialize
 
 # The reference's income bands and codes.
 INCOME_CODES = {
@@ -118,15 +118,25 @@ def fit_labels(
     return Labels(codes, sizes, tuple(by), missing_as, {row[0]: row[2] for row in counted})
 
 
-def encode_labels(df: DataFrame, labels: Labels, columns: Sequence[str], unseen: int = UNKNOWN) -> DataFrame:
-    """Replace columns by their codes; a value the fit did not see gives ``unseen``."""
-    joined, budget = df, BroadcastBudget()
+def encode_labels(
+    df: DataFrame, labels: Labels, columns: Sequence[str], unseen: int = UNKNOWN, most_bytes: int | None = None,
+) -> DataFrame:
+    """Replace columns by their codes; a value the fit did not see gives ``unseen``.
+
+    Dictionaries of up to ``most_bytes`` (default `BROADCAST_BYTES`) together are broadcast. For the others one pass over
+    ``df`` measures which values are heavy, and those are spread by their share.
+    """
+    budget = BroadcastBudget(most_bytes)
+    sent = {c: budget.take(labels.bytes.get(c)) for c in columns}
+    keyed = df.withColumns({f"_key{i}": category_text(quoted(c), labels.missing_as) for i, c in enumerate(columns)})
+    hot = hot_keys(keyed, {c: [f"_key{i}", *labels.by] for i, c in enumerate(columns) if not sent[c]})
+    joined = keyed
     for i, c in enumerate(columns):
         part = labels.frame.where(F.col("column") == c).select(
             *[quoted(b) for b in labels.by], F.col("value").alias(f"_key{i}"), F.col("code").alias(f"_code{i}")
         )
-        keyed = joined.withColumn(f"_key{i}", category_text(quoted(c), labels.missing_as))
-        joined = lookup(keyed, part, [f"_key{i}", *labels.by], labels.bytes.get(c, 0), budget=budget)
+        keys = [f"_key{i}", *labels.by]
+        joined = joined.join(F.broadcast(part), keys, "left") if sent[c] else lookup(joined, part, keys, None, hot=hot[c])
     codes = {c: F.coalesce(F.col(f"_code{i}"), F.lit(unseen)) for i, c in enumerate(columns)}
     return joined.select(*[codes[c].alias(c) if c in codes else quoted(c) for c in df.columns])
 

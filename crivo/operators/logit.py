@@ -25,7 +25,7 @@ from crivo.functions.stats import sigmoid
 from crivo.operators.clean import assemble
 from crivo.operators.contingency import feature_name, quoted
 from crivo.operators.encode import Labels, encode_labels, fit_labels
-from crivo.shared import BroadcastBudget, discard, lookup, materialize, measured, work_path
+from crivo.shared import BroadcastBudget, discard, hot_keys, lookup, materialize, measured, work_path
 
 # Passes per file in the averaged and in the incremental model.
 FEDERATED_EPOCHS = 5
@@ -220,12 +220,14 @@ def _coded(
 class MixedWeights:
     """Weights of categories ``*by, i, code, w`` and of numbers ``*by, v`` (intercept last), written down.
 
-    ``sizes`` has the bytes of the categories by column, and of the numbers at -1.
+    ``sizes`` has the bytes of the categories by column, and of the numbers at -1; ``hot`` the
+    salts of heavy codes for those that are not broadcast.
     """
 
     categories: DataFrame
     numbers: DataFrame
     sizes: dict[int, int]
+    hot: dict[int, dict[int, int]]
 
 
 def _mixed_start(
@@ -239,13 +241,16 @@ def _mixed_start(
     dense = materialize(models.select(*by, _zeros(len(numbers)).alias("v")), "weights")
     sizes = {-1: measured(dense) + dense.count() * 8 * (len(numbers) + 1)} if by else {}
     lines = [F.struct(F.lit(i).alias("i"), F.col(f"c{i}").alias("code")) for i in range(len(columns))]
-    if not columns:
-        empty = rows.limit(0).select(*by, F.lit(0).alias("i"), F.lit(0).alias("code"), F.lit(0.0).alias("w"))
-        return MixedWeights(empty, dense, sizes)
-    shown = rows.select(*by, F.inline(F.array(*lines))).where("code > 0").distinct()
-    first = materialize(shown.withColumn("w", F.lit(0.0)), "weights")
-    sizes |= {r[0]: r[1] * 96 for r in first.groupBy("i").count().collect()}
-    return MixedWeights(first, dense, sizes)
+    if columns:
+        shown = rows.select(*by, F.inline(F.array(*lines))).where("code > 0").distinct()
+        first = materialize(shown.withColumn("w", F.lit(0.0)), "weights")
+        # A column without a line has no categories, and its size is known to be nothing.
+        sizes |= dict.fromkeys(range(len(columns)), 0) | {r[0]: r[1] * 96 for r in first.groupBy("i").count().collect()}
+    else:
+        first = rows.limit(0).select(*by, F.lit(0).alias("i"), F.lit(0).alias("code"), F.lit(0.0).alias("w"))
+    budget = BroadcastBudget()
+    keys = {i: [f"c{i}", *by] for i in range(len(columns))} | ({-1: list(by)} if by else {})
+    return MixedWeights(first, dense, sizes, hot_keys(rows, {i: c for i, c in keys.items() if not budget.take(sizes[i])}))
 
 
 def _mixed_step(
@@ -260,9 +265,9 @@ def _mixed_step(
     k, budget, scored = len(numbers), BroadcastBudget(), rows
     for i in range(len(columns)):
         part = before.categories.where(F.col("i") == i).select(*by, F.col("code").alias(f"c{i}"), F.col("w").alias(f"_w{i}"))
-        scored = lookup(scored, part, [f"c{i}", *by], before.sizes.get(i, 0), budget=budget)
+        scored = lookup(scored, part, [f"c{i}", *by], before.sizes[i], budget=budget, hot=before.hot.get(i))
     if by:
-        scored = lookup(scored, before.numbers, list(by), before.sizes[-1], budget=budget)
+        scored = lookup(scored, before.numbers, list(by), before.sizes[-1], budget=budget, hot=before.hot.get(-1))
     else:
         scored = scored.withColumn("v", before.numbers.select("v").scalar())
     terms = [f"v[{k}]", *[f"v[{i}] * x{i}" for i in range(k)], *[f"coalesce(_w{i}, 0D)" for i in range(len(columns))]]
@@ -285,14 +290,14 @@ def _mixed_step(
     spark = rows.sparkSession
     if not columns:
         discard(spark, before.numbers, grads)
-        return MixedWeights(before.categories, numbers_after, before.sizes)
+        return MixedWeights(before.categories, numbers_after, before.sizes, before.hot)
     keyed = before.categories.join(grads.select(*by, "i", "code", "s"), [*by, "i", "code"], "left")
     rows_of = totals.select(*by, F.col("n"))
     keyed = lookup(keyed, rows_of, list(by), before.sizes[-1]) if by else keyed.withColumn("n", rows_of.select("n").scalar())
     w = F.col("w") - F.lit(lr) * (F.coalesce(F.col("s"), F.lit(0.0)) / F.col("n") + F.lit(l2) * F.col("w"))
     after = materialize(keyed.select(*by, "i", "code", w.alias("w")), "weights")
     discard(spark, before.numbers, before.categories, grads)
-    return MixedWeights(after, numbers_after, before.sizes)
+    return MixedWeights(after, numbers_after, before.sizes, before.hot)
 
 
 def _mixed_lines(weights: MixedWeights, labels: Labels, columns: Sequence[str], numbers: Sequence[str]) -> DataFrame:

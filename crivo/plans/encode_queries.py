@@ -72,6 +72,20 @@ def label_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode_labels(parts, encode.fit_labels(parts, LABEL_COLUMNS), LABEL_COLUMNS)
 
 
+HOT = "if(l_orderkey % 3 = 0, 'hot', case when l_orderkey % 3 = 1 then 'p' || l_partkey end)"
+
+
+@query(f"""with t as (select l_orderkey, l_linenumber, {HOT} as item from lineitem)
+select l_orderkey, l_linenumber, (dense_rank() over (order by coalesce(item, 'nan')) - 1)::integer as item from t""")
+def label_encode_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of all rows have one value and a third none; the dictionary is not broadcast."""
+    part = F.when(F.col("l_orderkey") % 3 == 1, F.concat(F.lit("p"), F.col("l_partkey")))
+    item = F.when(F.col("l_orderkey") % 3 == 0, "hot").otherwise(part).alias("item")
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", item)
+    labels = encode.fit_labels(items, ["item"], missing_as=encode.MISSING)
+    return encode.encode_labels(items, labels, ["item"], most_bytes=0)
+
+
 @query("""with v as (select distinct p_brand as b from part where p_size <= 5 and p_brand <> 'Brand#7'),
 c as (select b, (row_number() over (order by b) - 1)::integer as code from v)
 select p_partkey, coalesce(code, -1)::integer as p_brand from part left join c on p_brand = b""")

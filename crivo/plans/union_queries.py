@@ -107,18 +107,27 @@ def read_differing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""select o_orderkey as "Codigo", case when o_orderkey > (select max(o_orderkey) - 5 from orders) then o_orderkey + 0.5 else o_orderkey end::double as "Valor",
-case when o_orderkey = (select max(o_orderkey) from orders) then 'x' else cast(o_orderkey as varchar) end as "Texto" from orders""")
+case when o_orderkey = (select max(o_orderkey) from orders) then 'x' else cast(o_orderkey as varchar) end as "Texto",
+cast(12345678901234567890::hugeint + o_orderkey as varchar) as "Matricula", o_orderkey || (case when o_orderkey % 2 = 0 then 'd' else 'f' end) as "Turma",
+'1234567890123456.' || lpad(cast(o_orderkey % 1000 as varchar), 3, '0') as "Saldo",
+'Codigo bigint, Matricula decimal(38,0), Saldo decimal(38,3), Texto string, Turma string, Valor double' as types from orders""")
 def types_of_late_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole numbers with a few fractions, or one text, far down: no value is lost."""
+    """Whole numbers with a few fractions, or one text, far down, long codes, and text that casts take for numbers: no value is lost."""
     orders = table(spark, sf_dir, "orders")
     last = orders.agg(F.max("o_orderkey").alias("m")).scalar()
-    whole = F.col("o_orderkey").cast("string")
-    value = F.when(F.col("o_orderkey") > last - 5, (F.col("o_orderkey") + 0.5).cast("string")).otherwise(whole).alias("Valor")
-    text = F.when(F.col("o_orderkey") == last, F.lit("x")).otherwise(whole).alias("Texto")
+    key, whole = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
+    columns = {
+        "Codigo": key, "Valor": F.when(key > last - 5, (key + 0.5).cast("string")).otherwise(whole),
+        "Texto": F.when(key == last, F.lit("x")).otherwise(whole), "Matricula": F.expr("12345678901234567890BD + o_orderkey").cast("string"),
+        "Turma": F.concat(whole, F.when(key % 2 == 0, "d").otherwise("f")), "Saldo": F.concat(F.lit("1234567890123456."), F.lpad((key % 1000).cast("string"), 3, "0")),
+    }
     folder = work_path(spark, "late")
-    orders.select(F.col("o_orderkey").alias("Codigo"), value, text).write.csv(folder, sep=";", header=True)
-    texts = files.read_files(spark, f"{folder}/*.csv")
-    return files.apply_types(texts, files.infer_types(texts)).drop(files.SOURCE)
+    orders.select(*[c.alias(name) for name, c in columns.items()]).write.csv(folder, sep=";", header=True)
+    texts = files.read_files(spark, f"{folder}/*.csv").drop(files.SOURCE)
+    types = files.infer_types(texts)
+    typed = files.apply_types(texts, types)
+    spelled = [F.col(c).cast("string").alias(c) if types[c].startswith("decimal") else F.col(c) for c in columns]
+    return typed.select(*spelled, F.lit(", ".join(f"{c} {types[c]}" for c in sorted(types))).alias("types"))
 
 
 @query("""select 'Codigo' as "column", 'bigint' as type, 0::bigint as lost union all

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
 import re
 import tempfile
 import uuid
+from collections.abc import Mapping, Sequence
 from functools import lru_cache
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # All broadcasts of one plan together take at most so many bytes, by measure or proof.
 BROADCAST_BYTES = 64 << 20
@@ -62,6 +65,35 @@ class BroadcastBudget:
         return fits
 
 
+# The sketch of heavy keys keeps this many; it misses none that holds 1/2000 of the rows.
+TRACKED = 10_000
+MOST_HOT = 1_000
+
+
+def key_hash(columns: Sequence[str]) -> Column:
+    """64 bits that stand for a key; nulls are a key too."""
+    return F.xxhash64(*[F.col("`" + c.replace("`", "``") + "`") for c in columns])
+
+
+def hot_keys(df: DataFrame, keys: Mapping[str, Sequence[str]], tasks: int | None = None) -> dict[str, dict[int, int]]:
+    """How many tasks the rows of each heavy key need, by name of a list of key columns.
+
+    A key is heavy if it holds over one task's share of the rows; it gets as many salts as
+    shares. One pass over ``df`` for all lists, with a mergeable sketch that each task sends.
+    """
+    if not keys:
+        return {}
+    tasks = tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = min(tasks, MOST_HOT)
+    hashed = df.select(*[key_hash(columns).alias(f"k{i}") for i, columns in enumerate(keys.values())])
+    tops = [F.expr(f"approx_top_k(k{i}, {most}, {TRACKED})").alias(f"t{i}") for i in range(len(keys))]
+    found = hashed.agg(F.count(F.lit(1)).alias("n"), *tops).first()
+    return {
+        name: {top["item"]: math.ceil(top["count"] * tasks / found["n"]) for top in found[f"t{i}"] or [] if top["count"] * tasks > found["n"]}
+        for i, name in enumerate(keys)
+    }
+
+
 def lookup(
     df: DataFrame,
     table: DataFrame,
@@ -69,18 +101,31 @@ def lookup(
     size: int | None,
     salts: int = 16,
     budget: BroadcastBudget | None = None,
+    hot: Mapping[int, int] | None = None,
 ) -> DataFrame:
     """Left join ``df`` to ``table`` without letting a hot key pile up.
 
     A table known to take at most ``size`` bytes is broadcast if the budget allows it.
-    Otherwise both sides are shuffled on the keys and a salt: each input partition of
-    ``df`` sends a key to one salt, and the table is repeated once per salt, so a key
-    holding a third of all rows is spread over ``salts`` tasks.
+    Otherwise both sides are shuffled on the keys and a salt. With ``hot``, what `hot_keys`
+    measured for these keys, a heavy key's rows spread over as many salts as their share needs,
+    and only its lines of the table are repeated. Without a measure each input partition of
+    ``df`` sends a key to one of ``salts``, and the whole table is repeated once per salt.
     """
     if (budget or BroadcastBudget()).take(size):
         return df.join(F.broadcast(table), keys, "left")
-    salted = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
-    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    if hot is None:
+        salted = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
+        copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        return salted.join(copies, [*keys, "_salt"], "left").drop("_salt")
+    if not hot:
+        return df.join(table, keys, "left")
+    of_key, key = F.create_map(*[F.lit(v) for pair in hot.items() for v in pair]), key_hash(keys)
+    shares = F.when(key.isin(*hot), F.try_element_at(of_key, key)).otherwise(F.lit(1))
+    # The salt depends on the row's values and partition alone, so that a task run again gives it again.
+    others = [F.col("`" + f.name.replace("`", "``") + "`") for f in df.schema.fields if f.name not in keys and isinstance(f.dataType, T.AtomicType)]
+    row = F.xxhash64(F.spark_partition_id(), *others)
+    salted = df.withColumn("_salt", F.when(key.isin(*hot), F.pmod(row, shares).cast("int")).otherwise(F.lit(0)))
+    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), shares - 1)))
     return salted.join(copies, [*keys, "_salt"], "left").drop("_salt")
 
 

@@ -7,12 +7,14 @@ import re
 import warnings
 from collections import defaultdict
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from crivo.functions import numbers
 from crivo.functions.text import NA_VALUES, base_name, na_to_null, normalize_name
 from crivo.operators.align import aligned_union, consolidated
 from crivo.operators.clean import ABSENT
@@ -21,6 +23,8 @@ from crivo.operators.contingency import quoted
 SOURCE = "source_file"
 # Holds the text of a record that does not fit its header.
 CORRUPT = "_corrupt_record"
+# So much of a file is read at a time for its header, and of so many files at once.
+HEAD_BYTES, HEAD_READERS = 8 << 10, 32
 # Columns whose type the reference declares.
 DECLARED_TYPES = {
     "Carga Horaria": "double",
@@ -45,22 +49,56 @@ def plain_path(path: str) -> str:
 
 
 def headers(spark: SparkSession, files: Sequence[str], sep: str = ";") -> dict[str, tuple[str, ...]]:
-    """Column names by file from one job, which reads the first block of each file.
+    """Column names by file; a file without any line has none."""
+    return {path: names for path, (names, _) in _first_lines(spark, files, sep).items()}
+
+
+def _head(spark: SparkSession, path: str, most_bytes: int = HEAD_BYTES) -> tuple[str, bool]:
+    """The header record of a file, and whether anything but blank lines follows it.
 
-    A file without any line has none.
+    Reads a few kilobytes from the file's start, and more only until the header ends and a
+    line that is not blank begins. A header may hold quoted line breaks.
     """
-    return {path: names for path, (names, _) in _first_lines(spark, files, sep).items()}
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    settings = spark._jsc.hadoopConfiguration()
+    stream = where.getFileSystem(settings).open(where)
+    codec = spark._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(settings).getCodec(where)
+    stream = codec.createInputStream(stream) if codec is not None else stream
+    try:
+        read, size = bytearray(), most_bytes
+        while True:
+            more = bytes(stream.readNBytes(size))
+            read += more
+            end = _record_end(read)
+            whole = len(more) < size
+            if whole or (end < len(read) and read[end:].strip()):
+                break
+            size = len(read)
+    finally:
+        stream.close()
+    return read[:end].decode("utf-8-sig", "replace").rstrip("\r\n"), bool(read[end:].strip())
+
+
+def _record_end(read: bytes) -> int:
+    """Where the first record ends: after the first line break outside of quotes."""
+    at = 0
+    while True:
+        at = read.find(b"\n", at) + 1
+        if not at:
+            return len(read)
+        if read.count(b'"', 0, at) % 2 == 0:
+            return at
 
 
 def _first_lines(spark: SparkSession, files: Sequence[str], sep: str) -> dict[str, tuple[tuple[str, ...], bool]]:
-    """Column names by file, and whether any line follows them."""
-    lines = spark.read.text(list(files)).select(
-        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
-    # The first block of a file is read by one task, in order.
-    found = lines.where("start = 0").groupBy("path").agg(
-        F.first("value").alias("line"), F.count_if(F.length(F.trim("value")) > 0).alias("n")).collect()
-    known = {plain_path(unquote(r["path"])): (tuple(next(csv.reader([r["line"].lstrip("\ufeff")], delimiter=sep), [])), r["n"] > 1) for r in found}
-    return {f: known.get(plain_path(f), ((), False)) for f in files}
+    """Column names by file, and whether any line follows them.
+
+    The files' first kilobytes are read side by side through the store's own client, so the
+    work grows with the number of files and not with their size.
+    """
+    with ThreadPoolExecutor(min(HEAD_READERS, max(1, len(files)))) as pool:
+        heads = list(pool.map(lambda f: _head(spark, f), files))
+    return {f: (tuple(next(csv.reader([line], delimiter=sep), [])), more) for f, (line, more) in zip(files, heads)}
 
 
 def source_names(files: Sequence[str]) -> Column:
@@ -162,36 +200,74 @@ def malformed_records(spark: SparkSession, paths: str | Sequence[str], sep: str
     return kept.groupBy(SOURCE).agg(F.count_if(bad).alias("malformed"))
 
 
+def fits(c: Column, kind: str) -> Column:
+    """Does the type hold the number that a text spells? Every text fits ``string``."""
+    if kind == "bigint":
+        return numbers.is_whole(c)
+    if kind == "double":
+        return numbers.is_double(c)
+    decimal = re.fullmatch(r"decimal\((\d+), ?(\d+)\)", kind)
+    if decimal:
+        return numbers.is_decimal(c, *map(int, decimal.groups()))
+    return F.lit(True) if kind == "string" else c.try_cast(kind).isNotNull()
+
+
 def infer_types(
-    df: DataFrame, declared: dict[str, str] = DECLARED_TYPES, allow_loss: bool = False
+    df: DataFrame, declared: dict[str, str] = DECLARED_TYPES, allow_loss: bool = False, exact_text: bool = False,
 ) -> dict[str, str]:
-    """A type per text column: declared, or the narrowest of bigint, double and string that fits all values.
+    """A type per text column: declared, or the first that loses no value of bigint, double, decimal(38, s) and string.
+
+    A value fits a type if the type gives its number back: ``1d`` is text, and a code of 20
+    digits is a decimal. Different numbers stay different; ``007`` and ``7`` are one number
+    unless ``exact_text`` asks for types that give the very text back. The scale of a decimal
+    is what the column's longest fraction needs, as long as 38 digits hold all of it.
 
     One aggregate over all rows. A declared type that would lose a value is an error unless
     ``allow_loss``; `misfits` counts such values.
     """
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name not in (SOURCE, CORRUPT)]
     tests = []
-    for i, c in enumerate(texts):
-        filled = quoted(c).isNotNull()
-        kinds = {"declared": declared[c]} if c in declared else {"bigint": "bigint", "double": "double"}
-        for name, kind in kinds.items():
-            fits = F.bool_and(F.when(filled, quoted(c).try_cast(kind).isNotNull()))
-            tests.append(F.coalesce(fits, F.lit(c in declared)).alias(f"{name}{i}"))
+    for i, name in enumerate(texts):
+        c = quoted(name)
+        filled = c.isNotNull()
+
+        def every(test: Column, default: bool) -> Column:
+            return F.coalesce(F.bool_and(F.when(filled, test)), F.lit(default))
+
+        if name in declared:
+            tests.append(every(fits(c, declared[name]), True).alias(f"declared{i}"))
+            continue
+        after = numbers.point_digits(c, exact_text)
+        plain = numbers.is_written_decimal(c) if exact_text else numbers.whole_digits(c).isNotNull()
+        tests += [
+            every(numbers.is_whole(c, exact_text), False).alias(f"bigint{i}"), every(numbers.is_double(c, exact_text), False).alias(f"double{i}"),
+            every(plain, False).alias(f"plain{i}"), F.max(numbers.whole_digits(c)).alias(f"whole{i}"),
+            F.max(after).alias(f"after{i}"), F.min(after).alias(f"least{i}"),
+        ]
     found = df.agg(*tests).first() if tests else None
     lossy = [c for i, c in enumerate(texts) if c in declared and not found[f"declared{i}"]]
     if lossy and not allow_loss:
         raise ValueError(f"values that do not fit the declared type in: {lossy}")
-    return {
-        c: declared[c] if c in declared else "bigint" if found[f"bigint{i}"] else "double" if found[f"double{i}"] else "string"
-        for i, c in enumerate(texts)
-    }
+
+    def chosen(i: int, name: str) -> str:
+        if name in declared:
+            return declared[name]
+        if found[f"bigint{i}"]:
+            return "bigint"
+        if found[f"double{i}"]:
+            return "double"
+        alike = not exact_text or found[f"after{i}"] == found[f"least{i}"]
+        if found[f"plain{i}"] and alike and found[f"whole{i}"] + found[f"after{i}"] <= numbers.MOST_DIGITS:
+            return f"decimal({numbers.MOST_DIGITS},{found[f'after{i}']})"
+        return "string"
+
+    return {name: chosen(i, name) for i, name in enumerate(texts)}
 
 
 def apply_types(df: DataFrame, types: dict[str, str]) -> DataFrame:
     """Cast text columns; text that does not fit its type becomes missing."""
     return df.select(*[
-        quoted(c).try_cast(types[c]).alias(c) if types.get(c, "string") != "string" else quoted(c)
+        F.when(fits(quoted(c), types[c]), quoted(c).try_cast(types[c])).alias(c) if types.get(c, "string") != "string" else quoted(c)
         for c in df.columns
     ])
 
@@ -201,7 +277,7 @@ def misfits(df: DataFrame, types: dict[str, str]) -> DataFrame:
     cast = {c: t for c, t in types.items() if t != "string"}
     wide = df.agg(
         F.count(F.lit(1)).alias("_rows"),
-        *[F.count_if(quoted(c).isNotNull() & quoted(c).try_cast(t).isNull()).alias(f"l{i}") for i, (c, t) in enumerate(cast.items())],
+        *[F.count_if(quoted(c).isNotNull() & ~fits(quoted(c), t)).alias(f"l{i}") for i, (c, t) in enumerate(cast.items())],
     )
     lines = [F.struct(F.lit(c).alias("column"), F.lit(t).alias("type"), F.col(f"l{i}").alias("lost"))
              for i, (c, t) in enumerate(cast.items())]
