@@ -214,10 +214,12 @@ def _by_range(rows: DataFrame, duplicate: int) -> DataFrame:
 def keyed(rows: DataFrame, most_bytes: int | None = None) -> tuple[DataFrame, int]:
     """``rows`` with ``key``, a prefix of the bytes of ``text`` under which at most ``most_bytes`` lie, and all bytes.
 
-    The prefix is longer only where it must be. A whole text is a key whatever its copies take.
+    By default that is half of a task's share, and no more than a trie takes. The prefix is
+    longer only where it must be. A whole text is a key whatever its copies take.
     """
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    most = most_bytes or max(TRIE_BYTES, total // MOST_HEAVY)
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = most_bytes or max(min(TRIE_BYTES, total // (2 * tasks)), total // MOST_HEAVY)
     out, length = rows.withColumn("key", F.substring("text", 1, FIRST_PREFIX)), FIRST_PREFIX
     while True:
         longer = out.where((F.octet_length("text") > length) & (F.octet_length("key") == length))
