@@ -24,6 +24,31 @@ def column_presence(frames: Mapping[str, DataFrame]) -> dict[str, list[str]]:
     }
 
 
+def filled_counts(df: DataFrame, source: str | None = None, absent: str | None = None) -> DataFrame:
+    """How many values each column has: ``source, column, n_rows, n_filled``, from one pass.
+
+    Counts are by ``source`` if one is named; ``absent`` names a list column with what the row's
+    source does not have at all, and such columns have no line.
+    """
+    names = [c for c in df.columns if c not in (source, absent)]
+    key = quoted(source).cast("string").alias("source") if source else F.lit(None).cast("string").alias("source")
+    lacking = F.first(quoted(absent), ignorenulls=True).alias("_absent") if absent else F.lit(None).cast("array<string>").alias("_absent")
+    counts = [F.count(quoted(c)).alias(f"_{i}") for i, c in enumerate(names)]
+    wide = df.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"), lacking, *counts)
+    lines = [F.struct(F.lit(c).alias("column"), F.col(f"_{i}").alias("n_filled")) for i, c in enumerate(names)]
+    long = wide.select("source", "n_rows", "_absent", F.inline(F.array(*lines)))
+    return long.where(~F.coalesce(F.array_contains("_absent", F.col("column")), F.lit(False))).select("source", "column", "n_rows", "n_filled")
+
+
+def presence(frames: Mapping[str, DataFrame]) -> DataFrame:
+    """Which sources have a column, by their rows: ``column, source, n_rows, n_filled``.
+
+    A source that has the column without any value has a line with 0; one without rows has none.
+    """
+    counted = [filled_counts(df).withColumn("source", F.lit(name)) for name, df in frames.items()]
+    return reduce(DataFrame.unionByName, counted).where("n_rows > 0").select("column", "source", "n_rows", "n_filled")
+
+
 def aligned(df: DataFrame, columns: Sequence[str], fill: object = 0) -> DataFrame:
     """Exactly these columns: absent ones hold ``fill``, others are dropped.
 

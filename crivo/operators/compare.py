@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crivo.functions.stats import is_close
+from crivo.operators.align import filled_counts
 from crivo.operators.contingency import quoted
 from crivo.operators.rank import TOP_K, head_ranks
 
@@ -41,6 +42,16 @@ def column_differences(a: DataFrame, b: DataFrame) -> list[tuple[str, str]]:
     return only_a + [(c, "b") for c in b.columns if c not in a.columns]
 
 
+def column_counts(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Values per column of both tables: ``column, filled_a, filled_b, only_in``, from one pass over each.
+
+    Where a table lacks a column its count is missing and ``only_in`` names the other.
+    """
+    left, right = (filled_counts(df).select("column", F.col("n_filled").alias(f"filled_{side}"), F.lit(True).alias(f"_in_{side}")) for df, side in ((a, "a"), (b, "b")))
+    only = F.when(F.col("_in_b").isNull(), F.lit("a")).when(F.col("_in_a").isNull(), F.lit("b"))
+    return left.join(right, "column", "full_outer").select("column", "filled_a", "filled_b", only.alias("only_in"))
+
+
 def feature_differences(a: DataFrame, b: DataFrame) -> DataFrame:
     """Features only one table has: ``feature, only_in``."""
     sides = a.select("feature", F.lit("a").alias("side")).unionByName(b.select("feature", F.lit("b").alias("side")))

@@ -77,6 +77,23 @@ def class_sums(df: DataFrame, features: Sequence[str], target: str, width: int =
     return with_totals(sums, ["feature"])
 
 
+def sparse_class_sums(rows: DataFrame, target: str) -> DataFrame:
+    """Sums by class of sparse rows (``indices``, ``values``), as `class_sums` with an index as ``feature``.
+
+    Entries are summed inside the task before the shuffle. An index that no row has is left out.
+    """
+    kept = rows.where(quoted(target).isNotNull())
+    entries = kept.select(quoted(target).alias("class"), F.inline(F.arrays_zip("indices", "values")))
+    sums = entries.groupBy("indices", "class").agg(F.sum("values").alias("o"))
+    # A row per class and index, also where the sum is zero: classes are few, indices need not be.
+    counts = materialize(class_counts(rows, target).select("class", "n_class", "n"), "classes")
+    classes = counts.agg(F.collect_list(F.struct("class", "n_class", "n"))).scalar()
+    by_class = sums.groupBy("indices").agg(F.map_from_entries(F.collect_list(F.struct("class", "o"))).alias("by_class"), F.sum("o").alias("total"))
+    long = by_class.select("indices", "by_class", "total", F.inline(classes))
+    return long.select(
+        F.col("indices").alias("feature"), "class", F.coalesce(F.try_element_at("by_class", F.col("class")), F.lit(0.0)).alias("o"), "n_class", "total", "n")
+
+
 def with_totals(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Add the feature total and the number of rows; a group holds one row per class."""
     by_feature = Window.partitionBy(*keys)

@@ -205,6 +205,51 @@ def one_hot_long(df: DataFrame, ids: Sequence[str], labels: Labels, columns: Seq
     return long.select(*[quoted(c) for c in ids], F.concat_ws("_", "column", "text").alias("feature"), F.lit(1).alias("value"))
 
 
+@dataclass(frozen=True)
+class SparseLayout:
+    """Where the features of sparse rows stand: numbers first, then the categories of each column."""
+
+    numbers: tuple[str, ...]
+    offsets: dict[str, int]
+    width: int
+    first: int
+
+    @classmethod
+    def of(cls, labels: Labels, columns: Sequence[str], numbers: Sequence[str] = (), drop_first: bool = True) -> SparseLayout:
+        if labels.by:
+            raise ValueError("one-hot columns need one dictionary for all groups")
+        offsets, at, first = {}, len(numbers), int(drop_first)
+        for c in columns:
+            offsets[c] = at
+            at += max(0, labels.sizes.get(c, 0) - first)
+        return cls(tuple(numbers), offsets, at, first)
+
+    def names(self, labels: Labels) -> DataFrame:
+        """``index, feature, value`` from the dictionary table; a number has no value."""
+        spark = labels.frame.sparkSession
+        starts = spark.createDataFrame([(c, at - self.first) for c, at in self.offsets.items()], "column string, _start long")
+        coded = labels.frame.where(F.col("code") >= self.first).join(F.broadcast(starts), "column")
+        plain = spark.createDataFrame([(j, c) for j, c in enumerate(self.numbers)], "index long, feature string")
+        return coded.select((F.col("_start") + F.col("code")).alias("index"), F.col("column").alias("feature"), "value").unionByName(
+            plain.withColumn("value", F.lit(None).cast("string")))
+
+
+def one_hot_sparse(df: DataFrame, labels: Labels, layout: SparseLayout) -> DataFrame:
+    """Replace a layout's columns by ``indices`` and ``values``, what a one-hot table has that is not zero.
+
+    Indices ascend. Rows have one entry per column at most, however many categories there are,
+    and no list of them is needed: a place is the column's offset and the value's code. A
+    missing or unknown category has no entry, nor has a number that is missing or zero.
+    """
+    coded = encode_labels(df, labels, list(layout.offsets))
+    numbers = [F.struct(F.lit(j).cast("long").alias("i"), quoted(c).cast("double").alias("v")) for j, c in enumerate(layout.numbers)]
+    places = [F.when(quoted(c) >= layout.first, quoted(c) + F.lit(at - layout.first).cast("long")) for c, at in layout.offsets.items()]
+    entries = F.filter(F.array(*numbers, *[F.struct(p.alias("i"), F.lit(1.0).alias("v")) for p in places]), lambda e: e["i"].isNotNull() & (e["v"] != 0))
+    kept = [quoted(c) for c in df.columns if c not in layout.offsets and c not in layout.numbers]
+    return coded.select(*kept, entries.alias("_entries")).select(
+        *kept, F.transform("_entries", lambda e: e["i"]).alias("indices"), F.transform("_entries", lambda e: e["v"]).alias("values"))
+
+
 def min_max(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Smallest and largest value per column: ``feature, min, max``, from one pass."""
     names = present(df, columns)

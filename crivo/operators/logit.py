@@ -9,7 +9,8 @@ the running epoch.
 * `incremental_weights`: one model carried from group to group in name order;
 * `global_coefficients`: one model over everything, by the model library.
 
-The ``mixed_*`` forms train on one-hot and numeric features without building the former.
+The ``mixed_*`` forms train on one-hot and numeric features without building the former;
+`mixed_global_coefficients` is their model over everything, by quasi-Newton steps.
 """
 
 from __future__ import annotations
@@ -194,22 +195,26 @@ def global_coefficients(
 
 
 def _coded(
-    df: DataFrame, columns: Sequence[str], numbers: Sequence[str], target: str, group: str
+    df: DataFrame, columns: Sequence[str], numbers: Sequence[str], target: str, group: str | None
 ) -> tuple[DataFrame, Labels]:
     """Rows with codes for categories and plain numbers, written once, and the codes' dictionary.
 
     Columns ``g, y, c0, c1, ..., x0, x1, ...``; a missing category has no code. The rows lie
-    in a folder per group, so a carried model reads them group by group.
+    in a folder per group, so a carried model reads them group by group; without a group there
+    is no ``g``.
     """
-    known = df.where(quoted(target).isNotNull() & quoted(group).isNotNull())
+    known = df.where(quoted(target).isNotNull())
+    known = known.where(quoted(group).isNotNull()) if group else known
     labels = fit_labels(known, columns) if columns else Labels(df.sparkSession.createDataFrame([], "column string, value string, code int"), {})
     coded = encode_labels(known, labels, columns) if columns else known
     rows = coded.select(
-        quoted(group).cast("string").alias(FOLDER),
+        *([quoted(group).cast("string").alias(FOLDER)] if group else []),
         quoted(target).cast("double").alias("y"),
         *[F.when(quoted(c) >= 0, quoted(c)).alias(f"c{i}") for i, c in enumerate(columns)],
         *[F.coalesce(quoted(c).cast("double"), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(numbers)],
     )
+    if not group:
+        return materialize(rows, "coded"), labels
     path = work_path(df.sparkSession, "coded")
     write_by(rows, path, FOLDER)
     read = df.sparkSession.read.schema(rows.schema).parquet(path)
@@ -253,14 +258,12 @@ def _mixed_start(
     return MixedWeights(first, dense, sizes, hot_keys(rows, {i: c for i, c in keys.items() if not budget.take(sizes[i])}))
 
 
-def _mixed_step(
-    rows: DataFrame, before: MixedWeights, columns: Sequence[str], numbers: Sequence[str], by: Sequence[str], lr: float, l2: float
-) -> MixedWeights:
-    """One gradient step.
+def _gradients(rows: DataFrame, before: MixedWeights, columns: Sequence[str], numbers: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """Sums of the errors by category ``i, code``, and of errors times numbers at ``i = -1``, written down.
 
     A row looks up one weight per category column by its code; numbers and the intercept
     take the group's array. One grouped sum over the rows has a line per category of the row
-    and one for all its numbers.
+    and one for all its numbers. ``n`` counts rows.
     """
     k, budget, scored = len(numbers), BroadcastBudget(), rows
     for i in range(len(columns)):
@@ -277,11 +280,19 @@ def _mixed_step(
     lines = [F.struct(F.lit(i).alias("i"), F.col(f"c{i}").alias("code"), F.col("e").alias("s"), *[nothing.alias(f"s{j}") for j in range(k)])
              for i in range(len(columns))]
     lines.append(F.struct(F.lit(-1).alias("i"), F.lit(0).alias("code"), F.col("e").alias("s"), *[(F.col("e") * F.col(f"x{j}")).alias(f"s{j}") for j in range(k)]))
-    grads = materialize(
+    return materialize(
         failed.select(*by, F.inline(F.array(*lines))).where("code IS NOT NULL AND (i < 0 OR code > 0)").groupBy(*by, "i", "code").agg(
             F.count(F.lit(1)).alias("n"), F.sum("s").alias("s"), *[F.sum(f"s{j}").alias(f"s{j}") for j in range(k)]),
         "gradients",
     )
+
+
+def _mixed_step(
+    rows: DataFrame, before: MixedWeights, columns: Sequence[str], numbers: Sequence[str], by: Sequence[str], lr: float, l2: float
+) -> MixedWeights:
+    """One gradient step."""
+    k = len(numbers)
+    grads = _gradients(rows, before, columns, numbers, by)
     # Read twice below, so it is written; the line of the numbers has the number of rows.
     totals = grads.where("i = -1").select(*by, "n", "s", *[f"s{j}" for j in range(k)])
     moved = [f"v[{j}] - {lr!r}D * (s{j} / n + {l2!r}D * v[{j}])" for j in range(k)] + [f"v[{k}] - {lr!r}D * s / n"]
@@ -363,3 +374,76 @@ def mixed_incremental_coefficients(
             weights = _mixed_step(part, weights, columns, numbers, [], lr, l2)
     discard(df.sparkSession, rows)
     return _named(_mixed_lines(weights, labels, columns, numbers), F.lit(1))
+
+
+def _stepped(state: DataFrame, grads: DataFrame, numbers: Sequence[str], n: int, l2: float) -> DataFrame:
+    """Lines ``i, code, w, h, pw, pg`` with the gradient ``g`` at ``w``.
+
+    Categories have ``i`` of zero or more; the intercept has -1 and the j-th number -2 - j.
+    """
+    inner = [F.struct((F.lit(-2) - j).alias("i"), F.lit(0).alias("code"), F.col(f"s{j}").alias("s")) for j in range(len(numbers))]
+    dense = grads.where("i = -1").select(F.inline(F.array(F.struct("i", "code", "s"), *inner)))
+    sums = grads.where("i >= 0").select("i", "code", "s").unionByName(dense)
+    penalty = F.when(F.col("i") == -1, 0.0).otherwise(F.lit(l2) * F.col("w"))
+    return state.join(sums, ["i", "code"], "left").withColumn("g", F.coalesce("s", F.lit(0.0)) / n + penalty).drop("s")
+
+
+def mixed_global_coefficients(
+    df: DataFrame,
+    columns: Sequence[str],
+    numbers: Sequence[str],
+    target: str,
+    l2: float = 1e-4,
+    rounds: int = 100,
+    tol: float = 1e-7,
+) -> DataFrame:
+    """Coefficients of one model over all rows, one-hot and numeric features: ``feature, coef``.
+
+    Minimises the mean log loss plus ``l2 / 2`` times the squared weights, but for the
+    intercept's, by quasi-Newton steps: the curvature is the diagonal of the first Hessian times
+    a factor, which the last step and its change of the gradient give (Barzilai-Borwein). The
+    first step divides by the number of features of a row instead, which bounds the curvature.
+    Each round is one grouped sum over the coded rows; weights and gradients are a table, and
+    two numbers of it come to the driver. It ends when no gradient is above ``tol``, or after
+    ``rounds``. The first category of a column is dropped; a missing one has none.
+    """
+    spark = df.sparkSession
+    rows, labels = _coded(df, columns, numbers, target, None)
+    k = len(numbers)
+    start = _mixed_start(rows, labels, columns, numbers, [])
+    totals = rows.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.pow(f"x{j}", F.lit(2.0))).alias(f"q{j}") for j in range(k)]).first()
+    n = totals["n"]
+    if not n:
+        raise ValueError("no row has a target")
+    # The mean of squares times a quarter is the diagonal of the Hessian where all weights are zero.
+    flat = [(-1, 0, 0.25)] + [(-2 - j, 0, 0.25 * totals[f"q{j}"] / n + l2) for j in range(k)]
+    dense = spark.createDataFrame(flat, "i int, code int, h double")
+    lines = [F.struct(F.lit(i).alias("i"), F.col(f"c{i}").alias("code")) for i in range(len(columns))]
+    if columns:
+        shown = rows.select(F.inline(F.array(*lines))).where("code > 0").groupBy("i", "code").agg((F.count(F.lit(1)) * (0.25 / n) + l2).alias("h"))
+        dense = dense.unionByName(shown)
+    zero = F.lit(0.0)
+    # A constant zero has no curvature and never moves.
+    state = materialize(dense.select("i", "code", zero.alias("w"), "h", zero.alias("pw"), zero.alias("pg")), "state")
+    weights, written = start, [start.categories, start.numbers]
+    for step in range(rounds):
+        grads = _gradients(rows, weights, columns, numbers, [])
+        at = materialize(_stepped(state, grads, numbers, n, l2), "state")
+        moved, turned = F.col("w") - F.col("pw"), F.col("g") - F.col("pg")
+        found = at.agg(F.max(F.abs("g")).alias("most"), F.sum(moved * moved * F.col("h")).alias("ss"), F.sum(moved * turned).alias("sy")).first()
+        discard(spark, state, grads, *written)
+        if found["most"] <= tol:
+            state = at
+            break
+        length = found["ss"] / found["sy"] if step and found["sy"] > 0 else 1.0 / (len(columns) + k + 1)
+        new = F.when(F.col("h") > 0, F.col("w") - F.lit(length) * F.col("g") / F.col("h")).otherwise(F.col("w"))
+        state = materialize(at.select("i", "code", new.alias("w"), "h", F.col("w").alias("pw"), F.col("g").alias("pg")), "state")
+        discard(spark, at)
+        v = dict(state.where("i < 0").select("i", "w").collect())
+        array = spark.range(1).select(F.array(*[F.lit(v[-2 - j]) for j in range(k)], F.lit(v[-1])).alias("v"))
+        weights, written = MixedWeights(state.where("i >= 0").select("i", "code", "w"), array, start.sizes, start.hot), []
+    discard(spark, rows)
+    v = dict(state.where("i < 0").select("i", "w").collect())
+    array = spark.range(1).select(F.array(*[F.lit(v[-2 - j]) for j in range(k)], F.lit(v[-1])).alias("v"))
+    last = MixedWeights(state.where("i >= 0").select("i", "code", "w"), array, start.sizes, start.hot)
+    return _named(_mixed_lines(last, labels, columns, numbers), F.lit(1))

@@ -53,16 +53,16 @@ def compare_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.shapes(full(spark, sf_dir, A_FEATURES), by_class_sums(spark, sf_dir, B_FEATURES[:2]))
 
 
-def only_sql(a: str, b: str, side: str) -> str:
-    return (f"""select column_name as "column", '{side}' as only_in from (describe select * from {a})
-    where column_name not in (select column_name from (describe select * from {b}))""")
-
-
-@query(f"{only_sql('documents', 'labels', 'a')} union all {only_sql('labels', 'documents', 'b')}")
+@query(f"""with {two_tables(A_FEATURES, B_FEATURES)}
+select 'feature' as "column", (select count(*) from a) as filled_a, (select count(*) from b) as filled_b, null::varchar as only_in
+union all select 'chi2_score', (select count(*) from a), (select count(chi2_score) from b), null
+union all select 'cramers_v', (select count(cramers_v) from a), null, 'a'
+union all select 'p_value', (select count(p_value) from a), (select count(*) filter (p_value < 0.5) from b), null
+union all select 'strong', null, (select count(*) from b), 'b'""")
 def compare_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Columns that only one of two tables has."""
-    a, b = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    return spark.createDataFrame(compare.column_differences(a, b), "column string, only_in string")
+    """Columns of two score tables, with the values they hold and the table that alone has them."""
+    b = by_class_sums(spark, sf_dir, B_FEATURES).drop("cramers_v").withColumn("strong", F.coalesce(F.col("p_value") < 0.01, F.lit(False)))
+    return compare.column_counts(full(spark, sf_dir, A_FEATURES), b.withColumn("p_value", F.when(F.col("p_value") < 0.5, F.col("p_value"))))
 
 
 @query(f"""with {two_tables(A_FEATURES, B_FEATURES)}

@@ -172,6 +172,39 @@ def one_hot_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rounded(rank.ranked(found, "chi2_score"), "chi2_score"), "cramers_v", "p_value", digits=8)
 
 
+@query(f"""with {sql.table(sql.PART_ITEMS, HOT, keep_missing=True)},
+firsts as (select feature, min(value) as first from tab group by feature),
+sums as (select t.feature || '_' || value as feature, o::double as o, col_total as n_class, n, expected
+from tab t join firsts f on t.feature = f.feature where value <> first),
+scored as (select feature, sum({sql.FULL_TERM}) as chi2_score, any_value(n) as n, count(*) - 1 as dof from sums group by feature)
+select feature, round(chi2_score, 6) as chi2_score, round(sqrt(chi2_score / n), 8) as cramers_v,
+round({sql.chi2_tail('chi2_score', 'dof')}, 8) as p_value from scored""")
+def one_hot_sparse_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same scores from sparse rows; names join the scores at the end."""
+    items = items_of_parts(spark, sf_dir).select("y", *HOT)
+    labels = encode.fit_labels(items, HOT)
+    layout = encode.SparseLayout.of(labels, HOT)
+    found = scores.full_scores(con.sparse_class_sums(encode.one_hot_sparse(items, labels, layout), "y"))
+    named = found.withColumnRenamed("feature", "index").join(layout.names(labels), "index")
+    lines = named.select(con.feature_name(F.col("feature"), F.col("value")).alias("feature"), "chi2_score", "cramers_v", "p_value")
+    return rounded(rounded(lines, "chi2_score"), "cramers_v", "p_value", digits=8)
+
+
+@query("""with c as (select *, dense_rank() over (order by p_brand) - 1 as b, dense_rank() over (order by t) - 1 as k
+from (select p_partkey, p_brand, p_size % 5 as s, nullif(p_type, 'PROMO') as t from part)),
+n as (select count(distinct p_brand) - 1 as n from part)
+select p_partkey, concat_ws(',', if(s <> 0, '0', null), if(b > 0, cast(b as varchar), null), if(t is not null and k > 0, cast(n + k as varchar), null)) as indices,
+concat_ws(',', if(s <> 0, cast(s as varchar), null), if(b > 0, '1', null), if(t is not null and k > 0, '1', null)) as amounts from c, n""")
+def one_hot_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places and values of what is not zero in a one-hot table, with a number ahead and missing categories."""
+    parts = table(spark, sf_dir, "part").select(
+        "p_partkey", "p_brand", (F.col("p_size") % 5).alias("size"), F.expr("nullif(p_type, 'PROMO')").alias("p_type"))
+    labels = encode.fit_labels(parts, ["p_brand", "p_type"])
+    found = encode.one_hot_sparse(parts, labels, encode.SparseLayout.of(labels, ["p_brand", "p_type"], ["size"]))
+    amounts = F.transform("values", lambda v: v.cast("int").cast("string"))
+    return found.select("p_partkey", F.array_join(F.col("indices").cast("array<string>"), ",").alias("indices"), F.array_join(amounts, ",").alias("amounts"))
+
+
 @query(f"""with {sql.table("select y, 'c_' || (l_linenumber % 2) as a_b, 'b_c_' || (l_linenumber % 3) as a from (" + sql.ITEMS + ")", ['a', 'a_b'], keep_missing=True)},
 firsts as (select feature, min(value) as first from tab group by feature),
 sums as (select t.feature, value, o::double as o, col_total as n_class, n, expected

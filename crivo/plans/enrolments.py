@@ -193,15 +193,15 @@ def rank_by_model(
     return logit.importance(train(scaled, texts, numbers, target, group, **options))
 
 
-
 def rank_by_global_model(prepared: Prepared, target: str = TARGET, **options) -> DataFrame:
     """Absolute coefficient of one logistic model over all rows: ``feature, importance``.
 
-    Features are the numeric columns, scaled to [0, 1], and label codes of whatever is text.
+    Features are the numeric columns, scaled to [0, 1], and a 0/1 feature per category of
+    whatever is text, one left out per column.
     """
     df = clean.drop_present(prepared.table, [SOURCE])
-    coded = encode.encode_remaining_text(df, target)
-    features = feature_columns(coded, target)
-    bounds = materialize(encode.min_max(coded, features), "bounds")
-    scaled = encode.scale_by(coded, bounds, features)
-    return logit.importance(logit.global_coefficients(scaled, features, target, **options))
+    texts = [c for c in feature_columns(df, target) if c in prepared.one_hot_columns or clean.is_text(df, c)]
+    numbers = [c for c in feature_columns(df, target) if c not in texts]
+    bounds = materialize(encode.min_max(df, numbers), "bounds") if numbers else None
+    scaled = encode.scale_by(df, bounds, numbers) if numbers else df
+    return logit.importance(logit.mixed_global_coefficients(scaled, texts, numbers, target, **options))

@@ -125,6 +125,42 @@ def mixed_steps_sql(
     return ", ".join(ctes)
 
 
+def quasi_newton_sql(base: str, columns: list[str], numbers: list[str], rounds: int, penalty: float) -> str:
+    """CTEs up to ``last (feature, w)``: quasi-Newton steps of one model over one-hot features and numbers.
+
+    ``base`` has ``y`` and the features. The curvature is a diagonal times a factor from the step before.
+    """
+    names = [*columns, *numbers, "1"]
+    value = {c: f'coalesce(cast(b."{c}" as varchar), chr(0))' if c in columns else "''" for c in names}
+    amount = {c: f' * coalesce(b."{c}", 0)' if c in numbers else "" for c in names}
+    squares = {c: f'sum(power(coalesce(b."{c}", 0), 2))' if c in numbers else "count(*)" for c in names}
+    values = " union all ".join(
+        f"select '{c}' as c, {value[c]} as v, 0.25 * {squares[c]} / (select count(*) from base) + {0 if c == '1' else penalty} as h from base b"
+        f"{f' where b.\"{c}\" is not null' if c in columns else ''} group by all" for c in names)
+    listed = ", ".join(f"'{c}'" for c in [*numbers, "1"])
+    ctes = [
+        f"base as materialized ({base})",
+        f"vals as materialized ({values})",
+        f"s0 as materialized (select c, v, h, 0.0::double as w, 0.0::double as pw, 0.0::double as pg from vals"
+        f" where c in ({listed}) or (c, v) not in (select (c, min(v)) from vals group by c))",
+    ]
+    for t in range(rounds):
+        joins = " ".join(f"left join s{t} w{j} on w{j}.c = '{c}' and w{j}.v = {value[c]}" for j, c in enumerate(names))
+        score = " + ".join(f"coalesce(w{j}.w, 0){amount[c]}" for j, c in enumerate(names))
+        grads = " union all ".join(f"select '{c}' as c, {value[c]} as v, sum(e{amount[c]}) as s from e{t} b group by all" for c in names)
+        length = "1.0 / " + str(len(names)) if t == 0 else f"(select sum(power(w - pw, 2) * h) / sum((w - pw) * (g - pg)) from g{t})"
+        ctes += [
+            f"e{t} as materialized (select b.*, 1 / (1 + exp(-({score}))) - y as e from base b {joins})",
+            f"d{t} as materialized ({grads})",
+            f"g{t} as materialized (select w.*, coalesce(d.s, 0) / (select count(*) from base) + case when w.c = '1' then 0 else {penalty} * w.w end as g"
+            f" from s{t} w left join d{t} d on w.c = d.c and w.v = d.v)",
+            f"s{t + 1} as materialized (select c, v, h, case when h > 0 then w - {length} * g / h else w end as w, w as pw, g as pg from g{t})",
+        ]
+    plain = ", ".join(f"'{c}'" for c in numbers) or "''"
+    ctes.append(f"last as (select case when c in ({plain}) then c else c || '_' || v end as feature, w from s{rounds} where c <> '1')")
+    return ", ".join(ctes)
+
+
 def training_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The joined rows, written down once since every epoch reads them."""
     columns = ["l_linestatus", "l_discount", *HOT, "y"]
@@ -152,6 +188,21 @@ def one_hot_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(logit.importance(found), "importance", digits=8)
 
 
+NULLED = f"""select y, o_orderstatus, nullif(o_orderpriority, '3-MEDIUM') as o_orderpriority, case when l_linenumber = 2 then null else l_discount end as l_discount
+from ({sql.RETURNED})"""
+
+
+@query(f"""with {quasi_newton_sql(NULLED, HOT, ['l_discount'], 8, PENALTY)}
+select feature, round(abs(w), 7) as importance from last""")
+def one_hot_global(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One model over all rows, with missing categories and numbers, after eight quasi-Newton steps."""
+    priority = F.expr("nullif(o_orderpriority, '3-MEDIUM')").alias("o_orderpriority")
+    discount = F.expr("case when l_linenumber = 2 then null else l_discount end").alias("l_discount")
+    items = returned_items(spark, sf_dir).select("y", "o_orderstatus", priority, discount)
+    found = logit.mixed_global_coefficients(items, HOT, ["l_discount"], "y", l2=PENALTY, rounds=8, tol=0.0)
+    return rounded(logit.importance(found), "importance", digits=7)
+
+
 @query(f"""with c as (select o_orderstatus as v, sum(y) as a, count(*) - sum(y) as b from ({sql.RETURNED}) group by o_orderstatus),
 f as (select min(v) as v from c)
 select 'o_orderstatus_' || c.v as feature, round(ln(c.a / c.b) - (select ln(a / b) from c where v = (select v from f)), 5) as coef

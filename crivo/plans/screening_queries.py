@@ -9,7 +9,7 @@ from crivo.operators import contingency as con
 from crivo.operators import scores
 from crivo.plans import enrolments as en
 from crivo.plans import sql
-from crivo.plans.model_queries import mixed_steps_sql
+from crivo.plans.model_queries import mixed_steps_sql, quasi_newton_sql
 from crivo.plans.registry import query, rounded
 from crivo.plans.tables import table
 from crivo.shared import work_path
@@ -248,8 +248,12 @@ def screen_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(en.rank_by_model(prepared, lr=0.5, l2=0.001), "importance", digits=8)
 
 
-@query()
+GLOBAL_ROUNDS = 10
+
+
+@query(f"""with {quasi_newton_sql(MODEL_BASE.replace('(select *, (dense', '(select * exclude ("Fonte de Financiamento"), (dense', 1), ALL_HOT, ['Renda Familiar', 'Fonte de Financiamento'], GLOBAL_ROUNDS, 0.001)}
+select feature, round(abs(w), 6) as importance from last""")
 def screen_by_global_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Importance by one logistic model over all rows and files; its solver has no SQL form."""
-    prepared = en.store(en.prepare(raw_enrolments(spark, sf_dir), en.LABELS))
-    return rounded(en.rank_by_global_model(prepared), "importance", digits=4)
+    """Importance by one logistic model over all rows and files, after ten quasi-Newton steps."""
+    prepared = en.store(en.prepare(raw_enrolments(spark, sf_dir), en.ONE_HOT))
+    return rounded(en.rank_by_global_model(prepared, l2=0.001, rounds=GLOBAL_ROUNDS, tol=0.0), "importance", digits=6)

@@ -63,16 +63,30 @@ def row_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.row_audit(table(spark, sf_dir, "lineitem"), "l_linestatus")
 
 
-HEADERS = ("documents", "labels", "benchmark", "pages")
-COLUMNS_OF = " union all ".join(
-    f"select column_name as c, {i} as place, '{t}' as name from (describe select * from {t})" for i, t in enumerate(HEADERS))
+HEADERS = {"documents": ["doc_id", "text", "lang", "source", "n_chars"], "labels": ["doc_id", "quality", "toxic"], "benchmark": ["item_id", "text"],
+           "pages": ["page_id", "url", "html"]}
+SPARSE = {"documents": {"lang": "nullif(lang, 'de')"}, "labels": {"toxic": "nullif(toxic, 0)"}}
+FILLED = " union all ".join(
+    f"""select '{c}' as "column", '{t}' as source, count(*) as n_rows, count({SPARSE.get(t, {}).get(c, c)}) as n_filled from {t}"""
+    for t, columns in HEADERS.items() for c in columns)
 
 
-@query(f"""select c as "column", string_agg(name, ',' order by place) as sources from ({COLUMNS_OF}) group by c""")
+@query(FILLED)
 def column_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The union of all headers with the tables that have each column."""
-    presence = align.column_presence({t: table(spark, sf_dir, t) for t in HEADERS})
-    return spark.createDataFrame([(c, ",".join(names)) for c, names in presence.items()], "column string, sources string")
+    """The union of all columns, with the tables that have each and how many values they hold."""
+    frames = {t: table(spark, sf_dir, t).withColumns({c: F.expr(e) for c, e in SPARSE.get(t, {}).items()}) for t in HEADERS}
+    return align.presence(frames)
+
+
+@query("""with even as (select count(*) as n from orders where o_orderkey % 2 = 0), odd as (select count(*) as n from orders where o_orderkey % 2 = 1),
+priced as (select count(*) as n from orders where o_orderkey % 2 = 0 and o_custkey % 5 > 0)
+select 'a' as source, 'Codigo' as "column", n as n_rows, n as n_filled from even union all select 'a', 'Preco', even.n, priced.n from even, priced
+union all select 'a', 'Situacao', n, n from even union all select 'b', 'Codigo', n, n from odd union all select 'b', 'Prioridade', n, n from odd
+union all select 'b', 'Situacao', n, n from odd""")
+def columns_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which file has which column, and how many values it holds there."""
+    texts = files.read_files(spark, raw_files(spark, sf_dir, f"{files.SOURCE}="))
+    return align.filled_counts(texts, files.SOURCE, ABSENT)
 
 
 @query("select 'none' as source_file union all select n_name from nation where n_nationkey not in (select c_nationkey from customer where c_nationkey % 4 > 0)")
@@ -86,16 +100,16 @@ def empty_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.empty_sources(rows, listed)
 
 
-def raw_files(spark: SparkSession, sf_dir: str) -> list[str]:
-    """Orders written as delimited files with accented headers in differing order."""
+def raw_files(spark: SparkSession, sf_dir: str, prefix: str = "") -> list[str]:
+    """Orders written as delimited files with accented headers in differing order, in folders ``a`` and ``b``."""
     orders = table(spark, sf_dir, "orders")
     folder = work_path(spark, "raw")
     price = F.when(F.col("o_custkey") % 5 > 0, F.col("o_totalprice").cast("string")).otherwise("NA").alias("Preço")
     first = orders.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("Código"), price, F.col("o_orderstatus").alias(" Situação "))
     second = orders.where("o_orderkey % 2 = 1").select(F.col("o_orderstatus").alias(" Situação "), F.col("o_orderkey").alias("Código"), F.col("o_orderpriority").alias("Prioridade"))
     for name, df in (("a", first), ("b", second)):
-        df.write.csv(f"{folder}/{name}", sep=";", header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    return [f"{folder}/a/*.csv", f"{folder}/b/*.csv"]
+        df.write.csv(f"{folder}/{prefix}{name}", sep=";", header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return [f"{folder}/{prefix}{name}/*.csv" for name in "ab"]
 
 
 @query("""select o_orderkey as "Codigo", case when o_custkey % 5 > 0 then o_totalprice end as "Preco", o_orderstatus as "Situacao", null::varchar as "Prioridade" from orders where o_orderkey % 2 = 0
@@ -149,6 +163,32 @@ def consolidate_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.write_consolidated(spark.read.schema(items.schema).parquet(parts), whole)
 
 
+@query("""select l_linestatus as source_file, count(*) as n_rows, 3 as n_columns, count(*) filter (l_tax = 0) as untaxed,
+count(*) filter (l_quantity % 7 = 0) as incomplete from lineitem group by l_linestatus
+union all select '(total)', count(*), 3, count(*) filter (l_tax = 0), count(*) filter (l_quantity % 7 = 0) from lineitem""")
+def audit_while_writing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, and those that meet a condition, counted by source in the write itself."""
+    quantity = F.when(F.col("l_quantity") % 7 != 0, F.col("l_quantity")).alias("l_quantity")
+    items = table(spark, sf_dir, "lineitem").select(quantity, "l_tax", "l_returnflag", F.col("l_linestatus").alias("source_file"))
+    tests = {"untaxed": F.col("l_tax") == 0, "incomplete": F.col("l_quantity").isNull()}
+    return sinks.write_consolidated(items, work_path(spark, "whole"), tests=tests)
+
+
+@query("""select 'one' as layout, l_shipmode as mode, sum(l_quantity)::double as quantity from (select *, 'm' || l_linenumber as l_shipmode from lineitem) group by all
+union all select 'many', 'm' || l_linenumber, sum(l_quantity)::double from lineitem group by all""")
+def result_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A result written as one sorted file, and as a folder of files, and read again."""
+    mode = F.concat(F.lit("m"), F.col("l_linenumber")).alias("mode")
+    found = table(spark, sf_dir, "lineitem").groupBy(mode).agg(F.sum("l_quantity").alias("quantity"))
+    parts = []
+    for layout in ("one", "many"):
+        path = work_path(spark, "result")
+        sinks.write_result(found, path, [F.desc("quantity"), "mode"], single_file=layout == "one")
+        again = spark.read.csv(path, header=True, schema="mode string, quantity double")
+        parts.append(again.select(F.lit(layout).alias("layout"), "mode", "quantity"))
+    return parts[0].unionByName(parts[1])
+
+
 @query("""select '0' || (l_linenumber % 4) || '/a b+c' as source_file, count(*) as n_rows, sum(l_quantity)::double as quantity
 from lineitem group by all""")
 def parts_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:

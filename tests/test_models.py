@@ -194,3 +194,36 @@ def test_only_own_intermediates_are_deleted(spark, tmp_path):
     assert spark.read.parquet(other).count() == 3
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(folder)
+
+
+def skewed_rows(spark, n=4000):
+    """Categories of very different shares, missing ones, a number, and a target that depends on them."""
+    a = F.expr("case when id % 3 = 0 then 'hot' when id % 7 = 0 then null else concat('a', id % 11) end")
+    x = F.when(F.col("id") % 5 > 0, (F.col("id") % 97) / 96)
+    y = F.expr("cast(pmod(hash(id), 100) < 30 + 40 * int(id % 3 = 0) + int(id % 97 > 50) * 15 as int)")
+    return spark.range(n).select(a.alias("a"), F.concat(F.lit("b"), F.col("id") % 4).alias("b"), x.alias("x"), y.alias("y"))
+
+
+def test_quasi_newton_steps_reach_the_optimum(spark):
+    df = skewed_rows(spark)
+    labels = encode.fit_labels(df, ["a", "b"])
+    wide = encode.one_hot_wide(df, encode.category_lists(labels, ["a", "b"])).fillna(0.0, ["x"])
+    features = [c for c in wide.columns if c != "y"]
+    for l2 in (0.0, 0.01):
+        want = {r["feature"]: r["coef"] for r in logit.global_coefficients(wide, features, "y", l2=l2, tol=1e-10, max_iter=200).collect()}
+        got = {r["feature"]: r["coef"] for r in logit.mixed_global_coefficients(df, ["a", "b"], ["x"], "y", l2=l2, tol=1e-6).collect()}
+        assert got.keys() == want.keys()
+        assert all(abs(got[c] - want[c]) < 2e-3 for c in want)
+
+
+def test_global_model_of_numbers_or_categories_alone(spark):
+    df = skewed_rows(spark, 500).withColumn("zero", F.lit(0.0))
+    numbers = {r["feature"]: r["coef"] for r in logit.mixed_global_coefficients(df, [], ["x", "zero"], "y", l2=0.0).collect()}
+    want = logit.global_coefficients(df, ["x"], "y").first()["coef"]
+    assert abs(numbers["x"] - want) < 1e-4 and numbers["zero"] == 0.0
+    odds = {r["feature"]: r["coef"] for r in logit.mixed_global_coefficients(df, ["b"], [], "y", l2=0.0, tol=1e-9).collect()}
+    share = {r["b"]: r["p"] for r in df.groupBy("b").agg(F.avg("y").alias("p")).collect()}
+    logits = {b: math.log(p / (1 - p)) for b, p in share.items()}
+    assert odds == {f"b_{b}": pytest.approx(logits[b] - logits["b0"], abs=1e-5) for b in ("b1", "b2", "b3")}
+    with pytest.raises(ValueError, match="target"):
+        logit.mixed_global_coefficients(df.where("false"), ["b"], ["x"], "y")
