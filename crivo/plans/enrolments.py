@@ -91,9 +91,11 @@ def cleaned(raw: DataFrame, preset: Preset) -> DataFrame:
 
 
 def prepare(raw: DataFrame, preset: Preset = LABELS, wide: bool = False) -> Prepared:
-    """Clean and encode. Two passes over ``raw``: one fits all dictionaries, one encodes.
+    """Clean and encode.
 
-    One-hot columns stay text unless ``wide``, since the scores need only their counts.
+    ``raw`` is read once: the cleaned texts are written as Parquet, from which one pass fits all
+    dictionaries and one encodes. One-hot columns stay text unless ``wide``, since the scores
+    need only their counts.
     """
     df = cleaned(raw, preset)
     missing = encode.MISSING if preset.keep_incomplete else None
@@ -103,6 +105,7 @@ def prepare(raw: DataFrame, preset: Preset = LABELS, wide: bool = False) -> Prep
     fitted = [*label_columns, *(one_hot_columns if wide else [])]
     if not fitted:
         return Prepared(df, None, tuple(one_hot_columns))
+    df = materialize(df, "cleaned")
     labels = encode.fit_labels(df, fitted, by=by, missing_as=missing)
     coded = encode.encode_labels(df, labels, label_columns)
     if wide and one_hot_columns:

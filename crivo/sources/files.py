@@ -151,6 +151,7 @@ def read_files(
     na_values: Sequence[str] = NA_VALUES,
     malformed: str = "fail",
     multi_line: bool = False,
+    among: Sequence[str] | None = None,
 ) -> DataFrame:
     """All files as one table of text columns with normalised names and a ``source_file``.
 
@@ -164,6 +165,7 @@ def read_files(
     ``drop`` such records, or ``keep`` them with their text in ``CORRUPT`` (see
     `malformed_records`). ``multi_line`` reads quoted line breaks, at the price of one task
     per file. Files without rows are named in a warning; if no file has any, that is an error.
+    Sources are told apart ``among`` these files (default: those read), see `source_names`.
     """
     files = input_files(spark, paths)
     first = _first_lines(spark, files, sep)
@@ -176,7 +178,7 @@ def read_files(
     for path, (names, _) in first.items():
         if names:
             groups[names].append(path)
-    source = source_names(files)
+    source = source_names(files if among is None else among)
     frames = [read_group(spark, group, names, sep, na_values, source, malformed, multi_line) for names, group in groups.items()]
     for frame in frames:
         folded = [c.lower() for c in frame.columns]
