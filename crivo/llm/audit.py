@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crivo.llm.common import row_bytes, stored
+from crivo.llm.common import row_bytes, stored, tidy
 from crivo.shared import lookup, measured
 
 # A trie is emptied when it holds about so many bytes of text.
@@ -184,7 +184,7 @@ def _locally(docs: DataFrame, tests: Sequence[Test]) -> DataFrame:
         if types:
             yield from emptied()
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, part string, mask int, n long, text binary")
+    return docs.mapInArrow(tidy(run), f"id {docs.schema['id'].dataType.simpleString()}, part string, mask int, n long, text binary")
 
 
 def _by_range(rows: DataFrame, duplicate: int) -> DataFrame:
@@ -208,7 +208,7 @@ def _by_range(rows: DataFrame, duplicate: int) -> DataFrame:
             yield _columns([row[1:] for row in trie.firsts()], types, names)
 
     chosen = rows.select("key", "id", "part", "mask", "n", "text")
-    return chosen.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, part string, mask int, n long")
+    return chosen.mapInArrow(tidy(run), f"id {rows.schema['id'].dataType.simpleString()}, part string, mask int, n long")
 
 
 def keyed(rows: DataFrame, most_bytes: int | None = None) -> tuple[DataFrame, int]:

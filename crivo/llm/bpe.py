@@ -19,13 +19,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crivo.llm.common import row_groups, two_columns
+from crivo.llm.common import row_groups, tidy, two_columns
 
 NEVER = 1 << 40
 # Stands for the suffix at the end of a word.
 END = "\0"
-# Words whose tokens a task remembers; it starts anew beyond them.
-REMEMBERED = 400_000
+# A task remembers the tokens of words, and of what blanks part, in so many bytes each; it starts anew beyond them.
+REMEMBERED_BYTES = 32 << 20
+# What an entry takes beside the word and its tokens.
+ENTRY_BYTES = 200
 BLANK = r"[\t-\r \x85\xa0  -     　]"
 
 
@@ -249,23 +251,26 @@ class Encoder:
         self.of_chunk: dict[bytes, bytes] = {}
         self.of_word: dict[str | int, bytes] = {number: struct.pack("<I", number) for number in bpe.special.values()}
         self.n_special = len(self.of_word)
+        self.chunk_bytes = self.word_bytes = 0
 
     def _learn(self, chunks: list[bytes]) -> None:
         split = [self.bpe.split(c.decode()) for c in chunks]
-        if len(self.of_word) > REMEMBERED:
-            self.of_word = dict(list(self.of_word.items())[:self.n_special])
+        if self.word_bytes > REMEMBERED_BYTES:
+            self.of_word, self.word_bytes = dict(list(self.of_word.items())[:self.n_special]), 0
         new = list({w for words in split for w in words}.difference(self.of_word))
         for word, ids in zip(new, self.bpe.encode_words([self.bpe.spelled(w) for w in new])):
             self.of_word[word] = struct.pack(f"<{len(ids)}I", *ids)
+            self.word_bytes += ENTRY_BYTES + len(word) + 4 * len(ids)
         get = self.of_word.__getitem__
         for chunk, words in zip(chunks, split):
-            self.of_chunk[chunk] = b"".join(map(get, words))
+            found = self.of_chunk[chunk] = b"".join(map(get, words))
+            self.chunk_bytes += ENTRY_BYTES + len(chunk) + len(found)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of every UTF-8 text as little-endian unsigned 32-bit integers."""
         split = [t.split() for t in texts]
-        if len(self.of_chunk) > REMEMBERED:
-            self.of_chunk = {}
+        if self.chunk_bytes > REMEMBERED_BYTES:
+            self.of_chunk, self.chunk_bytes = {}, 0
         self._learn(list({c for chunks in split for c in chunks}.difference(self.of_chunk)))
         get = self.of_chunk.__getitem__
         return [b"".join(map(get, chunks)) for chunks in split]
@@ -293,7 +298,7 @@ def encode(docs: DataFrame, tokenizer_json: str, id_column: str = "doc_id", text
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, len(texts)), pa.array(ids, pa.binary()), decoded], names=["id", "ids", "decoded"])
 
     rows = two_columns(docs, id_column, text_column)
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ids binary, decoded string")
+    return rows.mapInArrow(tidy(run), f"id {rows.schema['id'].dataType.simpleString()}, ids binary, decoded string")
 
 
 def digests(encoded: DataFrame) -> DataFrame:

@@ -2,16 +2,46 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import inspect
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crivo.shared import work_path
 
 
+def give_back() -> None:
+    """Give the memory a task has freed back to the system; its worker waits for other tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run):
+    """A function of batches or of tables that gives memory back when it is done."""
+    def by_batch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    def by_table(*tables: pa.Table) -> pa.Table:
+        found = run(*tables)
+        give_back()
+        return found
+
+    if inspect.isgeneratorfunction(run):
+        return by_batch
+    # Spark tells by the number of arguments whether a function takes a key.
+    one = lambda table: by_table(table)
+    two = lambda left, right: by_table(left, right)
+    return one if len(inspect.signature(run).parameters) == 1 else two
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back; cuts the lineage."""
     path = work_path(df.sparkSession, label)
@@ -34,6 +64,29 @@ def two_columns(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return df.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").cast("string").alias("text"))
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names with underscores ahead, as many as it takes to be none of ``columns``."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose texts take about ``most_bytes``; a long row is a run of its own."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes)
+    first = 0
+    while first < batch.num_rows:
+        before = int(ends[first - 1]) if first else 0
+        end = max(first + 1, int(np.searchsorted(ends, before + most_bytes, side="right")))
+        yield batch.slice(first, end - first)
+        first = end
+
+
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all rows and the rows' offsets in them; null rows are empty."""
     if pa.types.is_string(texts.type):

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crivo.llm.common import stored
+from crivo.llm.common import stored, unused
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # What is no ASCII letter, digit or control sign parts words; other characters belong to them.
@@ -34,7 +34,7 @@ def words(text: Column) -> Column:
 
 def text_key(text: Column) -> Column:
     """128 bits that stand for a text."""
-    return F.struct(F.xxhash64(text).alias("h1"), F.xxhash64(text, F.lit(1)).alias("h2"))
+    return F.struct(F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
 
 
 def windows(items: DataFrame, size: int) -> DataFrame:
@@ -125,7 +125,12 @@ def contaminated(
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that hold no window of the benchmark."""
+    """The rows of ``docs`` that hold no window of the benchmark.
+
+    Null and blank texts hold none and stay, as do repeated rows and all columns, whatever their
+    names; an empty benchmark takes no row away.
+    """
     found = contaminated(docs, benchmark, id_column, text_column, **options).where("n_hit > 0").select("key").distinct()
-    own = docs.withColumn("_key", text_key(F.col(f"`{text_column}`").cast("string")))
-    return own.join(found, own["_key"] == found["key"], "left_anti").drop("_key")
+    mark, hit = unused(docs.columns, "own_key", "hit_key")
+    own = docs.withColumn(mark, text_key(F.col(f"`{text_column}`").cast("string")))
+    return own.join(found.withColumnRenamed("key", hit), F.col(mark) == F.col(hit), "left_anti").drop(mark)

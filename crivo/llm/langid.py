@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from crivo.llm.common import stored, sum_by_row, two_columns, utf8_pieces
+from crivo.llm.common import slices, stored, sum_by_row, tidy, two_columns, unused, utf8_pieces
 
 # A language has an n-gram if the n-gram makes up at least this share of its n-grams. That
 # bounds the filter: no language can have more than 1 / SHARE n-grams.
@@ -135,7 +135,7 @@ def learn(docs: DataFrame, text_column: str = "text", lang_column: str = "lang")
     known = two_columns(docs, lang_column, text_column).select(F.col("id").cast("string").alias("lang"), "text")
     known = known.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     # The counts per partition are few; they are kept, as sums and shares both read them.
-    parts = known.mapInArrow(_count_grams, "lang string, gram long, n long")
+    parts = known.mapInArrow(tidy(_count_grams), "lang string, gram long, n long")
     counts = stored(parts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "langid-grams")
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted(totals)
@@ -183,16 +183,24 @@ def identify(docs: DataFrame, filters: Filters, text_column: str = "text") -> Da
     names = docs.columns
 
     def predict(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Filters(*shared.value)
+        known, text = Filters(*shared.value), names.index(text_column)
         for batch in batches:
-            langs, scores = _scored(batch.column(names.index(text_column)), known)
-            yield pa.RecordBatch.from_arrays([*batch.columns, langs, pa.array(scores)], names=[*names, "lang_pred", "score"])
+            for part in slices(batch, text):
+                langs, scores = _scored(part.column(text), known)
+                yield pa.RecordBatch.from_arrays([*part.columns, langs, pa.array(scores)], names=[*names, "lang_pred", "score"])
 
     added = [StructField("lang_pred", StringType()), StructField("score", DoubleType())]
-    return docs.mapInArrow(predict, StructType([*docs.schema.fields, *added]))
+    return docs.mapInArrow(tidy(predict), StructType([*docs.schema.fields, *added]))
 
 
 def accepted(docs: DataFrame, filters: Filters, least: float, text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` in a learned language: not ``und``, and of a score of ``least`` or more."""
-    found = identify(docs, filters, text_column).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
-    return found.drop("lang_pred", "score")
+    """The rows of ``docs`` in a learned language: not ``und``, and of a score of ``least`` or more.
+
+    Null texts and texts without a letter go. Repeated rows stay, as do all columns, whatever
+    their names.
+    """
+    columns = unused(docs.columns, *[f"own_{i}" for i in range(len(docs.columns))])
+    renamed = docs.toDF(*columns)
+    found = identify(renamed, filters, columns[docs.columns.index(text_column)])
+    kept = found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
+    return kept.select(*[F.col(c).alias(name) for c, name in zip(columns, docs.columns)])

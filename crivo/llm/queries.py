@@ -198,7 +198,58 @@ def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.interactions(audit.labelled(found, table(spark, sf_dir, "labels")))
 
 
-@query()
+OP12_SQL = r"""
+with recursive crc as (
+  select list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: if(c & 1 = 1, xor(c >> 1, 3988292384), c >> 1))) as t),
+named as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    list_transform(string_split(coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' '), ''), lambda c: ascii(c)::bigint) as bytes
+  from conversations),
+kinds as (
+  select conv_id, turn, role, text, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 as kind
+  from named, crc),
+damaged as (
+  select conv_id, turn, if(kind = 4, 'user', role) as role, case kind when 1 then '' when 2 then translate(text, '.!?', '') else text end as text
+  from (select *, unnest(range(if(kind = 0, 0, if(kind = 3, 2, 1)))) from kinds)),
+placed as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i,
+    right(regexp_replace(text, '[\x20\x09-\x0D]+$', ''), 1) as last from damaged),
+judged as (
+  select *, last = '' as blank, row_number() over (partition by conv_id, role, text order by i) > 1 as seen, last not in ('.', '!', '?') as cut,
+    left(role, 1) as initial, lag(left(role, 1)) over (partition by conv_id order by i) as before from placed),
+faults as (
+  select conv_id, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (blank) as blank,
+    count(*) filter (not blank and seen) as duplicate, count(*) filter (not blank and not seen and cut) as truncated,
+    count(*) filter (before is not null and before || initial not in ('su', 'ua', 'au')) as illegal from judged group by conv_id),
+convs as (select c.conv_id, coalesce(n, 0) as n from (select distinct conv_id from conversations) c left join faults f on c.conv_id is not distinct from f.conv_id),
+gap (a, b, letters, cost, said) as (values
+  (0, 0, '', 0, []::varchar[]), (1, 1, '', 0, []), (2, 2, '', 0, []), (3, 3, '', 0, []), (0, 2, 'I', 5, ['user:']), (1, 2, 'I', 5, ['user:']),
+  (3, 2, 'I', 5, ['user:']), (2, 3, 'I', 5, ['assistant:']), (0, 3, 'II', 10, ['user:', 'assistant:']), (1, 3, 'II', 10, ['user:', 'assistant:'])),
+edit (a, b, letter, cost, role) as (values
+  (0, 0, 'D', 2, ''), (1, 1, 'D', 2, ''), (2, 2, 'D', 2, ''), (3, 3, 'D', 2, ''), (0, 1, 'K', 0, 's'), (0, 2, 'K', 0, 'u'), (1, 2, 'K', 0, 'u'),
+  (2, 3, 'K', 0, 'a'), (3, 2, 'K', 0, 'u'), (0, 2, 'R', 1, 'user'), (1, 2, 'R', 1, 'user'), (2, 3, 'R', 1, 'assistant'), (3, 2, 'R', 1, 'user')),
+paths as (
+  select conv_id, n, 0 as i, 0 as state, 0 as cost, '' as audit, []::varchar[] as said from convs
+  union all
+  select conv_id, n, i, state, cost, audit, said from (
+    select *, row_number() over (partition by conv_id, state order by cost, audit) as place from (
+      select p.conv_id, p.n, p.i + 1 as i, e.b as state, p.cost + g.cost + e.cost + if(e.letter <> 'D' and w.cut, 5, 0) as cost, p.audit || g.letters || e.letter as audit,
+        p.said || g.said || case e.letter when 'D' then [] when 'K' then [w.role || ':' || w.text] else [e.role || ':' || w.text] end as said
+      from paths p join gap g on g.a = p.state join judged w on w.conv_id is not distinct from p.conv_id and w.i = p.i + 1
+      join edit e on e.a = g.b and (e.letter = 'D' or not w.blank and not w.seen and (e.letter = 'R' or e.role = w.initial))))
+  where place = 1),
+ended as (
+  select p.conv_id, p.cost + g.cost as cost, p.audit || g.letters as audit, p.said || g.said as said,
+    row_number() over (partition by p.conv_id order by p.cost + g.cost, p.audit || g.letters) as place
+  from paths p join gap g on g.a = p.state where p.i = p.n and g.b in (0, 3))
+select e.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate,
+  coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal, cost::bigint as cost, audit,
+  sha256(array_to_string(said, chr(10))) as repaired_sha256
+from ended e left join faults f on e.conv_id is not distinct from f.conv_id where place = 1
+"""
+
+
+@query(OP12_SQL)
 def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults of every damaged conversation, and the cheapest repair."""
     return repair.repaired(repair.damage(table(spark, sf_dir, "conversations"))).withColumnRenamed("conv", "conv_id")

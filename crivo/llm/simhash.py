@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crivo.llm.common import row_bytes, stored, sum_by_row, two_columns
+from crivo.llm.common import row_bytes, stored, sum_by_row, tidy, two_columns, unused
 from crivo.shared import lookup
 
 SEED = 42
@@ -99,7 +99,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), pa.array(fps.view(np.int64))], names=["id", "h", "fp"])
 
     rows = two_columns(docs, id_column, text_column).select("id", F.xxhash64("text").alias("h"), "text")
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, h long, fp long")
+    return rows.mapInArrow(tidy(run), f"id {rows.schema['id'].dataType.simpleString()}, h long, fp long")
 
 
 # ---- Golay code ------------------------------------------------------------------------
@@ -294,15 +294,18 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5) -> DataFrame:
     """One row of ``docs`` from each component: one of its smallest id.
 
-    Of rows of that id with different texts one stays, and one of repeated rows.
+    Of rows of that id with different texts one stays, and one of repeated rows. Null, empty and
+    blank texts are copies of each other. All columns stay, whatever their names.
     """
     return one_of_classes(docs, classes(docs, id_column, text_column, width), id_column, text_column)
 
 
 def one_of_classes(docs: DataFrame, found: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """The rows of ``docs`` that stand for their component in ``found``."""
-    chosen = found.where("id <=> component").groupBy("root").agg(F.min("id").alias("_id"), F.min("h").alias("_h")).select("_id", "_h").distinct()
-    own = docs.withColumn("_own_h", F.xxhash64(F.col(f"`{text_column}`").cast("string")))
-    same = F.col(f"`{id_column}`").eqNullSafe(F.col("_id")) & (F.col("_own_h") == F.col("_h"))
-    kept = own.join(chosen, same).dropDuplicates(["_id", "_h"])
+    """The rows of ``docs`` that stand for their component in ``found``; columns may have any names."""
+    chosen = found.where("id <=> component").groupBy("root").agg(F.min("id").alias("id"), F.min("h").alias("h")).select("id", "h").distinct()
+    ident, mark, picked, same_mark = unused(docs.columns, "own_id", "own_h", "chosen_id", "chosen_h")
+    own = docs.withColumns({ident: F.col(f"`{id_column}`"), mark: F.xxhash64(F.col(f"`{text_column}`").cast("string"))})
+    wanted = chosen.select(F.col("id").alias(picked), F.col("h").alias(same_mark))
+    same = F.col(ident).eqNullSafe(F.col(picked)) & (F.col(mark) == F.col(same_mark))
+    kept = own.join(wanted, same).dropDuplicates([picked, same_mark])
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

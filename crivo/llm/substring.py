@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from crivo.llm.common import bucket_of, hashed_rows, packed, row_bytes, stored, unpacked
+from crivo.llm.common import bucket_of, hashed_rows, packed, row_bytes, stored, tidy, unpacked, unused
 
 GRAM = 6
 # Occurrences from which an anchor's stretches are dealt window by window.
@@ -376,29 +376,29 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     parts. Ids are integers; a null id is before all others. Rows of one id with different
     texts are different documents, in an order that their texts decide; repeated rows are one
     document and get equal results. Null texts have no words. Columns of the three names are
-    replaced. ``width`` is at least ``GRAM`` and at most ``GRAM + 56``.
+    replaced, others stay, whatever their names. ``width`` is at least ``GRAM`` and at most ``GRAM + 56``.
     """
     if not GRAM <= width <= GRAM + 56:
         raise ValueError(f"width must be from {GRAM} to {GRAM + 56}: {width}")
     rows = docs.drop("n_words", "n_removed", "kept")
     text = rows.columns.index(text_column) + 1
-    ident = F.coalesce(F.col(f"`{id_column}`").cast("long"), F.lit(-(1 << 63))).alias("_id")
+    ident = F.coalesce(F.col(f"`{id_column}`").cast("long"), F.lit(-(1 << 63))).alias(unused(rows.columns, "_id")[0])
     whole = rows.select(ident, *[F.col(f"`{c}`") for c in rows.columns])
     size = rows.agg(F.sum(F.octet_length(F.col(f"`{text_column}`")))).first()[0] or 0
     buckets = 4 + size // BUCKET_BYTES
-    every = stored(whole.mapInArrow(_blocks(text, width, buckets), ROWS), "blocks")
+    every = stored(whole.mapInArrow(tidy(_blocks(text, width, buckets)), ROWS), "blocks")
 
     blocks = every.where("kind = 0").select("block", "data")
     asked = every.where("kind = 1").select("block", "bucket", "keys", "counts")
-    known = stored(asked.groupBy("bucket").applyInArrow(_repeated, "block long, keys binary, often binary"), "anchors")
+    known = stored(asked.groupBy("bucket").applyInArrow(tidy(_repeated), "block long, keys binary, often binary"), "anchors")
     requests = blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(
-        _if_there(_requests(text, width, buckets), REQUESTS), "shard int, block long, data binary")
-    verdicts = requests.groupBy("shard").applyInArrow(_verdicts(width), "block long, data binary")
+        tidy(_if_there(_requests(text, width, buckets), REQUESTS)), "shard int, block long, data binary")
+    verdicts = requests.groupBy("shard").applyInArrow(tidy(_verdicts(width)), "block long, data binary")
     none = F.lit(None).cast("binary")
     answers = known.select(F.lit(1).alias("kind"), "block", "keys", "often", none.alias("data")).union(
         verdicts.select(F.lit(2).alias("kind"), "block", none.alias("keys"), none.alias("often"), "data"))
     added = [StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())]
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_cleaned(text, width), StructType([*rows.schema.fields, *added]))
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(tidy(_cleaned(text, width)), StructType([*rows.schema.fields, *added]))
 
 
 def _if_there(run, schema: pa.Schema):
