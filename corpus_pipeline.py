@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crivo.llm import bpe, decontam, langid, similar, substring
-from crivo.llm.common import stored, table
+from crivo.llm import bpe, decontam, langid, simhash, substring
+from crivo.llm.common import stored, table, unused
 from crivo.llm.queries import tokenizer_json
 
 # Texts of which fewer n-grams than this share are known in any language are rejected.
@@ -18,30 +18,47 @@ LEAST_KNOWN = 0.2
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages that the corpus names."""
+    """Documents in one of the languages that the corpus names.
+
+    Null and empty texts and those without a letter go. Repeated rows stay, as do all columns,
+    whatever their names; that holds for the next three stages too. Without rows there are none.
+    """
     return langid.accepted(docs, langid.learn(docs), LEAST_KNOWN)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group linked by a Jaccard similarity of 0.8 of five-word shingles."""
-    return similar.one_of_each(docs, width=5)
+    """One document of every group linked by fingerprints of three-word shingles within three bits.
+
+    The one of the smallest id stays, and one of its repeated rows. Texts without words are one
+    group; a null id stands for a group only if it holds no other.
+    """
+    return simhash.one_of_each(docs, width=3)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of 20 words that occur earlier; those left empty go."""
-    found = substring.without_repeats(docs, width=20).where("n_removed = 0 OR n_removed < n_words")
-    changed = found.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")))
-    counted = changed.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return counted.select(*docs.columns)
+    """Documents without passages of 20 words that occur earlier; those left empty go.
+
+    Texts that lose nothing stay as they are, null and empty ones among them. Null ids come
+    first. ``n_chars`` follows a text that is cut.
+    """
+    own = unused(docs.columns + ["n_words", "n_removed", "kept"], *[f"own_{i}" for i in range(len(docs.columns))])
+    ident, text, size = (own[docs.columns.index(c)] for c in ("doc_id", "text", "n_chars"))
+    found = substring.without_repeats(docs.toDF(*own), ident, text, width=20).where("n_removed = 0 OR n_removed < n_words")
+    cut = F.col("n_removed") > 0
+    changed = {text: F.when(cut, F.col("kept")).otherwise(F.col(text)), size: F.when(cut, F.length("kept").cast("long")).otherwise(F.col(size))}
+    return found.select(*[changed.get(c, F.col(c)).alias(name) for c, name in zip(own, docs.columns)])
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of ten words of a benchmark item."""
+    """Documents without a window of ten words of a benchmark item; null and empty texts stay."""
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with their number and the hashes of ids and decoded text."""
+    """Token ids of every document, with their number and the hashes of ids and decoded text.
+
+    Null and empty texts have none. Repeated rows stay; other columns do not.
+    """
     encoded = bpe.encode(docs, tokenizer_json())
     counted = (F.octet_length("ids") / 4).cast("long").alias("n_tokens")
     return encoded.select(F.col("id").alias("doc_id"), counted, "ids", F.sha2("ids", 256).alias("ids_sha256"),
