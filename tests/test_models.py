@@ -209,16 +209,15 @@ def test_quasi_newton_steps_reach_the_optimum(spark):
     labels = encode.fit_labels(df, ["a", "b"])
     wide = encode.one_hot_wide(df, encode.category_lists(labels, ["a", "b"])).fillna(0.0, ["x"])
     features = [c for c in wide.columns if c != "y"]
-    for l2 in (0.0, 0.01):
-        want = {r["feature"]: r["coef"] for r in logit.global_coefficients(wide, features, "y", l2=l2, tol=1e-10, max_iter=200).collect()}
-        got = {r["feature"]: r["coef"] for r in logit.mixed_global_coefficients(df, ["a", "b"], ["x"], "y", l2=l2, tol=1e-6).collect()}
-        assert got.keys() == want.keys()
-        assert all(abs(got[c] - want[c]) < 2e-3 for c in want)
+    want = {r["feature"]: r["coef"] for r in logit.global_coefficients(wide, features, "y", l2=0.01, tol=1e-10, max_iter=200).collect()}
+    got = {r["feature"]: r["coef"] for r in logit.mixed_global_coefficients(df, ["a", "b"], ["x"], "y", l2=0.01, tol=1e-5).collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[c] - want[c]) < 2e-3 for c in want)
 
 
 def test_global_model_of_numbers_or_categories_alone(spark):
     df = skewed_rows(spark, 500).withColumn("zero", F.lit(0.0))
-    numbers = {r["feature"]: r["coef"] for r in logit.mixed_global_coefficients(df, [], ["x", "zero"], "y", l2=0.0).collect()}
+    numbers = {r["feature"]: r["coef"] for r in logit.mixed_global_coefficients(df, [], ["x", "zero"], "y", l2=0.0, tol=1e-6).collect()}
     want = logit.global_coefficients(df, ["x"], "y").first()["coef"]
     assert abs(numbers["x"] - want) < 1e-4 and numbers["zero"] == 0.0
     odds = {r["feature"]: r["coef"] for r in logit.mixed_global_coefficients(df, ["b"], [], "y", l2=0.0, tol=1e-9).collect()}
@@ -227,3 +226,35 @@ def test_global_model_of_numbers_or_categories_alone(spark):
     assert odds == {f"b_{b}": pytest.approx(logits[b] - logits["b0"], abs=1e-5) for b in ("b1", "b2", "b3")}
     with pytest.raises(ValueError, match="target"):
         logit.mixed_global_coefficients(df.where("false"), ["b"], ["x"], "y")
+
+
+def planted_rows(spark, n=20_000):
+    """Features whose weight in the target falls from the first to the last; two groups."""
+    x = [F.rand(i + 1).alias(f"x{i}") for i in range(4)]
+    score = F.expr("4 * (x0 - 0.5) + 2.5 * (x1 - 0.5) - 1.2 * (x2 - 0.5)")
+    rows = spark.range(0, n, 1, 6).select("id", *x)
+    return rows.select("*", (F.rand(9) < 1 / (1 + F.exp(-score))).cast("int").alias("y"), (F.col("id") % 3).cast("string").alias("g"))
+
+
+def test_models_of_one_scan_rank_as_full_batches_do(spark):
+    features = [f"x{i}" for i in range(4)]
+    df = planted_rows(spark).persist()
+    full = [r["feature"] for r in logit.federated_importance(df, features, "y", "g", lr=1.0, epochs=12).collect()]
+    found = logit.local_importance(df, features, "y", "g", lr=0.2).collect()
+    assert [r["feature"] for r in found] == full == features
+    best = {r["feature"]: abs(r["coef"]) for r in logit.global_coefficients(df, features, "y").collect()}
+    assert sorted(best, key=best.get, reverse=True) == features
+    df.unpersist()
+
+
+def test_models_of_one_scan_weigh_tasks_by_their_rows(spark):
+    df = planted_rows(spark, 900)
+    found = {r["g"]: r["n"] for r in logit.local_weights(df, ["x0", "x1"], "y", "g").collect()}
+    assert found == {"0": 300, "1": 300, "2": 300}
+    one = df.coalesce(1).where("g = '0'")
+    apart = logit.local_weights(one.union(one), ["x0"], "y", "g", epochs=1, batch_rows=10**6).first()
+    alone = logit.local_weights(one, ["x0"], "y", "g", epochs=1, batch_rows=10**6).first()
+    assert apart["n"] == 600 and apart["w"] == pytest.approx(alone["w"])
+    assert logit.local_weights(df.where("false"), ["x0"], "y", "g").count() == 0
+    gaps = df.withColumn("x0", F.lit(None).cast("double")).withColumn("y", F.when(F.col("id") > 5, F.col("y")))
+    assert sum(r["n"] for r in logit.local_weights(gaps, ["x0"], "y", "g").collect()) == 894
