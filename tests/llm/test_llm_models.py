@@ -6,6 +6,7 @@ from collections import Counter
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -256,6 +257,57 @@ def test_neighbours_equal_brute_force(spark, small_dir):
     assert hits / total >= 0.99
 
 
+def groups(n, seed=5):
+    """Vectors in 60 groups, one of which holds a third of all."""
+    rng = np.random.default_rng(seed)
+    middle = rng.standard_normal((60, 32))
+    of = np.where(rng.random(n) < 1 / 3, 0, rng.integers(0, 60, n))
+    return middle[of] + 0.3 * rng.standard_normal((n, 32))
+
+
+def test_lists_and_codes_leave_little_to_compare(spark, monkeypatch):
+    """Sure bounds miss nothing, bounds by chance next to nothing, with a sample that is a part of all."""
+    monkeypatch.setattr(ann, "SAMPLE", 600)
+    vectors = groups(4000)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>").repartition(3)
+    want = [exact(np.arange(4000), vectors, q, 10) for q in range(0, 4000, 50)]
+    for sure, least in ((True, 1.0), (False, 0.98)):
+        found = ann.nearest(df, F.col("id") % 50 == 0, 10, exact=sure).toPandas().sort_values(["query_id", "rank"])
+        assert found.groupby("query_id").size().tolist() == [10] * 80
+        hits = sum(len(set(w) & set(found.vec_id[found.query_id == q * 50])) for q, (w, _) in enumerate(want))
+        assert hits >= least * 800
+        assert np.allclose(found.score, (vectors[found.vec_id] * vectors[found.query_id]).sum(axis=1), rtol=1e-12)
+
+
+def test_the_search_compares_a_small_part(monkeypatch):
+    """Of all pairs under a twentieth are compared exactly."""
+    vectors = groups(6000)
+    found = ann.centres(vectors[:600], 30)
+    turn, asked = ann.rotation(32, ann.BITS), np.arange(0, 6000, 30)
+    centre = ann._nearest(vectors, found)
+    order = np.argsort(centre, kind="stable")
+    rest = (vectors - found[centre])[order]
+    length = np.sqrt((rest ** 2).sum(axis=1))
+    unit = rest / length[:, None] @ turn.T
+    codes = pa.array([c.tobytes() for c in np.packbits(unit > 0, axis=1)])
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(order), pa.array(vectors[order].tolist()), pa.array(centre[order]), codes, pa.array(length), pa.array(np.abs(unit).sum(axis=1) / ann.BITS ** 0.5)],
+        names=["id", "vector", "centre", "code", "length", "fit"])
+    queries = vectors[asked]
+    turned = np.hstack([queries / np.sqrt((queries ** 2).sum(axis=1))[:, None] @ turn.T, np.ones((len(asked), 1))]).astype(np.float32)
+    scores = queries @ vectors[:600].T
+    scores[asked[:, None] == np.arange(600)] = -np.inf
+    reach = np.sort(scores, axis=1)[:, -10]
+    compared, add = [], ann.Best.add
+    monkeypatch.setattr(ann.Best, "add", lambda self, query, *rest: compared.append(len(query)) or add(self, query, *rest))
+    got = next(ann._pass([batch], (asked, queries, turned, reach), found, 10, False))
+    assert 0 < sum(compared) < 0.05 * 6000 * len(asked)
+    ids = {q: set() for q in asked.tolist()}
+    for q, v in zip(got["query_id"].to_pylist(), got["vec_id"].to_pylist()):
+        ids[q].add(v)
+    assert sum(len(ids[q] & set(exact(np.arange(6000), vectors, q, 10)[0])) for q in ids) >= 0.98 * 10 * len(asked)
+
+
 @pytest.mark.parametrize("block", [3, 4096])
 def test_odd_vectors_ties_and_copies(spark, monkeypatch, block):
     monkeypatch.setattr(ann, "QUERY_BLOCK", block)
