@@ -10,7 +10,8 @@ Texts are packed into blocks of bounded size. A block asks which of its distinct
 elsewhere, and sends each distinct stretch of those to the shard of its anchor. A shard builds
 suffix automata over its stretches, in order of their first occurrence, and streams them
 through: the matching statistics give, for every window, the place where the same words
-occur first. Every block that has a stretch gets the verdict on it. Anchors that occur very
+occur first. Every block that has a stretch gets the verdict on it, by a hash that stands for
+the stretch on the way. Anchors that occur very
 often, as in a line that many documents share, have stretches without number that hardly
 ever agree; their windows are sent one by one, as hashes of 128 bits that need no automaton,
 so that no shard grows with such a line.
@@ -19,7 +20,6 @@ so that no shard grows with such a line.
 from __future__ import annotations
 
 import os
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -127,21 +127,22 @@ class SuffixAutomaton:
         return found
 
 
-def _judge(stretches: dict[bytes, tuple], width: int) -> Iterator[tuple[bytes, int]]:
-    """Content, and the windows at its first place that occur earlier, as bits."""
+def _judge(stretches: dict[bytes, tuple], width: int) -> Iterator[tuple[bytes, int, int]]:
+    """Content, the windows that the automaton finds, and those that occur before its first place, as bits."""
     order = sorted(stretches.items(), key=lambda item: item[1])
     automaton = SuffixAutomaton()
     texts = [np.frombuffer(content, np.int64).tolist() for content, _ in order]
     for number, words in enumerate(texts):
         automaton.add(number, words)
     for number, (content, place) in enumerate(order):
-        bits = 0
+        seen = earlier = 0
         for end, first in enumerate(automaton.first_ends(texts[number], width)):
             if first is not None:
                 where = order[first[0]][1]
+                seen |= 1 << (end - width + 1)
                 if (*where[:2], where[2] + first[1]) < (*place[:2], place[2] + end):
-                    bits |= 1 << (end - width + 1)
-        yield content, bits
+                    earlier |= 1 << (end - width + 1)
+        yield content, seen, earlier
 
 
 # ---- blocks ----------------------------------------------------------------------------
@@ -282,11 +283,11 @@ def _requests(text: int, width: int, shards: int):
     return run
 
 
-VERDICT = pa.schema([("mark", pa.binary(16)), ("id", pa.int64()), ("h", pa.int64()), ("at", pa.int64()), ("bits", pa.int64())])
+VERDICT = pa.schema([("mark", pa.binary(16)), ("id", pa.int64()), ("h", pa.int64()), ("at", pa.int64()), ("seen", pa.int64()), ("earlier", pa.int64())])
 
 
 def _verdicts(width: int):
-    """For every block the first places of its marks, and the windows there that occur earlier still."""
+    """For every block the first places of its marks, the windows found, and those that occur before that place."""
     def run(asked: pa.Table) -> pa.Table:
         # By mark: key, words, first place, times.
         marks: dict[bytes, list] = {}
@@ -302,12 +303,10 @@ def _verdicts(width: int):
                 else:
                     known[2] = min(known[2], tuple(place))
                     known[3] += times
-        bits: dict[bytes, int] = {}
-        # Stretches of one anchor go into one automaton, those of several anchors together. An
-        # anchor with one distinct stretch has nothing else to compare it with: two windows
-        # that chose one place cannot be equal.
-        kinds = Counter(v[0] for v in marks.values() if v[1] is not None)
-        stretches = sorted((v[0], mark) for mark, v in marks.items() if v[1] is not None and kinds[v[0]] > 1)
+        # Stretches of one anchor go into one automaton, those of several anchors together. A window
+        # sent as a hash is found where it occurs twice.
+        found = {mark: (1, 0) for mark, v in marks.items() if v[1] is None}
+        stretches = sorted((v[0], mark) for mark, v in marks.items() if v[1] is not None)
         group: dict[bytes, tuple] = {}
         of_content: dict[bytes, bytes] = {}
         words = 0
@@ -316,14 +315,14 @@ def _verdicts(width: int):
             group[content], of_content[content] = place, mark
             words += len(content) // 8
             if i + 1 == len(stretches) or words >= SHARD_WORDS and stretches[i + 1][0] != key:
-                bits |= {of_content[c]: b for c, b in _judge(group, width)}
+                found |= {of_content[c]: verdict for c, *verdict in _judge(group, width)}
                 group, of_content, words = {}, {}, 0
         out = []
         for block, own in by_block.items():
-            told = [m for m in own if marks[m][3] > 1 or bits.get(m)]
+            told = [m for m in own if marks[m][3] > 1 or found[m][1]]
             if told:
                 answer = pa.table([told, *(pa.array([marks[m][2][i] for m in told], pa.int64()) for i in range(3)),
-                                   pa.array([bits.get(m, 0) for m in told], pa.int64())], schema=VERDICT)
+                                   *(pa.array([found[m][i] for m in told], pa.int64()) for i in (0, 1))], schema=VERDICT)
                 out.append({"block": block, "data": packed(answer)})
         return pa.Table.from_pylist(out, schema=pa.schema([("block", pa.int64()), ("data", pa.binary())]))
 
@@ -349,7 +348,7 @@ def _cleaned(text: int, width: int):
         verdicts: dict[bytes, tuple] = {}
         for data in told[2].column("data").to_pylist():
             columns = [c.to_pylist() for c in unpacked(data).columns]
-            verdicts |= {mark: (place, bits) for mark, *place, bits in zip(*columns)}
+            verdicts |= {mark: (place, seen, earlier) for mark, *place, seen, earlier in zip(*columns)}
         table = unpacked(block.column("data").to_pylist()[0])
         rows = _Block(table, text, width)
         found: list[tuple[int, int, bytes]] = []
@@ -358,7 +357,8 @@ def _cleaned(text: int, width: int):
             for row, at, n, _, _, content in rows.stretches(first, hashes, bounds, repeated, often):
                 verdict = verdicts.get(xxhash.xxh3_128_digest(content))
                 if verdict is not None:
-                    bits = verdict[1] if verdict[0] == [*rows.place(row, at)] else (1 << n) - 1
+                    # Elsewhere than at its first place all that the automaton finds occurs earlier.
+                    bits = verdict[2] if verdict[0] == [*rows.place(row, at)] else verdict[1]
                     starts[row - first].extend(at + b for b in range(n) if bits >> b & 1)
             found.extend(_kept(rows.texts[first + i].split(), s, width) for i, s in enumerate(starts))
         added = [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()),

@@ -218,6 +218,14 @@ def test_odd_rows_keep_their_columns(spark):
         substring.without_repeats(docs, width=2)
 
 
+def test_verdicts_on_passages_come_from_automata(spark, monkeypatch):
+    passage = " ".join(f"p{i}" for i in range(40))
+    docs = spark.createDataFrame([(i, f"{passage} own{i}") for i in range(5)], DOCS)
+    assert {r["n_removed"] for r in substring.without_repeats(docs).where("doc_id > 0").collect()} == {40}
+    monkeypatch.setattr(substring.SuffixAutomaton, "first_ends", lambda self, words, width: [None] * len(words))
+    assert {r["n_removed"] for r in substring.without_repeats(docs).collect()} == {0}
+
+
 def test_automaton_finds_first_places():
     rng = random.Random(7)
     for _ in range(50):
