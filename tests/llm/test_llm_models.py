@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 from collections import Counter
 
 import brute
@@ -219,6 +220,37 @@ def test_markup(spark, html, want):
     assert "\n".join(t[0] for t in (article or kept)) == want
 
 
+def test_importance_equals_plain_entropy(spark):
+    """Of random trees: texts shared by branches and pages, several styles of a branch in one page, branches of one page."""
+    rng = random.Random(11)
+    pages = []
+    for _ in range(40):
+        blocks = []
+        for _ in range(rng.randint(0, 8)):
+            path = [0, 1 + rng.randrange(3), 10 + rng.randrange(6), 100 + rng.randrange(60)]
+            blocks.append((rng.choice("abcdefgh") * rng.randint(1, 2), path, 0, 0, False))
+        own = sorted({b for x in blocks for b in x[1]})
+        pages.append((7, blocks, sorted({(b, rng.randrange(3)) for b in own for _ in range(rng.randint(1, 2))})))
+    df = spark.createDataFrame(pages, f"site long, blocks {sitetree.BLOCK}, styles array<struct<branch:long,feature:long>>")
+    found = {r["branch"]: (r["m"], r["importance"]) for r in sitetree.importance(df.repartition(3)).collect()}
+    having, texts, styles = Counter(), {}, {}
+    for _, blocks, children in pages:
+        having.update({b for x in blocks for b in x[1]})
+        for b, text in {(b, x[0]) for x in blocks for b in x[1]}:
+            texts.setdefault(b, Counter())[text] += 1
+        for b, style in children:
+            styles.setdefault(b, Counter())[style] += 1
+    assert set(found) == set(having) and {1, 2} < set(having.values())
+    for b, m in having.items():
+        want = 1.0
+        if m > 1:
+            content = 1 - sum(math.log(k, m) for k in texts[b].values()) / len(texts[b])
+            total = sum(styles[b].values())
+            presentation = -sum(k / total * math.log(k / total, m) for k in styles[b].values())
+            want = sitetree.CONTENT_WEIGHT * content + (1 - sitetree.CONTENT_WEIGHT) * min(1.0, presentation)
+        assert found[b] == (m, pytest.approx(want, abs=1e-12))
+
+
 def test_odd_pages(spark):
     deep = "<div>" * 5000 + "deep" + "</div>" * 5000
     data = [(1, None, None), (1, "x", ""), (2, "http://h/", deep), (None, "http://h/", "<p>n"), (2, "http://h/", deep)]

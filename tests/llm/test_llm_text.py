@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import brute
 import numpy as np
@@ -37,6 +38,35 @@ def test_languages_of_held_out_documents(spark, small_dir):
     assert both.score.between(0, 1).all()
 
 
+def test_predictions_equal_plain_sets(spark, small_dir):
+    """What the filters tell, corrected for chance, is what sets of n-grams tell."""
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet").select("doc_id", "text", "lang").toPandas()
+
+    def grams(text):
+        text = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in (text or "").lower().encode())
+        padded = b" " + text + b" "
+        return [padded[i:i + n] for n in (3, 4) for i in range(len(padded) - n + 1) if 32 not in padded[i + 1:i + n - 1]]
+
+    counts = {}
+    for i, text, lang in docs.itertuples(index=False):
+        if brute.remainder(i, 4) != 2 and text is not None and lang is not None:
+            counts.setdefault(lang, Counter()).update(grams(text))
+    known = {lang: {g for g, n in c.items() if n >= sum(c.values()) * langid.SHARE} for lang, c in counts.items()}
+    found = {r["doc_id"]: r for r in queries.op7_langid(spark, small_dir).collect()}
+    clear = 0
+    for i, text, _ in docs.itertuples(index=False):
+        own = grams(text)
+        rates = sorted(((sum(g in known[lang] for g in own) / max(1, len(own)), lang) for lang in known), reverse=True)
+        if any(c.isalpha() for c in text or ""):
+            assert found[i]["score"] == pytest.approx(rates[0][0], abs=0.02)
+            if rates[0][0] - rates[1][0] > 0.03:
+                clear += 1
+                assert found[i]["lang_pred"] == rates[0][1]
+        else:
+            assert (found[i]["lang_pred"], found[i]["score"]) == ("und", 0.0)
+    assert clear > 150
+
+
 def test_filters_name_all_languages_of_an_ngram():
     rng = np.random.default_rng(5)
     grams = rng.integers(0, 1 << 33, 3000)
