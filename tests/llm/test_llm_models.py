@@ -54,6 +54,31 @@ def test_odd_texts_and_labels(spark):
     assert quality.score(docs.where("false"), ranking).count() == 0
 
 
+def test_every_labelled_row_teaches(spark, monkeypatch):
+    monkeypatch.setattr(quality, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(quality, "LEAST_OF_CLASS", 5)
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["alpha", "Beta.", "c", "delta9", "#x"]) for _ in range(rng.randint(1, 60))) for _ in range(300)]
+    # Rows that come again and again, and few preferred ones.
+    rows = [(i, t) for i, t in enumerate(texts)] + [(7, texts[7])] * 100
+    docs, labels = spark.createDataFrame(rows, DOCS), spark.createDataFrame([(i, int(i < 12)) for i in range(300)], "doc_id long, quality int")
+    ranking = quality.learn(docs, labels)
+    features = np.array([quality.features_of(t.encode()) for _, t in rows])
+    preferred = np.array([i < 12 for i, _ in rows])
+    assert np.allclose(ranking.borders, quality.fit(features, preferred).borders, rtol=1e-12)
+    raw = ranking.weights.ravel()[quality.bins_of(features, ranking.borders)].sum(axis=1)
+    assert abs(ranking.threshold - quality.between(raw, (~preferred).mean())) < 1e-12
+    found = spark.createDataFrame([(i, f.tolist(), bool(p)) for (i, _), f, p in zip(rows, features, preferred)], "id long, features array<double>, preferred boolean")
+    blocks = quality.blocks_of(found, int(preferred.sum()), int((~preferred).sum())).toPandas()
+    assert len(blocks[~blocks.preferred]) == (~preferred).sum() and set(blocks.id) == set(range(300))
+    assert blocks.groupby("block").size().max() < 120 and blocks.groupby("block").preferred.agg(["any", "all"]).eq([True, False]).all(axis=None)
+    # One block is what a fit in one place gives.
+    monkeypatch.setattr(quality, "BLOCK_ROWS", 1000)
+    order = np.lexsort([*features.T[::-1], [i for i, _ in rows]])
+    whole, alone = quality.learn(docs, labels), quality.fit(features[order], preferred[order])
+    assert np.allclose(whole.weights, alone.weights, atol=1e-9) and abs(whole.threshold - alone.threshold) < 1e-9
+
+
 # ---- language model
 
 def test_base_scores_and_held_out_rows(spark, small_dir):
