@@ -108,13 +108,18 @@ def source_names(files: Sequence[str]) -> Column:
     any number of rewrites. Other files are named without folder and extension, or, if two
     would get the same name, with their folders.
     """
-    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    folder = F.regexp_extract(path, f"/{SOURCE}=([^/]*)/", 1)
+    def escaped(c: Column) -> Column:
+        return F.replace(c, F.lit("+"), F.lit("%2B"))
+
+    # Done for each row, so of a folder only its name is decoded.
+    address, begin = F.col("_metadata.file_path"), f"/{SOURCE}="
+    path = F.url_decode(escaped(address))
+    folder = F.url_decode(escaped(F.regexp_extract(address, f"{begin}([^/]*)/", 1)))
     others = [unquote(f) for f in files if f"/{SOURCE}=" not in f]
     short = [re.sub(r"(?<=.)\.[^.]*$", "", f.rsplit("/", 1)[-1]) for f in others]
     named = base_name(path) if len(set(short)) == len(short) else F.regexp_replace(path, r"(?<=[^/])\.[^./]*$", "")
     # Spark escapes signs in folder names once more.
-    return F.when(path.contains(f"/{SOURCE}="), F.try_url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))).otherwise(named)
+    return F.when(address.contains(begin), F.try_url_decode(escaped(folder))).otherwise(named)
 
 
 def read_group(

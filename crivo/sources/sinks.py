@@ -11,23 +11,25 @@ from pyspark.sql import functions as F
 from crivo.operators.align import row_audit
 from crivo.operators.contingency import quoted
 from crivo.operators.encode import Labels
-from crivo.shared import materialize
+from crivo.shared import materialize, spread_writes
 from crivo.sources.files import SOURCE
 
 
-def write_partitions(df: DataFrame, path: str, source: str = SOURCE, rows_per_file: int = 5_000_000) -> None:
+def write_partitions(df: DataFrame, path: str, source: str = SOURCE, rows_per_file: int = 5_000_000, together: bool = False) -> None:
     """Parquet parts in one folder per source file.
 
-    Rows are brought together by source; adaptive execution splits a large source over
-    several tasks and files. An earlier output is replaced.
+    Rows are brought together by source, unless the caller has done so (``together``); adaptive
+    execution splits a large source over several tasks and files. An earlier output is replaced.
     """
-    spread = df.hint("rebalance", source)
-    spread.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy(source).parquet(path)
+    spread = df if together else df.hint("rebalance", source)
+    with spread_writes(df.sparkSession):
+        spread.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy(source).parquet(path)
 
 
 def write_delimited_partitions(df: DataFrame, path: str, source: str = SOURCE, sep: str = ",") -> None:
     """Delimited parts in one folder per source file, each with a header."""
-    df.hint("rebalance", source).write.mode("overwrite").partitionBy(source).csv(path, sep=sep, header=True, encoding="UTF-8")
+    with spread_writes(df.sparkSession):
+        df.hint("rebalance", source).write.mode("overwrite").partitionBy(source).csv(path, sep=sep, header=True, encoding="UTF-8")
 
 
 # Sources that one write can count; the sketch that counts them is exact for so many.

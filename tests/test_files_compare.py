@@ -4,6 +4,7 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from crivo import shared
 from crivo.operators import align, clean, compare
 from crivo.operators.clean import ABSENT
 from crivo.sources import files, sinks
@@ -198,3 +199,22 @@ def test_comparison_parts(spark):
     assert not compare.same_columns(a, b.drop("p_value"))
     assert compare.column_differences(a, b.drop("p_value")) == [("p_value", "a")]
     assert compare.error_metrics(a.select("feature"), b).count() == 0
+
+
+def test_writes_by_source_keep_rows_and_settings(spark, tmp_path):
+    keys = ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.maxConcurrentOutputFileWriters")
+    before = [spark.conf.get(k) for k in keys]
+    with pytest.raises(ValueError), shared.spread_writes(spark):
+        # Without open files for several sources a task sorts all its rows, in memory that grows with them.
+        assert int(spark.conf.get(keys[1])) >= shared.OPEN_FILES and int(spark.conf.get(keys[0])) <= shared.PIECE_BYTES
+        raise ValueError
+    assert [spark.conf.get(k) for k in keys] == before
+    # More sources than open files in a task, with signs in their names.
+    n = 3 * shared.OPEN_FILES
+    df = spark.range(20 * n).select(F.concat(F.lit("v"), "id").alias("A"), F.concat(F.lit("s +%2B"), F.col("id") % n).alias("source_file")).coalesce(1)
+    sinks.write_delimited_partitions(df, f"{tmp_path}/csv")
+    again = files.read_files(spark, f"{tmp_path}/csv/*/*.csv", sep=",").select("A", "source_file")
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, df.collect()))
+    sinks.write_partitions(df, f"{tmp_path}/parquet")
+    assert spark.read.schema(df.schema).parquet(f"{tmp_path}/parquet").exceptAll(df).count() == 0
+    assert [spark.conf.get(k) for k in keys] == before
