@@ -184,7 +184,7 @@ def one_hot_wide(df: DataFrame, values: dict[str, list[str]], drop_first: bool =
         doubled = sorted({n for n in names if folded.count(n.lower()) > 1})
         raise ValueError(f"one-hot names differ only by case or collide: {doubled}")
     flags = [
-        F.coalesce(quoted(c).cast("string") == v, F.lit(False)).cast("int").alias(f"{c}_{v}")
+        F.when(quoted(c).cast("string") == v, 1).otherwise(0).alias(f"{c}_{v}")
         for c, vs in kept.items() for v in vs
     ]
     return df.select(*[quoted(c) for c in df.columns if c not in kept], *flags)

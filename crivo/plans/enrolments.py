@@ -44,7 +44,6 @@ UNUSED = (
     "Categoria da Situacao", "Situacao de Matricula", "Unidade de Ensino", "Regiao", "UF",
 )
 
-
 @dataclass(frozen=True)
 class Preset:
     """Which columns are coded how, and what happens to rows with missing values."""
@@ -67,11 +66,13 @@ ONE_HOT = Preset((FUNDING,), tuple(c for c in NOMINAL if c != FUNDING))
 
 @dataclass(frozen=True)
 class Prepared:
-    """The analysis table and its label dictionary."""
+    """The analysis table and its label dictionary; of a wide table also the narrow one before it, and the values of its columns."""
 
     table: DataFrame
     labels: encode.Labels | None
     one_hot_columns: tuple[str, ...]
+    narrow: DataFrame | None = None
+    values: dict[str, list[str]] | None = None
 
 
 def cleaned(raw: DataFrame, preset: Preset) -> DataFrame:
@@ -111,7 +112,8 @@ def prepare(raw: DataFrame, preset: Preset = LABELS, wide: bool = False) -> Prep
     if wide and one_hot_columns:
         if by:
             raise ValueError("one-hot columns need one dictionary for all files")
-        coded = encode.one_hot_wide(coded, encode.category_lists(labels, one_hot_columns))
+        values = encode.category_lists(labels, one_hot_columns)
+        return Prepared(encode.one_hot_wide(coded, values), labels, tuple(one_hot_columns), coded, values)
     return Prepared(coded, labels, tuple(one_hot_columns))
 
 
@@ -124,11 +126,15 @@ def store(prepared: Prepared, path: str | None = None) -> Prepared:
     df = prepared.table
     spark = df.sparkSession
     folder = path or work_path(spark, "prepared")
-    if SOURCE in df.columns:
+    if SOURCE in df.columns and prepared.narrow is not None:
+        # What is shuffled are the narrow rows; each task makes its own wide.
+        spread = encode.one_hot_wide(prepared.narrow.hint("rebalance", SOURCE), prepared.values)
+        write_partitions(spread.select(*[contingency.quoted(c) for c in df.columns]), folder, together=True)
+    elif SOURCE in df.columns:
         write_partitions(df, folder)
     else:
         df.write.mode("overwrite").parquet(folder)
-    return replace(prepared, table=spark.read.schema(df.schema).parquet(folder).select(*[contingency.quoted(c) for c in df.columns]))
+    return replace(prepared, narrow=None, values=None, table=spark.read.schema(df.schema).parquet(folder).select(*[contingency.quoted(c) for c in df.columns]))
 
 
 def feature_columns(df: DataFrame, target: str = TARGET) -> list[str]:

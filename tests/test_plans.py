@@ -163,3 +163,25 @@ def test_global_ranking_equals_newton_steps(spark, small_dir):
     assert got.keys() == set(table.columns)
     for name, want in zip(table.columns, np.abs(w)):
         assert got[name] == pytest.approx(want, abs=1e-3)
+
+
+def test_a_wide_table_is_stored_from_narrow_rows(spark, small_dir):
+    prepared = en.prepare(screening_queries.raw_enrolments(spark, small_dir), en.ONE_HOT, wide=True)
+    assert set(prepared.one_hot_columns) <= set(prepared.narrow.columns) and len(prepared.narrow.columns) < len(prepared.table.columns)
+    stored = en.store(prepared)
+    assert stored.narrow is None and stored.table.schema.names == prepared.table.schema.names
+    assert stored.table.exceptAll(prepared.table).count() == 0 == prepared.table.exceptAll(stored.table).count()
+
+
+def test_the_raw_files_come_from_one_join(spark, small_dir, monkeypatch):
+    raw = screening_queries.raw_enrolments(spark, small_dir)
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(screening_queries, "raw_enrolments", lambda *_: raw.mapInArrow(count, raw.schema))
+    folder = screening_queries.raw_folder(spark, small_dir)
+    assert spark.read.csv(folder, sep=";", header=True).count() == raw.count() == seen.value
