@@ -76,7 +76,9 @@ def clean_text(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame
 
 def binary_target(df: DataFrame, source: str, positive: str, target: str) -> DataFrame:
     """Flag 1 where the trimmed source text equals ``positive``, else 0; missing counts as 0."""
-    flag = text.trim_all(quoted(source)).eqNullSafe(F.lit(positive)).cast("int")
+    # Trimming takes a regular expression, so only texts that hold ``positive`` get it.
+    equal = text.trim_all(quoted(source)).eqNullSafe(F.lit(positive))
+    flag = F.when(quoted(source).contains(positive), equal).otherwise(F.lit(False)).cast("int")
     return df.withColumn(target, flag)
 
 

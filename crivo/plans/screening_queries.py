@@ -121,7 +121,8 @@ def raw_folder(spark: SparkSession, sf_dir: str) -> str:
 
     Every fiftieth order has no income, and every seventh row of the other years no vacancy.
     """
-    raw = raw_enrolments(spark, sf_dir).withColumn("Vagas Regulares l14", F.expr("if(`Código da Matrícula` % 7 = 0, null, 'v')"))
+    # The joins are done once, not for every year.
+    raw = materialize(raw_enrolments(spark, sf_dir), "raw").withColumn("Vagas Regulares l14", F.expr("if(`Código da Matrícula` % 7 = 0, null, 'v')"))
     folder = work_path(spark, "raw-years")
     for year in range(2019, 2023):
         own = raw.where(F.col("source_file") == f"microdados_{year}").drop("source_file")
