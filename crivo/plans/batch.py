@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 
 from crivo.operators.contingency import quoted
 from crivo.plans import enrolments as en
+from crivo.shared import spread_writes
 from crivo.sources import files
 from crivo.sources.files import SOURCE
 
@@ -112,7 +113,8 @@ def processed(spark: SparkSession, out: str) -> DataFrame:
 def _overwrite(df: DataFrame, path: str) -> None:
     """Replace the folders of the sources in ``df`` in one commit; others stay."""
     spread = df.hint("rebalance", SOURCE)
-    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(SOURCE).parquet(path)
+    with spread_writes(df.sparkSession):
+        spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(SOURCE).parquet(path)
 
 
 def _remove(spark: SparkSession, out: str, source: str) -> None:
