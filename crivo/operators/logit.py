@@ -29,7 +29,7 @@ from crivo.functions.stats import sigmoid
 from crivo.operators.clean import assemble
 from crivo.operators.contingency import feature_name, quoted
 from crivo.operators.encode import Labels, encode_labels, fit_labels
-from crivo.shared import BroadcastBudget, discard, hot_keys, lookup, materialize, measured, work_path
+from crivo.shared import BroadcastBudget, discard, hot_keys, lookup, materialize, measured, spread_writes, work_path
 
 # Passes per file in the averaged and in the incremental model.
 FEDERATED_EPOCHS = 5
@@ -119,7 +119,8 @@ def stored_by_group(df: DataFrame, group: str) -> tuple[DataFrame, list[str]]:
 
 def write_by(df: DataFrame, path: str, column: str) -> None:
     """A folder per value; adaptive execution splits a large value over several files."""
-    df.hint("rebalance", column).write.partitionBy(column).parquet(path)
+    with spread_writes(df.sparkSession):
+        df.hint("rebalance", column).write.partitionBy(column).parquet(path)
 
 
 def incremental_weights(

@@ -5,8 +5,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from crivo import shared
-from crivo.operators import align, clean, compare
+from crivo.operators import align, clean, compare, logit
 from crivo.operators.clean import ABSENT
+from crivo.plans import batch
 from crivo.sources import files, sinks
 
 
@@ -218,3 +219,14 @@ def test_writes_by_source_keep_rows_and_settings(spark, tmp_path):
     sinks.write_partitions(df, f"{tmp_path}/parquet")
     assert spark.read.schema(df.schema).parquet(f"{tmp_path}/parquet").exceptAll(df).count() == 0
     assert [spark.conf.get(k) for k in keys] == before
+
+
+def test_a_large_source_is_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(shared, "PIECE_BYTES", 1_000)
+    df = spark.range(100_000).repartition(8).select("id", F.lit("s").alias("source_file"))
+    sinks.write_partitions(df, f"{tmp_path}/a")
+    sinks.write_delimited_partitions(df, f"{tmp_path}/b")
+    logit.write_by(df, f"{tmp_path}/c", "source_file")
+    batch._overwrite(df, f"{tmp_path}/d")
+    for name in "abcd":
+        assert len(list((tmp_path / name / "source_file=s").glob("part-*"))) > 1
