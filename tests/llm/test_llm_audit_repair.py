@@ -339,3 +339,55 @@ def test_similar_sets_share_tiles_and_pass_the_bound():
             words = min(len(a), len(b))
             apart = int(np.bitwise_count(ngram_join.folded(a[None], words) ^ ngram_join.folded(b[None], words)).sum())
             assert apart <= ngram_join.differ(len(x) + len(y))
+
+
+@pytest.mark.parametrize("few", [64, 1])
+def test_small_and_large_tiles_find_the_same(spark, few, monkeypatch):
+    monkeypatch.setattr(ngram_join, "FEW", few)
+    monkeypatch.setattr(ngram_join, "CROWDED", 5)
+    rng = random.Random(12)
+    rows = list(enumerate(similar_texts(rng, 90)))
+    lines = [" ".join(f"l{k}w{i}" for i in range(30)) for k in range(6)]
+    rows += [(1000 + i, " ".join(rng.sample(lines, 5)) + f" end {i % 7}") for i in range(60)]
+    found = ngram_join.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted((tuple(r) for r in found.collect()), key=str) == linked(rows)
+
+
+def test_signatures_are_not_sent_with_every_tile(spark, monkeypatch):
+    rng, rows, sent = random.Random(13), [], []
+    for family in range(30):
+        words = [f"f{family}w{rng.randrange(10**6)}" for _ in range(400)]
+        for _ in range(4):
+            at = rng.randrange(370)
+            rows.append((len(rows), " ".join(words[:at] + [f"x{rng.randrange(10**6)}" for _ in range(22)] + words[at + 22:])))
+    blocks = ngram_join._blocks
+
+    def counted(mixed, forest):
+        sent.append(mixed.count())
+        return blocks(mixed, forest)
+
+    monkeypatch.setattr(ngram_join, "_blocks", counted)
+    found = ngram_join.classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((tuple(r) for r in found.collect()), key=str) == linked(rows)
+    assert len(sent) == 2 and sum(sent) <= len(rows)
+
+
+def test_similar_sets_have_so_many_parts_alike():
+    import numpy as np
+    rng = np.random.default_rng(4)
+    for n in (6, 8, 13, 40, 100, 351, 352, 420, 2000):
+        for _ in range(30):
+            x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            gone = int(rng.integers(0, ngram_join.differ(2 * n) // 2 + 1))
+            y = np.unique(np.append(x[gone:], rng.integers(0, 1 << 63, rng.integers(0, gone + 1), dtype=np.uint64)))
+            common = len(np.intersect1d(x, y))
+            if 100 * common < 85 * (len(x) + len(y) - common) or len(x) == len(y) == common:
+                continue
+            band = ngram_join.band_of(min(len(x), len(y)))
+            (a, none), (b, other) = ngram_join.tiles(x, band), ngram_join.tiles(y, band)
+            alike = len(set(a.tolist()) & set(b.tolist())) + min(none, other)
+            assert alike >= ngram_join.alike(band, len(x) + len(y)) >= ngram_join.EQUAL
+            for s in (x, y):
+                own = ngram_join.band_of(len(s))
+                least = ngram_join.alike(band, len(s) + (100 * len(s) // 85 if own == band else ngram_join.largest(band)))
+                assert alike >= least
